@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeloom.llm import chat_format, exact_dedup, mixing
+from lakeloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing
 from lakeloom.storage import table
 
 
@@ -21,6 +21,50 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+OP2 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, g.n, item FROM grams g JOIN windows v ON g.n = v.n AND g.phrase = v.phrase),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS item_list FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(item_list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP7 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line
+      FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
+b AS (SELECT line, min(doc_id) AS first_doc FROM l
+      WHERE len(regexp_extract_all(line, '[^ ]+')) >= 3 GROUP BY line HAVING count(DISTINCT source) >= 8),
+k AS (SELECT l.*, b.line IS NOT NULL AND b.first_doc <> l.doc_id AS gone FROM l LEFT JOIN b USING (line))
+SELECT doc_id, CAST(max(i) AS BIGINT) * max(CASE WHEN line <> '' OR i > 1 THEN 1 ELSE 0 END) AS n_lines,
+       CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM k GROUP BY doc_id
+"""
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -89,7 +133,9 @@ FROM e GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op7_line_dedup": op7_line_dedup,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE: dict[str, str] = {"op1_exact_dedup": OP1, "op3_mix_sources": OP3, "op10_chat_format": OP10}
+ORACLE: dict[str, str] = {"op1_exact_dedup": OP1, "op2_decontaminate": OP2, "op7_line_dedup": OP7, "op3_mix_sources": OP3, "op10_chat_format": OP10}
