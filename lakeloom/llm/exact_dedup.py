@@ -9,13 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lakeloom.llm.filters import maybe_among
 from lakeloom.storage import materialise
 
 RUN = "shard int, run string, level int, digests binary, ids binary, counts binary, filter binary"
 _RUN_ARROW = pa.schema([("shard", pa.int32()), ("run", pa.string()), ("level", pa.int32()), ("digests", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary())])
 NO_ID = -(1 << 63)
-#: Bits of the filter that picks rows for byte verification: a million rows of 16 bytes at most.
-FILTER_BITS = 1 << 26
 
 
 def digest_of(text: Column) -> Column:
@@ -141,16 +140,6 @@ def repeated_entries(runs: DataFrame) -> DataFrame:
     return runs.mapInArrow(task, "digest binary, entry_id long, entry_rows long")
 
 
-def maybe_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """The rows whose digest may be among the hits: a bit set of FILTER_BITS bits, sent to every
-    task as at most FILTER_BITS / 64 rows.  The few others that pass form groups of one."""
-    slot = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    bit = (slot % 64).cast("int")
-    words = hits.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(digest), 64) as int))")).alias("bits"))
-    found = rows.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(words), "word")
-    return found.where(F.getbit("bits", bit) == 1).drop("word", "bits")
-
-
 def exact_dedup(docs: DataFrame, keep: str = "min", n_shards: int | None = None, memtable_rows: int = 1 << 17, digest=digest_of) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -175,7 +164,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", n_shards: int | None = None,
     level0 = materialise(flush_memtables(entries.withColumn("doc_id", F.coalesce("doc_id", F.lit(worst))), n_shards, memtable_rows, largest), "lsm_level0")
     index = materialise(compact(level0, largest), "lsm_index")
     hits = materialise(repeated_entries(index), "lsm_hits")
-    rows = maybe_hits(docs.select("doc_id", text.alias("text"), digest(F.col("text")).alias("digest")), hits)
+    rows = maybe_among(docs.select("doc_id", text.alias("text"), digest(F.col("text")).alias("digest")), hits, "digest")
     pick = F.max if largest else F.min
     verified = rows.groupBy("digest", "text").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     verified = materialise(verified.select("digest", F.xxhash64("text").alias("check"), "keep_id", "group_size"), "verified")

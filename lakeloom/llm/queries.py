@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing
+from lakeloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, toxicity
 from lakeloom.storage import table
 
 
@@ -98,6 +98,15 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -136,6 +145,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE: dict[str, str] = {"op1_exact_dedup": OP1, "op2_decontaminate": OP2, "op7_line_dedup": OP7, "op3_mix_sources": OP3, "op10_chat_format": OP10}

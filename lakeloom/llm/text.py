@@ -50,11 +50,12 @@ class Texts:
         raw = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if data is not None and offsets[-1] > offsets[0] else b""
         return cls(raw, offsets - offsets[0])
 
-    def chunks(self, limit: int = 2_000_000) -> Iterator[tuple[int, Texts]]:
-        """(first row, rows) in blocks of about ``limit`` bytes; a longer row is a block of its own."""
+    def chunks(self, limit: int = 2_000_000, rows: int = 1 << 16) -> Iterator[tuple[int, Texts]]:
+        """(first row, rows) in blocks of about ``limit`` bytes and at most ``rows`` rows; a longer
+        row is a block of its own."""
         a = 0
         while a < self.rows:
-            b = max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + limit, "right")) - 1)
+            b = min(a + rows, max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + limit, "right")) - 1))
             off = self.offsets[a : b + 1]
             yield a, Texts(self.raw[int(off[0]) : int(off[-1])], off - off[0])
             a = b
