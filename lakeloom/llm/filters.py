@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bits of the set; it travels as at most a million rows of 16 bytes (BITS / 64).
 BITS = 1 << 26
 
 
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def key_words(keys: DataFrame, column: str) -> DataFrame:
+    """The set of the keys as (word, bits) rows."""
+    return keys.groupBy(F.shiftright(_slot(column), 6).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")).alias("_bits"))
+
+
+def flag_maybe(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a column maybe: false if ``column`` is surely not among the ``keys``."""
+    found = rows.withColumn("_word", F.shiftright(_slot(column), 6)).join(F.broadcast(key_words(keys, column)), "_word", "left")
+    hit = F.coalesce(F.getbit("_bits", (_slot(column) % 64).cast("int")) == 1, F.lit(False))
+    return found.withColumn("maybe", hit).drop("_word", "_bits")
+
+
 def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """The rows whose ``column`` may be among the ``keys``; all that are, and by chance a few
     others.  However many keys there are, what is sent to every task stays under 16 MB."""
-    slot = F.pmod(F.xxhash64(column), F.lit(BITS))
-    words = keys.groupBy(F.shiftright(slot, 6).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")).alias("_bits"))
-    found = rows.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(words), "_word")
-    return found.where(F.getbit("_bits", (slot % 64).cast("int")) == 1).drop("_word", "_bits")
+    found = rows.withColumn("_word", F.shiftright(_slot(column), 6)).join(F.broadcast(key_words(keys, column)), "_word")
+    return found.where(F.getbit("_bits", (_slot(column) % 64).cast("int")) == 1).drop("_word", "_bits")
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, row_key: Column) -> DataFrame:
+    """``rows`` without those in ``gone`` (doc_id, row_key), with the columns of ``rows``.  Rows
+    that the filter clears pass without a shuffle; only the others are joined."""
+    columns = rows.columns
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_row_key"))
+    flagged = flag_maybe(rows.withColumn("_row_key", row_key), gone, "_row_key").withColumnRenamed("maybe", "_maybe")
+    clear = flagged.where(~F.col("_maybe")).select(columns)
+    left = flagged.where("_maybe").alias("r").join(gone.alias("g"), (F.col("r._row_key") == F.col("g._row_key")) & F.col("r.doc_id").eqNullSafe(F.col("g._gone_id")), "left_anti")
+    return clear.unionByName(left.select(columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, toxicity
+from lakeloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, toxicity
 from lakeloom.storage import table
 
 
@@ -46,6 +46,24 @@ FROM words w LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_i
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP5 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT gram, min(doc_id) AS first_doc FROM g GROUP BY gram),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (gram) WHERE first_doc < doc_id),
+k AS (SELECT d.doc_id, r.p IS NOT NULL AS gone, d.word, d.i
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) d LEFT JOIN r ON d.doc_id = r.doc_id AND d.i = r.p),
+a AS (SELECT doc_id, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -144,9 +162,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE: dict[str, str] = {"op1_exact_dedup": OP1, "op2_decontaminate": OP2, "op7_line_dedup": OP7, "op3_mix_sources": OP3, "op10_chat_format": OP10}
+ORACLE: dict[str, str] = {"op1_exact_dedup": OP1, "op2_decontaminate": OP2, "op5_substring_dedup": OP5, "op7_line_dedup": OP7, "op3_mix_sources": OP3, "op10_chat_format": OP10}
