@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, toxicity
-from lakeloom.storage import table
+from lakeloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, pii, substring_dedup, token_rollup, toxicity
+from lakeloom.storage import scratch_path, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ FROM words w LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_i
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.token_totals(table(spark, sf_dir, "documents"), scratch_path(spark, "token_rollup"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -64,6 +68,10 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -162,7 +170,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op4_token_counts": op4_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
