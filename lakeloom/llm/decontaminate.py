@@ -18,7 +18,7 @@ SEGMENT_BYTES = 4_000_000
 #: A block of items that is sent to every task holds at most so much text.
 BLOCK_CHARS = 16_000_000
 
-SEGMENT = "row_id long, row_ids binary, doc_ids binary, doc_null binary, first binary, terms binary, starts binary, postings binary"
+SEGMENT = "row_id long, row_ids binary, doc_ids binary, doc_null binary, row_keys binary, first binary, terms binary, starts binary, postings binary"
 _SEGMENT_NAMES = [x.split()[0] for x in SEGMENT.split(", ")]
 
 
@@ -54,11 +54,12 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
                 s, e, first = rows.spans(ALNUM)
                 terms, starts, postings = _sorted_postings(rows.hashes(s, e))
                 row_ids = part + seq + np.arange(rows.rows, dtype=np.int64)
-                blobs = [row_ids, ids[a : a + rows.rows].astype(np.int64), null[a : a + rows.rows].astype(np.uint8), first.astype(np.int32), terms, starts, postings]
+                row_keys = batch.column(2).to_numpy(zero_copy_only=False)[a : a + rows.rows]
+                blobs = [row_ids, ids[a : a + rows.rows].astype(np.int64), null[a : a + rows.rows].astype(np.uint8), row_keys, first.astype(np.int32), terms, starts, postings]
                 yield pa.RecordBatch.from_arrays([pa.array([part + seq]), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names=_SEGMENT_NAMES)
                 seq += rows.rows
 
-    return docs.select("doc_id", "text").mapInArrow(task, SEGMENT)
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(task, SEGMENT)
 
 
 @dataclass
@@ -66,6 +67,7 @@ class Segment:
     row_ids: np.ndarray
     doc_ids: np.ndarray
     doc_null: np.ndarray
+    row_keys: np.ndarray
     first: np.ndarray
     terms: np.ndarray
     starts: np.ndarray
@@ -73,7 +75,7 @@ class Segment:
 
     @classmethod
     def of(cls, row: dict) -> Segment:
-        kinds = {"row_ids": np.int64, "doc_ids": np.int64, "doc_null": np.uint8, "first": np.int32, "terms": np.uint64, "starts": np.int32, "postings": np.int32}
+        kinds = {"row_ids": np.int64, "doc_ids": np.int64, "doc_null": np.uint8, "row_keys": np.int64, "first": np.int32, "terms": np.uint64, "starts": np.int32, "postings": np.int32}
         return cls(**{k: np.frombuffer(row[k], kind) for k, kind in kinds.items()})
 
     def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +147,7 @@ def item_phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
     return Phrases(hashes, np.array([len(k) for k in keys], np.int64), [sorted(set(found[k])) for k in keys], names)
 
 
-HITS = "row_id long, doc_id long, n_words long, spans binary, items array<string>"
+HITS = "row_id long, doc_id long, row_key long, n_words long, spans binary, items array<string>"
 
 
 def search(index: DataFrame, phrases: Phrases, within: int | None = None) -> DataFrame:
@@ -171,11 +173,12 @@ def search(index: DataFrame, phrases: Phrases, within: int | None = None) -> Dat
                     [
                         pa.array(seg.row_ids),
                         pa.array(seg.doc_ids, mask=seg.doc_null.astype(bool)),
+                        pa.array(seg.row_keys),
                         pa.array(np.diff(seg.first).astype(np.int64)),
                         pa.array([np.array(_union(x), np.int32).tobytes() for x in spans], pa.binary()),
                         pa.array([[phrases.names[i] for i in sorted(x)] for x in items], pa.list_(pa.string())),
                     ],
-                    names=["row_id", "doc_id", "n_words", "spans", "items"],
+                    names=["row_id", "doc_id", "row_key", "n_words", "spans", "items"],
                 )
 
     return index.mapInArrow(task, HITS)
@@ -205,7 +208,7 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, str]
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, index: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
-    items.
+    items, row_key (a hash of doc_id and text).
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  An item's
     windows are its runs of ``window`` words, or all its words if fewer.  Document words inside
@@ -223,7 +226,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         found = passes[0]
         for p in passes[1:]:
             found = found.unionByName(p)
-        found = found.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        found = found.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +236,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 hit.append(sum(b - a for a, b in _union(pairs)))
             items = [sorted(x) for x in batch.column(3).to_pylist()]
             shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas), pa.array([x > 0 for x in hit]), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas), pa.array([x > 0 for x in hit]), pa.array(items, pa.list_(pa.string())), batch.column(4)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "row_key"])
 
-    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    return found.select("doc_id", "n_words", "spans", "items", "row_key").mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, row_key long")

@@ -36,7 +36,64 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_copies: float = 2.0, seed: str = "mix-1", importance: str | None = None) -> DataFrame:
+def sized(docs: DataFrame, seed: str, importance: str | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """_size, _u and _imp of every row, with doc_id, source and the columns to keep."""
+    imp = F.lit(1.0) if importance is None else F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(0.0)), F.lit(1e-9))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    own = [c for c in keep if c not in ("doc_id", "source")]
+    return docs.select("doc_id", "source", *own, size.alias("_size"), uniform(F.col("doc_id"), seed).alias("_u"), imp.alias("_imp"))
+
+
+def _rank() -> Column:
+    """Pareto's q: the odds of the random number over the odds of inclusion; null where whole
+    copies are all there is."""
+    p = F.least(F.col("p") * F.col("_imp"), F.lit(1 - 1e-9))
+    return F.when(F.col("p") > 0, F.col("_u") / (1 - F.col("_u")) / (p / (1 - p)))
+
+
+def _order(q: Column) -> Column:
+    return F.struct(q.alias("q"), F.col("doc_id").alias("id"), F.col("_size").alias("size"))
+
+
+def mix_plan(sizes: DataFrame, weights: tuple[int, ...], share: float, max_copies: float) -> DataFrame:
+    """One row per source: source_size, target, certain copies, p, the rank up to which documents
+    are sampled (cut) and one more document (more)."""
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    plan = source_targets(sizes.select("source", F.col("_size").alias("size")), weights, share, max_copies).withColumn("certain", F.floor(rate).cast("long"))
+    plan = plan.withColumn("p", rate - F.col("certain")).withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
+    plan = materialise(plan.withColumnRenamed("source", "src"), "plan")
+    ranked = sizes.join(plan, F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("q", _rank()).where(F.col("q").isNotNull())
+    ranked = ranked.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
+    bins = ranked.groupBy(F.col("source").alias("b_src"), F.col("bin").alias("b_bin")).agg(F.sum("_size").alias("words"))
+    upto = W.partitionBy("b_src").orderBy("b_bin").rowsBetween(W.unboundedPreceding, 0)
+    bins = bins.withColumn("before", F.sum("words").over(upto) - F.col("words")).drop("words")
+    ranked = ranked.join(bins, F.col("source").eqNullSafe(F.col("b_src")) & (F.col("bin") == F.col("b_bin"))).drop("b_src", "b_bin")
+    within = W.partitionBy("source", "bin").orderBy("q", "doc_id", "_size").rowsBetween(W.unboundedPreceding, 0)
+    inside = F.col("before") + F.sum("_size").over(within) <= F.col("rest")
+    ranked = materialise(ranked.withColumn("inside", inside).select("doc_id", "source", "_size", "rest", "q", "inside"), "ranked")
+    cuts = ranked.groupBy(F.col("source").alias("c_src")).agg(
+        (F.max("rest") - F.sum(F.when(F.col("inside"), F.col("_size")).otherwise(0))).alias("gap"),
+        F.max(F.when(F.col("inside"), _order(F.col("q")))).alias("cut"),
+    )
+    cuts = materialise(cuts, "cuts")
+    miss = F.abs(F.col("_size") - F.col("gap"))
+    more = ranked.where(~F.col("inside") & (F.col("_size") > 0)).join(cuts, F.col("source").eqNullSafe(F.col("c_src"))).where(miss < F.col("gap"))
+    more = more.groupBy(F.col("c_src").alias("m_src")).agg(F.min(F.struct(miss.alias("miss"), _order(F.col("q")).alias("more"))).alias("m")).select("m_src", F.col("m.more").alias("more"))
+    plan = plan.join(cuts.select("c_src", "cut"), F.col("src").eqNullSafe(F.col("c_src")), "left").join(more, F.col("src").eqNullSafe(F.col("m_src")), "left")
+    return materialise(plan.drop("c_src", "m_src", "rest"), "full_plan")
+
+
+def apply_plan(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds source_size, target, certain, sampled and taken; each row is decided by itself against
+    its source's plan."""
+    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("src"))).withColumn("_q", _rank())
+    own = _order(F.col("_q"))
+    sampled = F.col("_q").isNotNull() & (F.coalesce(own <= F.col("cut"), F.lit(False)) | F.coalesce(own == F.col("more"), F.lit(False)))
+    out = out.withColumn("sampled", sampled).withColumnRenamed("_size", "size")
+    return out.withColumn("taken", (F.col("certain") + F.col("sampled").cast("long")) * F.col("size")).drop("src", "p", "cut", "more", "_u", "_imp", "_q")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_copies: float = 2.0, seed: str = "mix-1", importance: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document a mix takes.
 
     Sources in code-point order (null last) get the weights in turn and share ``share`` times all
@@ -49,47 +106,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     documents allow.
 
     Ranks are summed by 65,536 bins of q and ordered within a bin, so a source that holds any
-    share of the rows is dealt over all tasks.
+    share of the rows is dealt over all tasks; what comes of it is a cut per source, and documents
+    are decided against it one by one, without moving their texts.
 
-    Returns doc_id, size, source_size, target, certain, sampled, taken, one row per row of
-    ``docs``.  Null text has size 0 and takes 0; null sources are one source, the last; a null
-    doc_id hashes as the string 'null'; rows that repeat a doc_id have one rank and are ordered
-    together; other columns are ignored; an empty table gives no rows.
+    Returns doc_id, source, the columns named in ``keep`` (size, source_size, target, certain,
+    sampled and taken replace columns of those names), size, source_size, target, certain, sampled,
+    taken, one row per row of ``docs``.  Null text has size 0 and takes 0; null sources are one source,
+    the last; a null doc_id hashes as the string 'null'; rows that repeat a doc_id have one rank;
+    an empty table gives no rows.
     """
-    imp = F.lit(1.0) if importance is None else F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(0.0)), F.lit(1e-9))
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), uniform(F.col("doc_id"), seed).alias("u"), imp.alias("imp"))
-    sizes = materialise(sizes, "sizes")
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    plan = source_targets(sizes, weights, share, max_copies).withColumn("certain", F.floor(rate).cast("long"))
-    plan = plan.withColumn("p", rate - F.col("certain")).withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    plan = materialise(plan.withColumnRenamed("source", "src"), "plan")
-    p = F.least(F.col("p") * F.col("imp"), F.lit(1 - 1e-9))
-    q = F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / (p / (1 - p)))
-    ranked = sizes.join(plan, F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("q", q)
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(BINS)).cast("int")  # rows without a rank need no order
-    ranked = ranked.withColumn("bin", F.when(F.col("q").isNotNull(), F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int")).otherwise(spread))
-    bins = ranked.where(F.col("q").isNotNull()).groupBy(F.col("source").alias("b_src"), F.col("bin").alias("b_bin")).agg(F.sum("size").alias("words"))
-    upto = W.partitionBy("b_src").orderBy("b_bin").rowsBetween(W.unboundedPreceding, 0)
-    bins = bins.withColumn("before", F.sum("words").over(upto) - F.col("words")).drop("words")
-    ranked = ranked.join(bins, F.col("source").eqNullSafe(F.col("b_src")) & (F.col("bin") == F.col("b_bin")), "left").drop("b_src", "b_bin")
-    within = W.partitionBy("source", "bin").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    inside = F.col("q").isNotNull() & (F.col("before") <= F.col("rest")) & (F.col("before") + F.sum("size").over(within) <= F.col("rest"))
-    ranked = ranked.withColumn("inside", F.coalesce(inside, F.lit(False)))
-    ranked = materialise(ranked.select("doc_id", "source", "size", "source_size", "target", "certain", "rest", "q", "inside"), "ranked")
-    gaps = ranked.groupBy(F.col("source").alias("g_src")).agg((F.max("rest") - F.sum(F.when(F.col("inside"), F.col("size")).otherwise(0))).alias("gap"))
-    gaps = materialise(gaps, "gaps")
-    miss = F.abs(F.col("size") - F.col("gap"))
-    best = (
-        ranked.where(~F.col("inside") & F.col("q").isNotNull() & (F.col("size") > 0))
-        .join(gaps, F.col("source").eqNullSafe(F.col("g_src")))
-        .where(miss < F.col("gap"))
-        .groupBy("g_src")
-        .agg(F.min(F.struct(miss.alias("miss"), "q", F.col("doc_id").alias("id"))).alias("b"))
-        .select("g_src", F.col("b.q").alias("b_q"), F.col("b.id").alias("b_id"))
-    )
-    best = materialise(best, "best")
-    out = ranked.join(best, F.col("source").eqNullSafe(F.col("g_src")), "left")
-    last = F.coalesce(F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("q") == F.col("b_q")), F.lit(False))
-    out = out.withColumn("sampled", F.col("inside") | last)
-    taken = (F.col("certain") + F.col("sampled").cast("long")) * F.col("size")
-    return out.select("doc_id", "source", "size", "source_size", "target", "certain", "sampled", taken.alias("taken"))
+    keep = tuple(c for c in keep if c not in ("size", "source_size", "target", "certain", "sampled", "taken"))
+    sizes = materialise(sized(docs, seed, importance), "sizes")
+    plan = mix_plan(sizes, weights, share, max_copies)
+    return apply_plan(sized(docs, seed, importance, keep) if keep else sizes, plan)

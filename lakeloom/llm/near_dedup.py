@@ -98,7 +98,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """node (128 bits of the text's SHA-256), doc_id and band keys (none without words)."""
+    """node (128 bits of the text's SHA-256), doc_id, row_key and band keys (none without words)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +108,14 @@ def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 keys = band_keys(bag_min_hash(row, sh, count, rows.rows))
                 some = np.bincount(row, minlength=rows.rows) > 0
                 out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].reshape(-1).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))], names=["node", "doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))], names=["node", "doc_id", "row_key", "bands"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(node_of(text).alias("node"), F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(task, "node binary, doc_id long, bands array<long>")
+    return docs.select(node_of(text).alias("node"), F.col("doc_id").cast("long"), text.alias("text"), row_key().alias("row_key")).mapInArrow(task, "node binary, doc_id long, row_key long, bands array<long>")
+
+
+def row_key():
+    return F.xxhash64("doc_id", "text")
 
 
 def node_of(text) -> object:
@@ -221,7 +225,8 @@ def components(links: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, n_texts, kept.
+    """One row per row of ``docs``: doc_id, class_id, class_size, n_texts, kept, row_key (a hash of
+    doc_id and text).
 
     Documents are in one class if their texts are equal or linked, directly or through others, by
     a weighted Jaccard similarity of at least ``similarity`` of their bags of ``k``-word shingles
@@ -237,7 +242,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     rows = materialise(sketch(docs, k), "sketches")
     nodes = materialise(rows.groupBy("node").agg(F.any_value("bands").alias("bands")), "nodes")
     labels = materialise(components(similar_pairs(nodes.where(F.size("bands") > 0), docs, similarity, k)), "labels")
-    member = rows.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    member = rows.select("doc_id", "row_key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.count_distinct("node").alias("n_texts"))
     out = member.join(classes, "label")
-    return out.select("doc_id", "class_id", "class_size", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "class_id", "class_size", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "row_key")
