@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lakeloom.llm.filters import maybe_among
-from lakeloom.llm.text import MIX1, SOLID, Texts, mix, shingle_hashes
+from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, mix, shingle_hashes
 from lakeloom.storage import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -17,8 +17,9 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: A bucket of at most so many texts is compared pair by pair.
 SMALL = 8
-#: Other bands that split a large bucket, and how often before what is left is compared in full.
-SPLIT, LEVELS = 8, 6
+#: Rounds with one leader for a large bucket before it is split; smaller buckets a text goes to
+#: then; and rounds in all before what is left is compared in full.
+LEADERS, SPLIT, LEVELS = 3, 12, 7
 _ROW_BITS = 13
 
 
@@ -98,20 +99,23 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """node (128 bits of the text's SHA-256), doc_id, row_key and band keys (none without words)."""
+    """node (128 bits of the text's SHA-256), doc_id, row_key, band keys (none without words) and the
+    signature, one byte a slot."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, bytes_of = [], []
             for _, rows in Texts.of(batch.column(2)).chunks(1_000_000, (1 << _ROW_BITS) - 1):
                 row, sh, count = bags(rows, k)
-                keys = band_keys(bag_min_hash(row, sh, count, rows.rows))
+                sig = bag_min_hash(row, sh, count, rows.rows)
+                keys = band_keys(sig)
+                bytes_of.append((mix(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8))
                 some = np.bincount(row, minlength=rows.rows) > 0
                 out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].reshape(-1).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))], names=["node", "doc_id", "row_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64())), blob_column(np.concatenate(bytes_of).reshape(-1) if bytes_of else np.zeros(0, np.uint8), np.arange(batch.num_rows + 1) * SLOTS)], names=["node", "doc_id", "row_key", "bands", "sig"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(node_of(text).alias("node"), F.col("doc_id").cast("long"), text.alias("text"), row_key().alias("row_key")).mapInArrow(task, "node binary, doc_id long, row_key long, bands array<long>")
+    return docs.select(node_of(text).alias("node"), F.col("doc_id").cast("long"), text.alias("text"), row_key().alias("row_key")).mapInArrow(task, "node binary, doc_id long, row_key long, bands array<long>, sig binary")
 
 
 def row_key():
@@ -144,9 +148,9 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["a", "b", "sim"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a binary, b binary, sim double")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long, sim double")
 
 
 def _part(t: Texts, a: int, b: int) -> Texts:
@@ -154,59 +158,96 @@ def _part(t: Texts, a: int, b: int) -> Texts:
     return Texts(t.raw[int(off[0]) : int(off[-1])], off - off[0])
 
 
-def similar_pairs(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """Links (a, b, sim) between different texts that connect the same texts as all links do that
-    share a band.
+def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose signatures agree in enough slots: a pair of the given similarity is lost with
+    a probability under 1e-7 (5.4 standard deviations)."""
+    least = SLOTS * similarity - 5.4 * (SLOTS * similarity * (1 - similarity)) ** 0.5
 
-    In a bucket of over SMALL texts every text is compared with one, the leader.  Texts similar to
-    it are done.  Distance 1 - sim is a metric, so a text at distance y from the leader can only
-    be similar to one at x if |x - y| <= 1 - similarity: the texts still open, with the done
-    texts within that reach, go on to smaller buckets, where SPLIT other bands must agree too.  No
-    bucket's work grows with the square of its size.  What is open after LEVELS rounds is compared
-    in full.
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(Texts.of(batch.column(i)).raw, np.uint8).reshape(-1, SLOTS) for i in (2, 3))
+            at = pa.array(np.flatnonzero((x == y).sum(1) >= least))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    left, right = (nodes.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
+
+
+def link_texts(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """id and label of the texts that have a link: one label for all that links connect, directly
+    or through others.  Links are pairs that share a band and are verified.
+
+    Only pairs of different labels are compared, and a bucket (the texts that share a band) is
+    done once it has one label.  Buckets of up to SMALL texts are compared pair by pair.  In a
+    larger one every text is compared with a leader; after LEADERS such rounds, with labels
+    merged in between, the texts of buckets that still have several labels go on to smaller
+    buckets, where one of SPLIT pairs of other bands must agree too.  So a group of near copies
+    costs a few comparisons a text, and texts that share a passage but are not similar part soon.
+    After LEVELS rounds, what is left is compared in full.
     """
-    reach = 1 - similarity
-    members = nodes.select("node", F.explode("bands").alias("bucket")).withColumn("fresh", F.lit(True))
-    verified, texts = None, None
+    members = nodes.select("id", F.explode("bands").alias("bucket"))
+    links, tested, labels, texts = None, None, None, None
     for level in range(LEVELS + 1):
         small = SMALL if level < LEVELS else 1 << 62
-        stats = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("fresh"), F.col("node"))).alias("leader"))
-        stats = stats.where((F.col("n") > 1) & F.col("leader").isNotNull())
+        members = members.withColumn("label", F.col("id")) if labels is None else _labelled(members, labels)
+        first = F.min(F.struct(F.xxhash64("id", F.lit(level)).alias("h"), F.col("id").alias("leader"), F.col("label").alias("leader_label"))).alias("l")
+        stats = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), first)
+        stats = stats.where("lo <> hi").select("bucket", "n", "l.leader", "l.leader_label")
         members = materialise(members.join(stats, "bucket"), f"members{level}")
-        led = members.where((F.col("n") > small) & (F.col("node") != F.col("leader"))).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+        led = members.where((F.col("n") > small) & (F.col("label") != F.col("leader_label"))).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
         few = members.where(F.col("n") <= small)
-        other = few.select("bucket", F.col("node").alias("b"), F.col("fresh").alias("fresh_b"))
-        close = few.withColumnRenamed("node", "a").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("fresh") | F.col("fresh_b"))).select("a", "b")
+        other = few.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"))
+        close = few.withColumnRenamed("id", "a").join(other, "bucket").where("a < b AND label <> label_b").select("a", "b")
         pairs = led.unionByName(close).distinct()
-        if verified is not None:
-            pairs = pairs.join(verified, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, f"pairs{level}")
-        if texts is None:  # later rounds stay among these texts
-            among = members.select("node").distinct()
-            whole = docs.select(node_of(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-            texts = materialise(maybe_among(whole, among, "node").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
-        new = materialise(verify(pairs, texts, k), f"verified{level}")
-        verified = new if verified is None else verified.unionByName(new)
-        big = members.where(F.col("n") > small)
-        if level == LEVELS or big.isEmpty():
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{level}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        near = materialise(likely(pairs, nodes, similarity), f"near{level}")
+        if not near.isEmpty():
+            texts = _texts(near, nodes, docs, level)
+            new = verify(near, texts, k).where(F.col("sim") >= similarity).select("a", "b")
+            old = None if labels is None else labels.select(F.col("label").alias("a"), F.col("id").alias("b"))
+            links = new if old is None else new.unionByName(old)
+            labels = materialise(components(links), f"labels{level}")
+        open_ = members.where(F.col("n") > small).select("id", "bucket")
+        if level == LEVELS or open_.isEmpty():
             break
-        low, high = F.least("leader", "node"), F.greatest("leader", "node")
-        to_leader = big.where(F.col("node") != F.col("leader")).withColumn("a", low).withColumn("b", high).join(verified, ["a", "b"]).select("bucket", "node", "fresh", (1 - F.col("sim")).alias("d"))
-        to_leader = materialise(to_leader.withColumn("fresh", F.col("fresh") & (F.col("d") > reach)), f"open{level}")
-        edge = to_leader.where("fresh").groupBy("bucket").agg(F.min("d").alias("near"), F.max("d").alias("far"))
-        left = to_leader.join(edge, "bucket").where(F.col("fresh") | F.col("d").between(F.col("near") - reach - 1e-9, F.col("far") + reach + 1e-9))
-        if left.isEmpty():
-            break
-        first = F.pmod(F.xxhash64("bucket"), F.lit(BANDS)).cast("int")
-        keys = F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda i: F.xxhash64("bucket", F.element_at("bands", ((first + i * 5) % BANDS + 1).cast("int"))))
-        bands = nodes.select("node", "bands")
-        members = left.select("bucket", "node", "fresh").join(bands, "node").select("node", F.explode(keys).alias("bucket"), "fresh").groupBy("bucket", "node").agg(F.max("fresh").alias("fresh"))
-    return verified.where(F.col("sim") >= similarity)
+        if level + 1 < LEADERS:
+            members = open_
+            continue
+        # only texts of buckets that still have several labels are dealt to smaller ones
+        relabelled = open_.withColumn("label", F.col("id")) if labels is None else _labelled(open_, labels)
+        mixed = relabelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        members = open_.join(mixed, "bucket", "left_semi").join(nodes.select("id", "bands"), "id").select("id", F.explode(_smaller(level)).alias("bucket")).distinct()
+    return nodes.sparkSession.createDataFrame([], "id long, label long") if labels is None else labels
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _smaller(level: int):
+    """Keys of the smaller buckets: the bucket's and those of two other bands, drawn by the bucket."""
+
+    def key(i):
+        draw = F.xxhash64("bucket", i, F.lit(level))
+        one, two = F.pmod(draw, F.lit(BANDS)).cast("int"), F.pmod(F.shiftright(draw, 20), F.lit(BANDS)).cast("int")
+        return F.xxhash64("bucket", F.element_at("bands", one + 1), F.element_at("bands", two + 1), i)
+
+    return F.transform(F.sequence(F.lit(1), F.lit(SPLIT)), key)
+
+
+def _texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: int) -> DataFrame:
+    """id and text of the texts in pairs; those that a filter of fixed size clears are not moved."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = materialise(nodes.select("id", "node").join(ids, "id", "left_semi"), f"wanted{level}")
+    whole = docs.select(node_of(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    one = maybe_among(whole, wanted, "node").groupBy("node").agg(F.any_value("text").alias("text"))
+    return materialise(one.join(wanted, "node").select("id", "text"), f"texts{level}")
 
 
 def components(links: DataFrame, limit: int = 50) -> DataFrame:
-    """node and label (the smallest node of its component) for every node of the links (a, b), by
-    alternating large-star and small-star rounds until nothing changes."""
+    """id and label (the smallest id of its component) for every id of the links (a, b), by alternating
+    large-star and small-star rounds until nothing changes."""
     edges = materialise(links.select("a", "b").where("a <> b").distinct(), "edges0")
     before = None
     for i in range(limit):
@@ -221,7 +262,7 @@ def components(links: DataFrame, limit: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
@@ -240,9 +281,11 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     other columns are ignored; an empty table gives no rows.
     """
     rows = materialise(sketch(docs, k), "sketches")
-    nodes = materialise(rows.groupBy("node").agg(F.any_value("bands").alias("bands")), "nodes")
-    labels = materialise(components(similar_pairs(nodes.where(F.size("bands") > 0), docs, similarity, k)), "labels")
-    member = rows.select("doc_id", "row_key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = rows.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id())
+    nodes = materialise(nodes, "nodes")  # ids are fixed once they are written
+    labels = link_texts(nodes.where(F.size("bands") > 0), docs, similarity, k)
+    ids = nodes.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("label", "id").alias("label"))
+    member = rows.select("doc_id", "row_key", "node").join(ids, "node")
     classes = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.count_distinct("node").alias("n_texts"))
     out = member.join(classes, "label")
     return out.select("doc_id", "class_id", "class_size", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "row_key")

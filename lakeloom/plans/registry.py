@@ -1,18 +1,86 @@
-"""All registered queries with their SQL."""
+"""All registered queries with their SQL, and the catalog of operators behind them."""
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from lakeloom.sources.views import VIEWS, view, view_sql
+
+DOMAINS = "payments clearing audit banking compliance graph ml temporal risk process behavioral treasury accounting orderbook core".split()
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A registered query: which kernel it runs, over which views, and what SQL says the same."""
+
+    name: str
+    kernel: str
+    run: Callable[[SparkSession, str], DataFrame]
+    sql: str | None
+
+
+ENTRIES: dict[str, Entry] = {}
+
+
+def query(name: str, kernel: str, views: str = "", sql: str | None = None):
+    """Registers a function of the named views' DataFrames.  ``sql`` is DuckDB SQL over them."""
+
+    def register(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        names = views.split()
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(*[view(spark, sf_dir, v) for v in names])
+
+        ENTRIES[name] = Entry(name, kernel, run, sql and _with_views(sql.strip(), names))
+        return fn
+
+    return register
+
+
+def _with_views(sql: str, names: list[str]) -> str:
+    ctes = ", ".join(f"{v} AS MATERIALIZED ({view_sql(v)})" for v in names if v in VIEWS)
+    if not ctes:
+        return sql
+    recursive = "RECURSIVE " if re.match(r"(?i)with recursive\b", sql) else ""
+    rest = re.sub(r"(?i)^with(\s+recursive)?\s", "", sql)
+    return f"WITH {recursive}{ctes}{', ' if rest != sql else ' '}{rest}"
+
+
+def r(column: str | Column, digits: int = 4, name: str | None = None) -> Column:
+    """A rounded double, under its own name; never a negative zero."""
+    c = F.col(column) if isinstance(column, str) else column
+    out = F.round(c.cast("double"), digits) + F.lit(0.0)
+    return out.alias(name or column) if name or isinstance(column, str) else out
+
+
+def _load() -> None:
+    for d in DOMAINS:
+        if importlib.util.find_spec(f"lakeloom.plans.{d}") is not None:
+            importlib.import_module(f"lakeloom.plans.{d}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    _load()
+    return {k: e.run for k, e in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    _load()
+    return {k: e.sql for k, e in ENTRIES.items() if e.sql}
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    """domain, kernel, query and whether SQL checks it."""
+    _load()
+    rows = [(e.kernel.split("/")[0], e.kernel, e.name, e.sql is not None) for e in ENTRIES.values()]
+    return spark.createDataFrame(rows, "domain string, kernel string, query string, has_sql boolean")
+
+
+def search(spark: SparkSession, text: str) -> DataFrame:
+    return catalog(spark).where(F.lower(F.concat_ws(" ", "kernel", "query")).contains(text.lower()))
