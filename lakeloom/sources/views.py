@@ -16,11 +16,11 @@ _ROW_ID = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_s
 VIEWS: dict[str, str] = {
     # id, source_id, dest_id, amount, ts: one id space of 100 accounts
     "transactions": f"""SELECT {_ROW_ID} AS id, o_custkey % 100 AS source_id, l_suppkey % 100 AS dest_id,
-        l_extendedprice * (1 - l_discount) AS amount, CAST(EPOCH(l_shipdate) AS BIGINT) AS ts
+        l_extendedprice * (1 - l_discount) AS amount, CAST(FLOOR(EPOCH(l_shipdate)) AS BIGINT) AS ts
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
     # the same for 2,000 accounts, in cents
     "transfers": f"""SELECT {_ROW_ID} AS id, o_custkey % 2000 AS source_id, (l_partkey * 3 + l_suppkey) % 2000 AS dest_id,
-        CAST(ROUND(l_extendedprice * 100) AS BIGINT) / 100.0e0 AS amount, CAST(EPOCH(l_shipdate) AS BIGINT) AS ts
+        CAST(ROUND(l_extendedprice * 100) AS BIGINT) / 100.0e0 AS amount, CAST(FLOOR(EPOCH(l_shipdate)) AS BIGINT) AS ts
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
     "edges": """SELECT DISTINCT o_custkey % 200 AS src, (l_partkey * 7 + l_suppkey) % 200 AS dst
         FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey
@@ -31,39 +31,39 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT (l_partkey * 7 + l_suppkey) % 60 AS a, o_custkey % 60 AS b FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount <= 0.01 AND o_orderkey < 12000) q WHERE a <> b""",
     "nodes": "SELECT id FROM (SELECT DISTINCT c_custkey % 200 AS id FROM {customer}) q",
     "link_nodes": "SELECT DISTINCT c_custkey % 60 AS id FROM {customer}",
-    "series": """SELECT 'revenue' AS series_id, CAST(EPOCH(o_orderdate) AS BIGINT) AS t, SUM(o_totalprice) AS value FROM {orders} GROUP BY o_orderdate""",
-    "customer_series": """SELECT CAST(o_custkey % 20 AS VARCHAR(20)) AS series_id, CAST(EPOCH(o_orderdate) AS BIGINT) AS t, SUM(o_totalprice) AS value
+    "series": """SELECT 'revenue' AS series_id, CAST(FLOOR(EPOCH(o_orderdate)) AS BIGINT) AS t, SUM(o_totalprice) AS value FROM {orders} GROUP BY o_orderdate""",
+    "customer_series": """SELECT CAST(o_custkey % 20 AS VARCHAR(20)) AS series_id, CAST(FLOOR(EPOCH(o_orderdate)) AS BIGINT) AS t, SUM(o_totalprice) AS value
         FROM {orders} GROUP BY o_custkey % 20, o_orderdate""",
     "payments": f"""SELECT CAST({_ROW_ID} AS VARCHAR(40)) AS id, c_name AS payer_account, s_name AS payee_account, l_extendedprice AS amount,
         CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'P' THEN 'Processing' ELSE 'Initiated' END AS status,
         CASE l_linenumber % 6 WHEN 0 THEN 'ACH' WHEN 1 THEN 'Wire' WHEN 2 THEN 'RealTime' WHEN 3 THEN 'Internal' WHEN 4 THEN 'Check' ELSE 'Card' END AS payment_type,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High' WHEN '5-LOW' THEN 'Low' ELSE 'Normal' END AS priority,
         CASE WHEN l_linenumber = 7 THEN 'EUR' ELSE 'USD' END AS currency,
-        CAST(EPOCH(l_shipdate) AS BIGINT) + l_partkey * 61 AS initiated_at
+        CAST(FLOOR(EPOCH(l_shipdate)) AS BIGINT) + l_partkey * 61 AS initiated_at
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey JOIN {{supplier}} ON l_suppkey = s_suppkey""",
     "payment_accounts": """SELECT c_name AS account_id, c_acctbal * 10 AS available_balance, 'USD' AS currency,
         CASE WHEN c_custkey % 17 = 0 THEN 'Frozen' ELSE 'Active' END AS status,
         CASE WHEN c_custkey % 3 = 0 THEN 40000.0e0 END AS daily_limit, CAST(c_custkey % 1000 AS DOUBLE) AS daily_used FROM {customer}
         UNION ALL SELECT s_name, s_acctbal * 10, 'USD', 'Active', CAST(NULL AS DOUBLE), 0.0e0 FROM {supplier} WHERE s_suppkey % 11 <> 0""",
     "trades": f"""SELECT {_ROW_ID} AS id, p_brand AS security_id, cn.n_name AS buyer_id, sn.n_name AS seller_id, CAST(l_quantity AS BIGINT) AS quantity,
-        CAST(l_extendedprice / l_quantity AS BIGINT) AS price, CAST(EPOCH(o_orderdate) AS BIGINT) AS trade_date, CAST(EPOCH(l_shipdate) AS BIGINT) AS settlement_date,
+        CAST(FLOOR(l_extendedprice / l_quantity) AS BIGINT) AS price, CAST(FLOOR(EPOCH(o_orderdate)) AS BIGINT) AS trade_date, CAST(FLOOR(EPOCH(l_shipdate)) AS BIGINT) AS settlement_date,
         CASE l_returnflag WHEN 'N' THEN 'Pending' WHEN 'A' THEN 'Matched' ELSE 'Failed' END AS status,
         CASE WHEN l_linenumber <= 4 THEN 'USD' ELSE 'EUR' END AS currency
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} cn ON c_nationkey = cn.n_nationkey
         JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} sn ON s_nationkey = sn.n_nationkey JOIN {{part}} ON l_partkey = p_partkey""",
     "instructions": f"""SELECT {_ROW_ID} AS id, n_name AS party_id, p_brand AS security_id,
         CASE l_linenumber % 4 WHEN 0 THEN 'Deliver' WHEN 1 THEN 'Receive' WHEN 2 THEN 'Pay' ELSE 'Collect' END AS instruction_type,
-        CAST(l_quantity AS BIGINT) AS quantity, CAST(l_extendedprice AS BIGINT) AS payment_amount, CAST(EPOCH(l_shipdate) AS BIGINT) AS settlement_date,
+        CAST(l_quantity AS BIGINT) AS quantity, CAST(FLOOR(l_extendedprice) AS BIGINT) AS payment_amount, CAST(FLOOR(EPOCH(l_shipdate)) AS BIGINT) AS settlement_date,
         CASE l_returnflag WHEN 'N' THEN 'Pending' WHEN 'A' THEN 'Settled' ELSE 'Failed' END AS status
         FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{part}} ON l_partkey = p_partkey""",
     "audit_records": """SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR(20)) AS entity_id,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'JournalEntry' WHEN '2-HIGH' THEN 'Payment' WHEN '3-MEDIUM' THEN 'Invoice' WHEN '5-LOW' THEN 'Receipt' ELSE 'Transfer' END AS record_type,
-        CAST(EPOCH(o_orderdate) AS BIGINT) AS ts, o_totalprice AS amount, CAST(o_custkey % 50 AS VARCHAR(20)) AS account,
+        CAST(FLOOR(EPOCH(o_orderdate)) AS BIGINT) AS ts, o_totalprice AS amount, CAST(o_custkey % 50 AS VARCHAR(20)) AS account,
         CAST(o_orderkey % 40 AS VARCHAR(20)) AS counter_party, o_orderstatus AS category FROM {orders}""",
-    "user_events": """SELECT event_id AS id, user_id, event_type, CAST(EPOCH(ts) AS BIGINT) AS ts, value,
-        user_id * 1000 + CAST(EPOCH(ts) / 86400 AS BIGINT) % 1000 AS session_id,
+    "user_events": """SELECT event_id AS id, user_id, event_type, CAST(FLOOR(EPOCH(ts)) AS BIGINT) AS ts, value,
+        user_id * 1000 + CAST(FLOOR(EPOCH(ts) / 86400) AS BIGINT) % 1000 AS session_id,
         CONCAT('dev', CAST(event_id % 3 AS VARCHAR(10))) AS device_id, CONCAT('loc', CAST((event_id * 7 + user_id) % 4 AS VARCHAR(10))) AS location FROM {events}""",
-    "process_events": "SELECT event_id AS id, user_id AS case_id, event_type AS activity, CAST(EPOCH(ts) AS BIGINT) AS ts, CONCAT('r', CAST(event_id % 5 AS VARCHAR(10))) AS resource, value FROM {events}",
+    "process_events": "SELECT event_id AS id, user_id AS case_id, event_type AS activity, CAST(FLOOR(EPOCH(ts)) AS BIGINT) AS ts, CONCAT('r', CAST(event_id % 5 AS VARCHAR(10))) AS resource, value FROM {events}",
     "obligors": """SELECT c_custkey AS obligor_id, (c_custkey % 60) / 100.0e0 AS debt_to_income, (c_custkey % 90) / 100.0e0 AS loan_to_value, (c_custkey % 95) / 100.0e0 AS credit_utilization,
         CAST(60 + c_custkey % 40 AS DOUBLE) AS payment_history, CAST(c_custkey % 12 AS DOUBLE) AS employment_years, CAST(c_custkey % 7 AS BIGINT) AS recent_inquiries, CAST(c_custkey % 4 AS BIGINT) AS delinquencies,
         CAST(c_custkey % 20 AS DOUBLE) AS credit_history_years, 1000 + ABS(c_acctbal) AS ead, 1.0e0 + c_custkey % 5 AS maturity FROM {customer}""",
@@ -71,12 +71,12 @@ VIEWS: dict[str, str] = {
         CAST(c_custkey * 29 % 101 AS DOUBLE) AS transaction_risk, CAST(c_custkey * 31 % 101 AS DOUBLE) AS documentation_score, CAST(c_custkey % 15 AS DOUBLE) AS tenure_years FROM {customer}""",
     "positions": """SELECT p_brand AS asset_id, SUM(p_retailprice) AS value, 0.02e0 + AVG(p_size) / 500 AS mu, 0.05e0 + AVG(p_size) / 200 AS sigma FROM {part} GROUP BY p_brand""",
     "points": f"""SELECT {_ROW_ID} AS row_id, l_quantity AS x0, l_discount * 100 AS x1, l_tax * 100 AS x2, l_extendedprice AS y FROM {{lineitem}} WHERE l_orderkey < 400""",
-    "journal": f"""SELECT l_orderkey AS entry_id, l_linenumber * 1000 + l_suppkey % 1000 AS line_number, CAST(EPOCH(o_orderdate) AS BIGINT) AS posting_date,
+    "journal": f"""SELECT l_orderkey AS entry_id, l_linenumber * 1000 + l_suppkey % 1000 AS line_number, CAST(FLOOR(EPOCH(o_orderdate)) AS BIGINT) AS posting_date,
         CONCAT(CAST(1 + l_partkey % 5 AS VARCHAR(4)), CAST(100 + l_suppkey % 20 AS VARCHAR(6))) AS account_code, l_extendedprice AS debit, 0.0e0 AS credit, n_name AS entity_id
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey
-        UNION ALL SELECT l_orderkey, 0, CAST(EPOCH(MAX(o_orderdate)) AS BIGINT), CONCAT('4', CAST(100 + l_orderkey % 10 AS VARCHAR(6))), 0.0e0, SUM(l_extendedprice), 'HQ'
+        UNION ALL SELECT l_orderkey, 0, CAST(FLOOR(EPOCH(MAX(o_orderdate))) AS BIGINT), CONCAT('4', CAST(100 + l_orderkey % 10 AS VARCHAR(6))), 0.0e0, SUM(l_extendedprice), 'HQ'
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey GROUP BY l_orderkey""",
-    "cash_flows": """SELECT o_orderkey AS id, CAST(EPOCH(o_orderdate) / 86400 AS BIGINT) AS day, CASE WHEN o_orderstatus = 'O' THEN -o_totalprice ELSE o_totalprice END AS amount,
+    "cash_flows": """SELECT o_orderkey AS id, CAST(FLOOR(EPOCH(o_orderdate) / 86400) AS BIGINT) AS day, CASE WHEN o_orderstatus = 'O' THEN -o_totalprice ELSE o_totalprice END AS amount,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'Operating' WHEN '2-HIGH' THEN 'Debt' WHEN '5-LOW' THEN 'Tax' ELSE 'Trading' END AS category,
         0.5e0 + (o_orderkey % 6) / 10.0e0 AS certainty, CASE WHEN o_orderkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM {orders}""",
     "vectors": "SELECT vec_id AS id, embedding AS vector, label FROM {embeddings}",
