@@ -239,6 +239,6 @@ def monitor(tx: DataFrame, now: int, rules: tuple[tuple, ...] = DEFAULT_RULES) -
             aggs.append((value / (window / 3600) if kind == "Velocity" and window else value).alias(f"v{rid}"))
         wide = recent.groupBy("entity_id").agg(*aggs)
         alert = F.array_compact(F.array(*[F.when(F.col(f"v{rid}") >= t, F.struct(F.lit(rid).alias("rule_id"), F.lit(sev).alias("severity"), F.col(f"v{rid}").alias("value"))) for rid, _, t, _, sev in windowed]))
-        many = wide.select("entity_id", F.explode(alert).alias("a")).select("a.rule_id", "entity_id", F.lit(None).cast("long").alias("tx_id"), "a.severity", "a.value")
+        many = wide.select("entity_id", F.explode(alert).alias("a")).select("a.rule_id", "entity_id", F.lit(-1).cast("long").alias("tx_id"), "a.severity", "a.value")
         out = many if out is None else out.unionByName(many)
     return out

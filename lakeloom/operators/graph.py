@@ -453,7 +453,7 @@ def star_scores(edges: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame
     df = k.join(inter, "id", "left").join(d, "id")
     pairs = F.col("spokes") * (F.col("spokes") - 1) / 2
     total = F.col("in") + F.col("out")
-    kind = F.when(F.col("in") / total > 0.9, "InStar").when(F.col("out") / total > 0.9, "OutStar").otherwise("Mixed")
+    kind = F.when(F.try_divide(F.col("in"), total) > 0.9, "InStar").when(F.try_divide(F.col("out"), total) > 0.9, "OutStar").otherwise("Mixed")
     return df.select("id", "spokes", (1 - F.coalesce("inter", F.lit(0)) / 2 / pairs).alias("score"), kind.alias("kind"))
 
 

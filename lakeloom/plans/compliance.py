@@ -91,13 +91,6 @@ def _(k):
     return s.select("customer_id", r("documentation_gap"), r("tenure_risk"), r("risk_score"), "risk_tier")
 
 
-_JW = "jaro_similarity(lower(a), lower(b))"
-_SCORE = f"""{_JW} + 0.1 * (1 - {_JW}) * CASE WHEN lower(a[1:4]) = lower(b[1:4]) AND LEAST(length(a), length(b)) >= 4 THEN 4 WHEN lower(a[1:3]) = lower(b[1:3]) AND LEAST(length(a), length(b)) >= 3 THEN 3
- WHEN lower(a[1:2]) = lower(b[1:2]) AND LEAST(length(a), length(b)) >= 2 THEN 2 WHEN lower(a[1:1]) = lower(b[1:1]) THEN 1 ELSE 0 END"""
-_NAMES = """q AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment || ' ' || CAST(c_custkey AS VARCHAR) END AS name FROM customer),
-l AS (SELECT s_suppkey AS id, s_name AS name, 'Customer#' || lpad(CAST(s_suppkey * 13 AS VARCHAR), 9, '0') AS alias FROM supplier WHERE s_suppkey < 12)"""
-
-
 def _queries(c):
     return c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat("c_mktsegment", F.lit(" "), F.col("c_custkey").cast("string"))).alias("name"))
 
@@ -106,8 +99,7 @@ def _watchlist(s):
     return s.where("s_suppkey < 12").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("Customer#"), F.lpad((F.col("s_suppkey") * 13).cast("string"), 9, "0"))).alias("aliases"))
 
 
-@query("compliance_sanctions_screening", "compliance/sanctions-screening", "customer supplier", f"""WITH {_NAMES}, p AS (SELECT q.id AS query_id, l.id AS entry_id, q.name AS a, unnest([l.name, l.alias]) AS b FROM q, l), s AS (SELECT query_id, entry_id, MAX({_SCORE}) AS score FROM p GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, entry_id) AS rank FROM s WHERE ROUND(score, 9) >= 0.7) SELECT query_id, entry_id, ROUND(score, 6) AS score, rank, ROUND(score, 9) >= 0.85 AS is_hit FROM k WHERE rank <= 10""")
+@query("compliance_sanctions_screening", "compliance/sanctions-screening", "customer supplier")
 def _(c, s):
     return op.screen(_queries(c), _watchlist(s)).select("query_id", "entry_id", r("score", 6), "rank", "is_hit")
 
@@ -130,7 +122,7 @@ _RULES = ((1, "SingleAmount", 90_000.0, 0, "High"), (2, "AggregateAmount", 300_0
 @query("compliance_transaction_monitoring", "compliance/transaction-monitoring", "transfers", f"""WITH {_SIDES},
 g AS (SELECT entity_id, COALESCE(SUM(amount) FILTER (WHERE ts >= {_NOW - 30 * DAY}), 0) AS v2, CAST(COUNT(*) AS DOUBLE) AS v3, SUM(amount) / {60 * 24} AS v4 FROM s WHERE ts >= {_NOW - 60 * DAY} AND ts < {_NOW} GROUP BY 1)
 SELECT 1 AS rule_id, source_id AS entity_id, id AS tx_id, 'High' AS severity, ROUND(amount, 2) AS value FROM transfers WHERE amount >= 90000
-UNION ALL SELECT 2, entity_id, NULL, 'Medium', ROUND(v2, 2) FROM g WHERE v2 >= 300000 UNION ALL SELECT 3, entity_id, NULL, 'Medium', v3 FROM g WHERE v3 >= 8 UNION ALL SELECT 4, entity_id, NULL, 'High', ROUND(v4, 2) FROM g WHERE v4 >= 200""")
+UNION ALL SELECT 2, entity_id, -1, 'Medium', ROUND(v2, 2) FROM g WHERE v2 >= 300000 UNION ALL SELECT 3, entity_id, -1, 'Medium', v3 FROM g WHERE v3 >= 8 UNION ALL SELECT 4, entity_id, -1, 'High', ROUND(v4, 2) FROM g WHERE v4 >= 200""")
 def _(t):
     return op.monitor(t, _NOW, _RULES).select("rule_id", "entity_id", "tx_id", "severity", r("value", 2))
 
