@@ -48,9 +48,10 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
 
         part, seq = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            texts = Texts.of(batch.column(1)).lower()
+            texts = Texts.of(batch.column(1))
             ids, null = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for a, rows in texts.chunks(segment_bytes):
+                rows = rows.lower()
                 s, e, first = rows.spans(ALNUM)
                 terms, starts, postings = _sorted_postings(rows.hashes(s, e))
                 row_ids = part + seq + np.arange(rows.rows, dtype=np.int64)

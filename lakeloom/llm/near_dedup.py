@@ -17,9 +17,9 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: A bucket of at most so many texts is compared pair by pair.
 SMALL = 8
-#: Rounds with one leader for a large bucket before it is split; smaller buckets a text goes to
-#: then; and rounds in all before what is left is compared in full.
-LEADERS, SPLIT, LEVELS = 3, 12, 7
+#: Texts of a larger bucket whose signatures one task compares; smaller buckets that a text of a
+#: bucket above that goes to; and rounds before what is left is compared in full.
+BLOCK, SPLIT, LEVELS = 2_048, 12, 6
 _ROW_BITS = 13
 
 
@@ -136,7 +136,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
             size = ta.offsets + tb.offsets
             while a < batch.num_rows:
                 b = min(max(a + 1, int(np.searchsorted(size, size[a] + 4_000_000, "right")) - 1), a + (1 << _ROW_BITS) - 1, batch.num_rows)
-                (ra, sa, ca), (rb, sb, cb) = (bags(_part(t, a, b), k) for t in (ta, tb))
+                (ra, sa, ca), (rb, sb, cb) = (bags(t.part(a, b), k) for t in (ta, tb))
                 key_a, key_b = ((r.astype(np.uint64) << np.uint64(64 - _ROW_BITS)) | s for r, s in ((ra, sa), (rb, sb)))
                 both = np.zeros(b - a)
                 if len(key_a) and len(key_b):
@@ -153,15 +153,14 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long, sim double")
 
 
-def _part(t: Texts, a: int, b: int) -> Texts:
-    off = t.offsets[a : b + 1]
-    return Texts(t.raw[int(off[0]) : int(off[-1])], off - off[0])
+def _least_agreement(similarity: float) -> int:
+    return int(SLOTS * similarity - 5.4 * (SLOTS * similarity * (1 - similarity)) ** 0.5)
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose signatures agree in enough slots: a pair of the given similarity is lost with
     a probability under 1e-7 (5.4 standard deviations)."""
-    least = SLOTS * similarity - 5.4 * (SLOTS * similarity * (1 - similarity)) ** 0.5
+    least = _least_agreement(similarity)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,52 +172,102 @@ def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
 
 
+def close_in_blocks(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts of one bucket and different labels whose signatures agree as in likely.
+    A bucket's signatures (SLOTS bytes each) are compared in the task that has it, block by block,
+    and only pairs that agree leave it."""
+    least = _least_agreement(similarity)
+
+    def pairs(ids: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
+        for i in range(0, len(ids), 256):
+            for j in range(i, len(ids), 2048):
+                x, y = slice(i, i + 256), slice(j, j + 2048)
+                agree = np.zeros((len(ids[x]), len(ids[y])), np.uint8)
+                for c in range(SLOTS):
+                    agree += sig[x, c][:, None] == sig[y, c]
+                p, q = np.nonzero((agree >= least) & (label[x][:, None] != label[y]))
+                yield np.stack([ids[x][p], ids[y][q]], 1)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def done(groups: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            bucket, ids, label, sig = groups
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+            out = [np.zeros((0, 2), np.int64)]
+            for u, v in zip(cuts[:-1], cuts[1:], strict=True):
+                out += pairs(ids[u:v], label[u:v], sig[u:v])
+            got = np.sort(np.concatenate(out), axis=1)
+            got = np.unique(got[got[:, 0] < got[:, 1]], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            held.append((*cols, np.frombuffer(Texts.of(batch.column(3)).raw, np.uint8).reshape(-1, SLOTS)))
+            if held[0][0][0] != cols[0][-1]:  # all but the last bucket is complete
+                every = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(every[0], every[0][-1]))
+                yield done(tuple(x[:cut] for x in every))
+                held = [tuple(x[cut:] for x in every)]
+        if held:
+            yield done(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    rows = members.join(nodes.select("id", "sig"), "id").select("bucket", "id", "label", "sig")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "a long, b long").distinct()
+
+
 def link_texts(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """id and label of the texts that have a link: one label for all that links connect, directly
     or through others.  Links are pairs that share a band and are verified.
 
     Only pairs of different labels are compared, and a bucket (the texts that share a band) is
     done once it has one label.  Buckets of up to SMALL texts are compared pair by pair.  In a
-    larger one every text is compared with a leader; after LEADERS such rounds, with labels
-    merged in between, the texts of buckets that still have several labels go on to smaller
-    buckets, where one of SPLIT pairs of other bands must agree too.  So a group of near copies
-    costs a few comparisons a text, and texts that share a passage but are not similar part soon.
-    After LEVELS rounds, what is left is compared in full.
+    larger one every text is first compared with a leader, the text with the most company over all
+    its bands: copies differ from one another more than from what they were made of, whose bands
+    are the commonest.  Labels are merged then, so a group of near copies is mostly done.  In
+    buckets that still have several labels, of up to BLOCK texts, signatures are compared within
+    the task.  The texts of larger ones go on to smaller buckets, where one of SPLIT pairs of other
+    bands must agree too; what is still larger after LEVELS rounds is compared in full.
     """
-    members = nodes.select("id", F.explode("bands").alias("bucket"))
-    links, tested, labels, texts = None, None, None, None
-    for level in range(LEVELS + 1):
-        small = SMALL if level < LEVELS else 1 << 62
-        members = members.withColumn("label", F.col("id")) if labels is None else _labelled(members, labels)
-        first = F.min(F.struct(F.xxhash64("id", F.lit(level)).alias("h"), F.col("id").alias("leader"), F.col("label").alias("leader_label"))).alias("l")
-        stats = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), first)
-        stats = stats.where("lo <> hi").select("bucket", "n", "l.leader", "l.leader_label")
-        members = materialise(members.join(stats, "bucket"), f"members{level}")
-        led = members.where((F.col("n") > small) & (F.col("label") != F.col("leader_label"))).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
-        few = members.where(F.col("n") <= small)
-        other = few.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"))
-        close = few.withColumnRenamed("id", "a").join(other, "bucket").where("a < b AND label <> label_b").select("a", "b")
-        pairs = led.unionByName(close).distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{level}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        near = materialise(likely(pairs, nodes, similarity), f"near{level}")
-        if not near.isEmpty():
-            texts = _texts(near, nodes, docs, level)
-            new = verify(near, texts, k).where(F.col("sim") >= similarity).select("a", "b")
-            old = None if labels is None else labels.select(F.col("label").alias("a"), F.col("id").alias("b"))
-            links = new if old is None else new.unionByName(old)
-            labels = materialise(components(links), f"labels{level}")
-        open_ = members.where(F.col("n") > small).select("id", "bucket")
-        if level == LEVELS or open_.isEmpty():
+    shared = nodes.select("id", F.explode("bands").alias("bucket"))
+    full = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(shared.join(full, "bucket"), "shared")
+    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    lead = members.where(F.col("n") > SMALL).join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", F.col("id").alias("leader"))).alias("l")).select("bucket", "l.leader")
+    led = members.where(F.col("n") > SMALL).join(lead, "bucket").where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
+    few = members.where(F.col("n") <= SMALL)
+    close = few.withColumnRenamed("id", "a").join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
+    pairs = materialise(led.unionByName(close).distinct(), "pairs")
+    near = materialise(likely(pairs, nodes, similarity), "near0")
+    labels = _merge(near, None, nodes, docs, similarity, k, 0)
+    tested = pairs
+    rest = members.where(F.col("n") > SMALL).select("id", "bucket")
+    for level in range(1, LEVELS + 1):
+        mine = _labelled(rest, labels)
+        mixed = mine.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "n")
+        members = materialise(mine.join(mixed, "bucket"), f"members{level}")
+        if members.isEmpty():
+            break
+        limit = BLOCK if level < LEVELS else 1 << 62
+        found = close_in_blocks(members.where(F.col("n") <= limit), nodes, similarity)
+        near = materialise(found.join(tested, ["a", "b"], "left_anti"), f"near{level}")
+        tested = tested.unionByName(near)
+        labels = _merge(near, labels, nodes, docs, similarity, k, level)
+        rest = members.where(F.col("n") > limit).select("id", "bucket")
+        if level == LEVELS or rest.isEmpty():
             break
-        if level + 1 < LEADERS:
-            members = open_
-            continue
-        # only texts of buckets that still have several labels are dealt to smaller ones
-        relabelled = open_.withColumn("label", F.col("id")) if labels is None else _labelled(open_, labels)
-        mixed = relabelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        members = open_.join(mixed, "bucket", "left_semi").join(nodes.select("id", "bands"), "id").select("id", F.explode(_smaller(level)).alias("bucket")).distinct()
-    return nodes.sparkSession.createDataFrame([], "id long, label long") if labels is None else labels
+        rest = rest.join(nodes.select("id", "bands"), "id").select("id", F.explode(_smaller(level)).alias("bucket")).distinct()
+    return labels
+
+
+def _merge(near: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, similarity: float, k: int, level: int) -> DataFrame:
+    """Labels after the links among the pairs ``near`` are added."""
+    if near.isEmpty():
+        return nodes.sparkSession.createDataFrame([], "id long, label long") if labels is None else labels
+    links = verify(near, _texts(near, nodes, docs, level), k).where(F.col("sim") >= similarity).select("a", "b")
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("label").alias("a"), F.col("id").alias("b")))
+    return materialise(components(links), f"labels{level}")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from lakeloom.llm.filters import BITS, flag_maybe
@@ -75,7 +76,9 @@ def _by_part(part: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np
 
 def repeated_anchors(docs: DataFrame, window: int, anchor: int, n_parts: int) -> np.ndarray:
     """A bit set of fixed size that has every anchor found twice or more.  Each task sends the
-    upper 48 bits of its distinct anchors, twice if it met them twice; a shard sorts what it gets."""
+    upper 48 bits of its distinct anchors, twice if it met them twice; a shard has a range of the set
+    and sorts what it gets."""
+    edges = (np.arange(n_parts + 1, dtype=np.uint64) * np.uint64(BITS // 8) // np.uint64(n_parts)) * np.uint64(8)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,37 +93,37 @@ def repeated_anchors(docs: DataFrame, window: int, anchor: int, n_parts: int) ->
             same = np.concatenate([[False], a[1:] == a[:-1]])
             again = same & np.concatenate([[True], ~same[:-1]])  # the second of each
             a = a[~same | again]
-            part = ((a >> np.uint64(16)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(part, np.arange(n_parts + 1))
+            slot = a % np.uint64(BITS)
+            a = a[np.argsort(slot, kind="stable")]
+            cuts = np.searchsorted(np.sort(slot), edges)
             full = np.flatnonzero(np.diff(cuts))
             six = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :6]).view("S6").reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), blob_column(six, np.append(cuts[full], cuts[-1]))], names=["part", "anchors"])
 
     def shard(part: pd.DataFrame) -> pd.DataFrame:
+        number = int(part["part"].iloc[0])
         six = np.frombuffer(b"".join(part["anchors"]), np.uint8).reshape(-1, 6)
         a = np.zeros((len(six), 8), np.uint8)
         a[:, :6] = six
         a = np.sort(a.view(np.uint64).reshape(-1))
-        slot = np.unique((a[1:][a[1:] == a[:-1]] % np.uint64(BITS)).astype(np.int64))
-        word = slot >> 6
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else word
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), first) if len(word) else np.zeros(0, np.uint64)
-        return pd.DataFrame({"word": word[first], "bits": bits.view(np.int64)})
+        bits = np.zeros(int(edges[number + 1] - edges[number]), np.uint8)
+        bits[(a[1:][a[1:] == a[:-1]] % np.uint64(BITS) - edges[number]).astype(np.int64)] = 1
+        return pd.DataFrame({"part": [number], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     sent = docs.select("text").mapInArrow(task, "part int, anchors binary")
-    words = sent.groupBy("part").applyInPandas(shard, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    table = np.zeros(BITS // 64, np.uint64)
-    got = words.toPandas()  # at most BITS / 64 rows
-    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    table = np.zeros(BITS // 8, np.uint8)
+    for number, bits in sent.groupBy("part").applyInPandas(shard, "part int, bits binary").toLocalIterator():  # BITS / 8 bytes in all
+        start = int(edges[number]) // 8
+        table[start : start + len(bits)] = np.frombuffer(bits, np.uint8)
     return table
 
 
 def _among(table: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     slot = (anchor >> np.uint64(16)) % np.uint64(BITS)
-    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def shard_pieces(docs: DataFrame, table: np.ndarray, window: int, anchor: int, n_parts: int) -> DataFrame:
+def shard_pieces(docs: DataFrame, table: Broadcast, window: int, anchor: int, n_parts: int) -> DataFrame:
     """The pieces of text around repeated anchors, by shard of their anchor: distinct within a
     batch, with the smallest and largest document."""
 
@@ -130,7 +133,7 @@ def shard_pieces(docs: DataFrame, table: np.ndarray, window: int, anchor: int, n
             keys, anchors, docs_of, sizes, ids5 = [], [], [], [], []
             for a0, rows in Texts.of(batch.column(1)).chunks():
                 h, at, a, row = _anchors(rows, window, anchor)
-                i, n = _pieces(at, a, row, _among(table, a))
+                i, n = _pieces(at, a, row, _among(table.value, a))
                 if not len(i):
                     continue
                 words = n + window - 1
@@ -209,7 +212,7 @@ def first_documents(pieces: DataFrame, window: int) -> DataFrame:
     return pieces.groupBy("part").applyInPandas(shard, "anchor long, key long, firsts binary")
 
 
-def occurrences(docs: DataFrame, table: np.ndarray, window: int, anchor: int) -> DataFrame:
+def occurrences(docs: DataFrame, table: Broadcast, window: int, anchor: int) -> DataFrame:
     """Every piece of every document: (row_key, doc_id, anchor, key, start)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +220,7 @@ def occurrences(docs: DataFrame, table: np.ndarray, window: int, anchor: int) ->
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for a0, rows in Texts.of(batch.column(1)).chunks():
                 h, at, a, row = _anchors(rows, window, anchor)
-                i, n = _pieces(at, a, row, _among(table, a))
+                i, n = _pieces(at, a, row, _among(table.value, a))
                 if len(i):
                     first = rows.spans(SOLID)[2]
                     r = row[i]
@@ -234,7 +237,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """row_key and starts (int32 word positions) of the windows that also start in a document with
     a smaller doc_id, for the documents that have any."""
     n_shards = n_shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = repeated_anchors(docs, window, anchor, n_shards)
+    table = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window, anchor, n_shards))
     firsts = materialise(first_documents(shard_pieces(docs, table, window, anchor, n_shards), window), "firsts")
     known = occurrences(docs, table, window, anchor).join(firsts, ["anchor", "key"])
 

@@ -35,8 +35,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Texts:
     """The bytes of consecutive rows: row i is data[offsets[i]:offsets[i + 1]]; null is empty."""
 
-    def __init__(self, data: bytes, offsets: np.ndarray):
-        self.raw, self.offsets, self.rows = data, offsets, len(offsets) - 1
+    def __init__(self, data: bytes | pa.Buffer, offsets: np.ndarray):
+        self._data, self.offsets, self.rows = data, offsets, len(offsets) - 1
+
+    @property
+    def raw(self) -> bytes:
+        """All bytes; a column's buffer is only copied when they are asked for as a whole."""
+        if isinstance(self._data, pa.Buffer):
+            self._data = self._data.to_pybytes()
+        return self._data
+
+    def part(self, a: int, b: int) -> Texts:
+        """Rows a to b."""
+        off = self.offsets[a : b + 1]
+        x, y = int(off[0]), int(off[-1])
+        data = self._data.slice(x, y - x).to_pybytes() if isinstance(self._data, pa.Buffer) else self._data[x:y]
+        return Texts(data, off - x)
 
     @classmethod
     def of(cls, column: pa.Array) -> Texts:
@@ -47,7 +61,7 @@ class Texts:
         if not len(column) or off is None:
             return cls(b"", np.zeros(len(column) + 1, np.int64))
         offsets = np.frombuffer(off, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        raw = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if data is not None and offsets[-1] > offsets[0] else b""
+        raw = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if data is not None and offsets[-1] > offsets[0] else b""
         return cls(raw, offsets - offsets[0])
 
     def chunks(self, limit: int = 2_000_000, rows: int = 1 << 16) -> Iterator[tuple[int, Texts]]:
@@ -56,8 +70,7 @@ class Texts:
         a = 0
         while a < self.rows:
             b = min(a + rows, max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + limit, "right")) - 1))
-            off = self.offsets[a : b + 1]
-            yield a, Texts(self.raw[int(off[0]) : int(off[-1])], off - off[0])
+            yield a, self.part(a, b)
             a = b
 
     def lower(self) -> Texts:

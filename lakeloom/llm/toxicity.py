@@ -75,7 +75,7 @@ def features(texts: Texts, lexicon: Lexicon) -> np.ndarray:
     """FEATURES numbers per row, from whole texts; no label, language, source or id goes in."""
     out = np.zeros((texts.rows, FEATURES))
     insults, pronouns = _hashes_of(INSULTS), _hashes_of(PRONOUNS)
-    for a, raw in texts.chunks():
+    for a, raw in texts.chunks(500_000):
         low = raw.lower()
         s, e, first = low.spans(ALNUM)
         n = np.diff(first).astype(np.float64)
@@ -132,7 +132,8 @@ def _count_terms(train: DataFrame, min_docs: int) -> dict[int, Lexicon]:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             fold = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = []
-            for a, rows in Texts.of(batch.column(0)).lower().chunks():
+            for a, rows in Texts.of(batch.column(0)).chunks(500_000):
+                rows = rows.lower()
                 s, e, first = rows.spans(ALNUM)
                 row = np.repeat(np.arange(rows.rows), np.diff(first))
                 for h in _terms(rows, s, e):
