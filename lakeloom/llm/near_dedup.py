@@ -20,6 +20,8 @@ SMALL = 8
 #: Texts of a larger bucket whose signatures one task compares; smaller buckets that a text of a
 #: bucket above that goes to; and rounds before what is left is compared in full.
 BLOCK, SPLIT, LEVELS = 2_048, 12, 6
+#: Likely pairs a text from which a bucket is compared in one piece.
+DENSE = 8
 _ROW_BITS = 13
 
 
@@ -172,48 +174,120 @@ def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
 
 
+def _complete_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one bucket after another (first column), from partitions sorted by bucket."""
+    held: pa.Table | None = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        bucket = held.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist()]
+        for u, v in zip(cuts[:-1], cuts[1:], strict=True):
+            yield held.slice(u, v - u)
+        held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
 def close_in_blocks(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts of one bucket and different labels whose signatures agree as in likely.
-    A bucket's signatures (SLOTS bytes each) are compared in the task that has it, block by block,
-    and only pairs that agree leave it."""
+    """Pairs (a, b) of texts of one bucket and different labels whose signatures agree as in likely;
+    b is null and bucket set for the texts of buckets with over DENSE such pairs a text.  A bucket's
+    signatures (SLOTS bytes each) are compared in the task that has it, block by block."""
     least = _least_agreement(similarity)
 
-    def pairs(ids: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
-        for i in range(0, len(ids), 256):
-            for j in range(i, len(ids), 2048):
-                x, y = slice(i, i + 256), slice(j, j + 2048)
-                agree = np.zeros((len(ids[x]), len(ids[y])), np.uint8)
-                for c in range(SLOTS):
-                    agree += sig[x, c][:, None] == sig[y, c]
-                p, q = np.nonzero((agree >= least) & (label[x][:, None] != label[y]))
-                yield np.stack([ids[x][p], ids[y][q]], 1)
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def done(groups: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            bucket, ids, label, sig = groups
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-            out = [np.zeros((0, 2), np.int64)]
-            for u, v in zip(cuts[:-1], cuts[1:], strict=True):
-                out += pairs(ids[u:v], label[u:v], sig[u:v])
-            got = np.sort(np.concatenate(out), axis=1)
-            got = np.unique(got[got[:, 0] < got[:, 1]], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            held.append((*cols, np.frombuffer(Texts.of(batch.column(3)).raw, np.uint8).reshape(-1, SLOTS)))
-            if held[0][0][0] != cols[0][-1]:  # all but the last bucket is complete
-                every = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(every[0], every[0][-1]))
-                yield done(tuple(x[:cut] for x in every))
-                held = [tuple(x[cut:] for x in every)]
-        if held:
-            yield done(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+        for group in _complete_groups(batches):
+            ids, label = group.column(1).to_numpy(), group.column(2).to_numpy()
+            sig = np.frombuffer(Texts.of(group.column(3).combine_chunks()).raw, np.uint8).reshape(-1, SLOTS)
+            out, count, dense = [np.zeros((0, 2), np.int64)], 0, False
+            for i in range(0, len(ids), 256):
+                for j in range(i - i % 2048, len(ids), 2048):
+                    x, y = slice(i, i + 256), slice(j, j + 2048)
+                    agree = np.zeros((len(ids[x]), len(ids[y])), np.uint8)
+                    for c in range(SLOTS):
+                        agree += sig[x, c][:, None] == sig[y, c]
+                    p, q = np.nonzero((agree >= least) & (label[x][:, None] != label[y]) & (ids[x][:, None] < ids[y]))
+                    out.append(np.stack([ids[x][p], ids[y][q]], 1))
+                    count += len(p)
+                dense = count > DENSE * len(ids)
+                if dense:
+                    break
+            bucket = group.column(0).to_numpy()
+            if dense:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(bucket)], names=["a", "b", "bucket"])
+            elif count:
+                got = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.nulls(len(got), pa.int64())], names=["a", "b", "bucket"])
 
     rows = members.join(nodes.select("id", "sig"), "id").select("bucket", "id", "label", "sig")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "a long, b long").distinct()
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "a long, b long, bucket long")
+
+
+def _overlaps(texts: Texts, k: int) -> np.ndarray:
+    """Weighted Jaccard similarities of all rows with one another: the k-th time that a text has a
+    shingle is a feature of its own, so a multiset overlap is a product of 0-1 rows."""
+    row, shingle, count = bags(texts, k)
+    total = np.bincount(row, count, texts.rows).astype(np.float32)
+    rows, keys = [row], [mix(shingle)]
+    again, nth = np.flatnonzero(count > 1), 2
+    while len(again):
+        rows.append(row[again])
+        keys.append(mix(mix(shingle[again]) + np.uint64(nth)))
+        nth += 1
+        again = again[count[again] >= nth]
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(key)
+    row, key = row[order], key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1 if len(column) else new
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((texts.rows, texts.rows), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else 0) + 4096, 4096))
+    for n, (u, v) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        x = np.zeros((texts.rows, 4096), np.float32)
+        x[row[u:v], column[u:v] - n * 4096] = 1
+        both += x @ x.T
+    return both / np.maximum(total[:, None] + total - both, 1)
+
+
+def link_dense(dense: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Links (a, b) that connect what all links within each bucket of dense(bucket, id) connect, by
+    exact similarities of the whole texts, computed in the task that has the bucket."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _complete_groups(batches):
+            ids = group.column(1).to_numpy()
+            whole = Texts.of(group.column(2).combine_chunks())
+            pairs: list[tuple[int, int]] = []
+            for i in range(0, len(ids), BLOCK):
+                for j in range(i, len(ids), BLOCK):
+                    at = np.arange(i, min(i + BLOCK, len(ids)))
+                    at = at if i == j else np.concatenate([at, np.arange(j, min(j + BLOCK, len(ids)))])
+                    sub = whole if len(at) == len(ids) else Texts.of(group.column(2).take(pa.array(at)).combine_chunks())
+                    hit = _overlaps(sub, k) >= similarity
+                    pairs += _spanning(hit, ids[at])
+            if pairs:
+                got = np.array(pairs, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    rows = dense.join(texts, "id").select("bucket", "id", "text")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "a long, b long")
+
+
+def _spanning(hit: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """A star for each connected part of a symmetric matrix of links."""
+    left, out = np.ones(len(ids), bool), []
+    for i in range(len(ids)):
+        if left[i]:
+            part = np.zeros(len(ids), bool)
+            part[i] = True
+            edge = part
+            while edge.any():
+                edge = hit[edge].any(0) & ~part
+                part = part | edge
+            left &= ~part
+            out += [(int(ids[i]), int(x)) for x in ids[part] if x != ids[i]]
+    return out
 
 
 def link_texts(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
@@ -226,7 +300,7 @@ def link_texts(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     its bands: copies differ from one another more than from what they were made of, whose bands
     are the commonest.  Labels are merged then, so a group of near copies is mostly done.  In
     buckets that still have several labels, of up to BLOCK texts, signatures are compared within
-    the task.  The texts of larger ones go on to smaller buckets, where one of SPLIT pairs of other
+    the task; if nearly all agree there, so are the whole texts, and no pair leaves the task.  The texts of larger ones go on to smaller buckets, where one of SPLIT pairs of other
     bands must agree too; what is still larger after LEVELS rounds is compared in full.
     """
     shared = nodes.select("id", F.explode("bands").alias("bucket"))
@@ -249,10 +323,11 @@ def link_texts(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
         if members.isEmpty():
             break
         limit = BLOCK if level < LEVELS else 1 << 62
-        found = close_in_blocks(members.where(F.col("n") <= limit), nodes, similarity)
-        near = materialise(found.join(tested, ["a", "b"], "left_anti"), f"near{level}")
+        found = materialise(close_in_blocks(members.where(F.col("n") <= limit), nodes, similarity), f"found{level}")
+        near = found.where("b IS NOT NULL").select("a", "b").distinct()
+        near = materialise(near.join(tested, ["a", "b"], "left_anti"), f"near{level}")
         tested = tested.unionByName(near)
-        labels = _merge(near, labels, nodes, docs, similarity, k, level)
+        labels = _merge(near, labels, nodes, docs, similarity, k, level, found.where("b IS NULL").select("bucket", F.col("a").alias("id")))
         rest = members.where(F.col("n") > limit).select("id", "bucket")
         if level == LEVELS or rest.isEmpty():
             break
@@ -260,11 +335,16 @@ def link_texts(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     return labels
 
 
-def _merge(near: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, similarity: float, k: int, level: int) -> DataFrame:
-    """Labels after the links among the pairs ``near`` are added."""
-    if near.isEmpty():
+def _merge(near: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, similarity: float, k: int, level: int, dense: DataFrame | None = None) -> DataFrame:
+    """Labels after the links among the pairs ``near`` and within ``dense`` buckets are added."""
+    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
+    ids = ids if dense is None else ids.unionByName(dense.select("id"))
+    if ids.isEmpty():
         return nodes.sparkSession.createDataFrame([], "id long, label long") if labels is None else labels
-    links = verify(near, _texts(near, nodes, docs, level), k).where(F.col("sim") >= similarity).select("a", "b")
+    texts = _texts(ids.distinct(), nodes, docs, level)
+    links = verify(near, texts, k).where(F.col("sim") >= similarity).select("a", "b")
+    if dense is not None and not dense.isEmpty():
+        links = links.unionByName(link_dense(dense, texts, similarity, k))
     if labels is not None:
         links = links.unionByName(labels.select(F.col("label").alias("a"), F.col("id").alias("b")))
     return materialise(components(links), f"labels{level}")
@@ -285,9 +365,8 @@ def _smaller(level: int):
     return F.transform(F.sequence(F.lit(1), F.lit(SPLIT)), key)
 
 
-def _texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, level: int) -> DataFrame:
-    """id and text of the texts in pairs; those that a filter of fixed size clears are not moved."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame, level: int) -> DataFrame:
+    """id and text of the texts ``ids``; those that a filter of fixed size clears are not moved."""
     wanted = materialise(nodes.select("id", "node").join(ids, "id", "left_semi"), f"wanted{level}")
     whole = docs.select(node_of(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     one = maybe_among(whole, wanted, "node").groupBy("node").agg(F.any_value("text").alias("text"))
