@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lakeloom.llm.text import NOT_NEWLINE, Texts, blob_column, mix
@@ -193,30 +194,30 @@ def _with_counts(docs: DataFrame) -> T.StructType:
 
 
 def _without(batch: pa.RecordBatch, text_at: int, cuts: list[tuple[int, int]]) -> pa.RecordBatch:
-    """The batch without the lines that start at (row, byte)."""
+    """The batch without the lines that start at (row, byte); only texts that lose any are rebuilt."""
     column = batch.column(text_at)
     gone: dict[int, set[int]] = {}
     for row, start in cuts:
         gone.setdefault(row, set()).add(start)
-    texts = Texts.of(column)
-    feeds = np.frombuffer(texts.raw, np.uint8) == 10
-    upto = np.concatenate([[0], np.cumsum(feeds)])
-    n_lines = upto[texts.offsets[1:]] - upto[texts.offsets[:-1]] + (np.diff(texts.offsets) > 0)
-    if gone:
-        new = column.to_pylist()
-        for row, starts in gone.items():
-            at, kept = 0, []
-            for part in new[row].encode().split(b"\n"):
-                if at not in starts:
-                    kept.append(part)
-                at += len(part) + 1
-            new[row] = b"\n".join(kept).decode()
-        column = pa.array(new, column.type)
+    n_lines = np.zeros(len(column), np.int64)
     removed = np.zeros(len(column), np.int64)
-    for row, starts in gone.items():
-        removed[row] = len(starts)
+    mask, new = np.zeros(len(column), bool), []
+    for a, rows in Texts.of(column).chunks():
+        feeds = np.flatnonzero(np.frombuffer(rows.raw, np.uint8) == 10)
+        n_lines[a : a + rows.rows] = np.diff(np.searchsorted(feeds, rows.offsets)) + (np.diff(rows.offsets) > 0)
+        for i in range(rows.rows):
+            if starts := gone.get(a + i):
+                at, kept = 0, []
+                for part in rows.raw[rows.offsets[i] : rows.offsets[i + 1]].split(b"\n"):
+                    if at not in starts:
+                        kept.append(part)
+                    at += len(part) + 1
+                new.append(b"\n".join(kept).decode())
+                mask[a + i], removed[a + i] = True, len(starts)
+    if new:
+        column = pc.replace_with_mask(column, pa.array(mask), pa.array(new, column.type))
     arrays = [column if i == text_at else batch.column(i) for i in range(batch.num_columns)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines.astype(np.int64)), pa.array(removed)], names=[*batch.schema.names, "n_lines", "n_removed"])
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines), pa.array(removed)], names=[*batch.schema.names, "n_lines", "n_removed"])
 
 
 def _joined(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
@@ -232,14 +233,18 @@ def _joined(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), pa.array(line.view(np.int64)), pa.array(s - rows.offsets[row])], names=["id", "line", "start"])
 
     found = docs.select("doc_id", "text").mapInArrow(occurrences, "id long, line long, start long").join(lines, "line")
-    cut = found.where(F.coalesce("id", F.lit(np.iinfo(np.int64).max.item())) != F.col("first_doc")).groupBy("id").agg(F.collect_set("start").alias("cut_starts"))
+    cut = found.where(F.coalesce("id", F.lit(np.iinfo(np.int64).max)) != F.col("first_doc")).groupBy("id").agg(F.collect_set("start").alias("cut_starts"))
     both = docs.join(cut, docs["doc_id"].eqNullSafe(cut["id"]), "left").drop("id")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts = batch.column(batch.num_columns - 1).to_pylist()
-            whole = Texts.of(batch.column(text_at))
-            here = [set((np.flatnonzero(np.frombuffer(whole.raw[whole.offsets[i] : whole.offsets[i + 1]], np.uint8) == 10) + 1).tolist()) | {0} if x else set() for i, x in enumerate(starts)]
-            yield _without(batch.select(list(range(len(names)))), text_at, [(i, s) for i, x in enumerate(starts) for s in x or () if s in here[i]])
+            cuts = []
+            for a, rows in Texts.of(batch.column(text_at)).chunks():
+                for i in range(rows.rows):
+                    if starts[a + i]:
+                        raw = rows.raw[rows.offsets[i] : rows.offsets[i + 1]]
+                        cuts += [(a + i, s) for s in starts[a + i] if s == 0 or raw[s - 1 : s] == b"\n"]
+            yield _without(batch.select(list(range(len(names)))), text_at, cuts)
 
     return both.mapInArrow(task, schema)

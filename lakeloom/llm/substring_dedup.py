@@ -22,6 +22,8 @@ ANCHOR = 7
 #: Windows of one piece of text that goes to a shard.
 PIECE = 7
 _ID_BYTES = 5
+#: Shards for each shuffle partition: an index takes some thirty times the bytes of its words.
+SHARDS = 4
 
 
 def _anchors(rows: Texts, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +238,7 @@ def row_key():
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, n_shards: int | None = None) -> DataFrame:
     """row_key and starts (int32 word positions) of the windows that also start in a document with
     a smaller doc_id, for the documents that have any."""
-    n_shards = n_shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = n_shards or SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window, anchor, n_shards))
     firsts = materialise(first_documents(shard_pieces(docs, table, window, anchor, n_shards), window), "firsts")
     known = occurrences(docs, table, window, anchor).join(firsts, ["anchor", "key"])
