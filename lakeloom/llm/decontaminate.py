@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lakeloom.llm.text import ALNUM, Texts
+from lakeloom.llm.text import ALNUM, Texts, in_batches
 from lakeloom.storage import materialise
 
 WINDOW = 10
@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([part + seq]), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names=_SEGMENT_NAMES)
                 seq += rows.rows
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(task, SEGMENT)
+    return in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(task, SEGMENT)
 
 
 @dataclass

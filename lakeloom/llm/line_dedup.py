@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lakeloom.llm.text import NOT_NEWLINE, Texts, blob_column, mix
+from lakeloom.llm.text import NOT_NEWLINE, Texts, blob_column, in_batches, mix
 from lakeloom.storage import materialise
 
 #: Registers of a sketch: 2 ** PRECISION.  Its relative error is 1.04 / sqrt(registers), 3.3 %.
@@ -164,7 +164,7 @@ def line_dedup(docs: DataFrame, min_sites: int = 8, min_words: int = 3) -> DataF
     doc_id are one document here; null texts have no lines and stay null; other columns are kept,
     but for columns named n_lines and n_removed, which are replaced.
     """
-    lines = boilerplate_lines(docs, min_sites, min_words)
+    lines = boilerplate_lines(in_batches(docs), min_sites, min_words)
     known = None
     if lines.count() <= BROADCAST_LINES:
         table = lines.toPandas().sort_values("line", key=lambda x: x.to_numpy(np.int64).view(np.uint64))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lakeloom.llm.filters import maybe_among
-from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, mix, shingle_hashes
+from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, in_batches, mix, shingle_hashes
 from lakeloom.storage import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -408,7 +408,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     it no id unless it is alone; rows that repeat a doc_id and text are kept or not together;
     other columns are ignored; an empty table gives no rows.
     """
-    rows = materialise(sketch(docs, k), "sketches")
+    rows = materialise(sketch(in_batches(docs), k), "sketches")
     nodes = rows.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id())
     nodes = materialise(nodes, "nodes")  # ids are fixed once they are written
     labels = link_texts(nodes.where(F.size("bands") > 0), docs, similarity, k)

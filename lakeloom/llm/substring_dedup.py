@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakeloom.llm.filters import BITS, flag_maybe
 from lakeloom.llm.fm_index import FMIndex
-from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, mix, shingle_hashes
+from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, in_batches, mix, shingle_hashes
 from lakeloom.storage import materialise
 
 WINDOW = 13
@@ -239,7 +239,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """row_key and starts (int32 word positions) of the windows that also start in a document with
     a smaller doc_id, for the documents that have any."""
     n_shards = n_shards or SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window, anchor, n_shards))
+    table = docs.sparkSession.sparkContext.broadcast(repeated_anchors(in_batches(docs, 16), window, anchor, n_shards))
     firsts = materialise(first_documents(shard_pieces(docs, table, window, anchor, n_shards), window), "firsts")
     known = occurrences(docs, table, window, anchor).join(firsts, ["anchor", "key"])
 

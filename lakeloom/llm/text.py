@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of [^\x20\x09-\x0D]+
@@ -22,6 +23,13 @@ NOT_NEWLINE = bytes(0 if b == 10 else 1 for b in range(256))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def in_batches(docs: DataFrame, megabytes: int = 8) -> DataFrame:
+    """``docs``, with the Arrow batches of its session held to so many bytes: what a task has in
+    memory then follows the size of a batch or of a single text, not of 10,000 rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+    return docs
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> np.uint64(32))

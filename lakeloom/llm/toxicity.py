@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lakeloom.llm.text import ALNUM, Texts
+from lakeloom.llm.text import ALNUM, Texts, in_batches
 from lakeloom.storage import materialise
 
 #: The model is fitted on at most so many labelled rows, those with the smallest doc_id hashes.
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: object = None, max_train
         use = use.where(~held_out)
     key = F.xxhash64(F.col("doc_id"), F.lit("train"))
     use = use.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).orderBy(key, "doc_id").limit(max_train)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(use), "doc_id")  # max_train rows of two numbers
+    rows = in_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(use), "doc_id")  # max_train rows of two numbers
     rows = materialise(rows.select("doc_id", "text", "toxic", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(FOLDS)).alias("fold")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id"), "train")
     lexica = _count_terms(rows, 3)
 
@@ -296,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: object = None, max_train
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with score and predicted (columns of these names are replaced)."""
-    docs = docs.drop("score", "predicted")
+    docs = in_batches(docs).drop("score", "predicted")
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
