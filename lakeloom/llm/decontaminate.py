@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lakeloom.llm.text import ALNUM, Texts, in_batches
+from lakeloom.llm.text import ALNUM, Texts, in_batches, lean
 from lakeloom.storage import materialise
 
 WINDOW = 10
@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([part + seq]), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names=_SEGMENT_NAMES)
                 seq += rows.rows
 
-    return in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(task, SEGMENT)
+    return in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(lean(task), SEGMENT)
 
 
 @dataclass
@@ -182,7 +182,7 @@ def search(index: DataFrame, phrases: Phrases, within: int | None = None) -> Dat
                     names=["row_id", "doc_id", "row_key", "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(task, HITS)
+    return index.mapInArrow(lean(task), HITS)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -239,4 +239,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas), pa.array([x > 0 for x in hit]), pa.array(items, pa.list_(pa.string())), batch.column(4)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "row_key"])
 
-    return found.select("doc_id", "n_words", "spans", "items", "row_key").mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, row_key long")
+    return found.select("doc_id", "n_words", "spans", "items", "row_key").mapInArrow(lean(finish), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, row_key long")

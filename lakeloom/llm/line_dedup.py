@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lakeloom.llm.text import NOT_NEWLINE, Texts, blob_column, in_batches, mix
+from lakeloom.llm.text import NOT_NEWLINE, Texts, blob_column, in_batches, lean, mix
 from lakeloom.storage import materialise
 
 #: Registers of a sketch: 2 ** PRECISION.  Its relative error is 1.04 / sqrt(registers), 3.3 %.
@@ -84,7 +84,7 @@ def sketch_lines(docs: DataFrame, min_words: int, n_parts: int, table_lines: int
         if held and count:
             yield flush()
 
-    return docs.select("doc_id", "source", "text").mapInArrow(task, "part int, line binary, reg binary, doc binary")
+    return docs.select("doc_id", "source", "text").mapInArrow(lean(task), "part int, line binary, reg binary, doc binary")
 
 
 def spread(sketches: DataFrame, at_least: float) -> DataFrame:
@@ -124,7 +124,7 @@ def _line_sites(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
                 pairs = pa.table({"line": pa.array(line.view(np.int64)), "source": batch.column(0).take(pa.array(a + row))}).group_by(["line", "source"]).aggregate([])
                 yield from pairs.to_batches()
 
-    pairs = docs.select(F.col("source").cast("string"), "text").mapInArrow(task, "line long, source string")
+    pairs = docs.select(F.col("source").cast("string"), "text").mapInArrow(lean(task), "line long, source string")
     return pairs if known is not None else pairs.join(lines.select("line"), "line", "left_semi")
 
 
@@ -186,7 +186,7 @@ def line_dedup(docs: DataFrame, min_sites: int = 8, min_words: int = 3) -> DataF
                 cuts += zip((a + row[hit]).tolist(), (s[hit] - rows.offsets[row[hit]]).tolist(), strict=True)
             yield _without(batch, text_at, cuts)
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(lean(task), schema)
 
 
 def _with_counts(docs: DataFrame) -> T.StructType:
@@ -232,7 +232,7 @@ def _joined(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
                 line, s, _, row = _lines(rows, min_words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), pa.array(line.view(np.int64)), pa.array(s - rows.offsets[row])], names=["id", "line", "start"])
 
-    found = docs.select("doc_id", "text").mapInArrow(occurrences, "id long, line long, start long").join(lines, "line")
+    found = docs.select("doc_id", "text").mapInArrow(lean(occurrences), "id long, line long, start long").join(lines, "line")
     cut = found.where(F.coalesce("id", F.lit(np.iinfo(np.int64).max)) != F.col("first_doc")).groupBy("id").agg(F.collect_set("start").alias("cut_starts"))
     both = docs.join(cut, docs["doc_id"].eqNullSafe(cut["id"]), "left").drop("id")
 
@@ -247,4 +247,4 @@ def _joined(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
                         cuts += [(a + i, s) for s in starts[a + i] if s == 0 or raw[s - 1 : s] == b"\n"]
             yield _without(batch.select(list(range(len(names)))), text_at, cuts)
 
-    return both.mapInArrow(task, schema)
+    return both.mapInArrow(lean(task), schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lakeloom.llm.filters import maybe_among
-from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, in_batches, mix, shingle_hashes
+from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, in_batches, lean, mix, shingle_hashes
 from lakeloom.storage import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -117,7 +117,7 @@ def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64())), blob_column(np.concatenate(bytes_of).reshape(-1) if bytes_of else np.zeros(0, np.uint8), np.arange(batch.num_rows + 1) * SLOTS)], names=["node", "doc_id", "row_key", "bands", "sig"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(node_of(text).alias("node"), F.col("doc_id").cast("long"), text.alias("text"), row_key().alias("row_key")).mapInArrow(task, "node binary, doc_id long, row_key long, bands array<long>, sig binary")
+    return docs.select(node_of(text).alias("node"), F.col("doc_id").cast("long"), text.alias("text"), row_key().alias("row_key")).mapInArrow(lean(task), "node binary, doc_id long, row_key long, bands array<long>, sig binary")
 
 
 def row_key():
@@ -152,7 +152,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long, sim double")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(task), "a long, b long, sim double")
 
 
 def _least_agreement(similarity: float) -> int:
@@ -171,7 +171,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     left, right = (nodes.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(task), "a long, b long")
 
 
 def _complete_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -219,7 +219,7 @@ def close_in_blocks(members: DataFrame, nodes: DataFrame, similarity: float) ->
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.nulls(len(got), pa.int64())], names=["a", "b", "bucket"])
 
     rows = members.join(nodes.select("id", "sig"), "id").select("bucket", "id", "label", "sig")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "a long, b long, bucket long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(task), "a long, b long, bucket long")
 
 
 def _overlaps(texts: Texts, k: int) -> np.ndarray:
@@ -271,7 +271,7 @@ def link_dense(dense: DataFrame, texts: DataFrame, similarity: float, k: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
     rows = dense.join(texts, "id").select("bucket", "id", "text")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "a long, b long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(task), "a long, b long")
 
 
 def _spanning(hit: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakeloom.llm.text import SOLID, Texts, in_batches
+from lakeloom.llm.text import SOLID, Texts, in_batches, lean
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -338,4 +338,4 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
             shas = [hashlib.sha256(x.encode()).hexdigest() for x in base]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(n[:, k]) for k in range(4)], pa.array(shas), pa.array(every), pa.array(added)], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
-    return in_batches(docs).select("doc_id", "text").mapInArrow(task, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return in_batches(docs).select("doc_id", "text").mapInArrow(lean(task), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

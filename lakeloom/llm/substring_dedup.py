@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakeloom.llm.filters import BITS, flag_maybe
 from lakeloom.llm.fm_index import FMIndex
-from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, in_batches, mix, shingle_hashes
+from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, in_batches, lean, mix, shingle_hashes
 from lakeloom.storage import materialise
 
 WINDOW = 13
@@ -112,7 +112,7 @@ def repeated_anchors(docs: DataFrame, window: int, anchor: int, n_parts: int) ->
         bits[(a[1:][a[1:] == a[:-1]] % np.uint64(BITS) - edges[number]).astype(np.int64)] = 1
         return pd.DataFrame({"part": [number], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    sent = docs.select("text").mapInArrow(task, "part int, anchors binary")
+    sent = docs.select("text").mapInArrow(lean(task), "part int, anchors binary")
     table = np.zeros(BITS // 8, np.uint8)
     for number, bits in sent.groupBy("part").applyInPandas(shard, "part int, bits binary").toLocalIterator():  # BITS / 8 bytes in all
         start = int(edges[number]) // 8
@@ -159,7 +159,7 @@ def shard_pieces(docs: DataFrame, table: Broadcast, window: int, anchor: int, n_
             arrays = [blob_column(x, cuts) for x in (a[pick], key[pick], least, most, size[pick].astype(np.uint8))]
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *arrays, blob_column(ids5[_ragged(start[pick], size[pick])], off[cuts])], names=["part", "anchor", "key", "least", "most", "size", "words"])
 
-    return docs.select(_doc_id(), "text").mapInArrow(task, "part int, anchor binary, key binary, least binary, most binary, size binary, words binary")
+    return docs.select(_doc_id(), "text").mapInArrow(lean(task), "part int, anchor binary, key binary, least binary, most binary, size binary, words binary")
 
 
 def _doc_id():
@@ -228,7 +228,7 @@ def occurrences(docs: DataFrame, table: Broadcast, window: int, anchor: int) ->
                     r = row[i]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[a0 + r], ids[a0 + r], a[i].view(np.int64), _piece_keys(h, at[i], n + window - 1).view(np.int64), (at[i] - first[r]).astype(np.int32))], names=["row_key", "doc_id", "anchor", "key", "start"])
 
-    return docs.select(_doc_id(), "text", row_key().alias("row_key")).mapInArrow(task, "row_key long, doc_id long, anchor long, key long, start int")
+    return docs.select(_doc_id(), "text", row_key().alias("row_key")).mapInArrow(lean(task), "row_key long, doc_id long, anchor long, key long, start int")
 
 
 def row_key():
@@ -255,7 +255,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             some = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), blob_column(start[hit].astype(np.int32), np.append(cuts[some], cuts[-1]))], names=["row_key", "starts"])
 
-    hits = known.select("row_key", "doc_id", "start", "firsts").mapInArrow(earlier, "row_key long, starts binary")
+    hits = known.select("row_key", "doc_id", "start", "firsts").mapInArrow(lean(earlier), "row_key long, starts binary")
     return hits.groupBy("row_key").agg(F.collect_list("starts").alias("starts"))
 
 
@@ -304,4 +304,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             shas = [hashlib.sha256(x).hexdigest() for x in kept]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([x.decode() for x in kept], pa.string()), pa.array(shas)], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return hit.unionByName(clean).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return hit.unionByName(clean).mapInArrow(lean(finish), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

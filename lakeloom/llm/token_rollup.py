@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeloom.llm.text import SOLID, Texts, in_batches
+from lakeloom.llm.text import SOLID, Texts, in_batches, lean
 
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that cuts texts before byte pairs are merged; it belongs to the vocabulary file.
@@ -45,7 +45,7 @@ def count_tokens(docs: DataFrame, versions: dict[str, dict[bytes, int] | None])
                 one = np.ones(len(n), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([version] * len(n)), pa.array(one), pa.array(chars), pa.array(n.astype(np.int64))], names=["doc_id", "source", "lang", "tokenizer", "docs", "chars", "tokens"])
 
-    return in_batches(docs).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(task, _ENTRY)
+    return in_batches(docs).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(lean(task), _ENTRY)
 
 
 class TokenRollup:

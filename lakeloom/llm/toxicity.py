@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lakeloom.llm.text import ALNUM, Texts, in_batches
+from lakeloom.llm.text import ALNUM, Texts, in_batches, lean
 from lakeloom.storage import materialise
 
 #: The model is fitted on at most so many labelled rows, those with the smallest doc_id hashes.
@@ -144,7 +144,7 @@ def _count_terms(train: DataFrame, min_docs: int) -> dict[int, Lexicon]:
                 t = pa.concat_tables(keys).group_by(["term", "cls"]).aggregate([([], "count_all")])
                 yield from t.rename_columns(["term", "cls", "n"]).to_batches()
 
-    counts = train.select("text", "toxic", "fold").mapInArrow(task, "term long, cls long, n long")
+    counts = train.select("text", "toxic", "fold").mapInArrow(lean(task), "term long, cls long, n long")
     wide = counts.groupBy("term").agg(*[F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)])
     toxic = sum((F.col(f"c{2 * f + 1}") for f in range(FOLDS)), F.lit(0))
     clean = sum((F.col(f"c{2 * f}") for f in range(FOLDS)), F.lit(0))
@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: object = None, max_train
                 both[at] = features(sub, lexica[f])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(both), pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
 
-    seen = rows.select("doc_id", "toxic", "fold", "text").mapInArrow(task, "doc_id long, toxic long, fold long, x array<double>").toPandas().sort_values(["doc_id", "toxic"])
+    seen = rows.select("doc_id", "toxic", "fold", "text").mapInArrow(lean(task), "doc_id long, toxic long, fold long, x array<double>").toPandas().sort_values(["doc_id", "toxic"])
     x = np.array(seen["x"].tolist(), np.float64).reshape(-1, FEATURES)
     y, fold = seen["toxic"].to_numpy(np.float64), seen["fold"].to_numpy()
     unseen = np.zeros(len(y))
@@ -305,7 +305,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             p = model.score(Texts.of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(lean(task), schema)
 
 
 def held_out() -> object:
