@@ -107,6 +107,7 @@ LABELLED = (
     "token = \"99aa9999aa99aa99aa9999a9\" end", "version 9.99.9 and 9.9", "order 99999999 shipped", "id 9999999999999 stored", "sum 99999999999999999 of", "number 9999999999999999 here", "room 999-a", "rfc 9999 section 9.9",
     "isbn 999-9-99-999999-9", "a 9999999999 b", "score 9-9", "from 99 to 99-99", "@aaaa said", "@@ 99", "99% of + 9", "aaa9aa9 a9a", "row | 999 | 999 | 9999 |", "99 99 99", "c++ and 9+9", "x+9", "part 999-999",
     "chapter 9 999 999 words", "at 99:99:99 done", "code 99-9999", "lines 999-9999 of the file", "aaa@ aaa", "v9999.99.99",
+    "a9 a99 a999 a9 aa99 a99", "a999 a99 a9 a999 a99 a999 a9", "model aa999 and a9 build a99 a9", "9a 99aa 9a 999a", "aa9 9aa 9a9 a9a", "9 99 9 99 9", "99 99 99 99 99 99", "9 9 9 9 9 9 9",
 )
 _MARK = re.compile(r"\{(\w+):([^}]*)\}")
 _CUES = {w: c for c, words in {"phone": "phone tel tel. telefon telefono téléphone mobile mobile: fax call call: whatsapp ext number cell cell:", "mail": "mail email e-mail email: mail: contact write ecrire", "net": "host ip ipv6 ip: server address ping"}.items() for w in words.split()}
