@@ -8,7 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lakeloom.operators.groupmap import ordered_groups
 from lakeloom.operators.iterate import components
@@ -209,7 +209,7 @@ def t_p_value(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(df > 100, normal, np.clip(np.where(swap, other, direct), 0, 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_p_value(t.to_numpy(float), df.to_numpy(float)))
 

@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lakeloom.operators.iterate import components
 
-_USER = W.partitionBy("user_id").orderBy("ts", "id")
+
+def _user():
+    return W.partitionBy("user_id").orderBy("ts", "id")
+
 _GLOBAL_BUCKET = 86_400
 
 
@@ -31,7 +34,7 @@ def temporal_features(events: DataFrame) -> DataFrame:
 def frequency_features(events: DataFrame) -> DataFrame:
     """Events a day (of at least one), share of the commonest type, types an event, and mean and population
     deviation of the seconds between events."""
-    gap = events.select("user_id", "event_type", "ts", (F.col("ts") - F.lag("ts").over(_USER)).alias("gap"))
+    gap = events.select("user_id", "event_type", "ts", (F.col("ts") - F.lag("ts").over(_user())).alias("gap"))
     a = gap.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), ((F.max("ts") - F.min("ts")) / 86400).alias("days"), F.count_distinct("event_type").alias("types"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("sd_gap"))
     top = events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("k")).groupBy("user_id").agg(F.max("k").alias("top"))
     return a.join(top, "user_id").select("user_id", (F.col("n") / F.greatest("days", F.lit(1.0))).alias("avg_events_per_day"), (F.col("top") / F.col("n")).alias("dominant_ratio"), (F.col("types") / F.col("n")).alias("diversity"), "mean_gap", "sd_gap")
@@ -44,7 +47,7 @@ def session_features(events: DataFrame) -> DataFrame:
 
 def device_features(events: DataFrame) -> DataFrame:
     """Distinct devices and locations, and the share of events that switch them."""
-    s = events.select("user_id", "device_id", "location", F.lag("device_id").over(_USER).alias("d"), F.lag("location").over(_USER).alias("l"))
+    s = events.select("user_id", "device_id", "location", F.lag("device_id").over(_user()).alias("d"), F.lag("location").over(_user()).alias("l"))
     switch = lambda a, b: F.count(F.when(F.col(a) != F.col(b), 1)) / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))
     return s.groupBy("user_id").agg(F.count_distinct("device_id").cast("double").alias("unique_device_count"), F.count_distinct("location").cast("double").alias("unique_location_count"), switch("device_id", "d").alias("device_switch_rate"), switch("location", "l").alias("location_switch_rate"))
 
@@ -52,7 +55,7 @@ def device_features(events: DataFrame) -> DataFrame:
 def stability(events: DataFrame) -> DataFrame:
     """1 - |a - b| / (a + b + 0.001) of the events a day in a user's first and second half; 0.5 for under ten
     events; never below 0."""
-    k, n = F.row_number().over(_USER), F.count(F.lit(1)).over(W.partitionBy("user_id"))
+    k, n = F.row_number().over(_user()), F.count(F.lit(1)).over(W.partitionBy("user_id"))
     h = events.select("user_id", "ts", k.alias("k"), n.alias("n")).withColumn("half", F.when(F.col("k") <= F.floor(F.col("n") / 2), "a").otherwise("b"))
     rate = lambda x: F.count(F.when(F.col("half") == x, 1)) / F.greatest((F.max(F.when(F.col("half") == x, F.col("ts"))) - F.min(F.when(F.col("half") == x, F.col("ts")))) / 86400, F.lit(1.0))
     g = h.groupBy("user_id").agg(F.max("n").alias("n"), rate("a").alias("a"), rate("b").alias("b"))
@@ -111,8 +114,8 @@ def match_sequence(events: DataFrame, sequence: list[str], severity: float) -> D
     or 40 for spans under 5 minutes, an hour, a day or more, times severity / 100; the best of each user."""
     hit = F.col("event_type") == sequence[0]
     for i, x in enumerate(sequence[1:], 1):
-        hit = hit & (F.lead("event_type", i).over(_USER) == x)
-    last = F.lead("ts", len(sequence) - 1).over(_USER) if len(sequence) > 1 else F.col("ts")
+        hit = hit & (F.lead("event_type", i).over(_user()) == x)
+    last = F.lead("ts", len(sequence) - 1).over(_user()) if len(sequence) > 1 else F.col("ts")
     s = events.select("user_id", "ts", last.alias("until"), hit.alias("hit")).where("hit").withColumn("span", F.col("until") - F.col("ts"))
     base = F.when(F.col("span") < 300, 100.0).when(F.col("span") < 3600, 80.0).when(F.col("span") < 86400, 60.0).otherwise(40.0)
     best = s.withColumn("score", base * severity / 100).groupBy("user_id").agg(F.max(F.struct("score", (-F.col("ts")).alias("t"), "span")).alias("b"))
@@ -256,7 +259,7 @@ def anomaly_hunt(events: DataFrame, busy: int = 10) -> DataFrame:
 
 def correlated_types(events: DataFrame, top: int = 5) -> DataFrame:
     """a, b, n and lift of types that follow one another within a user, the highest first."""
-    s = events.select(F.col("event_type").alias("a"), F.lead("event_type").over(_USER).alias("b")).where("b IS NOT NULL")
+    s = events.select(F.col("event_type").alias("a"), F.lead("event_type").over(_user()).alias("b")).where("b IS NOT NULL")
     n = s.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     p = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("k"))
     total = F.broadcast(events.agg(F.count(F.lit(1)).alias("total")))
@@ -297,7 +300,7 @@ def correlation_clusters(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 def regular_pairs(events: DataFrame, least: int = 3, variation: float = 0.5) -> DataFrame:
     """a, b, n, score of types that follow one another within a user at regular gaps: 1 - sd / mean."""
-    s = events.select(F.col("event_type").alias("a"), F.lead("event_type").over(_USER).alias("b"), (F.lead("ts").over(_USER) - F.col("ts")).alias("gap")).where("b IS NOT NULL")
+    s = events.select(F.col("event_type").alias("a"), F.lead("event_type").over(_user()).alias("b"), (F.lead("ts").over(_user()) - F.col("ts")).alias("gap")).where("b IS NOT NULL")
     g = s.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("m"), F.stddev_pop("gap").alias("sd"))
     cv = F.try_divide(F.col("sd"), F.col("m"))
     return g.where((F.col("n") >= least) & (cv < variation)).select("a", "b", "n", (1 - cv).alias("score"))

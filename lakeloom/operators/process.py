@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lakeloom.operators.groupmap import ordered_groups
 
-_CASE = W.partitionBy("case_id").orderBy("ts", "id")
+
+def _case():
+    return W.partitionBy("case_id").orderBy("ts", "id")
 
 
 def _steps(events: DataFrame) -> DataFrame:
-    return events.select("case_id", F.col("activity").alias("a"), F.col("ts").alias("ta"), F.lead("activity").over(_CASE).alias("b"), F.lead("ts").over(_CASE).alias("tb"), F.row_number().over(_CASE).alias("k"))
+    return events.select("case_id", F.col("activity").alias("a"), F.col("ts").alias("ta"), F.lead("activity").over(_case()).alias("b"), F.lead("ts").over(_case()).alias("tb"), F.row_number().over(_case()).alias("k"))
 
 
 def directly_follows(events: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def order_relations(events: DataFrame, sequential: float = 0.8, concurrent: floa
 def immediate_loops(events: DataFrame, longest: int = 5) -> DataFrame:
     """pattern (activities joined by commas), length and n of stretches that repeat at once, seen twice
     or more; per length k, an event starts one if the next k activities equal the k after them."""
-    ahead = [F.col("activity"), *[F.lead("activity", i).over(_CASE) for i in range(1, 2 * longest)]]
+    ahead = [F.col("activity"), *[F.lead("activity", i).over(_case()) for i in range(1, 2 * longest)]]
     s = events.select("case_id", *[c.alias(f"x{i}") for i, c in enumerate(ahead)])
     found = None
     for k in range(2, longest + 1):
@@ -102,7 +104,7 @@ def conformance(events: DataFrame, model: DataFrame, starts: DataFrame, ends: Da
     """case_id, sync, log_moves, fitness and precision of each case against model(a, b), starts(activity) and
     ends(activity).  Every event is checked by the edge that leads to it (the first by the starts), and
     the last by the ends.  precision is used over possible steps: the sum of 1 over the sum of out-degrees."""
-    s = events.select("case_id", "activity", F.lag("activity").over(_CASE).alias("before"), F.lead("activity").over(_CASE).alias("after"))
+    s = events.select("case_id", "activity", F.lag("activity").over(_case()).alias("before"), F.lead("activity").over(_case()).alias("after"))
     m = F.broadcast(model.select(F.col("a").alias("before"), F.col("b").alias("activity"), F.lit(True).alias("edge")).distinct())
     st, en = (F.broadcast(d.select("activity", F.lit(True).alias(n)).distinct()) for d, n in ((starts, "is_start"), (ends, "is_end")))
     degree = F.broadcast(model.groupBy(F.col("a").alias("activity")).agg(F.count_distinct("b").alias("options")))
@@ -116,7 +118,7 @@ def conformance(events: DataFrame, model: DataFrame, starts: DataFrame, ends: Da
 
 def deviations(events: DataFrame, model: DataFrame, starts: DataFrame, ends: DataFrame, top: int | None = None) -> DataFrame:
     """kind (WrongStart, UnexpectedStep, WrongEnd), activity, n; the ``top`` commonest."""
-    s = events.select("case_id", "activity", F.lag("activity").over(_CASE).alias("before"), F.lead("activity").over(_CASE).alias("after"))
+    s = events.select("case_id", "activity", F.lag("activity").over(_case()).alias("before"), F.lead("activity").over(_case()).alias("after"))
     first = s.where("before IS NULL").join(F.broadcast(starts.select("activity")), "activity", "left_anti").select(F.lit("WrongStart").alias("kind"), "activity")
     step = s.where("before IS NOT NULL").join(F.broadcast(model.select(F.col("a").alias("before"), F.col("b").alias("activity"))), ["before", "activity"], "left_anti").select(F.lit("UnexpectedStep").alias("kind"), "activity")
     last = s.where("after IS NULL").join(F.broadcast(ends.select("activity")), "activity", "left_anti").select(F.lit("WrongEnd").alias("kind"), "activity")
@@ -168,7 +170,7 @@ def replay(events: DataFrame, transitions: list[tuple[str, tuple[str, ...], tupl
 
 def transition_counts(events: DataFrame, order: int = 1) -> DataFrame:
     """context (the last ``order`` activities joined by >), next and n."""
-    context = [F.lag("activity", i).over(_CASE) for i in range(order, 0, -1)]
+    context = [F.lag("activity", i).over(_case()) for i in range(order, 0, -1)]
     s = events.select(F.when(context[0].isNotNull(), F.concat_ws(">", *context)).alias("context"), F.col("activity").alias("next"))
     return s.where("context IS NOT NULL").groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
 
@@ -198,7 +200,7 @@ def expected_next(events: DataFrame, support: float = 0.1) -> DataFrame:
 
 def out_of_order(events: DataFrame) -> DataFrame:
     """case_id, id and confidence of events whose place by id is not their place by time."""
-    a, b = F.row_number().over(W.partitionBy("case_id").orderBy("id")), F.row_number().over(_CASE)
+    a, b = F.row_number().over(W.partitionBy("case_id").orderBy("id")), F.row_number().over(_case())
     return events.select("case_id", "id", a.alias("stored"), b.alias("timed")).where("stored <> timed").select("case_id", "id", F.lit(0.9).alias("confidence"))
 
 
@@ -237,7 +239,7 @@ def incomplete_cases(events: DataFrame, support: float = 0.1) -> DataFrame:
 def repair(events: DataFrame, within: int = 60) -> DataFrame:
     """The events without duplicates, in time order: case_id, position, id, activity, ts."""
     clean = events.join(duplicates(events, within).select("id"), "id", "left_anti")
-    return clean.select("case_id", F.row_number().over(_CASE).alias("position"), "id", "activity", "ts")
+    return clean.select("case_id", F.row_number().over(_case()).alias("position"), "id", "activity", "ts")
 
 
 def log_quality(events: DataFrame, within: int = 60) -> DataFrame:

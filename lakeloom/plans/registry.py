@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakeloom.sources.views import VIEWS, view, view_sql
 
-DOMAINS = "payments clearing audit banking compliance graph ml temporal risk process behavioral treasury accounting orderbook core".split()
+DOMAINS = "payments clearing audit banking compliance graph ml temporal risk process behavioral treasury accounting orderbook core streaming".split()
 
 
 @dataclass(frozen=True)

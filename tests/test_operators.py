@@ -1,0 +1,306 @@
+"""Small fixtures and invariants."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lakeloom.functions import names, normal
+from lakeloom.operators import accounting, banking, behavioral, clearing, compliance, graph, joins, ml, orderbook, payments, process, risk, temporal, treasury
+
+
+def edges(spark, pairs, both=False):
+    pairs = pairs + [(b, a) for a, b in pairs] if both else pairs
+    return spark.createDataFrame(pairs, "src long, dst long")
+
+
+def nodes(spark, n):
+    return spark.range(n).select(F.col("id"))
+
+
+def test_pagerank_is_even_on_a_cycle(spark):
+    s = graph.pagerank(edges(spark, [(0, 1), (1, 2), (2, 3), (3, 0)]), nodes(spark, 4)).collect()
+    assert all(abs(r.score - 0.25) < 0.01 for r in s)
+
+
+def test_star_centre_leads(spark):
+    e, n = edges(spark, [(0, i) for i in range(1, 5)], both=True), nodes(spark, 5)
+    for scores in (graph.degree_centrality(e, n), graph.closeness_centrality(e, n), graph.betweenness_centrality(e, n)):
+        assert graph.top_k(scores, 1).first().id == 0
+    assert graph.betweenness_centrality(e, n).where("id = 0").first().score == pytest.approx(1.0)
+
+
+def test_similarity_fixture(spark):
+    e = edges(spark, [(0, 1), (1, 2), (0, 3), (1, 4), (2, 5), (3, 4), (4, 5)], both=True)
+    pair = lambda kind: {(r.a, r.b): r.score for r in graph.similarity(e, kind).collect()}
+    assert pair("jaccard")[0, 2] == pytest.approx(1 / 3)
+    assert pair("cosine")[0, 2] == pytest.approx(0.5)
+    assert pair("common")[0, 2] == 1 and (0, 1) not in pair("common")
+
+
+def test_components_and_strong_components(spark):
+    e = edges(spark, [(1, 2), (2, 3), (5, 6)])
+    assert {r.id: r.label for r in graph.connected_components(e, nodes(spark, 8)).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6)], "a long, b long")
+    assert {r.id: r.label for r in graph.strong_components(pairs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
+def test_triangle_counts(spark):
+    e, n = edges(spark, [(0, 1), (1, 2), (0, 2), (2, 3)], both=True), nodes(spark, 4)
+    assert [r.triangles for r in graph.triangle_counts(e, n).orderBy("id").collect()] == [1, 1, 1, 0]
+    assert graph.cliques(e, 3).count() == 1
+    assert {r.motif: r.n for r in graph.triads(e, n).collect()} == {"triangle": 1, "wedge": 2, "edge": 4}
+
+
+def test_shortest_paths(spark):
+    e = spark.createDataFrame([(0, 1, 4.0), (0, 2, 1.0), (2, 1, 1.0), (1, 3, 1.0)], "src long, dst long, w double")
+    got = {r.id: (r.distance, r.predecessor) for r in graph.shortest_paths(e, spark.createDataFrame([(0,)], "id long"), "w").collect()}
+    assert got[1] == (2.0, 2) and got[3] == (3.0, 1)
+    assert graph.path_between(e, 0, 3).first().path == [0, 1, 3]
+    assert graph.path_between(e, 3, 0).count() == 0
+    assert [r.hops for r in graph.k_shortest_paths(e, 0, 3, 3).collect()] == [2, 3]
+
+
+def test_louvain_separates_cliques(spark):
+    clique = [(a, b) for k in (0, 10) for a in range(k, k + 4) for b in range(k, k + 4) if a < b] + [(0, 10)]
+    e = edges(spark, clique, both=True)
+    c = {r.id: r.community for r in graph.louvain(e, e.select(F.col("src").alias("id")).distinct()).collect()}
+    assert c[1] == c[2] == c[3] and c[11] == c[12] == c[13] and c[1] != c[11]
+
+
+def transactions(spark, rows):
+    return spark.createDataFrame(rows, "id long, source_id long, dest_id long, amount double, ts long")
+
+
+def test_circular_and_reciprocal_flows(spark):
+    t = transactions(spark, [(1, 1, 2, 1000.0, 100), (2, 2, 3, 950.0, 200), (3, 3, 1, 900.0, 300)])
+    assert compliance.circular_ratio(t).first().ratio == 1.0
+    t = transactions(spark, [(1, 1, 2, 5000.0, 100), (2, 2, 1, 4800.0, 200)])
+    assert compliance.reciprocal_pairs(t).first().reciprocal == 9600.0
+    assert compliance.flow_reversals(t).first().risk == "High"
+
+
+def test_flow_splits_of_overlapping_windows(spark):
+    t = transactions(spark, [(i, 1, 100 + i, 3200.0, 1000 * i) for i in range(3)] + [(9, 2, 5, 100.0, 0)])
+    s = compliance.flow_splits(t).collect()
+    assert len(s) == 1 and s[0].n == 3 and s[0].risk == "High"
+
+
+def test_structuring(spark):
+    t = transactions(spark, [(i, 7, 100 + i, 9500.0, 3600 * i) for i in range(4)])
+    assert compliance.structuring(t).first().n == 4
+
+
+def test_names():
+    assert names.jaro("martha", "marhta") == pytest.approx(0.944444, abs=1e-6)
+    assert names.jaro_winkler_score("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
+    assert names.jaro("", "") == 1.0 and names.jaro("a", "") == 0.0
+
+
+def test_normal_functions(spark):
+    rows = spark.createDataFrame([(p,) for p in (0.001, 0.02, 0.3, 0.5, 0.9, 0.999)], "p double")
+    for r in rows.select("p", normal.cdf(normal.inverse(F.col("p"))).alias("q")).collect():
+        assert r.q == pytest.approx(r.p, abs=2e-5)
+    assert normal.quantile(0.95) == pytest.approx(1.6449, abs=1e-3)
+
+
+def test_credit_risk_orders_obligors(spark):
+    cols = "obligor_id long, debt_to_income double, loan_to_value double, credit_utilization double, payment_history double, employment_years double, recent_inquiries long, delinquencies long, credit_history_years double, ead double, maturity double"
+    o = spark.createDataFrame([(1, 0.25, 0.6, 0.15, 95.0, 10.0, 1, 0, 15.0, 1e5, 2.5), (2, 0.55, 0.95, 0.85, 60.0, 1.0, 6, 3, 2.0, 1e5, 2.5)], cols)
+    good, bad = risk.credit_scores(o).orderBy("obligor_id").collect()
+    assert good.pd < bad.pd and good.rwa < bad.rwa
+
+
+def test_value_at_risk(spark):
+    p = spark.createDataFrame([("A", 1e5, 0.08, 0.15), ("B", 1e5, 0.10, 0.20)], "asset_id string, value double, mu double, sigma double")
+    c = spark.createDataFrame([("A", "B", 0.5)], "i string, j string, rho double")
+    a, b = (risk.portfolio_risk(p, c, 0.95, d).first() for d in (10, 20))
+    assert a.diversification_benefit > 0 and b["var"] == pytest.approx(a["var"] * math.sqrt(2))
+    parts = risk.component_var(p, c, a["var"]).collect()
+    assert sum(r.component for r in parts) == pytest.approx(a["var"])
+    mc = [risk.monte_carlo_var(risk.simulate_pnl(p, c, 10, 4000), 4000, q).first() for q in (0.95, 0.99)]
+    assert 0 < mc[0]["var"] < mc[1]["var"] and mc[0].expected_shortfall >= mc[0]["var"]
+    assert risk.monte_carlo_var(risk.simulate_pnl(p, c, 10, 4000), 4000).first() == mc[0]
+
+
+def series(spark, values, name="s"):
+    return spark.createDataFrame([(name, i, float(v)) for i, v in enumerate(values)], "series_id string, t long, value double")
+
+
+def test_change_point(spark):
+    s = series(spark, [10 + math.sin(0.1 * i) for i in range(50)] + [20 + math.sin(0.1 * i) for i in range(50)])
+    for method, penalty in (("pelt", 10.0), ("binary", 50.0)):
+        starts = [r.start for r in temporal.change_points(s, method, penalty, 5).orderBy("start").collect()]
+        assert any(abs(x - 50) <= 2 for x in starts)
+
+
+def test_anomalies_are_found(spark):
+    v = [10 + math.sin(0.1 * i) for i in range(100)]
+    v[25], v[75] = 50.0, -30.0
+    for method, threshold in (("zscore", 3.0), ("iqr", 3.0), ("moving_average", 8.0), ("seasonal_esd", 3.0)):
+        hits = {r.i for r in temporal.anomalies(series(spark, v), method, threshold).where("is_anomaly").collect()}
+        assert {25, 75} <= hits
+
+
+def test_arima_follows_a_line(spark):
+    f = [r.forecast for r in temporal.arima_forecast(series(spark, [10 + 2 * t for t in range(50)]), 1, 1, 0, 5).orderBy("step").collect()]
+    assert f == pytest.approx([110, 112, 114, 116, 118])
+
+
+def test_seasonal_period(spark):
+    s = series(spark, [100 + 0.5 * t + 10 * math.sin(2 * math.pi * t / 12) for t in range(60)])
+    d = temporal.decompose(s, 12).orderBy("i").collect()
+    assert max(x.seasonal for x in d) == pytest.approx(10, abs=1.0)
+    assert all(a.seasonal == b.seasonal for a, b in zip(d, d[12:], strict=False))
+
+
+def test_garch_is_stationary(spark):
+    rng = np.random.default_rng(1)
+    r = temporal.garch(series(spark, rng.standard_normal(300) * 0.01)).first()
+    assert r.alpha + r.beta < 1 and r.omega > 0
+
+
+def test_clusters(spark):
+    p = spark.createDataFrame([(i, list(x)) for i, x in enumerate([(0.0, 0.0), (0.1, 0.1), (0.2, 0.0), (10.0, 10.0), (10.1, 10.1), (10.2, 10.0)])], "id long, x array<double>")
+    split = lambda d: len({frozenset(r.id for r in d if r.cluster == c) for c in {r.cluster for r in d}})
+    assert split(ml.kmeans(p, 2)[1].collect()) == 2
+    assert {r.id: r.cluster for r in ml.dbscan(p, 0.5, 2).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+    for linkage in ("single", "complete", "average", "ward"):
+        assert {r.id: r.cluster for r in ml.hierarchical(p, 2, linkage).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
+def test_outlier(spark):
+    p = spark.createDataFrame([(i, [0.1 * i, 0.05 * (i % 3)]) for i in range(12)] + [(99, [100.0, 100.0])], "id long, x array<double>")
+    assert ml.isolation_forest(p, 50, 13).orderBy(F.col("score").desc()).first().id == 99
+    assert ml.local_outlier_factor(p, 3).orderBy(F.col("lof").desc()).first().id == 99
+
+
+def test_regression(spark):
+    x = [(1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3)]
+    rows = spark.createDataFrame([([float(a), float(b)], 2.0 * a + 3 * b + 1) for a, b in x], "x array<double>, y double")
+    r = ml.linear_regression(rows).first()
+    assert r.coefficients == pytest.approx([2, 3]) and r.intercept == pytest.approx(1) and r.r2 == pytest.approx(1)
+    assert abs(ml.ridge(rows, 10.0).first().coefficients[0]) < 2
+
+
+def test_shap_values_of_a_line(spark):
+    bg = [[0.0, 0.0], [2.0, 4.0]]
+    rows = spark.createDataFrame([(1, [3.0, 1.0])], "id long, x array<double>")
+    r = ml.shap_values(rows, bg, lambda m: m @ np.array([1.0, 2.0])).first()
+    assert r["base"] == pytest.approx(5.0)
+    assert r["values"] == pytest.approx([2.0, -2.0], abs=0.05)
+
+
+def test_masks_cancel(spark):
+    u = spark.createDataFrame([(i, [float(i), 1.0], 1) for i in range(4)], "participant long, x array<double>, n long")
+    masked = ml.masked_updates(u).collect()
+    assert all(abs(m.x[0] - m.participant) > 1e-6 for m in masked)
+    assert sum(m.x[0] for m in masked) == pytest.approx(6)
+
+
+def test_directly_follows(spark):
+    log = [(c, a, 1000 * i) for c, t in (("c1", "ABCD"), ("c2", "ABCD"), ("c3", "ABED")) for i, a in enumerate(t)]
+    e = spark.createDataFrame([(i, c, a, t, "r") for i, (c, a, t) in enumerate(log)], "id long, case_id string, activity string, ts long, resource string")
+    assert {(r.a, r.b): r.n for r in process.directly_follows(e).collect()}["A", "B"] == 3
+    net = [("A", ("s",), ("p",)), ("B", ("p",), ("q",)), ("C", ("q",), ("r",)), ("E", ("q",), ("r",)), ("D", ("r",), ("t",))]
+    assert all(r.fitness == 1.0 for r in process.replay(e, net, {"s": 1}, {"t": 1}).collect())
+
+
+def test_behaviour_signatures(spark):
+    rows = [(i, 1, "login_attempt", 5 * i, None, None, None) for i in range(10)] + [(20 + i, 2, a, 60 * i, None, None, None) for i, a in enumerate(("reset", "login", "change"))]
+    e = spark.createDataFrame(rows, "id long, user_id long, event_type string, ts long, session_id long, device_id string, location string")
+    assert behavioral.match_count(e, "login_attempt", 5, 300, 80.0).first().n == 10
+    assert behavioral.match_sequence(e, ["reset", "login", "change"], 90.0).first().user_id == 2
+    assert behavioral.match_time_window(e, ["reset", "change"], 600, 50.0).first().span == 120
+
+
+def test_liquidity_coverage_by_hand(spark):
+    a = spark.createDataFrame([(1, "CashReserves", 100e3, 0.0, 0), (2, "Level1HQLA", 200e3, 0.0, 1), (3, "Level2AHQLA", 100e3, 0.15, 3)], "id long, asset_type string, amount double, haircut double, days_to_liquidate long")
+    o = spark.createDataFrame([(1, "RetailDeposits", 500e3, 0.05, 30), (2, "WholesaleFunding", 200e3, 0.25, 30)], "id long, category string, amount double, runoff double, days long")
+    i = spark.createDataFrame([(100e3, 0.5, 30)], "amount double, rate double, days long")
+    r = treasury.lcr(a, o, i).first()
+    assert (r.hqla, r.net_outflows) == (385e3, 25e3) and r.ratio == pytest.approx(15.4)
+
+
+def test_cash_balance_runs(spark):
+    f = spark.createDataFrame([(1, 1, 10_000.0, "x", 1.0), (2, 1, -5_000.0, "x", 1.0), (3, 2, -8_000.0, "x", 1.0)], "id long, day long, amount double, category string, certainty double")
+    b = [r.balance for r in treasury.cash_forecast(f, 1, 3).orderBy("day").collect()]
+    assert b == [5000.0, -3000.0, -3000.0]
+    g = treasury.funding_gaps(treasury.cash_forecast(f, 1, 3), 0.0).first()
+    assert (g.start, g.end, g.days, g.shortfall) == (2, 3, 2, 3000.0)
+
+
+def test_duration_sums_coupons(spark):
+    p = spark.createDataFrame([(1, "FixedBond", 100.0, 0.06, 3 * 365 * 86_400, None, "USD")], "id long, instrument string, notional double, rate double, maturity long, next_reset long, currency string")
+    r = treasury.ir_measures(p, 0, 0.05, 2).first()
+    cf = [(k, (0.03 + (k == 6)) / 1.025**k) for k in range(1, 7)]
+    assert r.duration == pytest.approx(sum(k * v for k, v in cf) / sum(v for _, v in cf) / 2)
+
+
+def test_netting(spark):
+    t = spark.createDataFrame([(1, "AAPL", "A", "B", 100, 150, 0, 0, "Pending", "USD"), (2, "AAPL", "B", "A", 50, 151, 0, 0, "Pending", "USD"), (3, "AAPL", "A", "C", 30, 149, 0, 0, "Pending", "USD")], "id long, security_id string, buyer_id string, seller_id string, quantity long, price long, trade_date long, settlement_date long, status string, currency string")
+    net = {r.party_id: r.net_quantity for r in clearing.net_positions(t).collect()}
+    assert net["A"] == 80 and sum(net.values()) == 0
+
+
+def test_dvp_matches_mirrored_parties(spark):
+    d = spark.createDataFrame([(1, "X", 0, "A", "B", -100, -15_000, "USD", "Pending"), (2, "X", 0, "B", "A", 100, 15_000, "USD", "Pending"), (3, "X", 0, "B", "C", 100, 15_000, "USD", "Pending")], "id long, security_id string, settlement_date long, deliverer string, receiver string, quantity long, payment_amount long, currency string, status string")
+    assert [(r.delivery_id, r.receipt_id) for r in clearing.match_dvp(d).collect()] == [(1, 2)]
+
+
+def test_reconciliation(spark):
+    cols = "id long, account_code string, amount double, currency string, date long, reference string"
+    s = spark.createDataFrame([(1, "A", 1000.0, "USD", 0, ""), (2, "A", 2500.0, "USD", 0, "")], cols)
+    t = spark.createDataFrame([(7, "A", 1000.0, "USD", 0, ""), (8, "A", 2500.5, "USD", 0, "")], cols)
+    m = {r.source_id: r for r in accounting.reconcile(s, t, 1.0).collect()}
+    assert m[1].match_type == "Exact" and m[2].target_id == 8 and m[2].match_type == "Tolerance"
+
+
+def test_flow_methods(spark):
+    cols = "entry_id long, line_number long, posting_date long, account_code string, debit double, credit double, entity_id string"
+    j = spark.createDataFrame([(1, 1, 0, "1000", 1000.0, 0.0, "E"), (1, 2, 0, "4000", 0.0, 1000.0, "E"), (2, 1, 0, "1000", 300.0, 0.0, "E"), (2, 2, 0, "1100", 200.0, 0.0, "E"), (2, 3, 0, "4000", 0.0, 200.0, "E"), (2, 4, 0, "4100", 0.0, 300.0, "E"), (3, 1, 0, "1000", 500.0, 0.0, "E"), (3, 2, 0, "4000", 0.0, 200.0, "E"), (3, 3, 0, "4100", 0.0, 300.0, "E"), (4, 1, 0, "1000", 50.0, 0.0, "E"), (4, 2, 0, "4000", 0.0, 40.0, "E")], cols)
+    f = accounting.generate_flows(j)
+    assert {r.entry_id: r.method for r in f.collect()} == {1: "A", 2: "B", 3: "C", 4: "C"}
+    sums = {r.entry_id: r.s for r in f.groupBy("entry_id").agg(F.sum("amount").alias("s")).collect()}
+    assert sums == {1: 1000.0, 2: 500.0, 3: 500.0, 4: 50.0}
+    assert {r.pattern for r in accounting.entry_pattern(j).collect()} == {"SimpleSale"}
+
+
+def test_t_distribution():
+    assert accounting.t_p_value(np.array([0.0, 2.228, 4.587, 12.706]), np.array([10, 10, 10, 1])) == pytest.approx([1.0, 0.05, 0.001, 0.05], abs=2e-4)
+
+
+def test_orders_match_in_price_time_order():
+    b = orderbook.Book()
+    order = lambda i, side, price, q, trader, kind="Limit", tif="GTC": {"id": i, "symbol": 1, "side": side, "order_type": kind, "price": price, "quantity": q, "tif": tif, "ts": i, "trader": trader}
+    for o in (order(1, "Buy", 100, 10, 1), order(2, "Buy", 101, 5, 2), order(3, "Sell", 100, 12, 3)):
+        b.submit(o)
+    assert [(t[1], t[2], t[3], t[4]) for t in b.trades] == [(2, 3, 101, 5), (1, 3, 100, 7)]
+    assert b.states[1] == ("PartiallyFilled", 3) and b.states[3] == ("Filled", 0)
+    b.submit(order(4, "Sell", 90, 3, 1))  # does not trade with itself
+    assert b.states[4] == ("New", 3)
+    b.submit(order(5, "Buy", 80, 1, 9, tif="IOC"))
+    assert b.states[5] == ("Canceled", 1)
+    assert b.modify(1, price=99) and b.open[1]["left"] == 3 and b.cancel(1) and not b.cancel(1)
+
+
+def test_rapid_split(spark):
+    t = spark.createDataFrame([(i, 1, 2, 9000.0 + i, 3600 * i, "US") for i in range(4)], "id long, source_id long, dest_id long, amount double, ts long, location string")
+    assert {r.id for r in banking.rapid_split(banking.account_rows(t)).collect()} == {2, 3}
+
+
+def test_payment_flows(spark):
+    p = spark.createDataFrame([(str(i), a, b, float(v), "Completed", "ACH", "Normal", "USD", 0) for i, (a, b, v) in enumerate([("A", "B", 1000), ("A", "B", 500), ("B", "C", 800), ("C", "A", 600), ("A", "C", 300)])], "id string, payer_account string, payee_account string, amount double, status string, payment_type string, priority string, currency string, initiated_at long")
+    f = {(r.source, r.target): r.volume for r in payments.build_flows(p).collect()}
+    assert len(f) == 4 and f["A", "B"] == 1500
+
+
+def test_range_and_as_of_joins(spark):
+    a = spark.createDataFrame([("x", 5), ("x", 25)], "k string, t long")
+    b = spark.createDataFrame([("x", 0, "p"), ("x", 20, "q")], "key string, s long, v string")
+    assert {(r.t, r.v) for r in joins.range_join(a, b, [("k", "key")], "t", "s", 10).collect()} == {(5, "p"), (25, "q")}
+    prices = b.select(F.col("key").alias("k"), F.col("s").alias("t"), "v")
+    assert {(r.t, r.v) for r in joins.as_of_join(a, prices, "k", "t", ["v"]).collect()} == {(5, "p"), (25, "q")}
