@@ -103,6 +103,7 @@ LABELLED = (
     "call {phone:999-9999} now", "reach us at {phone:00 99 999 9999999}", "whatsapp {phone:09999 999999}",
     "mail {email:aaaa(at)aaaaa.aaa} please", "write to {email:aaa.aaa[at]aaaa.aaa} today", "contact {email:aaaa@localhost}", "email {email:aaaaa[at]aaaa.aaa} thanks", "or {email:aaaa.aaaaa(at)aaaa.aaa} then", "ecrire {email:aaaa(at)aaaa.aa}",
     "host {ip:9999:aaa9:99a9::9} answered", "ipv6 {ip:aa99::9a99:99aa:aa99:9999} up", "ping {ip:9a99:999::9} failed",
+    "{ip:aa99::9a9a:9a9a:9a9a:9999} up", "addr {ip:9999:9a9a:a999:9999:9999:9999:9999:9a9a}", "from {ip:::9}", "route {ip:9999:aa9::/99}", "{ip:aa99::a9aa:aaaa:aa99:aa9a} and", "std::aaaa and aaa::aaaa9", "a9:aa99", "9:a", "aa99:99", "license, version 9.", "version 9. see", "in section 9, and", "on host 9 of 99", "see 9. and 99.",
     "the year 9999 was good", "about 99 people and 999 more", "page 99 of 999", "price 99.99 or 999,999.99 in all", "on 9999-99-99 at 99:99", "99/99/9999 is the date",
     "token = \"99aa9999aa99aa99aa9999a9\" end", "version 9.99.9 and 9.9", "order 99999999 shipped", "id 9999999999999 stored", "sum 99999999999999999 of", "number 9999999999999999 here", "room 999-a", "rfc 9999 section 9.9",
     "isbn 999-9-99-999999-9", "a 9999999999 b", "score 9-9", "from 99 to 99-99", "@aaaa said", "@@ 99", "99% of + 9", "aaa9aa9 a9a", "row | 999 | 999 | 9999 |", "99 99 99", "c++ and 9+9", "x+9", "part 999-999",
