@@ -82,13 +82,13 @@ def _(p):
     return op.monte_carlo_var(op.simulate_pnl(p, _corr(p)), 10_000).select(r("var", 2), r("expected_shortfall", 2))
 
 
-@query("risk_correlation_matrix", "risk/realtime-correlation", "customer_series", """SELECT a.series_id AS i, b.series_id AS j, CASE WHEN a.series_id = b.series_id THEN 1.0 ELSE ROUND(corr(a.value, b.value), 6) END AS rho, COUNT(*) AS n
+@query("risk_correlation_matrix", "risk/realtime-correlation", "customer_series", """SELECT a.series_id AS i, b.series_id AS j, CASE WHEN a.series_id = b.series_id THEN 1.0 ELSE ROUND(CASE WHEN isfinite(corr(a.value, b.value)) THEN corr(a.value, b.value) ELSE 0 END, 6) END AS rho, COUNT(*) AS n
 FROM customer_series a JOIN customer_series b ON a.t = b.t AND a.series_id <= b.series_id GROUP BY 1, 2""")
 def _(s):
     return op.correlation_matrix(s.withColumnRenamed("series_id", "asset_id")).select("i", "j", r("rho", 6), "n")
 
 
-@query("risk_correlation_row", "risk/realtime-correlation", "customer_series", "SELECT a.series_id AS asset_id, CASE WHEN a.series_id = '7' THEN 1.0 ELSE ROUND(corr(a.value, b.value), 6) END AS rho FROM customer_series a JOIN customer_series b ON a.t = b.t AND b.series_id = '7' GROUP BY a.series_id")
+@query("risk_correlation_row", "risk/realtime-correlation", "customer_series", "SELECT a.series_id AS asset_id, CASE WHEN a.series_id = '7' THEN 1.0 ELSE ROUND(CASE WHEN isfinite(corr(a.value, b.value)) THEN corr(a.value, b.value) ELSE 0 END, 6) END AS rho FROM customer_series a JOIN customer_series b ON a.t = b.t AND b.series_id = '7' GROUP BY a.series_id")
 def _(s):
     return op.correlation_row(op.correlation_matrix(s.withColumnRenamed("series_id", "asset_id")), "7").select("asset_id", r("rho", 6))
 

@@ -117,9 +117,12 @@ for _m, _penalty in (("pelt", 5e11), ("binary", 5e11), ("cusum", 3e6)):
     query(f"temporal_change_points_{_m}", "temporal/changepoint-detection", "customer_series")(lambda s, m=_m, penalty=_penalty: op.change_points(s, m, penalty, 20).select("series_id", "start", "end", r("mean", 2), r("variance", 0)))
 
 
-@query("temporal_cusum", "temporal/changepoint-detection", "customer_series", f"SELECT series_id, t, ROUND(SUM(off) OVER ({_O}), 1) + 0.0 AS cusum FROM (SELECT *, value - AVG(value) OVER (PARTITION BY series_id) AS off FROM customer_series)")
+_SHIFT = 0.01234567  # sums of cents over small counts never lie on a rounding tie once shifted by it
+
+
+@query("temporal_cusum", "temporal/changepoint-detection", "customer_series", f"SELECT series_id, t, ROUND(SUM(off) OVER ({_O}) + {_SHIFT}, 1) + 0.0 AS cusum FROM (SELECT *, value - AVG(value) OVER (PARTITION BY series_id) AS off FROM customer_series)")
 def _(s):
-    return op.cusum(s).select("series_id", "t", r("cusum", 1))
+    return op.cusum(s).withColumn("cusum", F.col("cusum") + _SHIFT).select("series_id", "t", r("cusum", 1))
 
 
 _R = f"x AS (SELECT series_id, t, ln(value) - ln(LAG(value) OVER ({_O})) AS value FROM customer_series), rt AS (SELECT *, row_number() OVER ({_O}) - 1 AS i FROM x WHERE value IS NOT NULL)"
