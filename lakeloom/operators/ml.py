@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lakeloom.functions import vectors as V
@@ -188,12 +189,50 @@ def isolation_forest(points: DataFrame, n_trees: int = 100, size: int = 256, con
     return scored.withColumn("is_outlier", F.col("score") >= F.lit(cut))
 
 
-def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    """id, other, distance, rank: the k nearest of each point, ties by id.  All distances are computed, block
-    by block in the join; only k a point are kept."""
-    a, b = points.select("id", F.col("x").alias("xa")), points.select(F.col("id").alias("other"), F.col("x").alias("xb"))
-    d = a.crossJoin(b).where("id <> other").select("id", "other", V.DISTANCES[metric](F.col("xa"), F.col("xb")).alias("distance"))
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k)
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """All distances between two sets of points, a slice of ``a`` at a time for those that need it."""
+    if metric == "cosine":
+        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+        both = na[:, None] * nb
+        return 1 - np.divide(a @ b.T, both, out=np.zeros_like(both), where=both > 0)
+    fold = {"euclidean": lambda x: np.sqrt((x * x).sum(-1)), "manhattan": lambda x: np.abs(x).sum(-1), "chebyshev": lambda x: np.abs(x).max(-1)}[metric]
+    step = max(1, 4_000_000 // max(b.size, 1))
+    return np.concatenate([fold(a[i : i + step, None] - b) for i in range(0, len(a), step)])
+
+
+def knn(points: DataFrame, k: int, metric: str = "euclidean", queries: DataFrame | None = None, block: int = 1_024) -> DataFrame:
+    """id, other, distance, rank: the k nearest of each point (or of each of ``queries``), ties by id.  Points
+    are packed into blocks; a task compares two of them and keeps k a point, so pairs never leave it."""
+
+    def packed(df: DataFrame, side: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        rows = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "x")).alias("rows"))
+        return materialise(rows.select(F.col("rows.id").alias(f"id_{side}"), F.col("rows.x").alias(f"x_{side}")), "blocks")
+
+    def matrix(column: pa.ListArray, i: int) -> np.ndarray:
+        rows = column[i].values
+        return rows.values.to_numpy(zero_copy_only=False)[rows.offsets[0].as_py() : rows.offsets[-1].as_py()].reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ia, ib = (batch.column(c)[i].values.to_numpy() for c in (0, 2))
+                d = _distances(matrix(batch.column(1), i), matrix(batch.column(3), i), metric)
+                d[ia[:, None] == ib] = np.inf
+                last = np.partition(d, min(k, len(ib)) - 1, axis=1)[:, min(k, len(ib)) - 1]
+                q, o = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+                order = np.lexsort((ib[o], d[q, o], q))
+                q, o = q[order], o[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, o = q[keep], o[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(ia[q]), pa.array(ib[o]), pa.array(d[q, o])], names=["id", "other", "distance"])
+
+    rows = [d.select(F.col("id").cast("long"), F.col("x").cast("array<double>")) for d in (points, points if queries is None else queries)]
+    b = packed(rows[0], "b")
+    a = b.select(F.col("id_b").alias("id_a"), F.col("x_b").alias("x_a")) if queries is None else packed(rows[1], "a")
+    near = a.crossJoin(b).mapInArrow(task, "id long, other long, distance double")
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "other")))
+    return ranked.where(F.col("rank") <= k)
 
 
 def local_outlier_factor(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -292,13 +331,20 @@ def shap_values(rows: DataFrame, background: list[list[float]], predict: Callabl
     z = np.vstack([np.zeros(d), np.ones(d), rng.integers(0, 2, (max(coalitions - 2, 0), d))])
     w = np.array([kernel_weight(d, int(r.sum())) for r in z])
     base = float(predict(bg).mean())
+    masks, of = np.unique(z.astype(bool), axis=0, return_inverse=True)
+    step = max(1, 1_000_000 // bg.size)
     solve = np.linalg.solve(z.T @ (w[:, None] * z) + ridge_ * np.eye(d), z.T * w)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array(b["x"].tolist(), float).reshape(-1, d)
-            out = [solve @ (np.array([predict(np.where(c, row, bg)).mean() for c in z.astype(bool)]) - base) for row in x]
-            yield pd.DataFrame({"id": b["id"], "base": base, "values": [v.tolist() for v in out]})
+            seen = np.zeros((len(x), len(masks)))
+            for at in range(0, len(x), step):
+                part = x[at : at + step, None]
+                for j, c in enumerate(masks):
+                    seen[at : at + step, j] = predict(np.where(c, part, bg).reshape(-1, d)).reshape(-1, len(bg)).mean(1)
+            out = (seen[:, of] - base) @ solve.T
+            yield pd.DataFrame({"id": b["id"], "base": base, "values": out.tolist()})
 
     return rows.select("id", "x").mapInPandas(task, "id long, base double, values array<double>")
 

@@ -117,9 +117,9 @@ def _(i):
     return op.party_settlement(i)
 
 
-@query("clearing_prioritise", "clearing/settlement", "instructions", "SELECT id, payment_amount FROM instructions ORDER BY payment_amount DESC, id LIMIT 50")
+@query("clearing_prioritise", "clearing/settlement", "instructions", "SELECT id, payment_amount FROM instructions ORDER BY payment_amount DESC, id")
 def _(i):
-    return op.prioritise(i).select("id", "payment_amount").limit(50)
+    return op.prioritise(i).select("id", "payment_amount")
 
 
 def _activity(i):

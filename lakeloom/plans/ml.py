@@ -40,25 +40,29 @@ def _(p):
     return op.inertia(op.kmeans(_points(p), 4, rounds=10)[1]).select(r("inertia", 2))
 
 
-_SMALL = "WHERE row_id < 30000000000"
-_EPS = f"""pt AS (SELECT * FROM points {_SMALL}), pr AS (SELECT a.row_id AS a, b.row_id AS b FROM pt a JOIN pt b ON a.row_id <> b.row_id AND sqrt(pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2)) <= 2.5),
-co AS (SELECT row_id AS id FROM pt LEFT JOIN pr ON a = row_id GROUP BY 1 HAVING COUNT(b) + 1 >= 4)"""
+_EPS = """pt AS (SELECT c_custkey AS row_id, c_acctbal / 100 AS x0, c_nationkey * 10 AS x1, length(c_mktsegment) * 10 AS x2 FROM customer), pr AS (SELECT a.row_id AS a, b.row_id AS b FROM pt a JOIN pt b ON a.row_id <> b.row_id AND sqrt(pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2)) <= 5),
+co AS (SELECT row_id AS id FROM pt LEFT JOIN pr ON a = row_id GROUP BY 1 HAVING COUNT(b) + 1 >= 3)"""
 
 
-@query("ml_dbscan", "ml/dbscan-cluster", "points", f"""WITH RECURSIVE {_EPS}, rc(a, b) AS (SELECT id, id FROM co UNION SELECT rc.a, pr.b FROM rc JOIN pr ON rc.b = pr.a JOIN co ON co.id = pr.b), cl AS (SELECT a AS id, MIN(b) AS cluster FROM rc GROUP BY 1),
+def _customer_points(c):
+    return c.select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 100, F.col("c_nationkey") * 10.0, F.length("c_mktsegment") * 10.0).alias("x"))
+
+
+@query("ml_dbscan", "ml/dbscan-cluster", "customer", f"""WITH RECURSIVE {_EPS}, rc(a, b) AS (SELECT id, id FROM co UNION SELECT rc.a, pr.b FROM rc JOIN pr ON rc.b = pr.a JOIN co ON co.id = pr.b), cl AS (SELECT a AS id, MIN(b) AS cluster FROM rc GROUP BY 1),
 bo AS (SELECT pr.a AS id, MIN(cluster) AS cluster FROM pr JOIN cl ON cl.id = pr.b WHERE pr.a NOT IN (SELECT id FROM co) GROUP BY 1) SELECT pt.row_id AS id, COALESCE(cl.cluster, bo.cluster, -1) AS cluster FROM pt LEFT JOIN cl ON cl.id = pt.row_id LEFT JOIN bo ON bo.id = pt.row_id""")
-def _(p):
-    return op.dbscan(_points(p.where("row_id < 30000000000")), 2.5, 4)
+def _(c):
+    return op.dbscan(_customer_points(c), 5.0, 3)
 
 
-@query("ml_eps_neighbours", "ml/dbscan-cluster", "points", f"WITH {_EPS} SELECT a, b FROM pr")
-def _(p):
-    return op.neighbour_pairs(_points(p.where("row_id < 30000000000")), 2.5)
+@query("ml_eps_neighbours", "ml/dbscan-cluster", "customer", f"WITH {_EPS} SELECT a, b FROM pr")
+def _(c):
+    return op.neighbour_pairs(_customer_points(c), 5.0)
 
 
-@query("ml_hierarchical", "ml/hierarchical-cluster", "points")
-def _(p):
-    return op.hierarchical(_points(p.where("row_id < 30000000000")), 5)
+@query("ml_hierarchical", "ml/hierarchical-cluster", "customer")
+def _(c):
+    nations = c.groupBy(F.col("c_nationkey").alias("id")).agg(F.array(F.avg("c_acctbal") / 100, F.count(F.lit(1)).cast("double")).alias("x"))
+    return op.hierarchical(nations, 5)
 
 
 @query("ml_isolation_forest", "ml/isolation-forest", "points")
@@ -71,7 +75,7 @@ def _(region):
     return region.sparkSession.createDataFrame([(n, round(op.average_path(n), 8)) for n in (2, 8, 64, 256, 10_000)], "n int, path double")
 
 
-_KNN = "WITH e AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id < 200), d AS (SELECT a.id, b.id AS other, list_distance(a.v::DOUBLE[], b.v::DOUBLE[]) AS distance FROM e a, e b WHERE a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM d QUALIFY rank <= 5)"
+_KNN = "WITH e AS (SELECT vec_id AS id, embedding AS v FROM embeddings), d AS (SELECT a.id, b.id AS other, list_distance(a.v::DOUBLE[], b.v::DOUBLE[]) AS distance FROM e a, e b WHERE a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM d QUALIFY rank <= 5)"
 
 
 def _vectors(e):
@@ -80,12 +84,12 @@ def _vectors(e):
 
 @query("ml_knn", "ml/local-outlier-factor", "embeddings", f"{_KNN} SELECT id, other, ROUND(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM k")
 def _(e):
-    return op.knn(_vectors(e.where("vec_id < 200")), 5).select("id", "other", r("distance", 6), "rank")
+    return op.knn(_vectors(e), 5).select("id", "other", r("distance", 6), "rank")
 
 
 @query("ml_local_outlier_factor", "ml/local-outlier-factor", "embeddings", f"{_KNN}, kd AS (SELECT id AS other, MAX(distance) AS kd FROM k GROUP BY 1), l AS (SELECT k.id, 5 / SUM(GREATEST(distance, kd)) AS lrd FROM k JOIN kd USING (other) GROUP BY 1) SELECT k.id, ROUND(AVG(o.lrd) / ANY_VALUE(l.lrd), 6) AS lof FROM k JOIN l o ON o.id = k.other JOIN l ON l.id = k.id GROUP BY 1")
 def _(e):
-    return op.local_outlier_factor(_vectors(e.where("vec_id < 200")), 5).select("id", r("lof", 6))
+    return op.local_outlier_factor(_vectors(e), 5).select("id", r("lof", 6))
 
 
 _PRED = "p AS (SELECT o_orderkey AS sample, m AS model, (o_orderkey * (m + 3) // 7) % 3 AS label, (o_orderkey * (m + 2) % 101) / 100.0 AS value, 1.0 + m / 2.0 AS w FROM orders, (SELECT unnest([0, 1, 2, 3]) AS m))"
@@ -225,8 +229,8 @@ def _(s):
 
 def _drugs(p):
     k = F.col("p_partkey")
-    drugs = p.where("p_partkey < 40").select(k.alias("drug"), F.array(k % 9).alias("classes"), F.array(k % 5, k % 7 + 10, k % 3 + 20).alias("targets"), F.array((k % 4).cast("double"), (k % 6).cast("double"), F.lit(1.0)).alias("mechanism"))
-    known = p.where("p_partkey < 30").select(k.alias("a"), (k + 3).alias("b"), F.when(k % 2 == 0, "Major").otherwise("Minor").alias("severity"))
+    drugs = p.select(k.alias("drug"), F.array(k % 9).alias("classes"), F.array(k % 5, k % 7 + 10, k % 3 + 20).alias("targets"), F.array((k % 4).cast("double"), (k % 6).cast("double"), F.lit(1.0)).alias("mechanism"))
+    known = p.select(k.alias("a"), (k + 3).alias("b"), F.when(k % 2 == 0, "Major").otherwise("Minor").alias("severity"))
     return drugs, known
 
 
@@ -250,11 +254,11 @@ _STEPS = [("s1", "signup", "intake", True, 1.0, []), ("s2", "view", "check", Tru
 
 def _care(e):
     steps = e.sparkSession.createDataFrame(_STEPS, "step string, name string, category string, required boolean, expected_hours double, needs array<string>")
-    events = e.where("id % 13 < 5").select(F.col("user_id").alias("patient"), "id", F.lit(None).cast("string").alias("step"), F.when(F.col("event_type") == "signup", "intake").when(F.col("event_type") == "view", "check").when(F.col("event_type") == "purchase", "care").otherwise("audit").alias("category"), F.concat(F.lit("Did "), F.upper("event_type")).alias("description"), ((F.col("ts") - 1_704_067_200) / 3600.0).alias("hours"))
+    events = e.select(F.col("user_id").alias("patient"), "id", F.lit(None).cast("string").alias("step"), F.when(F.col("event_type") == "signup", "intake").when(F.col("event_type") == "view", "check").when(F.col("event_type") == "purchase", "care").otherwise("audit").alias("category"), F.concat(F.lit("Did "), F.upper("event_type")).alias("description"), ((F.col("ts") - 1_704_067_200) / 3600.0).alias("hours"))
     return steps, events
 
 
-_CARE = """ev AS (SELECT user_id AS patient, event_type AS t, (ts - 1704067200) / 3600 AS hours FROM user_events WHERE id % 13 < 5), st(step, name, req, exp, need) AS (VALUES ('s1', 'signup', true, 1.0, NULL), ('s2', 'view', true, 100.0, 's1'), ('s3', 'purchase', true, 300.0, 's2'), ('s4', 'error', false, NULL, 's3')),
+_CARE = """ev AS (SELECT user_id AS patient, event_type AS t, (ts - 1704067200) / 3600 AS hours FROM user_events), st(step, name, req, exp, need) AS (VALUES ('s1', 'signup', true, 1.0, NULL), ('s2', 'view', true, 100.0, 's1'), ('s3', 'purchase', true, 300.0, 's2'), ('s4', 'error', false, NULL, 's3')),
 dn AS (SELECT patient, step, exp, need, COUNT(*) AS n, MIN(hours) AS hours FROM ev JOIN st ON t = name GROUP BY ALL), wh AS (SELECT DISTINCT patient FROM ev),
 dv AS (SELECT patient, step, 'MissedStep' AS deviation, 'Major' AS severity FROM wh, st WHERE req AND (patient, step) NOT IN (SELECT (patient, step) FROM dn) UNION ALL SELECT patient, step, 'TimingDeviation', CASE WHEN ABS(hours - exp) > 48 THEN 'Major' ELSE 'Minor' END FROM dn WHERE ABS(hours - exp) > 24
 UNION ALL SELECT patient, step, 'DuplicateStep', 'Info' FROM dn WHERE n > 1 UNION ALL SELECT patient, step, 'OrderViolation', 'Major' FROM dn WHERE need IS NOT NULL AND (patient, need) NOT IN (SELECT (patient, step) FROM dn))"""

@@ -49,10 +49,10 @@ def _(e):
     return op.immediate_loops(e, 3)
 
 
-@query("process_independence", "procint/partial-order", "process_events", """WITH h AS (SELECT DISTINCT case_id, activity FROM process_events WHERE id % 7 < 3), t AS (SELECT COUNT(DISTINCT case_id) AS t FROM h), p AS (SELECT activity, COUNT(*) AS n FROM h GROUP BY 1), co AS (SELECT x.activity AS a, y.activity AS b, COUNT(*) AS n FROM h x JOIN h y USING (case_id) GROUP BY 1, 2)
+@query("process_independence", "procint/partial-order", "process_events", """WITH h AS (SELECT DISTINCT case_id, activity FROM process_events), t AS (SELECT COUNT(DISTINCT case_id) AS t FROM h), p AS (SELECT activity, COUNT(*) AS n FROM h GROUP BY 1), co AS (SELECT x.activity AS a, y.activity AS b, COUNT(*) AS n FROM h x JOIN h y USING (case_id) GROUP BY 1, 2)
 SELECT x.activity AS a, y.activity AS b, ROUND(1 - LEAST(COALESCE(co.n, 0) * t / (x.n * y.n), 1), 6) + 0.0 AS independence FROM p x JOIN p y ON x.activity < y.activity CROSS JOIN t LEFT JOIN co ON co.a = x.activity AND co.b = y.activity""")
 def _(e):
-    return op.independence(e.where("id % 7 < 3")).select("a", "b", r("independence", 6))
+    return op.independence(e).select("a", "b", r("independence", 6))
 
 
 _MODEL = f"{_DFG}, m AS (SELECT a, b FROM d WHERE n >= 390), st AS (SELECT a FROM s WHERE k = 1 GROUP BY 1 HAVING COUNT(*) >= 28), en AS (SELECT a FROM s WHERE b IS NULL GROUP BY 1 HAVING COUNT(*) >= 28), deg AS (SELECT a, COUNT(*) AS options FROM m GROUP BY 1)"
@@ -138,7 +138,7 @@ def _(e):
 
 @query("process_missing_events", "procint/log-imputation", "process_events")
 def _(e):
-    return op.missing_events(e.where("id % 3 <> 0 OR activity <> 'view'"), 2.6, 0.05).select("case_id", "k", "a", "missing", "b", r("confidence", 6))
+    return op.missing_events(e, 2.6, 0.05).select("case_id", "k", "a", "missing", "b", r("confidence", 6))
 
 
 @query("process_incomplete_cases", "procint/log-imputation", "process_events", f"""WITH {_S}, a AS (SELECT 'start' AS kind, case_id, a AS activity FROM s WHERE k = 1 UNION ALL SELECT 'end', case_id, a FROM s WHERE b IS NULL) SELECT case_id, kind, activity FROM (SELECT *, COUNT(*) OVER (PARTITION BY kind, activity) AS n FROM a) WHERE n < 30""")

@@ -21,10 +21,10 @@ def _(s):
     return op.moving_average(s, 7, centred=True).select("series_id", "t", r("trend"))
 
 
-@query("temporal_exponential_average", "temporal/trend-extraction", "customer_series", f"""WITH RECURSIVE {_P}, e(series_id, i, s) AS (SELECT series_id, i, value FROM p WHERE i = 0 UNION ALL SELECT p.series_id, p.i, 2.0 / 13 * p.value + 11.0 / 13 * e.s FROM e JOIN p ON p.series_id = e.series_id AND p.i = e.i + 1 WHERE e.i < 99)
+@query("temporal_exponential_average", "temporal/trend-extraction", "customer_series", f"""WITH RECURSIVE {_P}, e(series_id, i, s) AS (SELECT series_id, i, value FROM p WHERE i = 0 UNION ALL SELECT p.series_id, p.i, 2.0 / 13 * p.value + 11.0 / 13 * e.s FROM e JOIN p ON p.series_id = e.series_id AND p.i = e.i + 1)
 SELECT series_id, CAST(i AS INTEGER) AS i, ROUND(s, 2) AS trend FROM e""")
 def _(s):
-    return op.exponential_average(s, 12).where("i < 100").select("series_id", "i", r("trend", 2))
+    return op.exponential_average(s, 12).select("series_id", "i", r("trend", 2))
 
 
 @query("temporal_holt", "temporal/trend-extraction", "customer_series")
@@ -133,10 +133,10 @@ def _(s):
     return op.realized_volatility(op.returns(s), 21).select("series_id", "t", r("volatility", 6))
 
 
-@query("temporal_ewma_volatility", "temporal/volatility-analysis", "customer_series", f"""WITH RECURSIVE {_R}, e(series_id, i, v) AS (SELECT series_id, CAST(0 AS BIGINT), VAR_SAMP(value) FROM rt GROUP BY 1 UNION ALL SELECT e.series_id, e.i + 1, 0.94 * v + 0.06 * value * value FROM e JOIN rt ON rt.series_id = e.series_id AND rt.i = e.i WHERE e.i < 99)
+@query("temporal_ewma_volatility", "temporal/volatility-analysis", "customer_series", f"""WITH RECURSIVE {_R}, e(series_id, i, v) AS (SELECT series_id, CAST(0 AS BIGINT), VAR_SAMP(value) FROM rt GROUP BY 1 UNION ALL SELECT e.series_id, e.i + 1, 0.94 * v + 0.06 * value * value FROM e JOIN (SELECT *, COUNT(*) OVER (PARTITION BY series_id) AS c FROM rt) rt ON rt.series_id = e.series_id AND rt.i = e.i AND e.i + 1 < c)
 SELECT series_id, CAST(i AS INTEGER) AS i, ROUND(sqrt(v), 6) AS volatility FROM e""")
 def _(s):
-    return op.ewma_volatility(op.returns(s)).where("i < 100").select("series_id", "i", r("volatility", 6))
+    return op.ewma_volatility(op.returns(s)).select("series_id", "i", r("volatility", 6))
 
 
 @query("temporal_garch", "temporal/volatility-analysis", "customer_series")

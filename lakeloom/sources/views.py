@@ -70,7 +70,7 @@ VIEWS: dict[str, str] = {
     "kyc": """SELECT c_custkey AS customer_id, CAST(c_custkey * 7 % 101 AS DOUBLE) AS country_risk, CAST(c_custkey * 13 % 101 AS DOUBLE) AS industry_risk, CAST(c_custkey * 17 % 101 AS DOUBLE) AS product_risk,
         CAST(c_custkey * 29 % 101 AS DOUBLE) AS transaction_risk, CAST(c_custkey * 31 % 101 AS DOUBLE) AS documentation_score, CAST(c_custkey % 15 AS DOUBLE) AS tenure_years FROM {customer}""",
     "positions": """SELECT p_brand AS asset_id, SUM(p_retailprice) AS value, 0.02e0 + AVG(p_size) / 500 AS mu, 0.05e0 + AVG(p_size) / 200 AS sigma FROM {part} GROUP BY p_brand""",
-    "points": f"""SELECT {_ROW_ID} AS row_id, l_quantity AS x0, l_discount * 100 AS x1, l_tax * 100 AS x2, l_extendedprice AS y FROM {{lineitem}} WHERE l_orderkey < 400""",
+    "points": f"""SELECT {_ROW_ID} AS row_id, l_quantity AS x0, l_discount * 100 AS x1, l_tax * 100 AS x2, l_extendedprice AS y FROM {{lineitem}}""",
     "journal": f"""SELECT l_orderkey AS entry_id, (l_linenumber * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS line_number, CAST(FLOOR(EPOCH(o_orderdate)) AS BIGINT) AS posting_date,
         CONCAT(CAST(1 + l_partkey % 5 AS VARCHAR(4)), CAST(100 + l_suppkey % 20 AS VARCHAR(6))) AS account_code, l_extendedprice AS debit, 0.0e0 AS credit, n_name AS entity_id
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey
