@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +305,17 @@ def test_range_and_as_of_joins(spark):
     assert {(r.t, r.v) for r in joins.range_join(a, b, [("k", "key")], "t", "s", 10).collect()} == {(5, "p"), (25, "q")}
     prices = b.select(F.col("key").alias("k"), F.col("s").alias("t"), "v")
     assert {(r.t, r.v) for r in joins.as_of_join(a, prices, "k", "t", ["v"]).collect()} == {(5, "p"), (25, "q")}
+
+
+def test_many_names_score_as_one_does():
+    import random
+
+    from lakeloom.functions.names import jaro_winkler, jaro_winkler_score, jaro_winkler_scores
+
+    rng = random.Random(1)
+    names = ["", "a", "martha", "marhta", "dixon", "dicksonx", "é" * 5, "x" * 300] + ["".join(rng.choices("abc d", k=rng.randrange(12))) for _ in range(300)]
+    a, b = rng.choices(names, k=2000), rng.choices(names, k=2000)
+    want = [jaro_winkler_score(x, y) for x, y in zip(a, b, strict=True)]
+    assert jaro_winkler_scores(a, b).tolist() == want
+    assert jaro_winkler.func(pd.Series(a), pd.Series(b)).tolist() == want
+    assert len(jaro_winkler_scores([], [])) == 0
