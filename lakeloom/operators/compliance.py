@@ -181,12 +181,16 @@ def _names(df: DataFrame, key: str, prefix: str) -> DataFrame:
     return df.select(F.col(key).alias(f"{prefix}_id"), F.explode(names).alias(f"{prefix}_name"))
 
 
+def _tasks(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def screen(names: DataFrame, watchlist: DataFrame, least: float = 0.7, top: int = 10, hit: float = 0.85) -> DataFrame:
     """query_id, entry_id, score, matched_name and is_hit: the best ``top`` entries of each name with a
     score of ``least`` or more.  names(id, name), watchlist(id, name, aliases).  The watchlist is the
     stated query set that is held against all names; Catalyst sends it to the tasks while small."""
     q, e = _names(names.drop("aliases"), "id", "query"), _names(watchlist, "id", "entry")
-    scored = q.crossJoin(e).withColumn("score", jaro_winkler("query_name", "entry_name"))
+    scored = q.repartition(_tasks(q)).crossJoin(e).withColumn("score", jaro_winkler("query_name", "entry_name"))
     best = scored.where(F.col("score") >= least).groupBy("query_id", "entry_id").agg(F.max("score").alias("score"), F.max_by("entry_name", F.struct("score", "entry_name")).alias("matched_name"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "entry_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= top).withColumn("is_hit", F.col("score") >= hit)
@@ -195,7 +199,7 @@ def screen(names: DataFrame, watchlist: DataFrame, least: float = 0.7, top: int
 def screen_pep(names: DataFrame, peps: DataFrame, least: float = 0.7, top: int = 10, hit: float = 0.85) -> DataFrame:
     """screen against politically exposed persons (id, name, level): ties of score by level."""
     q, e = _names(names.drop("aliases"), "id", "query"), peps.select(F.col("id").alias("entry_id"), F.col("name").alias("entry_name"), "level")
-    scored = q.crossJoin(e).withColumn("score", jaro_winkler("query_name", "entry_name")).where(F.col("score") >= least)
+    scored = q.repartition(_tasks(q)).crossJoin(e).withColumn("score", jaro_winkler("query_name", "entry_name")).where(F.col("score") >= least)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "level", "entry_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "entry_id", "level", "score", "rank", (F.col("score") >= hit).alias("is_pep"))
 
@@ -203,9 +207,13 @@ def screen_pep(names: DataFrame, peps: DataFrame, least: float = 0.7, top: int =
 def resolve_entities(queries: DataFrame, candidates: DataFrame, least: float = 0.7, top: int = 10) -> DataFrame:
     """query_id, entity_id, score of entities(id, name, aliases, birth_date, country): name 0.6, date
     0.25 (half of it where no date agrees or is known) and country 0.15.  Candidates are those that
-    share the first letter of a name or alias with the query, which a score of 0.7 needs in practice."""
+    share the first letter of a name or alias with the query, which a score of 0.7 needs in practice.
+    A letter's candidates are dealt over many tasks, and the queries go to each of them."""
     q, c = (_names(d, "id", p).withColumn("block", F.lower(F.substring(f"{p}_name", 1, 1))) for d, p in ((queries, "query"), (candidates, "entity")))
-    best = q.join(c, "block").withColumn("s", jaro_winkler("query_name", "entity_name")).groupBy("query_id", "entity_id").agg(F.max("s").alias("name_score"))
+    n = _tasks(queries)
+    c = c.withColumn("part", F.pmod(F.xxhash64("entity_id", "entity_name"), F.lit(n)))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    best = q.join(c.hint("shuffle_hash"), ["block", "part"]).withColumn("s", jaro_winkler("query_name", "entity_name")).groupBy("query_id", "entity_id").agg(F.max("s").alias("name_score"))
     a = queries.select(F.col("id").alias("query_id"), F.col("birth_date").alias("qd"), F.col("country").alias("qc"))
     b = candidates.select(F.col("id").alias("entity_id"), F.col("birth_date").alias("ed"), F.col("country").alias("ec"))
     df = best.where("query_id <> entity_id").join(a, "query_id").join(b, "entity_id")
