@@ -199,14 +199,15 @@ def close_in_blocks(members: DataFrame, nodes: DataFrame, similarity: float) ->
             ids, label = group.column(1).to_numpy(), group.column(2).to_numpy()
             sig = np.frombuffer(Texts.of(group.column(3).combine_chunks()).raw, np.uint8).reshape(-1, SLOTS)
             out, count, dense = [np.zeros((0, 2), np.int64)], 0, False
+            at = np.arange(len(ids))
             for i in range(0, len(ids), 256):
-                for j in range(i - i % 2048, len(ids), 2048):
-                    x, y = slice(i, i + 256), slice(j, j + 2048)
+                for j in range(i - i % BLOCK, len(ids), BLOCK):
+                    x, y = slice(i, i + 256), slice(j, j + BLOCK)
                     agree = np.zeros((len(ids[x]), len(ids[y])), np.uint8)
                     for c in range(SLOTS):
                         agree += sig[x, c][:, None] == sig[y, c]
-                    p, q = np.nonzero((agree >= least) & (label[x][:, None] != label[y]) & (ids[x][:, None] < ids[y]))
-                    out.append(np.stack([ids[x][p], ids[y][q]], 1))
+                    p, q = np.nonzero((agree >= least) & (label[x][:, None] != label[y]) & (at[x][:, None] < at[y]))
+                    out.append(np.sort(np.stack([ids[x][p], ids[y][q]], 1), 1))
                     count += len(p)
                 dense = count > DENSE * len(ids)
                 if dense:

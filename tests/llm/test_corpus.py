@@ -436,6 +436,26 @@ def test_smaller_buckets_keep_all_links(spark, monkeypatch):
     assert got == {docs[k][0]: v for k, v in _classes(docs).items()}
 
 
+def _bucket(spark, n, seed):
+    """Members of one bucket in random order, their signatures, and pairs of equal signatures far apart."""
+    rng = np.random.default_rng(seed)
+    sig = rng.integers(0, 256, (n, near_dedup.SLOTS), np.uint8)
+    sig[n // 2 :] = sig[: n // 2]
+    order = rng.permutation(n).tolist()
+    members = spark.createDataFrame([(7, i, i) for i in order], "bucket long, id long, label long").coalesce(1)
+    nodes = spark.createDataFrame([(i, bytes(sig[i])) for i in range(n)], "id long, sig binary")
+    return members, nodes, {(i, i + n // 2) for i in range(n // 2)}
+
+
+@pytest.mark.parametrize("block", [None, 512])
+def test_blocks_of_a_large_bucket_lose_no_pair(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+    members, nodes, want = _bucket(spark, 5_000, 3)
+    got = near_dedup.close_in_blocks(members, nodes, 0.8).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
 def test_without_rows(spark, odd):
     key = near_dedup.row_key()
     gone = odd.where("doc_id IN (3, 9)").select("doc_id", key.alias("row_key"))
