@@ -17,9 +17,8 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: A bucket of at most so many texts is compared pair by pair.
 SMALL = 8
-#: Texts of a larger bucket whose signatures one task compares; smaller buckets that a text of a
-#: bucket above that goes to; and rounds before what is left is compared in full.
-BLOCK, SPLIT, LEVELS = 2_048, 12, 6
+#: Texts whose signatures one task compares; a bucket of more is compared block against block.
+BLOCK = 2_048
 #: Likely pairs a text from which a bucket is compared in one piece.
 DENSE = 8
 _ROW_BITS = 13
@@ -188,25 +187,54 @@ def _complete_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
+def in_groups(members: DataFrame) -> DataFrame:
+    """members(bucket, id, label, n) dealt into groups of about BLOCK texts that hold every pair of one
+    bucket and different labels: bucket (the group's key), id, label, side.
+
+    A bucket of up to BLOCK texts is one group.  The texts of a larger one are dealt into blocks of
+    half that, those of a label with more than a block apart from the others; a group is two blocks
+    (side 0 and 1), of which only pairs across count, or one block by itself.  Blocks of one label
+    do not meet.
+    """
+    half = max(BLOCK // 2, 1)
+    small = members.where(F.col("n") <= BLOCK).select("bucket", "id", "label", F.lit(0).alias("side"))
+    large = members.where(F.col("n") > BLOCK).select("bucket", "id", "label")
+    own = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).withColumn("own", F.when(F.col("m") > half, F.col("label")).otherwise(-1))
+    size = own.groupBy("bucket", "own").agg(F.ceil(F.sum("m") / half).alias("blocks"))
+    size = materialise(size, "blocks")
+    cells = size.select("bucket", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    x, y = (cells.select("bucket", F.col("own").alias(f"own_{c}"), F.col("part").alias(f"part_{c}")) for c in "xy")
+    meet = x.join(y, "bucket").where("own_x < own_y OR own_x = -1 AND own_y = -1 AND part_x <= part_y")
+    meet = meet.withColumn("group", F.xxhash64("bucket", "own_x", "part_x", "own_y", "part_y"))
+    twice = "own_x <> own_y OR part_x <> part_y"
+    places = meet.select("bucket", F.col("own_x").alias("own"), F.col("part_x").alias("part"), "group", F.lit(0).alias("side")).unionByName(meet.where(twice).select("bucket", F.col("own_y").alias("own"), F.col("part_y").alias("part"), "group", F.lit(1).alias("side")))
+    placed = large.join(own.where("own <> -1").select("bucket", "label", "own"), ["bucket", "label"], "left").withColumn("own", F.coalesce("own", F.lit(-1).cast("long")))
+    placed = placed.join(size, ["bucket", "own"]).withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")))
+    dealt = placed.join(places, ["bucket", "own", "part"]).select(F.col("group").alias("bucket"), "id", "label", "side")
+    return small.unionByName(dealt)
+
+
 def close_in_blocks(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts of one bucket and different labels whose signatures agree as in likely;
-    b is null and bucket set for the texts of buckets with over DENSE such pairs a text.  A bucket's
-    signatures (SLOTS bytes each) are compared in the task that has it, block by block."""
+    """Pairs (a, b) of texts of one group and different labels whose signatures agree as in likely, in a
+    group of two sides those across; b is null and bucket set for the texts of groups with over DENSE
+    such pairs a text.  A group's signatures (SLOTS bytes each) are compared in the task that has it,
+    block by block."""
     least = _least_agreement(similarity)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _complete_groups(batches):
-            ids, label = group.column(1).to_numpy(), group.column(2).to_numpy()
+            ids, label, side = (group.column(i).to_numpy() for i in (1, 2, 4))
             sig = np.frombuffer(Texts.of(group.column(3).combine_chunks()).raw, np.uint8).reshape(-1, SLOTS)
+            one = np.arange(len(ids))
+            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (one, one)
             out, count, dense = [np.zeros((0, 2), np.int64)], 0, False
-            at = np.arange(len(ids))
-            for i in range(0, len(ids), 256):
-                for j in range(i - i % BLOCK, len(ids), BLOCK):
-                    x, y = slice(i, i + 256), slice(j, j + BLOCK)
-                    agree = np.zeros((len(ids[x]), len(ids[y])), np.uint8)
+            for i in range(0, len(left), 256):
+                for j in range(0 if side.any() else i - i % BLOCK, len(right), BLOCK):
+                    x, y = left[i : i + 256], right[j : j + BLOCK]
+                    agree = np.zeros((len(x), len(y)), np.uint8)
                     for c in range(SLOTS):
                         agree += sig[x, c][:, None] == sig[y, c]
-                    p, q = np.nonzero((agree >= least) & (label[x][:, None] != label[y]) & (at[x][:, None] < at[y]))
+                    p, q = np.nonzero((agree >= least) & (label[x][:, None] != label[y]) & (side.any() | (x[:, None] < y)))
                     out.append(np.sort(np.stack([ids[x][p], ids[y][q]], 1), 1))
                     count += len(p)
                 dense = count > DENSE * len(ids)
@@ -219,7 +247,8 @@ def close_in_blocks(members: DataFrame, nodes: DataFrame, similarity: float) ->
                 got = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.nulls(len(got), pa.int64())], names=["a", "b", "bucket"])
 
-    rows = members.join(nodes.select("id", "sig"), "id").select("bucket", "id", "label", "sig")
+    members = members if "side" in members.columns else members.withColumn("side", F.lit(0))
+    rows = members.join(nodes.select("id", "sig"), "id").select("bucket", "id", "label", "sig", "side")
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(task), "a long, b long, bucket long")
 
 
@@ -300,9 +329,9 @@ def link_texts(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     larger one every text is first compared with a leader, the text with the most company over all
     its bands: copies differ from one another more than from what they were made of, whose bands
     are the commonest.  Labels are merged then, so a group of near copies is mostly done.  In
-    buckets that still have several labels, of up to BLOCK texts, signatures are compared within
-    the task; if nearly all agree there, so are the whole texts, and no pair leaves the task.  The texts of larger ones go on to smaller buckets, where one of SPLIT pairs of other
-    bands must agree too; what is still larger after LEVELS rounds is compared in full.
+    buckets that still have several labels all signatures of different labels are compared, in
+    groups of about BLOCK texts that a task has (in_groups); if nearly all agree there, so are the
+    whole texts of the group, and no pair leaves the task.
     """
     shared = nodes.select("id", F.explode("bands").alias("bucket"))
     full = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -315,25 +344,15 @@ def link_texts(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     pairs = materialise(led.unionByName(close).distinct(), "pairs")
     near = materialise(likely(pairs, nodes, similarity), "near0")
     labels = _merge(near, None, nodes, docs, similarity, k, 0)
-    tested = pairs
-    rest = members.where(F.col("n") > SMALL).select("id", "bucket")
-    for level in range(1, LEVELS + 1):
-        mine = _labelled(rest, labels)
-        mixed = mine.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "n")
-        members = materialise(mine.join(mixed, "bucket"), f"members{level}")
-        if members.isEmpty():
-            break
-        limit = BLOCK if level < LEVELS else 1 << 62
-        found = materialise(close_in_blocks(members.where(F.col("n") <= limit), nodes, similarity), f"found{level}")
-        near = found.where("b IS NOT NULL").select("a", "b").distinct()
-        near = materialise(near.join(tested, ["a", "b"], "left_anti"), f"near{level}")
-        tested = tested.unionByName(near)
-        labels = _merge(near, labels, nodes, docs, similarity, k, level, found.where("b IS NULL").select("bucket", F.col("a").alias("id")))
-        rest = members.where(F.col("n") > limit).select("id", "bucket")
-        if level == LEVELS or rest.isEmpty():
-            break
-        rest = rest.join(nodes.select("id", "bands"), "id").select("id", F.explode(_smaller(level)).alias("bucket")).distinct()
-    return labels
+    mine = _labelled(members.where(F.col("n") > SMALL).select("id", "bucket"), labels)
+    mixed = mine.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "n")
+    members = materialise(mine.join(mixed, "bucket"), "members1")
+    if members.isEmpty():
+        return labels
+    found = materialise(close_in_blocks(in_groups(members), nodes, similarity), "found1")
+    near = found.where("b IS NOT NULL").select("a", "b").distinct()
+    near = materialise(near.join(pairs, ["a", "b"], "left_anti"), "near1")
+    return _merge(near, labels, nodes, docs, similarity, k, 1, found.where("b IS NULL").select("bucket", F.col("a").alias("id")))
 
 
 def _merge(near: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, similarity: float, k: int, level: int, dense: DataFrame | None = None) -> DataFrame:
@@ -355,17 +374,6 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _smaller(level: int):
-    """Keys of the smaller buckets: the bucket's and those of two other bands, drawn by the bucket."""
-
-    def key(i):
-        draw = F.xxhash64("bucket", i, F.lit(level))
-        one, two = F.pmod(draw, F.lit(BANDS)).cast("int"), F.pmod(F.shiftright(draw, 20), F.lit(BANDS)).cast("int")
-        return F.xxhash64("bucket", F.element_at("bands", one + 1), F.element_at("bands", two + 1), i)
-
-    return F.transform(F.sequence(F.lit(1), F.lit(SPLIT)), key)
-
-
 def _texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame, level: int) -> DataFrame:
     """id and text of the texts ``ids``; those that a filter of fixed size clears are not moved."""
     wanted = materialise(nodes.select("id", "node").join(ids, "id", "left_semi"), f"wanted{level}")

@@ -456,6 +456,36 @@ def test_blocks_of_a_large_bucket_lose_no_pair(spark, monkeypatch, block):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_groups_hold_every_pair_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "DENSE", 1_000)
+    sig = bytes(near_dedup.SLOTS)
+    labels = [(b, i, 1 if i < 150 else 2 if i < 200 else i) for b, n in ((7, 300), (8, 40), (9, 65)) for i in range(n)]
+    members = spark.createDataFrame([(*x, {7: 300, 8: 40, 9: 65}[x[0]]) for x in labels], "bucket long, id long, label long, n long")
+    nodes = spark.createDataFrame([(i, sig) for i in range(300)], "id long, sig binary")
+    groups = near_dedup.in_groups(members)
+    assert groups.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 120
+    got = {(r.a, r.b) for r in near_dedup.close_in_blocks(groups, nodes, 0.8).collect()}
+    label = {i: x for b, i, x in labels if b == 7}
+    assert got == {(a, b) for a in label for b in label if a < b and label[a] != label[b]}
+
+
+def test_a_pair_that_shares_only_one_large_bucket_is_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    texts = [words(60, 900 + i) for i in range(60)]
+    texts[40:] = [f"{t} w{i}" for i, t in enumerate(texts[:20])]
+    docs = make(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    sketches = near_dedup.sketch(docs).collect()
+    sigs = {r.doc_id: np.frombuffer(r.sig, np.uint8) for r in sketches}
+    assert min((sigs[i] == sigs[40 + i]).sum() for i in range(20)) >= near_dedup._least_agreement(0.8)
+    bands = {i: [7, *(int(x) for x in rng.integers(1 << 40, 1 << 60, near_dedup.BANDS - 1))] for i in range(60)}
+    nodes = spark.createDataFrame([(r.doc_id, r.node, bands[r.doc_id], r.sig) for r in sketches], "id long, node binary, bands array<long>, sig binary")
+    got = {r.id: r.label for r in near_dedup.link_texts(nodes, docs).collect()}
+    assert got == {i: i % 40 for i in [*range(20), *range(40, 60)]}
+
+
 def test_without_rows(spark, odd):
     key = near_dedup.row_key()
     gone = odd.where("doc_id IN (3, 9)").select("doc_id", key.alias("row_key"))
