@@ -200,24 +200,27 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.concatenate([fold(a[i : i + step, None] - b) for i in range(0, len(a), step)])
 
 
+def _packed(df: DataFrame, side: str, block: int) -> DataFrame:
+    """Points packed into blocks: arrays id_ and x_ of a side."""
+    n = max(1, -(-df.count() // block))
+    rows = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "x")).alias("rows"))
+    return materialise(rows.select(F.col("rows.id").alias(f"id_{side}"), F.col("rows.x").alias(f"x_{side}")), "blocks")
+
+
+def _matrix(column: pa.ListArray, i: int) -> np.ndarray:
+    rows = column[i].values
+    return rows.values.to_numpy(zero_copy_only=False)[rows.offsets[0].as_py() : rows.offsets[-1].as_py()].reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+
+
 def knn(points: DataFrame, k: int, metric: str = "euclidean", queries: DataFrame | None = None, block: int = 1_024) -> DataFrame:
     """id, other, distance, rank: the k nearest of each point (or of each of ``queries``), ties by id.  Points
     are packed into blocks; a task compares two of them and keeps k a point, so pairs never leave it."""
 
-    def packed(df: DataFrame, side: str) -> DataFrame:
-        n = max(1, -(-df.count() // block))
-        rows = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "x")).alias("rows"))
-        return materialise(rows.select(F.col("rows.id").alias(f"id_{side}"), F.col("rows.x").alias(f"x_{side}")), "blocks")
-
-    def matrix(column: pa.ListArray, i: int) -> np.ndarray:
-        rows = column[i].values
-        return rows.values.to_numpy(zero_copy_only=False)[rows.offsets[0].as_py() : rows.offsets[-1].as_py()].reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ia, ib = (batch.column(c)[i].values.to_numpy() for c in (0, 2))
-                d = _distances(matrix(batch.column(1), i), matrix(batch.column(3), i), metric)
+                d = _distances(_matrix(batch.column(1), i), _matrix(batch.column(3), i), metric)
                 d[ia[:, None] == ib] = np.inf
                 last = np.partition(d, min(k, len(ib)) - 1, axis=1)[:, min(k, len(ib)) - 1]
                 q, o = np.nonzero((d <= last[:, None]) & np.isfinite(d))
@@ -228,8 +231,8 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean", queries: DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(ia[q]), pa.array(ib[o]), pa.array(d[q, o])], names=["id", "other", "distance"])
 
     rows = [d.select(F.col("id").cast("long"), F.col("x").cast("array<double>")) for d in (points, points if queries is None else queries)]
-    b = packed(rows[0], "b")
-    a = b.select(F.col("id_b").alias("id_a"), F.col("x_b").alias("x_a")) if queries is None else packed(rows[1], "a")
+    b = _packed(rows[0], "b", block)
+    a = b.select(F.col("id_b").alias("id_a"), F.col("x_b").alias("x_a")) if queries is None else _packed(rows[1], "a", block)
     near = a.crossJoin(b).mapInArrow(task, "id long, other long, distance double")
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "other")))
     return ranked.where(F.col("rank") <= k)
@@ -466,22 +469,22 @@ def semantic_matches(queries: DataFrame, corpus: DataFrame, metric: str = "cosin
     return s.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "id"))).where((F.col("rank") <= top) & (F.col("score") >= least))
 
 
-def semantic_dedup(vectors: DataFrame, threshold: float = 0.95, bands: int = 24, bits: int = 8, seed: int = 7) -> DataFrame:
+def semantic_dedup(vectors: DataFrame, threshold: float = 0.95, block: int = 1_024) -> DataFrame:
     """id of the vectors kept: in order of id, one goes if a kept one is at least as similar as the threshold.
-    Candidates share a band of random-hyperplane signs; the greedy choice runs in components of similar
-    pairs, which are all that can matter to one another."""
-    width = len(vectors.select("vector").first()["vector"])
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, width))
+    All blocks of vectors are compared with one another, so no pair is lost; the greedy choice runs in
+    components of similar pairs, which are all that can matter to one another."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.array(b["vector"].tolist(), float) @ planes.T > 0
-            key = (s.reshape(len(s), bands, bits) * (1 << np.arange(bits))).sum(2) + np.arange(bands) * (1 << bits)
-            yield pd.DataFrame({"id": b["id"], "keys": key.tolist()})
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ia, ib = (batch.column(c)[i].values.to_numpy() for c in (0, 2))
+                like = 1 - _distances(_matrix(batch.column(1), i), _matrix(batch.column(3), i), "cosine") >= threshold - 1e-9
+                p, q = np.nonzero(like & (ia[:, None] < ib))
+                yield pa.RecordBatch.from_arrays([pa.array(ia[p]), pa.array(ib[q])], names=["a", "b"])
 
-    keyed = vectors.select("id", "vector").mapInPandas(sign, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    cand = keyed.select(F.col("id").alias("a"), "key").join(keyed.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
     v = vectors.select("id", "vector")
+    b = _packed(v.select(F.col("id").cast("long"), F.col("vector").cast("array<double>").alias("x")), "b", block)
+    cand = b.select(F.col("id_b").alias("id_a"), F.col("x_b").alias("x_a")).crossJoin(b).mapInArrow(task, "a long, b long")
     pairs = cand.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b").where(V.cosine_similarity(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
     pairs = materialise(pairs, "similar")
     parts = components(pairs)

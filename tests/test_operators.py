@@ -319,3 +319,14 @@ def test_many_names_score_as_one_does():
     assert jaro_winkler_scores(a, b).tolist() == want
     assert jaro_winkler.func(pd.Series(a), pd.Series(b)).tolist() == want
     assert len(jaro_winkler_scores([], [])) == 0
+
+
+def test_semantic_dedup_loses_no_pair(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((600, 48))
+    y -= (x * y).sum(1)[:, None] * x
+    y = 0.81 * x + (1 - 0.81**2) ** 0.5 * y / np.linalg.norm(y, axis=1)[:, None]
+    v = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(np.concatenate([x, y]))], "id long, vector array<double>")
+    assert {r.id for r in ml.semantic_dedup(v, 0.8, block=256).collect()} == set(range(600))
