@@ -206,14 +206,13 @@ def screen_pep(names: DataFrame, peps: DataFrame, least: float = 0.7, top: int =
 
 def resolve_entities(queries: DataFrame, candidates: DataFrame, least: float = 0.7, top: int = 10) -> DataFrame:
     """query_id, entity_id, score of entities(id, name, aliases, birth_date, country): name 0.6, date
-    0.25 (half of it where no date agrees or is known) and country 0.15.  Candidates are those that
-    share the first letter of a name or alias with the query, which a score of 0.7 needs in practice.
-    A letter's candidates are dealt over many tasks, and the queries go to each of them."""
-    q, c = (_names(d, "id", p).withColumn("block", F.lower(F.substring(f"{p}_name", 1, 1))) for d, p in ((queries, "query"), (candidates, "entity")))
+    0.25 (half of it where no date agrees or is known) and country 0.15.  Every query is held against
+    every candidate: candidates are dealt over many tasks, and the queries go to each of them."""
+    q, c = _names(queries, "id", "query"), _names(candidates, "id", "entity")
     n = _tasks(queries)
     c = c.withColumn("part", F.pmod(F.xxhash64("entity_id", "entity_name"), F.lit(n)))
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    best = q.join(c.hint("shuffle_hash"), ["block", "part"]).withColumn("s", jaro_winkler("query_name", "entity_name")).groupBy("query_id", "entity_id").agg(F.max("s").alias("name_score"))
+    best = q.join(c.hint("shuffle_hash"), "part").withColumn("s", jaro_winkler("query_name", "entity_name")).groupBy("query_id", "entity_id").agg(F.max("s").alias("name_score"))
     a = queries.select(F.col("id").alias("query_id"), F.col("birth_date").alias("qd"), F.col("country").alias("qc"))
     b = candidates.select(F.col("id").alias("entity_id"), F.col("birth_date").alias("ed"), F.col("country").alias("ec"))
     df = best.where("query_id <> entity_id").join(a, "query_id").join(b, "entity_id")

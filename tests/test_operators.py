@@ -330,3 +330,10 @@ def test_semantic_dedup_loses_no_pair(spark):
     y = 0.81 * x + (1 - 0.81**2) ** 0.5 * y / np.linalg.norm(y, axis=1)[:, None]
     v = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(np.concatenate([x, y]))], "id long, vector array<double>")
     assert {r.id for r in ml.semantic_dedup(v, 0.8, block=256).collect()} == set(range(600))
+
+
+def test_entities_need_no_common_first_letter(spark):
+    people = [(1, "Katherine Mills", [], 19800101, "US"), (2, "Catherine Mills", [], 19800101, "US"), (3, " Katherine Mills", [], 19800101, "US"), (4, "Wu", [], 19400101, "CN")]
+    df = spark.createDataFrame(people, "id long, name string, aliases array<string>, birth_date long, country string")
+    got = compliance.resolve_entities(df.where("id = 1"), df).collect()
+    assert {r.entity_id for r in got} == {2, 3} and all(r.score > 0.9 for r in got)
