@@ -402,9 +402,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
 # --- texts
 
 
-def tokenize(text: Column, longest: int = 512) -> Column:
-    """Lower-cased words by white space, the first ``longest``, without other than letters and digits."""
-    words = F.slice(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), 1, longest)
+def tokenize(text: Column, longest: int | None = 512) -> Column:
+    """Lower-cased words by white space, the first ``longest`` (None: all), without other than letters and digits."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    words = words if longest is None else F.slice(words, 1, longest)
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
 
 
@@ -425,7 +426,7 @@ def _token_vector(token: str, dimension: int, vocabulary: int) -> np.ndarray:
     return sign(a) * (a / vocabulary - 0.5) + sign(b) * (b / vocabulary - 0.5) * 0.5 + (c / vocabulary - 0.5) * 0.25
 
 
-def embed(texts: DataFrame, dimension: int = 384, vocabulary: int = 50_000, pooling: str = "mean", longest: int = 512) -> DataFrame:
+def embed(texts: DataFrame, dimension: int = 384, vocabulary: int = 50_000, pooling: str = "mean", longest: int | None = 512) -> DataFrame:
     """id and vector of texts(id, text): pooled token vectors (mean, max, cls or attention, which weighs
     position p by 1 / (1 + 0.1 p)), of unit length; zeros without tokens."""
 

@@ -185,7 +185,7 @@ def _(d):
 
 
 for _pool in ("mean", "max", "attention"):
-    query(f"ml_embed_{_pool}", "ml/embedding-generation", "conversations")(lambda c, pool=_pool: op.embed(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), 64, pooling=pool, longest=64).select("id", r(F.col("vector")[0], 6, "v0"), r(F.col("vector")[63], 6, "v63"), r(V.norm(F.col("vector")), 4, "norm")))
+    query(f"ml_embed_{_pool}", "ml/embedding-generation", "conversations")(lambda c, pool=_pool: op.embed(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), 64, pooling=pool, longest=None).select("id", r(F.col("vector")[0], 6, "v0"), r(F.col("vector")[63], 6, "v63"), r(V.norm(F.col("vector")), 4, "norm")))
 
 
 def _vec(e):

@@ -337,3 +337,16 @@ def test_entities_need_no_common_first_letter(spark):
     df = spark.createDataFrame(people, "id long, name string, aliases array<string>, birth_date long, country string")
     got = compliance.resolve_entities(df.where("id = 1"), df).collect()
     assert {r.entity_id for r in got} == {2, 3} and all(r.score > 0.9 for r in got)
+
+
+def test_embedding_queries_read_whole_texts(spark, tmp_path):
+    from lakeloom.plans import registry
+
+    head = " ".join(f"w{i}" for i in range(64))
+    rows = [(1, 0, "user", head), (1, 1, "user", head + " another ending")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for pool in ("mean", "max", "attention"):
+        a, b = registry.queries()[f"ml_embed_{pool}"](spark, str(tmp_path)).orderBy("id").collect()
+        assert (a.v0, a.v63) != (b.v0, b.v63)
+    cut = ml.embed(spark.createDataFrame([(1, head), (2, head + " another ending")], "id long, text string"), 64, longest=64).orderBy("id").collect()
+    assert cut[0].vector == cut[1].vector
