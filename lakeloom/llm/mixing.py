@@ -101,9 +101,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     every document is certain of floor(rate) whole copies.  The rest is a sample of fixed size in
     words: documents are ranked by Pareto's q = odds(u) / odds(p), u a hash of seed and doc_id and
     p = rate - floor(rate) times the document's relative ``importance`` (a column; 1 if None), and
-    taken in that order while they fit in the words left.  One document more is taken if one
-    brings the total nearer to the target, so that a source misses it by the least that whole
-    documents allow.
+    taken in that order until the first that does not fit in the words left.  One document more is
+    taken if one brings the total nearer to the target.  Shorter documents behind the first that
+    does not fit are left out, so a source of a few very long documents can miss its target by far.
 
     Ranks are summed by 65,536 bins of q and ordered within a bin, so a source that holds any
     share of the rows is dealt over all tasks; what comes of it is a cut per source, and documents
