@@ -9,13 +9,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lakeloom.llm.text import NOT_NEWLINE, Texts, blob_column, in_batches, lean, mix
+from lakeloom.llm.text import NOT_NEWLINE, Texts, blob_column, in_batches, lean, mix, pieces_of
 from lakeloom.storage import materialise
 
 #: Registers of a sketch: 2 ** PRECISION.  Its relative error is 1.04 / sqrt(registers), 3.3 %.
 PRECISION = 10
 #: At most so many line hashes are sent to every task (32 MB); a larger set is joined.
 BROADCAST_LINES = 4_000_000
+#: Bytes of the corpus for each part that lines are merged in.
+PART_BYTES = 64_000_000
 
 
 def _register(site: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,15 +29,16 @@ def _register(site: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lines(rows: Texts, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts, ends and rows of the lines that have at least ``min_words`` words."""
+    """Hashes, starts, ends and rows of the lines that have words.  The lowest bit of a hash tells lines
+    of fewer than ``min_words`` words."""
     s, e, first = rows.spans(NOT_NEWLINE)
     words = np.frombuffer(rows.raw + b" ", np.uint8) != 32
     begins = np.concatenate([[0], np.cumsum(words[1:] & ~words[:-1])]) if len(words) > 1 else np.zeros(1, np.int64)
     n_words = begins[e - 1] - begins[s] + words[s] if len(s) else s
     row = np.repeat(np.arange(rows.rows), np.diff(first))
-    keep = n_words >= min_words
-    s, e, row = s[keep], e[keep], row[keep]
-    return rows.hashes(s, e, seed=7), s, e, row
+    keep = n_words >= 1
+    s, e, row, n_words = s[keep], e[keep], row[keep], n_words[keep]
+    return rows.hashes(s, e, seed=7) & ~np.uint64(1) | (n_words < min_words).astype(np.uint64), s, e, row
 
 
 def _reduced(line: np.ndarray, reg: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,9 +90,11 @@ def sketch_lines(docs: DataFrame, min_words: int, n_parts: int, table_lines: int
     return docs.select("doc_id", "source", "text").mapInArrow(lean(task), "part int, line binary, reg binary, doc binary")
 
 
-def spread(sketches: DataFrame, at_least: float) -> DataFrame:
-    """Merged sketches: line, estimated sites and first document of lines with ``at_least`` sites."""
+def spread(sketches: DataFrame, at_least: float, short_at_least: float | None = None) -> DataFrame:
+    """Merged sketches: line, estimated sites and first document of lines with ``at_least`` sites, short
+    ones with ``short_at_least``."""
     m = 1 << PRECISION
+    short_at_least = at_least if short_at_least is None else short_at_least
 
     def shard(part) -> object:
         import pandas as pd
@@ -104,7 +109,7 @@ def spread(sketches: DataFrame, at_least: float) -> DataFrame:
         raw = 0.7213 / (1 + 1.079 / m) * m * m / inverse
         empty = m - used
         est = np.where((raw <= 2.5 * m) & (empty > 0), m * np.log(m / np.maximum(empty, 1)), raw)
-        ok = est >= at_least
+        ok = est >= np.where(line[first] & np.uint64(1), short_at_least, at_least)
         return pd.DataFrame({"line": line[first][ok].view(np.int64), "sites": est[ok], "first_doc": doc[first][ok]})
 
     return sketches.groupBy("part").applyInPandas(shard, "line long, sites double, first_doc long")
@@ -141,30 +146,39 @@ def _member(known: np.ndarray, line: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, line), len(known) - 1)] == line
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
-    """line (hash) and first_doc of the lines on at least ``min_sites`` distinct sources.  Lines
-    whose estimate is within four standard errors (and two sites) of the limit are counted exactly."""
-    margin = 2 + 4 * 1.04 / (1 << PRECISION) ** 0.5 * min_sites
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide = materialise(spread(sketch_lines(docs, min_words, n_parts), min_sites - margin), "spread")
-    sure, near = wide.where(F.col("sites") > min_sites + margin), wide.where(F.col("sites") <= min_sites + margin)
-    exact = _line_sites(docs, near, min_words).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
+def _margin(sites: int) -> float:
+    """Four standard errors of an estimate of so many sites, and two sites."""
+    return 2 + 4 * 1.04 / (1 << PRECISION) ** 0.5 * sites
+
+
+def boilerplate_lines(docs: DataFrame, min_sites: int, min_words: int, short_sites: int) -> DataFrame:
+    """line (hash) and first_doc of the lines on at least ``min_sites`` distinct sources (short lines:
+    ``short_sites``).  Lines whose estimate is near the limit are counted exactly."""
+    n_parts = pieces_of(docs, PART_BYTES)
+    wide = materialise(spread(sketch_lines(docs, min_words, n_parts), min_sites - _margin(min_sites), short_sites - _margin(short_sites)), "spread")
+    short = F.col("line").bitwiseAND(F.lit(1).cast("long")) == 1
+    limit = F.when(short, short_sites).otherwise(min_sites)
+    clear = F.when(short, short_sites + _margin(short_sites)).otherwise(min_sites + _margin(min_sites))
+    sure, near = wide.where(F.col("sites") > clear), wide.where(F.col("sites") <= clear)
+    exact = _line_sites(docs, near, min_words).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
     return materialise(sure.select("line", "first_doc").unionByName(near.join(exact, "line", "left_semi").select("line", "first_doc")), "boilerplate")
 
 
-def line_dedup(docs: DataFrame, min_sites: int = 8, min_words: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = 8, min_words: int = 3, short_sites: int = 16) -> DataFrame:
     """The rows of ``docs`` with boilerplate lines removed from text, and n_lines and n_removed.
 
-    A line is what stands between newlines, byte for byte; lines of fewer than ``min_words`` words
-    (runs without spaces) are never boilerplate.  One on at least ``min_sites`` distinct sources
-    is: it stays in the document with the smallest doc_id that has it, wherever it stands there,
-    and goes from all others, newline included.
+    A line is what stands between newlines, byte for byte; its words are runs without spaces.  One on at
+    least ``min_sites`` distinct sources is boilerplate; one of fewer than ``min_words`` words, which
+    comes about by chance more easily (or is written without spaces), needs ``short_sites`` of them;
+    lines of spaces alone are none.  Boilerplate stays in the document with the smallest doc_id that
+    has it, wherever it stands there, and goes from all others, newline included.
 
     A null source is a site of its own; a null doc_id is larger than any other; rows that repeat a
-    doc_id are one document here; null texts have no lines and stay null; other columns are kept,
-    but for columns named n_lines and n_removed, which are replaced.
+    doc_id are one document here, and each loses lines by its own text; null texts have no lines and
+    stay null; other columns are kept, but for columns named n_lines and n_removed, which are
+    replaced; an empty table gives no rows.
     """
-    lines = boilerplate_lines(in_batches(docs), min_sites, min_words)
+    lines = boilerplate_lines(in_batches(docs), min_sites, min_words, short_sites)
     known = None
     if lines.count() <= BROADCAST_LINES:
         table = lines.toPandas().sort_values("line", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
@@ -221,30 +235,27 @@ def _without(batch: pa.RecordBatch, text_at: int, cuts: list[tuple[int, int]]) -
 
 
 def _joined(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
-    """line_dedup for more lines than can be sent around: occurrences are joined by hash, and
-    what goes is joined back by document."""
+    """line_dedup for more lines than can be sent around: occurrences are joined by hash, and what
+    goes is joined back by row: doc_id and a hash of the text, which rows of one doc_id share only if
+    their texts are equal."""
     names, schema = docs.columns, _with_counts(docs)
     text_at = names.index("text")
+    row = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("row_key"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, rows in Texts.of(batch.column(1)).chunks():
+            for a, rows in Texts.of(batch.column(2)).chunks():
                 line, s, _, row = _lines(rows, min_words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), pa.array(line.view(np.int64)), pa.array(s - rows.offsets[row])], names=["id", "line", "start"])
+                at = pa.array(a + row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line.view(np.int64)), pa.array(s - rows.offsets[row])], names=["id", "row_key", "line", "start"])
 
-    found = docs.select("doc_id", "text").mapInArrow(lean(occurrences), "id long, line long, start long").join(lines, "line")
-    cut = found.where(F.coalesce("id", F.lit(np.iinfo(np.int64).max)) != F.col("first_doc")).groupBy("id").agg(F.collect_set("start").alias("cut_starts"))
-    both = docs.join(cut, docs["doc_id"].eqNullSafe(cut["id"]), "left").drop("id")
+    found = docs.select(row.alias("r"), "text").select("r.id", "r.row_key", "text").mapInArrow(lean(occurrences), "id long, row_key long, line long, start long").join(lines, "line")
+    cut = found.where(F.coalesce("id", F.lit(np.iinfo(np.int64).max)) != F.col("first_doc")).groupBy("id", "row_key").agg(F.collect_set("start").alias("starts"))
+    both = docs.select(F.struct(*names).alias("whole"), row.alias("r")).join(cut, F.col("r.row_key").eqNullSafe(F.col("row_key")) & F.col("r.id").eqNullSafe(F.col("id")), "left").select("whole", "starts")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column(batch.num_columns - 1).to_pylist()
-            cuts = []
-            for a, rows in Texts.of(batch.column(text_at)).chunks():
-                for i in range(rows.rows):
-                    if starts[a + i]:
-                        raw = rows.raw[rows.offsets[i] : rows.offsets[i + 1]]
-                        cuts += [(a + i, s) for s in starts[a + i] if s == 0 or raw[s - 1 : s] == b"\n"]
-            yield _without(batch.select(list(range(len(names)))), text_at, cuts)
+            cuts = [(i, s) for i, starts in enumerate(batch.column(1).to_pylist()) for s in starts or ()]
+            yield _without(pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=names), text_at, cuts)
 
     return both.mapInArrow(lean(task), schema)

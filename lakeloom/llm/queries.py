@@ -81,8 +81,8 @@ OP7 = r"""
 WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line
       FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
-b AS (SELECT line, min(doc_id) AS first_doc FROM l
-      WHERE len(regexp_extract_all(line, '[^ ]+')) >= 3 GROUP BY line HAVING count(DISTINCT source) >= 8),
+b AS (SELECT line, min(doc_id) AS first_doc FROM l WHERE len(regexp_extract_all(line, '[^ ]+')) >= 1
+      GROUP BY line HAVING count(DISTINCT source) >= CASE WHEN len(regexp_extract_all(line, '[^ ]+')) >= 3 THEN 8 ELSE 16 END),
 k AS (SELECT l.*, b.line IS NOT NULL AND b.first_doc <> l.doc_id AS gone FROM l LEFT JOIN b USING (line))
 SELECT doc_id, CAST(max(i) AS BIGINT) * max(CASE WHEN line <> '' OR i > 1 THEN 1 ELSE 0 END) AS n_lines,
        CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
@@ -139,7 +139,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     message = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.lit(None).cast("string").alias("content"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("from"), F.lit(None).cast("string").alias("value"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), message.alias("m")))).alias("ts"))
-    chats = chats.select("conv_id", chat_format.as_record({"messages": F.transform("ts", lambda t: t["m"])}).alias("r"))
+    chats = chats.select("conv_id", chat_format.as_record({"messages": F.transform("ts", lambda t: t["m"])}, ("role", "text")).alias("r"))
     back = chat_format.read_back(chat_format.format_records(chats))
     lines = F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(

@@ -25,11 +25,19 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def in_batches(docs: DataFrame, megabytes: int = 8) -> DataFrame:
     """``docs``, with the Arrow batches of its session held to so many bytes: what a task has in
-    memory then follows the size of a batch or of a single text, not of 10,000 rows."""
+    memory then follows the size of a batch or of a single text, not of 10,000 rows.  The session
+    keeps the limit, as plans run after this returns."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
     return docs
 
 
+def pieces_of(docs: DataFrame, piece_bytes: int) -> int:
+    """Pieces of about ``piece_bytes`` that the planner's size of ``docs`` (of its files, where nothing
+    better is known) makes, one for each shuffle partition at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // piece_bytes), 1 << 20))
+
+
 def lean(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``task`` for mapInArrow, giving freed memory back to the system after each batch: Python
     workers live on after a task, and an allocator that keeps what they once held is charged to the
