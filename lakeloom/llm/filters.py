@@ -32,11 +32,24 @@ def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 
 def without_rows(rows: DataFrame, gone: DataFrame, row_key: Column) -> DataFrame:
-    """``rows`` without those in ``gone`` (doc_id, row_key), with the columns of ``rows``.  Rows
-    that the filter clears pass without a shuffle; only the others are joined."""
+    """``rows`` without those in ``gone`` (doc_id, row_key), with the columns of ``rows``, whatever
+    their names.  Rows that the filter clears pass without a shuffle; only the others are joined."""
     columns = rows.columns
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_row_key"))
-    flagged = flag_maybe(rows.withColumn("_row_key", row_key), gone, "_row_key").withColumnRenamed("maybe", "_maybe")
-    clear = flagged.where(~F.col("_maybe")).select(columns)
-    left = flagged.where("_maybe").alias("r").join(gone.alias("g"), (F.col("r._row_key") == F.col("g._row_key")) & F.col("r.doc_id").eqNullSafe(F.col("g._gone_id")), "left_anti")
-    return clear.unionByName(left.select(columns))
+    flagged = flag_maybe(rows.select(F.struct(*columns).alias("_row"), row_key.alias("_row_key")), gone, "_row_key")
+    clear = flagged.where(~F.col("maybe")).select("_row.*")
+    left = flagged.where("maybe").alias("r").join(gone.alias("g"), (F.col("r._row_key") == F.col("g._row_key")) & F.col("r._row.doc_id").eqNullSafe(F.col("g._gone_id")), "left_anti")
+    return clear.unionByName(left.select("_row.*")).toDF(*columns)
+
+
+def one_of_each(rows: DataFrame, repeated: DataFrame, row_key: Column) -> DataFrame:
+    """``rows`` with one row only for each key in ``repeated`` (doc_id, row_key), any one of those that
+    have it.  Rows that the filter clears pass as they are; copies meet in partial aggregation."""
+    columns = rows.columns
+    keys = repeated.select(F.col("doc_id").alias("_own_id"), F.col("row_key").alias("_row_key"))
+    flagged = flag_maybe(rows.select(F.struct(*columns).alias("_row"), row_key.alias("_row_key")), keys, "_row_key")
+    clear = flagged.where(~F.col("maybe")).select("_row.*")
+    some = flagged.where("maybe").alias("r").join(keys.withColumn("_twice", F.lit(True)).alias("g"), (F.col("r._row_key") == F.col("g._row_key")) & F.col("r._row.doc_id").eqNullSafe(F.col("g._own_id")), "left").select("_row", F.col("r._row_key").alias("_row_key"), "_twice")
+    single = some.where("_twice IS NULL").select("_row.*")
+    once = some.where("_twice").groupBy(F.col("_row.doc_id").alias("_own_id"), "_row_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    return clear.unionByName(single).unionByName(once).toDF(*columns)

@@ -21,6 +21,8 @@ SMALL = 8
 BLOCK = 2_048
 #: Likely pairs a text from which a bucket is compared in one piece.
 DENSE = 8
+#: Bytes of text in one of the two blocks whose texts are compared with one another at once.
+DENSE_BYTES = 2_000_000
 _ROW_BITS = 13
 
 
@@ -282,19 +284,23 @@ def _overlaps(texts: Texts, k: int) -> np.ndarray:
 
 def link_dense(dense: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
     """Links (a, b) that connect what all links within each bucket of dense(bucket, id) connect, by
-    exact similarities of the whole texts, computed in the task that has the bucket."""
+    exact similarities of the whole texts, computed in the task that has the bucket, two blocks of
+    about DENSE_BYTES at a time."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _complete_groups(batches):
             ids = group.column(1).to_numpy()
-            whole = Texts.of(group.column(2).combine_chunks())
-            pairs: list[tuple[int, int]] = []
-            for i in range(0, len(ids), BLOCK):
-                for j in range(i, len(ids), BLOCK):
-                    at = np.arange(i, min(i + BLOCK, len(ids)))
-                    at = at if i == j else np.concatenate([at, np.arange(j, min(j + BLOCK, len(ids)))])
-                    sub = whole if len(at) == len(ids) else Texts.of(group.column(2).take(pa.array(at)).combine_chunks())
-                    hit = _overlaps(sub, k) >= similarity
+            column = group.column(2).combine_chunks()
+            whole = Texts.of(column)
+            cuts, pairs = [0], []
+            while cuts[-1] < len(ids):
+                full = int(np.searchsorted(whole.offsets, whole.offsets[cuts[-1]] + DENSE_BYTES, "right")) - 1
+                cuts.append(min(max(full, cuts[-1] + 1), cuts[-1] + BLOCK, len(ids)))
+            blocks = [np.arange(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            for i, x in enumerate(blocks):
+                for y in blocks[i + 1 :] or blocks[i:]:
+                    at = x if y is x else np.concatenate([x, y])
+                    hit = _overlaps(Texts.of(column.take(pa.array(at))), k) >= similarity
                     pairs += _spanning(hit, ids[at])
             if pairs:
                 got = np.array(pairs, np.int64)
@@ -382,9 +388,10 @@ def _texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame, level: int) -> Dat
     return materialise(one.join(wanted, "node").select("id", "text"), f"texts{level}")
 
 
-def components(links: DataFrame, limit: int = 50) -> DataFrame:
+def components(links: DataFrame, limit: int = 200) -> DataFrame:
     """id and label (the smallest id of its component) for every id of the links (a, b), by alternating
-    large-star and small-star rounds until nothing changes."""
+    large-star and small-star rounds until nothing changes, which takes about the square of the
+    logarithm of the ids; an error if ``limit`` rounds do not do."""
     edges = materialise(links.select("a", "b").where("a <> b").distinct(), "edges0")
     before = None
     for i in range(limit):
@@ -397,9 +404,9 @@ def components(links: DataFrame, limit: int = 50) -> DataFrame:
         edges = materialise(star.where("a <> b").distinct(), f"edges{i + 1}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
-            break
+            return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
         before = now
-    return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
+    raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
@@ -409,20 +416,25 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     Documents are in one class if their texts are equal or linked, directly or through others, by
     a weighted Jaccard similarity of at least ``similarity`` of their bags of ``k``-word shingles
     (words are runs without white space, case kept; a shorter text is one shingle).  class_id is the
-    smallest doc_id of the class and kept marks the document that has it.
+    smallest doc_id of the class.  kept marks one row of each class: one that has this doc_id, of
+    several that with the smallest row_key, and of rows that repeat both any one.
 
     Equal texts are one node from the start, so copies cost nothing more.  A link is verified on
     whole texts; a pair of similarity 0.8 shares no band with probability 5e-8.  Null texts are
     empty; empty texts equal one another and nothing else; a null doc_id is in a class but gives
-    it no id unless it is alone; rows that repeat a doc_id and text are kept or not together;
-    other columns are ignored; an empty table gives no rows.
+    it no id and is kept only where the class has no other; other columns are ignored; an empty
+    table gives no rows.
     """
-    rows = materialise(sketch(in_batches(docs), k), "sketches")
+    rows = materialise(sketch(in_batches(docs), k).withColumn("rid", F.monotonically_increasing_id()), "sketches")  # rids are fixed once they are written
     nodes = rows.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id())
-    nodes = materialise(nodes, "nodes")  # ids are fixed once they are written
+    nodes = materialise(nodes, "nodes")
     labels = link_texts(nodes.where(F.size("bands") > 0), docs, similarity, k)
     ids = nodes.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("label", "id").alias("label"))
-    member = rows.select("doc_id", "row_key", "node").join(ids, "node")
+    member = materialise(rows.select("doc_id", "row_key", "rid", "node").join(ids, "node"), "members")
     classes = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.count_distinct("node").alias("n_texts"))
-    out = member.join(classes, "label")
-    return out.select("doc_id", "class_id", "class_size", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "row_key")
+    out = member.drop("node").join(classes, "label")
+    first = out.where(F.col("doc_id").eqNullSafe(F.col("class_id")))  # without copies of one doc_id, a row a class
+    order = F.struct("row_key", "rid")
+    first = first.groupBy(F.col("label").alias("first_label")).agg(F.min(order).alias("first"))
+    out = out.join(first, F.col("label") == F.col("first_label"))
+    return out.select("doc_id", "class_id", "class_size", "n_texts", (F.col("rid") == F.col("first.rid")).alias("kept"), "row_key")
