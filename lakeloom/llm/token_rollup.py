@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -48,82 +51,142 @@ def count_tokens(docs: DataFrame, versions: dict[str, dict[bytes, int] | None])
     return in_batches(docs).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(lean(task), _ENTRY)
 
 
+@dataclass(frozen=True)
+class Commit:
+    """An entry of the log: the folder of a batch, or of a compaction."""
+
+    version: int
+    batch: str
+    folder: str
+    compacts: bool
+
+
 class TokenRollup:
     """Totals of docs, chars and tokens by source, lang and tokenizer version, kept in a folder
     that all executors share.
 
     A batch writes signed entries, one per document and version, into a folder of its own: an
     insert adds, a delete takes away what the document's entries add up to now, a revision does
-    both.  Their sums are the batch's delta.  The batch counts once its commit file exists; the
-    file is created only if absent and names the folder, so a batch that is run again, even by
-    two drivers at once, counts once, and a run that died leaves nothing that is read.  Totals are
-    the sum of the committed deltas.
+    both.  Their sums are the batch's delta.  The batch counts once its entry is in the log: a file
+    with the next number, written aside and then renamed, which fails where another run has that
+    number (the file system's rename has to be atomic, as HDFS's is).  A run that died before leaves nothing that is read, and one that died at any moment
+    leaves no half-written entry.  Who loses a number looks at what came in between: the same batch
+    is done; a batch that only inserts takes the next number; one that deletes or revises works out
+    its entries anew, so that two batches that delete one document take it away once.
+
+    ``compact`` sums up what the log holds: readers start from its folder and read later batches only.
     """
 
     def __init__(self, spark: SparkSession, path: str, versions: dict[str, dict[bytes, int] | None]):
         self.spark, self.path, self.versions = spark, path.rstrip("/"), versions
 
     def _fs(self, name: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _create(self, name: str, content: str) -> bool:
-        fs, p = self._fs(name)
+    def _append(self, entry: Commit) -> bool:
+        """Adds an entry to the log; False if there is one of this number."""
+        jvm = self.spark._jvm
+        fs, aside = self._fs(f"aside/{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps(asdict(entry)).encode()))
+        out.close()
+        _, final = self._fs(f"log/{entry.version:012d}.json")
+        fs.mkdirs(final.getParent())
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        keep = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        keep[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE  # an existing file is an error
         try:
-            out = fs.create(p, False)
-        except Exception:  # noqa: BLE001  it exists: another run has committed
-            if fs.exists(p):
+            files.rename(aside, final, keep)
+        except Exception:  # noqa: BLE001  it exists: another run was first
+            if fs.exists(final):
                 return False
             raise
-        out.write(bytearray(content.encode()))
-        out.close()
+        finally:
+            fs.delete(aside, False)
         return True
 
-    def commits(self) -> dict[str, str]:
-        """The folder of every committed batch."""
-        fs, p = self._fs("commits")
+    def log(self) -> list[Commit]:
+        """The entries that count: the last compaction and what came after it, in order, read at once.
+        Marks tell which entries need not be read; without them more are read."""
+        fs, p = self._fs("log")
         if not fs.exists(p):
-            return {}
-        found = {}
-        for status in fs.listStatus(p):
-            name = status.getPath().getName()
-            if name.startswith("batch-"):
-                found[name.removeprefix("batch-")] = "".join(r.value for r in self.spark.read.text(status.getPath().toString()).collect())
-        return found
-
-    def _read(self, kind: str) -> DataFrame:
-        folders = sorted(set(self.commits().values()))
-        paths = [f"{self.path}/{f}/{kind}" for f in folders]
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(p)]
+        mark = max((x.removesuffix(".mark") for x in names if x.endswith(".mark")), default="")
+        paths = [f"{self.path}/log/{x}" for x in names if x.endswith(".json") and x.removesuffix(".json") >= mark]
+        rows = self.spark.read.text(paths, wholetext=True).collect() if paths else []
+        found = sorted((Commit(**json.loads(r.value)) for r in rows), key=lambda c: c.version)
+        return found[max((i for i, c in enumerate(found) if c.compacts), default=0) :]
+
+    def _batches(self, log: list[Commit]) -> set[str]:
+        """The batches among the log's entries, without those that a compaction has taken in."""
+        return {c.batch for c in log if not c.compacts}
+
+    def _done(self, batch_id: str, log: list[Commit]) -> bool:
+        if batch_id in self._batches(log):
+            return True
+        base = [c for c in log if c.compacts]
+        return bool(base) and not self.spark.read.schema("batch string").parquet(f"{self.path}/{base[0].folder}/batches").where(F.col("batch") == batch_id).isEmpty()
+
+    def _read(self, kind: str, log: list[Commit]) -> DataFrame:
+        paths = [f"{self.path}/{c.folder}/{kind}" for c in log]
         schema = _ENTRY if kind == "entries" else _ENTRY.partition(", ")[2]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def current(self) -> DataFrame:
+    def current(self, log: list[Commit] | None = None) -> DataFrame:
         """What each document adds to the totals now."""
         sums = [F.sum(c).alias(c) for c in TOTALS]
-        return self._read("entries").groupBy("doc_id", *KEYS).agg(*sums).where("docs <> 0 OR chars <> 0 OR tokens <> 0")
+        entries = self._read("entries", self.log() if log is None else log)
+        return entries.groupBy("doc_id", *KEYS).agg(*sums).where("docs <> 0 OR chars <> 0 OR tokens <> 0")
+
+    def _write(self, entries: DataFrame) -> str:
+        folder = f"data/{uuid.uuid4().hex}"
+        entries.write.parquet(f"{self.path}/{folder}/entries")
+        written = self.spark.read.schema(_ENTRY).parquet(f"{self.path}/{folder}/entries")
+        self._sums(written).write.parquet(f"{self.path}/{folder}/delta")
+        return folder
 
     def commit(self, batch_id: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revisions: DataFrame | None = None) -> bool:
         """Applies a batch: rows to insert, doc_ids to delete, rows that replace documents.  False,
         and no change, if a batch of this id is committed already."""
-        if batch_id in self.commits():
-            return False
         gone = [x.select(F.col("doc_id").cast("long")) for x in (deletes, revisions) if x is not None]
-        entries = [count_tokens(x, self.versions) for x in (inserts, revisions) if x is not None]
-        if gone:
-            ids = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
-            old = self.current().join(ids.distinct(), "doc_id", "left_semi")
-            entries.append(old.select("doc_id", *KEYS, *[(-F.col(c)).alias(c) for c in TOTALS]))
-        if not entries:
+        fresh = [count_tokens(x, self.versions) for x in (inserts, revisions) if x is not None]
+        if not gone and not fresh:
             raise ValueError("a batch has inserts, deletes or revisions")
-        every = entries[0]
-        for x in entries[1:]:
-            every = every.unionByName(x)
-        folder = f"data/{uuid.uuid4().hex}"
-        every.write.parquet(f"{self.path}/{folder}/entries")
-        written = self.spark.read.schema(_ENTRY).parquet(f"{self.path}/{folder}/entries")
-        self._sums(written).write.parquet(f"{self.path}/{folder}/delta")
-        return self._create(f"commits/batch-{batch_id}", folder)
+        folder = None
+        while True:
+            log = self.log()
+            if self._done(batch_id, log):
+                return False
+            if folder is None or gone:
+                entries = list(fresh)
+                if gone:
+                    ids = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
+                    old = self.current(log).join(ids.distinct(), "doc_id", "left_semi")
+                    entries.append(old.select("doc_id", *KEYS, *[(-F.col(c)).alias(c) for c in TOTALS]))
+                folder = self._write(reduce(DataFrame.unionByName, entries))
+            version = log[-1].version + 1 if log else 0
+            if self._append(Commit(version, batch_id, folder, False)):
+                return True
+
+    def compact(self) -> bool:
+        """Sums up all that is committed into one folder; False if nothing is or a batch came in between."""
+        log = self.log()
+        if not log:
+            return False
+        folder = self._write(self.current(log))
+        names = self.spark.createDataFrame([(b,) for b in sorted(self._batches(log))], "batch string")
+        before = [c for c in log if c.compacts]
+        if before:
+            names = names.unionByName(self.spark.read.schema("batch string").parquet(f"{self.path}/{before[0].folder}/batches"))
+        names.write.parquet(f"{self.path}/{folder}/batches")
+        entry = Commit(log[-1].version + 1, "", folder, True)
+        if not self._append(entry):
+            return False
+        fs, mark = self._fs(f"log/{entry.version:012d}.mark")
+        fs.create(mark, True).close()
+        return True
 
     @staticmethod
     def _sums(rows: DataFrame) -> DataFrame:
@@ -132,7 +195,7 @@ class TokenRollup:
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, chars, tokens of what is there now; groups that deletes
         have emptied are left out.  Null sources and languages are groups."""
-        return self._sums(self._read("delta")).where("docs <> 0 OR chars <> 0 OR tokens <> 0")
+        return self._sums(self._read("delta", self.log())).where("docs <> 0 OR chars <> 0 OR tokens <> 0")
 
 
 def token_totals(docs: DataFrame, path: str, tokenizer_file: str = TOKENIZER_FILE, batch_id: str = "load") -> DataFrame:
