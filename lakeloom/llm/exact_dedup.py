@@ -9,12 +9,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lakeloom.llm.filters import maybe_among
-from lakeloom.storage import materialise
+from lakeloom.llm.filters import flag_maybe, maybe_among
+from lakeloom.llm.text import pieces_of
+from lakeloom.storage import discard, materialise
 
 RUN = "shard int, run string, level int, digests binary, ids binary, counts binary, filter binary"
 _RUN_ARROW = pa.schema([("shard", pa.int32()), ("run", pa.string()), ("level", pa.int32()), ("digests", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary())])
 NO_ID = -(1 << 63)
+#: Bytes of the corpus for each shard of the index.
+SHARD_BYTES = 1_000_000_000
 
 
 def digest_of(text: Column) -> Column:
@@ -145,10 +148,13 @@ def exact_dedup(docs: DataFrame, keep: str = "min", n_shards: int | None = None,
 
     Texts are equal when their bytes are; null is the empty text.  ``keep`` ("min" or "max") names
     the doc_id that stays of each group.  Digests go through the index (memtables, runs, and
-    compaction, both written to the shared folder); the rows of every digest that it holds twice,
-    found through a filter of fixed size, are then grouped by their bytes, so a digest shared by different texts does no harm.  Copies
-    merge in memtables and in partial aggregation before any shuffle, so a text that a third of
-    the rows have sends one entry per task.
+    compaction, both written to the shared folder), whose entries hold the id that stays and the
+    number of rows.  Rows probe it with their digest and take both from the entry they hit.  A hit is
+    verified by bytes: the texts behind each digest that the index holds twice, found through a filter
+    of fixed size, are grouped; where they are not all equal, the digest collides, and the groups'
+    own id and number count.  Copies merge in memtables and in partial aggregation before any
+    shuffle, so a text that a third of the rows have sends one entry per task; rows that the filter
+    clears are not moved.  The index has a shard for each SHARD_BYTES of the corpus.
 
     Null doc_ids count as smaller than any other ("max") and never stay unless alone ("min":
     ignored too); rows that repeat a doc_id and text count in group_size and answer alike; other
@@ -157,19 +163,30 @@ def exact_dedup(docs: DataFrame, keep: str = "min", n_shards: int | None = None,
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
     largest = keep == "max"
-    n_shards = n_shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = n_shards or pieces_of(docs, SHARD_BYTES)
     text = F.coalesce(F.col("text"), F.lit(""))
     entries = docs.select(F.col("doc_id"), digest(F.col("text")).alias("digest"))
     worst = NO_ID if largest else (1 << 63) - 1
     level0 = materialise(flush_memtables(entries.withColumn("doc_id", F.coalesce("doc_id", F.lit(worst))), n_shards, memtable_rows, largest), "lsm_level0")
-    index = materialise(compact(level0, largest), "lsm_index")
+    index = materialise(compact(level0, largest), "lsm_index", blobs=True)
+    discard(level0)
     hits = materialise(repeated_entries(index), "lsm_hits")
     rows = maybe_among(docs.select("doc_id", text.alias("text"), digest(F.col("text")).alias("digest")), hits, "digest")
     pick = F.max if largest else F.min
-    verified = rows.groupBy("digest", "text").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    verified = materialise(verified.select("digest", F.xxhash64("text").alias("check"), "keep_id", "group_size"), "verified")
-    rows = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.xxhash64(text).alias("check"), F.sha2(text, 256).alias("text_sha256"))
-    out = rows.join(verified, ["digest", "check"], "left")
+    groups = rows.groupBy("digest", "text").agg(pick("doc_id").alias("own_id"), F.count(F.lit(1)).alias("own_rows"))
+    groups = materialise(groups.select("digest", F.xxhash64("text").alias("check"), "own_id", "own_rows"), "verified")
+    texts = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    of_entry = F.col("texts") == 1
+    no_id = F.col("entry_id") == worst
+    answers = hits.join(texts, "digest").join(groups, "digest").select(
+        "digest", "check", F.when(of_entry, F.when(~no_id, F.col("entry_id"))).otherwise(F.col("own_id")).alias("keep_id"), F.when(of_entry, F.col("entry_rows")).otherwise(F.col("own_rows")).alias("group_size")
+    )
+    answers = materialise(answers, "answers")
+    probes = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.xxhash64(text).alias("check"), F.sha2(text, 256).alias("text_sha256"))
+    probes = flag_maybe(probes, hits, "digest")
+    found = probes.where("maybe").join(answers, ["digest", "check"], "left").select("doc_id", "keep_id", "group_size", "text_sha256")
+    alone = probes.where(~F.col("maybe")).select("doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"), "text_sha256")
+    out = found.unionByName(alone)
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     out = out.withColumn("keep_id", keep_id).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
