@@ -173,6 +173,39 @@ def test_important_documents_come_first(spark):
     assert t[True] > 1.5 * t[False]
 
 
+def test_importances_become_rates_that_sum_to_the_target(spark):
+    docs = make(spark, [(i, words(10 + i % 7, i), "abc"[i % 3]) for i in range(900)]).withColumn("weight", F.when(F.col("doc_id") < 90, 1000.0).when(F.col("doc_id") < 500, F.col("doc_id") / 50.0))
+    sizes = mixing.sized(docs, "x", "weight")
+    targets = mixing.source_targets(sizes.select("source", F.col("_size").alias("size")), (5, 2, 1), 1.2, 2.0)
+    plan = {r.src: r for r in mixing.rates(sizes, targets, 2.0).collect()}
+    total = collections.Counter()
+    for r in sizes.collect():
+        total[r.source] += r._size * min(2.0, plan[r.source].scale * r._imp)
+    assert all(total[s] == pytest.approx(plan[s].target) for s in plan)
+    r = mixing.mix_sources(docs, share=1.2, importance="weight").collect()
+    taken = collections.Counter()
+    for x in r:
+        taken[x.source] += x.taken
+        assert x.taken in (0, x.size, 2 * x.size) and (x.doc_id >= 90 or x.taken > 0)  # certain copies of what weighs most
+    assert all(abs(taken[s] - plan[s].target) <= 16 for s in plan)
+
+
+@pytest.mark.parametrize("share", [1e-5, 1e-3, 0.5, 0.9999])
+def test_bins_stay_even_at_any_rate(spark, share):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("one").alias("text"))
+    sizes = mixing.sized(docs, "x", None).withColumn("target", F.lit(200_000.0 * share)).withColumn("source_size", F.lit(200_000)).withColumn("scale", F.lit(None).cast("double"))
+    q = mixing._with_odds(sizes, 2.0)
+    odds = F.col("q") * share / (1 - share)
+    assert q.groupBy(F.floor(odds / (1 + odds) * 1000)).count().agg(F.max("count")).first()[0] < 2 * 200
+
+
+def test_sources_are_numbered_in_code_point_order(spark):
+    names = [None, "", "a", "Z", "é", "zz", *(f"host{i}" for i in range(300))]
+    got = mixing._numbered(spark.createDataFrame([(n,) for n in names], "source string").repartition(7)).collect()
+    want = sorted(names, key=lambda x: (x is None, x or ""))
+    assert [r.source for r in sorted(got, key=lambda r: r.i)] == want and sorted(r.i for r in got) == list(range(len(names)))
+
+
 # --- token counts
 
 
@@ -201,9 +234,59 @@ def test_rollup_deletes_revises_and_commits_once(spark, tmp_path, empty):
     assert rollup.commit("3", deletes=docs.select("doc_id"))
     assert rollup.totals().count() == 0
     assert rollup.commit("4", inserts=empty) and rollup.totals().count() == 0
-    # a run that died before its commit file leaves nothing that counts
+    # a run that died before its entry was in the log leaves nothing that counts
     docs.withColumn("x", F.lit(1)).write.parquet(f"file://{tmp_path}/r/data/dead/delta")
+    (tmp_path / "r" / "aside").mkdir(exist_ok=True)
+    (tmp_path / "r" / "aside" / "half").write_text("")
+    assert rollup.totals().count() == 0
+
+
+def test_rollup_that_dies_before_its_rename_can_run_again(spark, tmp_path, monkeypatch):
+    rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/r", {"words-1": None})
+    docs = make(spark, [(i, words(10, i), "a") for i in range(20)])
+
+    def dies(self, entry):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(token_rollup.TokenRollup, "_append", dies)
+    with pytest.raises(KeyboardInterrupt):
+        rollup.commit("1", inserts=docs)
     assert rollup.totals().count() == 0
+    monkeypatch.undo()
+    assert rollup.commit("1", inserts=docs) and rollup.totals().first().tokens == 200
+
+
+def test_overlapping_deletes_take_a_document_away_once(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/r"
+    a, b = (token_rollup.TokenRollup(spark, path, {"words-1": None}) for _ in range(2))
+    docs = make(spark, [(i, words(10, i), "a") for i in range(20)])
+    a.commit("1", inserts=docs)
+    whole, turns = token_rollup.TokenRollup._append, iter([True])
+
+    def overtaken(self, entry):
+        if next(turns, False):  # b deletes and inserts while a is at work
+            assert b.commit("3", deletes=docs.where("doc_id < 8")) and b.commit("4", inserts=docs.where("doc_id = 2"))
+        return whole(self, entry)
+
+    monkeypatch.setattr(token_rollup.TokenRollup, "_append", overtaken)
+    assert a.commit("2", deletes=docs.where("doc_id BETWEEN 4 AND 9"))
+    assert {(r.docs, r.tokens) for r in a.totals().collect()} == {(11, 110)}
+    assert not a.commit("3", deletes=docs)
+
+
+def test_compaction_changes_no_total_and_remembers_batches(spark, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/r", {"words-1": None})
+    docs = make(spark, [(i, words(10, i), "ab"[i % 2]) for i in range(20)])
+    assert not rollup.compact()
+    for k in range(4):
+        rollup.commit(str(k), inserts=docs.where(F.col("doc_id") % 4 == k))
+    before = sorted(map(tuple, rollup.totals().collect()))
+    assert rollup.compact() and len(rollup.log()) == 1
+    rollup.commit("more", deletes=docs.where("doc_id = 3"))
+    assert rollup.compact() and len(rollup.log()) == 1
+    assert not rollup.commit("2", inserts=docs) and not rollup.commit("more", inserts=docs)
+    rollup.commit("back", inserts=docs.where("doc_id = 3"))
+    assert sorted(map(tuple, rollup.totals().collect())) == before
 
 
 # --- substring dedup
@@ -286,6 +369,71 @@ def test_field_finds_other_forms_and_leaves_prose_alone(spark):
     docs = make(spark, [(1, "call me at (555) 123-4567 now", "a"), (2, "john(at)mail.com please", "a"), (3, "in 2024 there were 15 of 300 at 10:20 on 2024-05-06", "a"), (4, words(300, 4), "a")])
     got = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
     assert got == {1: "phone:11:25", 2: "email:0:16", 3: "", 4: ""}
+    more = ["555.123.4567 is my phone", "bob[at]corp.co.uk", "fe80::1", "Tel:030-123456", "mail jane.doe (at) example.org now", "flight 020 7946 0958 seats", 'token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" est']
+    got = {r.doc_id: r.spans for r in pii.find_pii(make(spark, list(zip(range(7), more, "aaaaaaa", strict=True)))).collect()}
+    assert got == {0: "phone:0:12", 1: "email:0:17", 2: "ip:0:7", 3: "phone:4:14", 4: "email:5:30", 5: "", 6: "secret:9:49"}
+
+
+def _spans_of(rows_, field):
+    """(found and right, found, there) by whole spans."""
+    texts = [" ".join(w) for w, _ in rows_]
+    found = {(r, a, b, k) for r, a, b, k in pii.field_spans(Texts.of(pa.array(texts)), field)}
+    want = set()
+    for i, (w, labels) in enumerate(rows_):
+        at = np.cumsum([0, *(len(x) + 1 for x in w)])
+        for j, label in enumerate(labels):
+            if label % 2 == 1:
+                e = next((x for x in range(j + 1, len(w)) if labels[x] != label + 1), len(w))
+                want.add((i, *pii._trimmed(texts[i].encode(), int(at[j]), int(at[e]) - 1, pii.FIELD_KINDS[label // 2]), label // 2))
+    return len(found & want), len(found), len(want)
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.train_field(pii.labelled_rows())
+
+
+def test_field_on_lines_it_has_not_seen(field):
+    seen = {" ".join(w) for w, _ in pii.labelled_rows()}
+    rows_ = [x for x in pii.labelled_rows(seed=9, held_out=True) if " ".join(x[0]) not in seen]
+    right, found, there = _spans_of(rows_, field)
+    assert there > 100 and right / found >= 0.95 and right / there >= 0.95
+
+
+def test_field_adds_spans_to_documents(spark):
+    got = pii.find_pii(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"))
+    r = got.agg(F.sum("n_added").alias("added"), F.sum("n_spans").alias("all"), F.sum(F.expr("n_email + n_ip + n_card + n_phone")).alias("base")).first()
+    assert r.added > 0 and r["all"] == r.base + r.added
+
+
+def test_time_follows_the_length_of_a_text(field):
+    import time
+
+    def seconds(text):
+        rows_ = Texts.of(pa.array([text]))
+        t = time.perf_counter()
+        pii.base_spans(rows_)
+        pii.field_spans(rows_, field)
+        return time.perf_counter() - t
+
+    for unit in ("a.", "a@", "12 34 ", "+1 ", "1.", "(at) "):
+        seconds(unit * 1000)
+        short, long = seconds(unit * (100_000 // len(unit))), seconds(unit * (1_000_000 // len(unit)))
+        assert long < 40 * short + 2, unit
+
+
+def test_words_certain_to_be_outside_do_not_change_the_path():
+    rng = np.random.default_rng(3)
+    k = len(pii.LABELS)
+    for n in (1, 2, 7, 60, 333):
+        for _ in range(20):
+            emit, step = rng.standard_normal((n, k)) * 3, np.where(pii._ALLOWED < 0, -1e4, rng.standard_normal((k + 1, k)))
+            emit[:, 0] += rng.choice([0, 14], n)
+            new = rng.random(n) < 0.1
+            new[0] = True
+            whole = pii.viterbi(emit, np.append(np.flatnonzero(new), n), step)
+            assert (whole == pii.decode(emit, new, step)).all()
+            assert (pii.viterbi(emit, np.array([0, n]), step) == pii.viterbi_blocks(emit, step, step[k], np.zeros(k))).all()
 
 
 def test_viterbi_is_the_best_path():
@@ -317,6 +465,34 @@ def test_lines_edge_cases_and_both_ways(spark, odd, monkeypatch):
     assert line_dedup.line_dedup(odd).count() == 12 and line_dedup.line_dedup(make(spark, [])).count() == 0
 
 
+def _without_boilerplate(docs, sites=8, short=16):
+    spread, first = collections.defaultdict(set), {}
+    for i, t, s in docs:
+        for line in (t or "").split("\n"):
+            if line.strip(" "):
+                spread[line].add(s)
+                first[line] = min(first.get(line, 1 << 63), (1 << 63) - 1 if i is None else i)
+    out = []
+    for i, t, _ in docs:
+        own = (1 << 63) - 1 if i is None else i
+        gone = lambda x: x.strip(" ") and len(spread[x]) >= (sites if len([w for w in x.split(" ") if w]) >= 3 else short) and first[x] != own  # noqa: B023, E731
+        out.append((i, t if t is None else "\n".join(x for x in t.split("\n") if not gone(x))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_LINES, 0])
+def test_rows_that_share_an_id_lose_their_own_lines(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+    line = "this line is everywhere today"
+    docs = [(i, f"{line}\nThe end.\nOften here\nown {i} words", f"s{i % 20}" if i % 2 else f"s{i % 12}") for i in range(60)]
+    docs += [(5, f"{line}\nown words", "s1"), (5, "precious unique line here now\nmore", "s2"), (None, f"{line}\nfirst", "s3"), (None, "another unique line of words\nThe end.", "s4"), (None, None, "s5"), (5, f"{line}\nown words", "s1"), (7, f"  \n{line}\n\n", None)]
+    docs += [(100 + i, "Rare", f"s{i}") for i in range(15)]
+    df = make(spark, docs).withColumn("starts", F.lit(3)).withColumn("row_key", F.lit("x"))
+    got = line_dedup.line_dedup(df)
+    assert got.columns == [c for c in df.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == _without_boilerplate(docs)
+
+
 def test_spread_is_close_at_any_size(spark):
     docs = [(i, f"common line of many sites\nrare line number {i % 50}", f"site{i}") for i in range(3000)]
     got = {round(r.sites) for r in line_dedup.spread(line_dedup.sketch_lines(make(spark, docs), 3, 4), 100).collect()}
@@ -427,6 +603,22 @@ def test_near_classes_against_brute_force(spark, odd, monkeypatch):
     assert near_dedup.near_dedup(odd).count() == 12 and near_dedup.near_dedup(make(spark, [])).count() == 0
 
 
+def test_one_row_of_each_class_is_kept(spark):
+    base = words(80, 4)
+    docs = [(1, base, "a"), (1, base + " tail", "b"), (1, base, "c"), (2, base, "a"), (3, words(50, 5), "a"), (3, words(50, 5), "a"), (None, words(40, 6), "a"), (None, words(40, 6), "b"), (None, base, "a"), (None, None, "a"), (9, "", "a")]
+    r = near_dedup.near_dedup(make(spark, docs)).collect()
+    kept = collections.Counter((x.class_id, x.class_size) for x in r if x.kept)
+    assert kept == {(1, 5): 1, (3, 2): 1, (None, 2): 1, (9, 2): 1} and len(r) == len(docs)
+    assert all(x.doc_id == x.class_id for x in r if x.kept)
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r.label for r in near_dedup.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        near_dedup.components(chain, limit=1)
+
+
 def test_smaller_buckets_keep_all_links(spark, monkeypatch):
     base = words(150, 77)
     docs = [(i, _edited(base, i % 12, i), "a") for i in range(120)]
@@ -528,4 +720,19 @@ def test_fingerprints_choose_the_mapping(spark):
     assert got[3] == ("instruction with input", [("user", "do"), ("assistant", "a")])
     assert got[10][1][0] == ("user", "do\n\nthis") and got[11][1][0] == ("system", "s") and got[9][1] == []
     assert got[6] == got[7] == got[8] == (None, None)
-    assert chat_format.format_records(df).count() == 7
+    made = {r.conv_id: (r.formatted, r.loss_spans) for r in chat_format.format_records(df).collect()}
+    assert len(made) == 11 and made[6] == made[7] == made[8] == (None, []) and made[9] == ("", [])
+    assert chat_format.format_records(df.limit(0)).count() == 0
+
+
+def test_fingerprints_are_of_fields_not_values(spark):
+    rows_ = [
+        (1, '{"prompt": "q", "response": null}'), (2, '{"messages": [{"role": "user", "content": null}, {"role": null, "content": null}]}'), (3, '{"messages": [{"role": "user", "content": "q"}, {"from": "gpt", "value": "a"}]}'),
+        (4, '{"prompt": "q", "response": "a", "input": "x"}'), (5, '{"messages": null}'), (6, '[1]'), (7, '{"prompt": null, "response": null, "system": null}'), (8, '{"messages": [null, {"role": "user", "content": "q"}]}'), (9, '{"messages": [{"who": "x"}]}'),
+    ]
+    df = spark.createDataFrame(rows_, "conv_id long, payload string").withColumn("r", chat_format.parse_record(F.col("payload"))).withColumn("layout", F.lit("clash")).withColumn("turns", F.lit(0))
+    got = {r.conv_id: r.turns and [(t.role, t.text) for t in r.turns] for r in chat_format.canonical_turns(df).collect()}
+    assert got[1] == [("user", "q"), ("assistant", "")] and got[2] == [("user", ""), ("", "")] and got[3] == [("user", "q"), ("assistant", "a")]
+    assert got[4] == [("user", "q"), ("assistant", "a")] and got[5] == [] and got[6] is None and len(got[7]) == 3
+    assert got[8] == [("user", "q")] and got[9] is None
+    assert chat_format.format_records(df).count() == 9
