@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lakeloom.llm.text import ALNUM, Texts, in_batches, lean
+from lakeloom.llm.text import ALNUM, Texts, blob_column, in_batches, lean
 from lakeloom.storage import materialise
 
 WINDOW = 10
-SEGMENT_BYTES = 4_000_000
+SEGMENT_BYTES = 2_000_000
 #: A block of items that is sent to every task holds at most so much text.
 BLOCK_CHARS = 16_000_000
 
@@ -41,7 +41,8 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
     """The index: one row per segment, a run of whole documents of about ``segment_bytes`` (a
     longer document is a segment of its own).  A segment holds its documents, the sorted 64-bit
     hashes of its terms, and for each term the list of word positions.  The lists of all terms are
-    stored, so that other benchmarks can be looked up without reading the corpus again."""
+    stored, so that other benchmarks can be looked up without reading the corpus again.  Write it as a
+    table of blobs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -57,8 +58,11 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
                 row_ids = part + seq + np.arange(rows.rows, dtype=np.int64)
                 row_keys = batch.column(2).to_numpy(zero_copy_only=False)[a : a + rows.rows]
                 blobs = [row_ids, ids[a : a + rows.rows].astype(np.int64), null[a : a + rows.rows].astype(np.uint8), row_keys, first.astype(np.int32), terms, starts, postings]
-                yield pa.RecordBatch.from_arrays([pa.array([part + seq]), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names=_SEGMENT_NAMES)
+                out = pa.RecordBatch.from_arrays([pa.array([part + seq]), *[blob_column(x, np.array([0, len(x)])) for x in blobs]], names=_SEGMENT_NAMES)
                 seq += rows.rows
+                del rows, s, e, first, terms, starts, postings, blobs
+                yield out
+                del out
 
     return in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(lean(task), SEGMENT)
 
@@ -75,9 +79,10 @@ class Segment:
     postings: np.ndarray
 
     @classmethod
-    def of(cls, row: dict) -> Segment:
+    def of(cls, batch: pa.RecordBatch, i: int) -> Segment:
+        """Segment i of a batch, without copies of its lists."""
         kinds = {"row_ids": np.int64, "doc_ids": np.int64, "doc_null": np.uint8, "row_keys": np.int64, "first": np.int32, "terms": np.uint64, "starts": np.int32, "postings": np.int32}
-        return cls(**{k: np.frombuffer(row[k], kind) for k, kind in kinds.items()})
+        return cls(**{k: np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in kinds.items()})
 
     def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of each term's list; length 0 for terms that do not occur."""
@@ -121,9 +126,11 @@ class Segment:
 
 @dataclass
 class Phrases:
-    """Distinct windows of a block of items: hashes[w, :size[w]], and the items of each."""
+    """Distinct windows of a block of items: their words are vocabulary[term[w, :size[w]]], and items[w]
+    has those that hold them."""
 
-    hashes: np.ndarray
+    vocabulary: np.ndarray
+    term: np.ndarray
     size: np.ndarray
     items: list[list[int]]
     names: list[str]
@@ -136,53 +143,65 @@ def item_phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
     names = [name for name, _ in items]
     texts = Texts.of(pa.array([t for _, t in items], pa.large_string())).lower()
     s, e, first = texts.spans(ALNUM)
-    h = texts.hashes(s, e)
+    vocabulary, term_of = np.unique(texts.hashes(s, e), return_inverse=True)
     for i in range(len(items)):
-        words = h[first[i] : first[i + 1]]
+        words = term_of[first[i] : first[i + 1]]
         for k in range(max(1, len(words) - window + 1) if len(words) else 0):
             found.setdefault(tuple(words[k : k + window].tolist()), []).append(i)
     keys = list(found)
-    hashes = np.zeros((len(keys), window), np.uint64)
+    term = np.zeros((len(keys), window), np.int64)
     for w, k in enumerate(keys):
-        hashes[w, : len(k)] = k
-    return Phrases(hashes, np.array([len(k) for k in keys], np.int64), [sorted(set(found[k])) for k in keys], names)
+        term[w, : len(k)] = k
+    return Phrases(vocabulary, term, np.array([len(k) for k in keys], np.int64), [sorted(set(found[k])) for k in keys], names)
 
 
 HITS = "row_id long, doc_id long, row_key long, n_words long, spans binary, items array<string>"
+FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, row_key long"
 
 
-def search(index: DataFrame, phrases: Phrases, within: int | None = None) -> DataFrame:
+def _answers(doc_id: pa.Array, n_words: pa.Array, n_hit: list[int], items: list[list[str]], row_key: pa.Array) -> pa.RecordBatch:
+    shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    arrays = [doc_id, n_words, pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(items, pa.list_(pa.string())), row_key]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in FOUND.split(", ")])
+
+
+def _covered(blobs: list[bytes]) -> int:
+    return sum(b - a for a, b in _union([tuple(x) for blob in blobs for x in np.frombuffer(blob, np.int32).reshape(-1, 2).tolist()]))
+
+
+def search(index: DataFrame, phrases: Phrases, within: int | None = None, finish: bool = False) -> DataFrame:
     """One row per document: its words, the spans [start, end) of words that phrases hit (int32
     pairs) and the ids of the items found.  ``within`` looks for the phrases' words in any order,
-    each at most that many words from the rarest, instead of the exact sequence."""
+    each at most that many words from the rarest, instead of the exact sequence.  ``finish`` gives
+    the rows of decontaminate, where these phrases are all."""
+    inside = np.arange(phrases.term.shape[1]) < phrases.size[:, None]
+
+    def found(seg: Segment) -> pa.RecordBatch:
+        docs = len(seg.row_ids)
+        start_of, count_of = seg.lists(phrases.vocabulary)
+        live = ((count_of > 0)[phrases.term] | ~inside).all(1) if len(phrases.vocabulary) else np.zeros(0, bool)
+        spans, items = [[] for _ in range(docs)], [set() for _ in range(docs)]
+        for w in np.flatnonzero(live):
+            n = int(phrases.size[w])
+            starts, counts = start_of[phrases.term[w, :n]], count_of[phrases.term[w, :n]]
+            at = seg.phrase(starts, counts) if within is None else seg.near(starts, counts, within)
+            for d, p in zip((np.searchsorted(seg.first, at, "right") - 1).tolist(), at.tolist(), strict=True):
+                spans[d].append((p - int(seg.first[d]), p - int(seg.first[d]) + (n if within is None else 1)))
+                items[d].update(phrases.items[w])
+        spans = [_union(x) for x in spans]
+        names = [sorted(phrases.names[i] for i in x) for x in items]
+        doc_id, row_key, n_words = pa.array(seg.doc_ids, mask=seg.doc_null.astype(bool)), pa.array(seg.row_keys), pa.array(np.diff(seg.first).astype(np.int64))
+        if finish:
+            return _answers(doc_id, n_words, [sum(b - a for a, b in x) for x in spans], names, row_key)
+        blobs = pa.array([np.array(x, np.int32).tobytes() for x in spans], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(seg.row_ids), doc_id, row_key, n_words, blobs, pa.array(names, pa.list_(pa.string()))], names=[x.split()[0] for x in HITS.split(", ")])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                seg = Segment.of(row)
-                docs = len(seg.row_ids)
-                starts, counts = seg.lists(phrases.hashes)
-                live = (counts > 0) | (np.arange(phrases.hashes.shape[1]) >= phrases.size[:, None])
-                spans, items = [[] for _ in range(docs)], [set() for _ in range(docs)]
-                for w in np.flatnonzero(live.all(1)):
-                    n = int(phrases.size[w])
-                    at = seg.phrase(starts[w, :n], counts[w, :n]) if within is None else seg.near(starts[w, :n], counts[w, :n], within)
-                    for d, p in zip((np.searchsorted(seg.first, at, "right") - 1).tolist(), at.tolist(), strict=True):
-                        spans[d].append((p - seg.first[d], p - seg.first[d] + (n if within is None else 1)))
-                        items[d].update(phrases.items[w])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(seg.row_ids),
-                        pa.array(seg.doc_ids, mask=seg.doc_null.astype(bool)),
-                        pa.array(seg.row_keys),
-                        pa.array(np.diff(seg.first).astype(np.int64)),
-                        pa.array([np.array(_union(x), np.int32).tobytes() for x in spans], pa.binary()),
-                        pa.array([[phrases.names[i] for i in sorted(x)] for x in items], pa.list_(pa.string())),
-                    ],
-                    names=["row_id", "doc_id", "row_key", "n_words", "spans", "items"],
-                )
-
-    return index.mapInArrow(lean(task), HITS)
+            for i in range(batch.num_rows):
+                yield found(Segment.of(batch, i))
+
+    return index.mapInArrow(lean(task), FOUND if finish else HITS)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -195,48 +214,50 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded text, streamed to the driver one partition at a time."""
-    blocks, size = [[]], 0
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of bounded text, streamed to the driver, which holds one block at a time."""
+    block, size = [], 0
     for item, text in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string"), "text").toLocalIterator():
         if size and size + len(text) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
+            yield block
+            block, size = [], 0
+        block.append((item, text))
         size += len(text)
-    return blocks
+    yield block
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, index: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
     items, row_key (a hash of doc_id and text).
 
-    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  An item's
-    windows are its runs of ``window`` words, or all its words if fewer.  Document words inside
-    an exact occurrence of any window are hit.  The benchmark is the query set: it goes to every
-    task in blocks of at most ``block_chars`` characters, each a pass over the stored index.
+    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; the index knows them
+    by 64-bit hashes, and a window matches where all its hashes follow one another.  An item's
+    windows are its runs of ``window`` words, or all its words if fewer.  Document words inside an
+    exact occurrence of any window are hit.  Rarity, by which lists are intersected, is that within
+    a segment.  The benchmark is the query set: it goes to every task in blocks of at most
+    ``block_chars`` characters, each a pass over the stored index.
 
     Null texts have no words; items without words or id match nothing; equal items and repeated
-    rows each answer; other columns are ignored; an empty benchmark hits nothing.
+    rows each answer; other columns are ignored; an empty benchmark hits nothing; an empty table
+    gives no rows.
     """
-    index = materialise(build_index(docs), "postings") if index is None else index
-    passes = [search(index, item_phrases(block, window)) for block in _blocks(benchmark, block_chars)]
-    if len(passes) == 1:
-        found = passes[0].withColumn("spans", F.array("spans"))
-    else:
-        found = passes[0]
-        for p in passes[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = materialise(build_index(docs), "postings", blobs=True) if index is None else index
+    blocks = _blocks(benchmark, block_chars)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return search(index, item_phrases(block, window), finish=True)
+    passes = []
+    while block is not None:  # documents without hits come from the first pass alone
+        hits = search(index, item_phrases(block, window))
+        passes.append(materialise(hits if not passes else hits.where(F.size("items") > 0), "hits"))
+        block, after = after, next(blocks, None)
+    found = passes[0]
+    for p in passes[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
-            for blobs in batch.column(2).to_pylist():
-                pairs = [tuple(x) for b in blobs for x in np.frombuffer(b, np.int32).reshape(-1, 2).tolist()]
-                hit.append(sum(b - a for a, b in _union(pairs)))
-            items = [sorted(x) for x in batch.column(3).to_pylist()]
-            shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas), pa.array([x > 0 for x in hit]), pa.array(items, pa.list_(pa.string())), batch.column(4)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "row_key"])
-
-    return found.select("doc_id", "n_words", "spans", "items", "row_key").mapInArrow(lean(finish), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, row_key long")
+            yield _answers(batch.column(1), batch.column(3), [_covered(x) for x in batch.column(4).to_pylist()], [sorted(x) for x in batch.column(5).to_pylist()], batch.column(2))
+
+    return found.select("row_id", "doc_id", "row_key", "n_words", "spans", "items").mapInArrow(lean(several), FOUND)
