@@ -23,10 +23,11 @@ NOT_NEWLINE = bytes(0 if b == 10 else 1 for b in range(256))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def in_batches(docs: DataFrame, megabytes: int = 8) -> DataFrame:
+def in_batches(docs: DataFrame, megabytes: int = 1) -> DataFrame:
     """``docs``, with the Arrow batches of its session held to so many bytes: what a task has in
-    memory then follows the size of a batch or of a single text, not of 10,000 rows.  The session
-    keeps the limit, as plans run after this returns."""
+    memory then follows the size of a batch or of a single text, not of 10,000 rows.  Arrow's pool in the
+    JVM reuses buffers of a few MB; larger ones come and go outside of it and leave holes, which the
+    executor is charged for.  The session keeps the limit, as plans run after this returns."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
     return docs
 
