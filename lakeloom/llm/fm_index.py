@@ -37,6 +37,18 @@ class WaveletMatrix:
         return b - a
 
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each position, and how often it occurs before."""
+        symbol, a, b = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), at.astype(np.int64)
+        for k in range(self.levels):
+            one = (self.words[k][b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            symbol = symbol << 1 | one
+            ra, rb = self._ones(k, a), self._ones(k, b)
+            a = np.where(one, self.zeros[k] + ra, a - ra)
+            b = np.where(one, self.zeros[k] + rb, b - rb)
+        return symbol, b - a
+
+
 def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Dense ranks of pairs of values below 2 ** 32."""
     key = (high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
@@ -47,27 +59,55 @@ def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Every so many-th symbol of a sequence says where it is; others are found by walking back to one.
+SAMPLE = 8
+
+
 class FMIndex:
-    """Index of sequences of symbols for patterns of up to ``depth`` symbols.
+    """Compressed index of sequences of symbols for patterns of up to ``depth`` symbols.
 
     ``text`` holds the sequences one after another, each ended by 0; other symbols are positive.
-    Suffixes are ordered by their first ``depth`` symbols, by doubling; the order of longer ties
-    does not matter to patterns of that length.
+    Suffixes are ordered by doubling.  What is kept is the transformed text in a wavelet
+    matrix and, for every SAMPLE-th symbol and the first of each sequence, the sequence it is in.
     """
 
     def __init__(self, text: np.ndarray, depth: int):
         self.depth, n = depth, len(text)
         self.n_symbols = int(text.max()) + 1 if n else 1
         rank, width = text.astype(np.int64), 1
-        while width < depth:
-            step = min(width, depth - width)
+        while n and (width == 1 or int(rank.max()) + 1 < n):
             shifted = np.zeros(n, np.int64)
-            shifted[: n - step] = rank[step:] + 1
+            shifted[: max(n - width, 0)] = rank[width:] + 1
             rank = _ranks(rank, shifted)
-            width += step
-        self.suffixes = np.argsort(rank, kind="stable")
-        self.bwt = WaveletMatrix(text[self.suffixes - 1], self.n_symbols)
+            width *= 2
+        suffixes = np.argsort(rank, kind="stable").astype(np.int32 if n < 1 << 31 else np.int64)
+        del rank
+        self.size = n
+        self.bwt = WaveletMatrix(text[suffixes - 1], self.n_symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.n_symbols))])
+        ends = np.concatenate([[False], text == 0])[:n]  # the symbol before is an end
+        begin = np.flatnonzero(np.concatenate([[True], ends[1:]])) if n else np.zeros(0, np.int64)
+        sequence = np.cumsum(np.concatenate([[True], ends[1:]])) - 1 if n else begin
+        known = (np.arange(n) - begin[sequence]) % SAMPLE == 0 if n else ends
+        marked = known[suffixes]
+        packed = np.packbits(np.concatenate([marked, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view(np.uint64)
+        self.marks, self.marks_before = packed, np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))])
+        self.samples = sequence[suffixes[marked]].astype(np.int32)
+
+    def sequences(self, rows: np.ndarray) -> np.ndarray:
+        """The sequences in which the suffixes of these rows begin, by steps back in the text until one
+        whose sequence is known."""
+        out, live, at = np.zeros(len(rows), np.int64), np.arange(len(rows)), rows.astype(np.int64)
+        while len(live):
+            word, low = at >> 6, (at & 63).astype(np.uint64)
+            there = (self.marks[word] >> low & np.uint64(1)).astype(bool)
+            before = self.marks_before[word[there]] + np.bitwise_count(self.marks[word[there]] & ((np.uint64(1) << low[there]) - np.uint64(1)))
+            out[live[there]] = self.samples[before]
+            live, at = live[~there], at[~there]
+            if len(live):
+                symbol, rank = self.bwt.access(at)
+                at = self.first[symbol] + rank
+        return out
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of patterns with one symbol put before them."""
@@ -78,7 +118,7 @@ class FMIndex:
         """Matching statistics: for each end position, how many symbols before it match, ``depth`` at
         most, while more than ``stop`` - 1 places do, and the suffix interval of that match."""
         length = np.zeros(len(ends), np.int64)
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.suffixes), np.int64)
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
         live = np.arange(len(ends))
         for step in range(1, self.depth + 1):
             at = ends[live] - step

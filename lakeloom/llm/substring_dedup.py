@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakeloom.llm.filters import BITS, flag_maybe
 from lakeloom.llm.fm_index import FMIndex
-from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, in_batches, lean, mix, shingle_hashes
+from lakeloom.llm.text import MIX1, SOLID, Texts, blob_column, in_batches, lean, mix, pieces_of, shingle_hashes
 from lakeloom.storage import materialise
 
 WINDOW = 13
@@ -22,8 +22,10 @@ ANCHOR = 7
 #: Windows of one piece of text that goes to a shard.
 PIECE = 7
 _ID_BYTES = 5
-#: Shards for each shuffle partition: an index takes some thirty times the bytes of its words.
-SHARDS = 4
+#: Bytes of the corpus for each shard: building an index takes some thirty times the bytes of its words.
+SHARD_BYTES = 4_000_000
+#: Windows that are searched for at a time.
+STREAMED = 1 << 18
 
 
 def _anchors(rows: Texts, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ def shard_pieces(docs: DataFrame, table: Broadcast, window: int, anchor: int, n_
             new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (a[order][1:] != a[order][:-1])])
             first = np.flatnonzero(new)
             pick, least, most = order[first], np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
-            part = ((a[pick] >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+            part = ((mix(a[pick]) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)  # anchors are minima, so not even themselves
             by, full, cuts = _by_part(part, n_parts)
             pick, least, most = pick[by], least[by], most[by]
             off = np.concatenate([[0], np.cumsum(size[pick])])
@@ -190,22 +192,21 @@ def first_documents(pieces: DataFrame, window: int) -> DataFrame:
         begin = np.concatenate([[0], np.cumsum(n + 1)])
         text = np.zeros(int(begin[-1]), np.int64)
         text[_ragged(begin[:-1], n)] = dense + 1
-        piece_of = np.repeat(np.arange(len(n)), n + 1)
         index = FMIndex(text, window)
         n_windows = n - window + 1
         ends = _ragged(begin[:-1] + window, n_windows)
         owner = np.repeat(np.arange(len(n)), n_windows)
-        # a match at one place only is the window's own piece: no need to follow it further
-        length, lo, hi = index.matching(text, ends, stop=2)
         found = lo_doc[owner].copy()
-        hit = np.flatnonzero(length == window)
-        if len(hit):
-            doc_at = lo_doc[piece_of[index.suffixes]]
-            u, where = np.unique(lo[hit], return_index=True)
-            edges = np.stack([u, hi[hit][where]], 1).reshape(-1)
-            doc_at = np.append(doc_at, np.iinfo(np.int64).max)
-            mins = np.minimum.reduceat(doc_at, edges)[::2]
-            found[hit] = mins[np.searchsorted(u, lo[hit])]
+        for c in range(0, len(ends), STREAMED):
+            # a match at one place only is the window's own piece: no need to follow it further
+            length, lo, hi = index.matching(text, ends[c : c + STREAMED], stop=2)
+            hit = np.flatnonzero(length == window)
+            if len(hit):
+                u, where = np.unique(lo[hit], return_index=True)
+                size_of = hi[hit][where] - u
+                docs_at = lo_doc[index.sequences(_ragged(u, size_of))]
+                mins = np.minimum.reduceat(docs_at, np.concatenate([[0], np.cumsum(size_of)])[:-1])
+                found[c + hit] = mins[np.searchsorted(u, lo[hit])]
         need = np.add.reduceat(found < hi_doc[owner], np.concatenate([[0], np.cumsum(n_windows)])[:-1]) > 0
         some = np.flatnonzero(need)
         off = np.concatenate([[0], np.cumsum(n_windows)])
@@ -238,8 +239,8 @@ def row_key():
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, n_shards: int | None = None) -> DataFrame:
     """row_key and starts (int32 word positions) of the windows that also start in a document with
     a smaller doc_id, for the documents that have any."""
-    n_shards = n_shards or SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = docs.sparkSession.sparkContext.broadcast(repeated_anchors(in_batches(docs, 16), window, anchor, n_shards))
+    n_shards = n_shards or pieces_of(docs, SHARD_BYTES)
+    table = docs.sparkSession.sparkContext.broadcast(repeated_anchors(in_batches(docs, 4), window, anchor, n_shards))
     firsts = materialise(first_documents(shard_pieces(docs, table, window, anchor, n_shards), window), "firsts")
     known = occurrences(docs, table, window, anchor).join(firsts, ["anchor", "key"])
 
@@ -268,9 +269,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     How: a window belongs to its anchor, the smallest hash among its runs of ``anchor`` words, so
     equal windows meet in one shard.  Anchors met once cannot repeat and are left out by a bit
-    set of fixed size (as it fills, more is looked up, never less).  A shard builds an FM-index
-    of its distinct pieces of text and finds each window by backward search; the smallest document
-    among the places found is joined back to every occurrence.  A passage that very many documents
+    set of fixed size (as it fills, more is looked up, never less).  A shard, of which there is one for
+    each SHARD_BYTES of the corpus, builds a compressed FM-index of its distinct pieces of text and
+    streams the pieces of its documents against it: backward search gives how far back from each word
+    the text matches elsewhere, up to the window's length, and where; the smallest document among the
+    places found is joined back to every occurrence.  A passage that very many documents
     share is one piece per batch in its shard, and its occurrences are a join that can be split.
 
     Null and short texts have no windows; a null doc_id is larger than any other; rows that repeat
