@@ -64,7 +64,7 @@ def _(e, n):
     return op.top_k(op.degree_centrality(e, n), 10).select("id", r("score", 8))
 
 
-_BFS = """bfs(source, id, hops) AS (SELECT id, id, 0 FROM link_nodes UNION SELECT source, dst, hops + 1 FROM bfs JOIN links ON id = src WHERE hops < 7),
+_BFS = """bfs(source, id, hops) AS (SELECT id, id, 0 FROM link_nodes UNION SELECT source, dst, hops + 1 FROM bfs JOIN links ON id = src WHERE hops < 20),
 dist AS (SELECT source, id, MIN(hops) AS hops FROM bfs GROUP BY 1, 2)"""
 
 
@@ -106,7 +106,7 @@ def _(e, n):
     return op.diameter_and_radius(e, n)
 
 
-@query("graph_weighted_shortest_paths", "graph/shortest-path", "links link_nodes", """WITH RECURSIVE w AS (SELECT src, dst, 1 + (src * 7 + dst * 3) % 10 / 4.0 AS w FROM links), p(id, distance, h) AS (SELECT 5, 0.0::DOUBLE, 0 UNION SELECT dst, MIN(distance + w.w), h + 1 FROM p JOIN w ON id = src WHERE h < 9 GROUP BY dst, h)
+@query("graph_weighted_shortest_paths", "graph/shortest-path", "links link_nodes", """WITH RECURSIVE w AS (SELECT src, dst, 1 + (src * 7 + dst * 3) % 10 / 4.0 AS w FROM links), p(id, distance, h) AS (SELECT 5, 0.0::DOUBLE, 0 UNION SELECT dst, MIN(distance + w.w), h + 1 FROM p JOIN w ON id = src WHERE h < 20 GROUP BY dst, h)
 SELECT CAST(5 AS BIGINT) AS source, id, ROUND(MIN(distance), 6) AS distance FROM p GROUP BY id""")
 def _(e, n):
     weighted = e.withColumn("w", 1 + (F.col("src") * 7 + F.col("dst") * 3) % 10 / 4.0)
@@ -229,11 +229,12 @@ def _(e, n):
     return op.triads(e, n)
 
 
-@query("graph_classify_triads", "graph/motif-detection", "links link_nodes", """WITH t AS (SELECT id AS a, (id * 7 + 3) % 60 AS b, (id * 13 + 5) % 60 AS c FROM link_nodes), u AS (SELECT DISTINCT LEAST(src, dst) AS x, GREATEST(src, dst) AS y FROM links),
+@query("graph_classify_triads", "graph/motif-detection", "links link_nodes", """WITH t AS (SELECT id AS a, (id * 7 + 3) % n AS b, (id * 13 + 5) % n AS c FROM link_nodes, (SELECT COUNT(*) AS n FROM link_nodes)), u AS (SELECT DISTINCT LEAST(src, dst) AS x, GREATEST(src, dst) AS y FROM links),
 k AS (SELECT a, b, c, (SELECT COUNT(*) FROM u WHERE (x = LEAST(a, b) AND y = GREATEST(a, b))) + (SELECT COUNT(*) FROM u WHERE (x = LEAST(b, c) AND y = GREATEST(b, c))) + (SELECT COUNT(*) FROM u WHERE (x = LEAST(a, c) AND y = GREATEST(a, c))) AS n FROM t)
 SELECT a, b, c, CASE n WHEN 0 THEN 'Empty' WHEN 1 THEN 'Edge' WHEN 2 THEN 'Wedge' ELSE 'Triangle' END AS kind FROM k""")
 def _(e, n):
-    return op.classify_triads(e, n.select(F.col("id").alias("a"), ((F.col("id") * 7 + 3) % 60).alias("b"), ((F.col("id") * 13 + 5) % 60).alias("c")))
+    size = n.count()
+    return op.classify_triads(e, n.select(F.col("id").alias("a"), ((F.col("id") * 7 + 3) % size).alias("b"), ((F.col("id") * 13 + 5) % size).alias("c")))
 
 
 @query("graph_cliques", "graph/k-clique", "links", "WITH u AS (SELECT DISTINCT LEAST(src, dst) AS x, GREATEST(src, dst) AS y FROM links) SELECT a.x || ',' || a.y || ',' || b.y AS clique FROM u a JOIN u b ON a.y = b.x JOIN u ac ON ac.x = a.x AND ac.y = b.y")
@@ -297,7 +298,12 @@ _W1 = ([[0.5, -0.2, 0.1], [0.3, 0.8, -0.5]], [0.1, -0.1])
 _W2 = ([[1.0, -1.0], [0.5, 0.5]], [0.0, 0.2])
 
 
-@query("graph_gnn_inference", "graph/gnn-inference", "links link_nodes")
+_H = "f AS (SELECT id, id * 1 % 7 / 7.0::DOUBLE AS a, id * 2 % 7 / 7.0::DOUBLE AS b, id * 3 % 7 / 7.0::DOUBLE AS c FROM link_nodes), l AS (SELECT src, dst FROM links UNION SELECT id, id FROM link_nodes)"
+
+
+@query("graph_gnn_inference", "graph/gnn-inference", "links link_nodes", f"""WITH {_H}, m AS (SELECT src AS id, AVG(a) AS a, AVG(b) AS b, AVG(c) AS c FROM l JOIN f ON f.id = dst GROUP BY 1), z AS (SELECT id, GREATEST(0.5 * a - 0.2 * b + 0.1 * c + 0.1, 0) AS u, GREATEST(0.3 * a + 0.8 * b - 0.5 * c - 0.1, 0) AS v FROM m),
+n AS (SELECT id, (u - v) / 2 / sqrt((u - v) * (u - v) / 4 + 1e-5) AS u, (v - u) / 2 / sqrt((u - v) * (u - v) / 4 + 1e-5) AS v FROM z), k AS (SELECT src AS id, AVG(u) AS u, AVG(v) AS v FROM l JOIN n ON n.id = dst GROUP BY 1), o AS (SELECT id, u - v AS p, 0.5 * u + 0.5 * v + 0.2 AS q FROM k)
+SELECT id, ROUND(1 / (1 + exp(q - p)), 6) AS p0, ROUND(1 / (1 + exp(p - q)), 6) AS p1, CASE WHEN p >= q THEN 0 ELSE 1 END AS prediction FROM o""")
 def _(e, n):
     out = op.gnn_inference(e, _features(n), [_W1, _W2])
     return out.select("id", r(F.col("h")[0], 6, "p0"), r(F.col("h")[1], 6, "p1"), "prediction")
@@ -308,11 +314,16 @@ def _gat(e, n):
     return op.graph_attention(e, _features(n), [(wq, wk, wv, [0.3, -0.2, 0.5, 0.1]), (wk, wq, wv, [0.1, 0.4, -0.3, 0.2])], ([[0.5, 0.5, 0.5, 0.5]], [0.1]))
 
 
-@query("graph_attention", "graph/graph-attention", "links link_nodes")
+_GAT = f"""{_H}, g AS (SELECT id, 0.2 * a + 0.1 * b - 0.3 * c AS q1, 0.4 * a + 0.2 * c AS q2, 0.1 * a - 0.1 * b + 0.5 * c AS k1, 0.3 * a + 0.2 * b AS k2, a + 0.5 * c AS v1, b - 0.5 * c AS v2 FROM f),
+raw AS (SELECT src, dst, 0 AS head, 0.3 * s.q1 - 0.2 * s.q2 + 0.5 * d.k1 + 0.1 * d.k2 AS x, d.v1, d.v2 FROM l JOIN g s ON s.id = src JOIN g d ON d.id = dst UNION ALL SELECT src, dst, 1, 0.1 * s.k1 + 0.4 * s.k2 - 0.3 * d.q1 + 0.2 * d.q2, d.v1, d.v2 FROM l JOIN g s ON s.id = src JOIN g d ON d.id = dst),
+e AS (SELECT *, exp(CASE WHEN x > 0 THEN x ELSE 0.2 * x END) AS e FROM raw), w AS (SELECT *, e / SUM(e) OVER (PARTITION BY head, src) AS w FROM e)"""
+
+
+@query("graph_attention", "graph/graph-attention", "links link_nodes", f"WITH {_GAT} SELECT src AS id, ROUND(0.5 * SUM(w * (v1 + v2)) + 0.1, 6) AS h0 FROM w GROUP BY 1")
 def _(e, n):
     return _gat(e, n)[0].select("id", r(F.col("h")[0], 6, "h0"))
 
 
-@query("graph_node_importance", "graph/graph-attention", "links link_nodes")
+@query("graph_node_importance", "graph/graph-attention", "links link_nodes", f"WITH {_GAT} SELECT dst AS id, ROUND(AVG(w), 6) AS score FROM w GROUP BY 1")
 def _(e, n):
     return op.node_importance(_gat(e, n)[1]).select("id", r("score", 6))

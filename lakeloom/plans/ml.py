@@ -135,7 +135,9 @@ def _(p):
     return op.linear_regression(_xy(p, "x0")).select(r(F.col("coefficients")[0], 4, "slope"), r("intercept", 2), r("r2", 8))
 
 
-@query("ml_multiple_regression", "ml/linear-regression", "points")
+@query("ml_multiple_regression", "ml/linear-regression", "points", """WITH m AS (SELECT var_pop(x0) AS a, var_pop(x1) AS b, var_pop(x2) AS c, covar_pop(x0, x1) AS d, covar_pop(x0, x2) AS e, covar_pop(x1, x2) AS f, covar_pop(x0, y) AS p, covar_pop(x1, y) AS q, covar_pop(x2, y) AS r, var_pop(y) AS v FROM points),
+k AS (SELECT *, a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e) AS det FROM m), s AS (SELECT *, (p * (b * c - f * f) - d * (q * c - f * r) + e * (q * f - b * r)) / det AS w0, (a * (q * c - f * r) - p * (d * c - f * e) + e * (d * r - q * e)) / det AS w1, (a * (b * r - q * f) - d * (d * r - q * e) + p * (d * f - b * e)) / det AS w2 FROM k)
+SELECT CAST(i AS INTEGER) AS feature, ROUND([w0, w1, w2][i + 1], 4) AS value, ROUND((w0 * p + w1 * q + w2 * r) / v, 8) AS r2 FROM s, (SELECT unnest(range(3)) AS i)""")
 def _(p):
     return op.linear_regression(_xy(p, "x0", "x1", "x2")).select(F.posexplode("coefficients").alias("feature", "value"), "r2").select("feature", r("value", 4), r("r2", 8))
 
@@ -149,13 +151,17 @@ def _linear(m: np.ndarray) -> np.ndarray:
     return m @ np.array([2.0, -1.0, 0.5]) + 3.0
 
 
-@query("ml_shap_values", "ml/shap-values", "points")
+#: Mean prediction over the background points below; a line's Shapley values are its terms less their means.
+_BASE = "2 * 65 / 3.0::DOUBLE - 13 / 3.0::DOUBLE + 0.5 * 10 / 3.0::DOUBLE + 3"
+
+
+@query("ml_shap_values", "ml/shap-values", "points", f"SELECT row_id AS id, ROUND({_BASE}, 6) AS base, ROUND(2 * (x0 - 65 / 3.0::DOUBLE), 4) + 0.0 AS v0, ROUND(-(x1 - 13 / 3.0::DOUBLE), 4) + 0.0 AS v1, ROUND(0.5 * (x2 - 10 / 3.0::DOUBLE), 4) + 0.0 AS v2 FROM points")
 def _(p):
     s = op.shap_values(_points(p), [[10.0, 2.0, 1.0], [30.0, 6.0, 5.0], [25.0, 5.0, 4.0]], _linear)
     return s.select("id", r("base", 6), *[r(F.col("values")[i], 4, f"v{i}") for i in range(3)])
 
 
-@query("ml_shap_importance", "ml/shap-values", "points")
+@query("ml_shap_importance", "ml/shap-values", "points", "WITH v AS (SELECT AVG(ABS(2 * (x0 - 65 / 3.0::DOUBLE))) AS a, AVG(ABS(x1 - 13 / 3.0::DOUBLE)) AS b, AVG(ABS(0.5 * (x2 - 10 / 3.0::DOUBLE))) AS c FROM points) SELECT 0 AS feature, ROUND(a, 4) AS importance FROM v UNION ALL SELECT 1, ROUND(b, 4) FROM v UNION ALL SELECT 2, ROUND(c, 4) FROM v")
 def _(p):
     s = op.shap_values(_points(p), [[10.0, 2.0, 1.0], [30.0, 6.0, 5.0], [25.0, 5.0, 4.0]], _linear)
     return op.mean_importance(s).select("feature", r("importance", 4))
@@ -178,9 +184,9 @@ def _(p):
     return op.prediction_score(s, "r2").select(r("score", 6, "r2")).crossJoin(op.prediction_score(s, "mae").select(r("score", 4, "mae")))
 
 
-@query("ml_tokenize", "ml/embedding-generation", "documents", "WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1:64] AS w FROM documents), t AS (SELECT id, list_filter(list_transform(w, lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')), lambda x: x <> '') AS t FROM w) SELECT id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM t")
+@query("ml_tokenize", "ml/embedding-generation", "documents", "WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT id, list_filter(list_transform(w, lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')), lambda x: x <> '') AS t FROM w) SELECT id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM t")
 def _(d):
-    t = op.tokenize(F.col("text"), 64)
+    t = op.tokenize(F.col("text"), None)
     return d.select(F.col("doc_id").alias("id"), F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
@@ -222,6 +228,18 @@ def _(s):
     return op.secure_aggregate(_updates(s), epsilon=1.0).select("feature", r("value", 6))
 
 
+@query("ml_simulate_round", "ml/secure-aggregation", "supplier", f"WITH {_UPD}, e AS (SELECT n, f, unnest(x) AS v, unnest(range(3)) AS feature FROM f), s AS (SELECT feature, SUM(v * f * n) / SUM(n) AS step FROM e GROUP BY 1) SELECT CAST(feature AS INTEGER) AS feature, feature + 1.0::DOUBLE AS before, ROUND(feature + 1 + step, 8) AS value FROM s")
+def _(s):
+    model = s.sparkSession.range(3).select(F.col("id").cast("int").alias("feature"), (F.col("id") + 1.0).alias("value"))
+    return op.simulate_round(model, _updates(s)).select("feature", "before", r("value", 8))
+
+
+@query("ml_aggregation_is_sound", "ml/secure-aggregation", "supplier", "SELECT COUNT(*) AS participants, CAST(3 AS BIGINT) AS features, true AS sound FROM supplier")
+def _(s):
+    u = _updates(s)
+    return op.aggregation_is_sound(u, op.secure_aggregate(u))
+
+
 @query("ml_masked_sum", "ml/secure-aggregation", "supplier", f"WITH {_UPD}, e AS (SELECT unnest(x) AS v, unnest(range(3)) AS feature FROM u) SELECT CAST(feature AS INTEGER) AS feature, ROUND(SUM(v), 6) AS value FROM e GROUP BY 1")
 def _(s):
     return op.masked_updates(_updates(s)).select(F.posexplode("x").alias("feature", "v")).groupBy("feature").agg(r(F.sum("v"), 6, "value"))
@@ -239,16 +257,35 @@ def _patients(c):
     return c.select(k.alias("patient"), F.array(k % 40, (k * 7 + 3) % 40, (k * 11 + 5) % 40, (k % 37 + 3) % 40).alias("drugs"))
 
 
-@query("ml_drug_interactions", "ml/drug-interaction-prediction", "customer part")
+_RX = """pt AS (SELECT c_custkey AS patient, list_distinct([c_custkey % 40, (c_custkey * 7 + 3) % 40, (c_custkey * 11 + 5) % 40, (c_custkey % 37 + 3) % 40]) AS ds FROM customer), dg AS (SELECT p_partkey AS drug, p_partkey % 9 AS cls, [p_partkey % 5, p_partkey % 7 + 10, p_partkey % 3 + 20] AS tg, [p_partkey % 4, p_partkey % 6, 1.0]::DOUBLE[] AS mo FROM part),
+rx AS (SELECT patient, drug, cls, tg, mo FROM (SELECT patient, unnest(ds) AS drug FROM pt) JOIN dg USING (drug))"""
+_INT = f"""{_RX}, pp AS (SELECT x.patient, x.drug AS a, y.drug AS b, x.cls = y.cls AS same, list_cosine_similarity(x.mo, y.mo) AS cos, len(list_intersect(x.tg, y.tg)) / len(list_distinct(list_concat(x.tg, y.tg))) AS overlap, CASE WHEN y.drug = x.drug + 3 THEN CASE WHEN x.drug % 2 = 0 THEN 'Major' ELSE 'Minor' END END AS known FROM rx x JOIN rx y ON x.patient = y.patient AND x.drug < y.drug),
+rk AS (SELECT *, CASE WHEN known = 'Major' THEN 0.9 WHEN known = 'Minor' THEN 0.3 WHEN same THEN 0.8 ELSE LEAST(overlap * (1 - cos) + 0.3 * cos, 1) END AS risk, CASE WHEN known IS NOT NULL THEN 1.0 WHEN same THEN 0.8 ELSE 0.3 + 0.7 * overlap END AS confidence FROM pp),
+iv AS (SELECT patient, a, b, COALESCE(known, CASE WHEN risk >= 0.7 THEN 'Major' WHEN risk >= 0.5 THEN 'Moderate' WHEN risk >= 0.3 THEN 'Minor' ELSE 'None' END) AS severity, risk, confidence FROM rk), it AS (SELECT * FROM iv WHERE severity <> 'None')"""
+
+
+@query("ml_drug_interactions", "ml/drug-interaction-prediction", "customer part", f"WITH {_INT} SELECT patient, a, b, severity, ROUND(risk, 6) AS risk, ROUND(confidence, 6) AS confidence FROM it")
 def _(c, p):
     return op.drug_interactions(_patients(c), *_drugs(p)).select("patient", "a", "b", "severity", r("risk", 6), r("confidence", 6))
 
 
-@query("ml_polypharmacy_risk", "ml/drug-interaction-prediction", "customer part")
+@query("ml_polypharmacy_risk", "ml/drug-interaction-prediction", "customer part", f"WITH {_INT}, m AS (SELECT patient, AVG(risk * confidence) AS m FROM it GROUP BY 1) SELECT patient, ROUND(LEAST(0.1 * (len(ds) - 1) + COALESCE(m, 0), 1), 6) AS risk FROM pt LEFT JOIN m USING (patient)")
 def _(c, p):
     return op.polypharmacy_risk(_patients(c), op.drug_interactions(_patients(c), *_drugs(p))).select("patient", r("risk", 6))
 
 
+@query("ml_drug_triplets", "ml/drug-interaction-prediction", "customer part", f"""WITH {_RX}, t AS (SELECT x.patient, x.drug AS a, y.drug AS b, z.drug AS c, (list_cosine_similarity(x.mo, y.mo) + list_cosine_similarity(y.mo, z.mo) + list_cosine_similarity(x.mo, z.mo)) / 3 * 0.4 + (1 - len(list_distinct(list_concat(list_concat(x.tg, y.tg), z.tg))) / 9) * 0.6 AS risk
+FROM rx x JOIN rx y ON x.patient = y.patient AND x.drug < y.drug JOIN rx z ON z.patient = y.patient AND y.drug < z.drug) SELECT patient, a, b, c, CASE WHEN risk > 0.6 THEN 'Major' WHEN risk > 0.4 THEN 'Moderate' ELSE 'Minor' END AS severity, ROUND(risk, 6) AS risk, ROUND(risk * 0.7, 6) AS confidence FROM t""")
+def _(c, p):
+    return op.drug_triplets(_patients(c), _drugs(p)[0]).select("patient", "a", "b", "c", "severity", r("risk", 6), r("confidence", 6))
+
+
+@query("ml_drug_recommendations", "ml/drug-interaction-prediction", "customer part", f"""WITH {_INT}, g AS (SELECT patient, COUNT(*) FILTER (WHERE risk >= 0.7) AS h, COUNT(*) FILTER (WHERE severity = 'Major') AS m, COUNT(*) AS n FROM it GROUP BY 1)
+SELECT patient, h || ' combinations of high risk: look for other drugs' AS advice FROM g WHERE h > 0 UNION ALL SELECT patient, m || ' major interactions to look at before prescribing' FROM g WHERE m > 0 UNION ALL SELECT patient, 'many interactions: go over all drugs' FROM g WHERE n > 5""")
+def _(c, p):
+    return op.drug_recommendations(op.drug_interactions(_patients(c), *_drugs(p)))
+
+
 _STEPS = [("s1", "signup", "intake", True, 1.0, []), ("s2", "view", "check", True, 100.0, ["s1"]), ("s3", "purchase", "care", True, 300.0, ["s2"]), ("s4", "error", "audit", False, None, ["s3"])]
 
 

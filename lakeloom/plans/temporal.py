@@ -27,7 +27,8 @@ def _(s):
     return op.exponential_average(s, 12).select("series_id", "i", r("trend", 2))
 
 
-@query("temporal_holt", "temporal/trend-extraction", "customer_series")
+@query("temporal_holt", "temporal/trend-extraction", "customer_series", f"""WITH RECURSIVE {_P}, e(series_id, i, l, b) AS (SELECT p.series_id, p.i, p.value, q.value - p.value FROM p JOIN p q ON q.series_id = p.series_id AND q.i = 1 WHERE p.i = 0
+UNION ALL SELECT p.series_id, p.i, 0.3 * p.value + 0.7 * (l + b), 0.1 * (0.3 * p.value + 0.7 * (l + b) - l) + 0.9 * b FROM e JOIN p ON p.series_id = e.series_id AND p.i = e.i + 1) SELECT series_id, CAST(i AS INTEGER) AS i, ROUND(l, 2) AS level, ROUND(b, 2) AS slope FROM e""")
 def _(s):
     return op.holt(s).select("series_id", "i", r("level", 2), r("slope", 2))
 
@@ -93,12 +94,12 @@ def _(s):
     return op.decompose(s, 12).select("series_id", "t", r("trend", 3), r("seasonal", 3), r("residual", 3))
 
 
-@query("temporal_decompose_robust", "temporal/seasonal-decomposition", "customer_series")
+@query("temporal_decompose_robust", "temporal/seasonal-decomposition", "customer_series", f"WITH {_DEC.replace('AVG(value - trend) AS level', 'list_sort(list(value - trend))[COUNT(*) // 2 + 1] AS level').replace('AVG(level) OVER (PARTITION BY series_id)', '(SELECT list_sort(list(y.level))[COUNT(*) // 2 + 1] FROM l y WHERE y.series_id = l.series_id)')} SELECT series_id, t, ROUND(k.trend, 3) AS trend, ROUND(seasonal, 3) AS seasonal, ROUND(value - k.trend - seasonal, 3) AS residual FROM d JOIN k USING (series_id, i)")
 def _(s):
     return op.decompose(s, 12, robust=True).select("series_id", "t", r("trend", 3), r("seasonal", 3), r("residual", 3))
 
 
-@query("temporal_decompose_multiplicative", "temporal/seasonal-decomposition", "customer_series")
+@query("temporal_decompose_multiplicative", "temporal/seasonal-decomposition", "customer_series", f"WITH {_DEC.replace('FROM customer_series', 'FROM (SELECT series_id, t, ln(value) AS value FROM customer_series)')} SELECT series_id, t, ROUND(exp(k.trend), 3) AS trend, ROUND(exp(seasonal), 5) AS seasonal, ROUND(exp(value - k.trend - seasonal), 5) AS residual FROM d JOIN k USING (series_id, i)")
 def _(s):
     return op.decompose(s, 12, multiplicative=True).select("series_id", "t", r("trend", 3), r("seasonal", 5), r("residual", 5))
 
@@ -155,3 +156,8 @@ SELECT CAST(epoch(d) AS BIGINT) AS t, ROUND(CASE WHEN h > l THEN sqrt(ln(h / l)
 def _(o):
     bars = o.groupBy(F.unix_timestamp("o_orderdate").alias("t")).agg(F.min_by("o_totalprice", "o_orderkey").alias("open"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", "o_orderkey").alias("close"))
     return op.range_volatility(bars).select("t", r("parkinson", 6), r("garman_klass", 6))
+
+
+@query("temporal_asset_volatility", "temporal/volatility-analysis", "customer_series")
+def _(s):
+    return op.asset_volatility(op.returns(s), 5).select("series_id", r("volatility", 6), r("persistence"), F.posexplode("forecast").alias("step", "v")).select("series_id", "volatility", "persistence", "step", r("v", 6, "forecast"))

@@ -165,7 +165,7 @@ _LT = "['CashReserves', 'Level1HQLA', 'Level2AHQLA', 'Level2BHQLA', 'OtherLiquid
 _OC = "['RetailDeposits', 'WholesaleFunding', 'CommittedFacilities', 'Derivatives']"
 _FT = "['Equity', 'LongTermDebt', 'RetailDeposit', 'WholesaleDeposit', 'Other']"
 _LIQ = f"""a AS (SELECT s_suppkey AS id, {_LT}[s_suppkey % 6 + 1] AS asset_type, ABS(s_acctbal) * 30 AS amount, s_suppkey % 6 * 0.05 AS haircut, s_suppkey % 60 AS dl FROM supplier),
-o AS (SELECT c_custkey AS id, {_OC}[c_custkey % 4 + 1] AS category, ABS(c_acctbal) AS amount, 0.05 + c_custkey % 5 * 0.1 AS runoff, c_custkey % 45 AS days FROM customer), i AS (SELECT ABS(c_acctbal) AS amount, 0.5 AS rate, c_custkey % 45 AS days FROM customer WHERE c_custkey % 5 = 0)"""
+o AS (SELECT c_custkey AS id, {_OC}[c_custkey % 4 + 1] AS category, ABS(c_acctbal) AS amount, 0.05 + c_custkey % 5 * 0.1 AS runoff, c_custkey % 45 AS days FROM customer), i AS (SELECT ABS(c_acctbal) AS amount, 0.1 AS rate, c_custkey % 45 AS days FROM customer)"""
 
 
 def _lcr_sql(a: str, o: str, i: str, p: str) -> str:
@@ -179,7 +179,7 @@ def _books(s, c):
     pick = lambda names, x: F.element_at(F.array(*[F.lit(n) for n in names]), (x % len(names) + 1).cast("int"))
     a = s.select(k.alias("id"), pick(("CashReserves", "Level1HQLA", "Level2AHQLA", "Level2BHQLA", "OtherLiquid", "Illiquid"), k).alias("asset_type"), (F.abs("s_acctbal") * 30).alias("amount"), (k % 6 * 0.05).alias("haircut"), (k % 60).alias("days_to_liquidate"))
     o = c.select(j.alias("id"), pick(("RetailDeposits", "WholesaleFunding", "CommittedFacilities", "Derivatives"), j).alias("category"), F.abs("c_acctbal").alias("amount"), (0.05 + j % 5 * 0.1).alias("runoff"), (j % 45).alias("days"))
-    i = c.where("c_custkey % 5 = 0").select(F.abs("c_acctbal").alias("amount"), F.lit(0.5).alias("rate"), (j % 45).alias("days"))
+    i = c.select(F.abs("c_acctbal").alias("amount"), F.lit(0.1).alias("rate"), (j % 45).alias("days"))
     f = c.select(j.alias("id"), pick(("Equity", "LongTermDebt", "RetailDeposit", "WholesaleDeposit", "Other"), j).alias("funding_type"), F.abs("c_acctbal").alias("amount"), (j % 500).alias("days"), (j % 2 == 0).alias("stable"))
     return a, o, i, f
 
@@ -199,7 +199,10 @@ def _(s, c):
     return op.nsfr(a, f).select(r("asf", 2), r("rsf", 2), r("ratio", 6), r("buffer", 2), "compliant")
 
 
-@query("treasury_lcr_actions", "treasury/liquidity-opt", "supplier customer")
+@query("treasury_lcr_actions", "treasury/liquidity-opt", "supplier customer", f"""WITH {_LIQ}, b AS (SELECT * FROM a WHERE amount < 60000), {_lcr_sql('b', 'o', 'i', 'q')}, n AS (SELECT GREATEST(net - hqla, 0) AS need FROM qz),
+w AS (SELECT id, haircut, need, LEAST(amount, need) AS used FROM a, n WHERE asset_type IN ('OtherLiquid', 'Illiquid') AND need > 0), v AS (SELECT *, SUM(used * (1 - haircut)) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - used * (1 - haircut) AS before FROM w)
+SELECT 'ConvertToHQLA' AS action, id, ROUND(used, 2) AS amount, ROUND(used * (1 - haircut), 2) AS impact, ROUND(used * 0.01, 2) AS cost FROM v WHERE before < need
+UNION ALL SELECT 'ReduceCommitment', id, ROUND(amount * 0.1, 2), ROUND(amount * 0.1 * runoff, 2), ROUND(amount * 0.1 * 0.005, 2) FROM o, n WHERE category = 'CommittedFacilities' AND need > 0""")
 def _(s, c):
     a, o, i, _ = _books(s, c)
     return op.lcr_actions(a, o, op.lcr(a.where("amount < 60000"), o, i)).select("action", "id", r("amount", 2), r("impact", 2), r("cost", 2))
@@ -210,3 +213,41 @@ def _(s, c):
 def _(s, c):
     a, o, i, _ = _books(s, c)
     return op.liquidity_stress(a, o, i).select(r("base_ratio", 6), r("stressed_ratio", 6), r("stressed_buffer", 2))
+
+
+@query("treasury_nsfr_actions", "treasury/liquidity-opt", "supplier customer", f"""WITH {_LIQ}, b AS (SELECT id, asset_type, amount * 100 AS amount, dl FROM a), f AS (SELECT c_custkey AS id, {_FT}[c_custkey % 5 + 1] AS t, ABS(c_acctbal) AS amount, c_custkey % 500 AS d, c_custkey % 2 = 0 AS stable FROM customer),
+x AS (SELECT (SELECT SUM(amount * CASE t WHEN 'Equity' THEN 1 WHEN 'LongTermDebt' THEN CASE WHEN d > 365 THEN 1 WHEN d > 180 THEN 0.5 ELSE 0 END WHEN 'RetailDeposit' THEN CASE WHEN stable THEN 0.95 ELSE 0.9 END WHEN 'WholesaleDeposit' THEN CASE WHEN d > 365 THEN 1 ELSE 0.5 END ELSE 0 END) FROM f)
+ - (SELECT SUM(amount * CASE WHEN asset_type IN ('CashReserves', 'Level1HQLA') THEN 0 WHEN asset_type = 'Level2AHQLA' THEN 0.15 WHEN asset_type = 'Level2BHQLA' THEN 0.5 WHEN asset_type = 'OtherLiquid' AND dl <= 30 THEN 0.5 ELSE 1 END) FROM b) AS buffer),
+n AS (SELECT GREATEST(-buffer, 0) AS need FROM x), w AS (SELECT id, d, need, LEAST(amount, need) AS used FROM f, n WHERE t = 'WholesaleDeposit' AND d < 365 AND need > 0), v AS (SELECT *, SUM(used * 0.5) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - used * 0.5 AS before FROM w)
+SELECT 'IssueTerm' AS action, id, ROUND(used, 2) AS amount, ROUND(used * 0.5, 2) AS impact, ROUND(used * 0.02 * (365 - d) / 365, 4) AS cost FROM v WHERE before < need
+UNION ALL SELECT 'SellIlliquid', id, ROUND(LEAST(amount, need), 2), ROUND(LEAST(amount, need), 2), ROUND(LEAST(amount, need) * 0.1, 4) FROM b, n WHERE asset_type = 'Illiquid' AND need > 0""")
+def _(s, c):
+    a, _, _, f = _books(s, c)
+    a = a.withColumn("amount", F.col("amount") * 100)
+    return op.nsfr_actions(a, f, op.nsfr(a, f)).select("action", "id", r("amount", 2), r("impact", 2), r("cost"))
+
+
+@query("treasury_lcr_improvement", "treasury/liquidity-opt", "supplier customer", f"""WITH {_LIQ}, b AS (SELECT id, asset_type, amount / 100 AS amount, haircut FROM a), {_lcr_sql('b', 'o', 'i', 'q')}, n AS (SELECT GREATEST(net - hqla, 0) AS need FROM qz),
+w AS (SELECT id, haircut, need, LEAST(amount, need) AS used FROM b, n WHERE asset_type IN ('OtherLiquid', 'Illiquid') AND need > 0), v AS (SELECT *, SUM(used * (1 - haircut)) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - used * (1 - haircut) AS before FROM w), g AS (SELECT * FROM v WHERE before < need),
+b2 AS (SELECT id, asset_type, amount - COALESCE(used, 0) AS amount, b.haircut FROM b LEFT JOIN (SELECT id, used FROM g) g USING (id) UNION ALL SELECT id, 'Level1HQLA', used, 0 FROM g),
+o2 AS (SELECT id, category, CASE WHEN category = 'CommittedFacilities' AND need > 0 THEN amount * 0.9 ELSE amount END AS amount, runoff, days FROM o, n), {_lcr_sql('b2', 'o2', 'i', 'w')}
+SELECT ROUND(qz.hqla - qz.net, 2) AS before, ROUND(wz.hqla - wz.net, 2) AS after, ROUND(wz.hqla - wz.net - qz.hqla + qz.net, 2) AS improvement FROM qz, wz""")
+def _(s, c):
+    a, o, i, _ = _books(s, c)
+    a = a.withColumn("amount", F.col("amount") / 100)
+    return op.lcr_improvement(a, o, i, op.lcr_actions(a, o, op.lcr(a, o, i))).select(r("before", 2), r("after", 2), r("improvement", 2))
+
+
+@query("treasury_optimise_liquidity", "treasury/liquidity-opt", "supplier customer", f"""WITH {_LIQ}, {_lcr_sql('a', 'o', 'i', 'q')}, n AS (SELECT GREATEST(net - hqla, 0) AS need FROM qz),
+w AS (SELECT id, haircut, need, LEAST(amount, need) AS used FROM a, n WHERE asset_type IN ('OtherLiquid', 'Illiquid') AND need > 0), v AS (SELECT *, SUM(used * (1 - haircut)) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - used * (1 - haircut) AS before FROM w),
+f AS (SELECT c_custkey AS id, {_FT}[c_custkey % 5 + 1] AS t, ABS(c_acctbal) AS amount, c_custkey % 500 AS d, c_custkey % 2 = 0 AS stable FROM customer),
+x AS (SELECT (SELECT SUM(amount * CASE t WHEN 'Equity' THEN 1 WHEN 'LongTermDebt' THEN CASE WHEN d > 365 THEN 1 WHEN d > 180 THEN 0.5 ELSE 0 END WHEN 'RetailDeposit' THEN CASE WHEN stable THEN 0.95 ELSE 0.9 END WHEN 'WholesaleDeposit' THEN CASE WHEN d > 365 THEN 1 ELSE 0.5 END ELSE 0 END) FROM f)
+ - (SELECT SUM(amount * CASE WHEN asset_type IN ('CashReserves', 'Level1HQLA') THEN 0 WHEN asset_type = 'Level2AHQLA' THEN 0.15 WHEN asset_type = 'Level2BHQLA' THEN 0.5 WHEN asset_type = 'OtherLiquid' AND dl <= 30 THEN 0.5 ELSE 1 END) FROM a) AS buffer),
+m AS (SELECT GREATEST(-buffer, 0) AS need FROM x), wf AS (SELECT id, d, need, LEAST(amount, need) AS used FROM f, m WHERE t = 'WholesaleDeposit' AND d < 365 AND need > 0), vf AS (SELECT *, SUM(used * 0.5) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - used * 0.5 AS before FROM wf)
+SELECT 'LCR' AS ratio, 'ConvertToHQLA' AS action, id, ROUND(used, 2) AS amount, ROUND(used * (1 - haircut), 2) AS impact, ROUND(used * 0.01, 4) AS cost FROM v WHERE before < need
+UNION ALL SELECT 'LCR', 'ReduceCommitment', id, ROUND(amount * 0.1, 2), ROUND(amount * 0.1 * runoff, 2), ROUND(amount * 0.1 * 0.005, 4) FROM o, n WHERE category = 'CommittedFacilities' AND need > 0
+UNION ALL SELECT 'NSFR', 'IssueTerm', id, ROUND(used, 2), ROUND(used * 0.5, 2), ROUND(used * 0.02 * (365 - d) / 365, 4) FROM vf WHERE before < need
+UNION ALL SELECT 'NSFR', 'SellIlliquid', id, ROUND(LEAST(amount, need), 2), ROUND(LEAST(amount, need), 2), ROUND(LEAST(amount, need) * 0.1, 4) FROM a, m WHERE asset_type = 'Illiquid' AND need > 0""")
+def _(s, c):
+    a, o, i, f = _books(s, c)
+    return op.optimise_liquidity(a, o, i, f).select("ratio", "action", "id", r("amount", 2), r("impact", 2), r("cost"))

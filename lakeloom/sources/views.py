@@ -22,18 +22,21 @@ VIEWS: dict[str, str] = {
     "transfers": f"""SELECT {_ROW_ID} AS id, o_custkey % 2000 AS source_id, (l_partkey * 3 + l_suppkey) % 2000 AS dest_id,
         CAST(ROUND(l_extendedprice * 100) AS BIGINT) / 100.0e0 AS amount, CAST(FLOOR(EPOCH(l_shipdate)) AS BIGINT) AS ts
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
-    "edges": """SELECT DISTINCT o_custkey % 200 AS src, (l_partkey * 7 + l_suppkey) % 200 AS dst
-        FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey
-        WHERE l_quantity >= 48 AND l_discount <= 0.01 AND o_custkey % 200 <> (l_partkey * 7 + l_suppkey) % 200""",
-    # both directions of edges between 60 nodes
-    "links": """SELECT DISTINCT a AS src, b AS dst FROM (
-        SELECT o_custkey % 60 AS a, (l_partkey * 7 + l_suppkey) % 60 AS b FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount <= 0.01 AND o_orderkey < 12000
-        UNION ALL SELECT (l_partkey * 7 + l_suppkey) % 60 AS a, o_custkey % 60 AS b FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount <= 0.01 AND o_orderkey < 12000) q WHERE a <> b""",
-    "nodes": "SELECT id FROM (SELECT DISTINCT c_custkey % 200 AS id FROM {customer}) q",
-    "link_nodes": "SELECT DISTINCT c_custkey % 60 AS id FROM {customer}",
+    # an edge for every order, from its customer to another one; customers of low numbers are met more often
+    "edges": """SELECT DISTINCT src, dst FROM (SELECT o_custkey AS src, CAST(FLOOR(x * 1.0e0 * x / n) AS BIGINT) AS dst
+        FROM (SELECT o_custkey, (o_orderkey * 7 + o_custkey * 13) % n AS x, n FROM {orders} CROSS JOIN (SELECT COUNT(*) AS n FROM {customer}) c) o) q WHERE src <> dst""",
+    # both directions between each supplier and two others: one of its group of three, one anywhere
+    "links": """SELECT DISTINCT src, dst FROM (
+        SELECT s_suppkey AS src, LEAST(s_suppkey - s_suppkey % 3 + (s_suppkey + 1) % 3, n - 1) AS dst FROM {supplier} CROSS JOIN (SELECT COUNT(*) AS n FROM {supplier}) c
+        UNION ALL SELECT LEAST(s_suppkey - s_suppkey % 3 + (s_suppkey + 1) % 3, n - 1), s_suppkey FROM {supplier} CROSS JOIN (SELECT COUNT(*) AS n FROM {supplier}) c
+        UNION ALL SELECT s_suppkey, (s_suppkey * 7 + s_nationkey * 3) % n FROM {supplier} CROSS JOIN (SELECT COUNT(*) AS n FROM {supplier}) c
+        UNION ALL SELECT (s_suppkey * 7 + s_nationkey * 3) % n, s_suppkey FROM {supplier} CROSS JOIN (SELECT COUNT(*) AS n FROM {supplier}) c) q WHERE src <> dst""",
+    "nodes": "SELECT c_custkey AS id FROM {customer}",
+    "link_nodes": "SELECT s_suppkey AS id FROM {supplier}",
     "series": """SELECT 'revenue' AS series_id, CAST(FLOOR(EPOCH(o_orderdate)) AS BIGINT) AS t, SUM(o_totalprice) AS value FROM {orders} GROUP BY o_orderdate""",
-    "customer_series": """SELECT CAST(o_custkey % 20 AS VARCHAR(20)) AS series_id, CAST(FLOOR(EPOCH(o_orderdate)) AS BIGINT) AS t, SUM(o_totalprice) AS value
-        FROM {orders} GROUP BY o_custkey % 20, o_orderdate""",
+    # a series for every 100 customers
+    "customer_series": """SELECT CAST(CAST(FLOOR(o_custkey / 100e0) AS BIGINT) AS VARCHAR(20)) AS series_id, CAST(FLOOR(EPOCH(o_orderdate)) AS BIGINT) AS t, SUM(o_totalprice) AS value
+        FROM {orders} GROUP BY CAST(FLOOR(o_custkey / 100e0) AS BIGINT), o_orderdate""",
     "payments": f"""SELECT CAST({_ROW_ID} AS VARCHAR(40)) AS id, c_name AS payer_account, s_name AS payee_account, l_extendedprice AS amount,
         CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'P' THEN 'Processing' ELSE 'Initiated' END AS status,
         CASE l_linenumber % 6 WHEN 0 THEN 'ACH' WHEN 1 THEN 'Wire' WHEN 2 THEN 'RealTime' WHEN 3 THEN 'Internal' WHEN 4 THEN 'Check' ELSE 'Card' END AS payment_type,
