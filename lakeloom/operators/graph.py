@@ -6,6 +6,8 @@ Loops write their state every round (iterate.fixpoint).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lakeloom.operators.iterate import components, fixpoint
@@ -45,6 +47,11 @@ def _largest_change(a: DataFrame, b: DataFrame) -> float:
     return a.join(b.select("id", F.col("score").alias("later")), "id").agg(F.max(F.abs(F.col("later") - F.col("score")))).first()[0] or 0.0
 
 
+def _within(tolerance: float) -> Callable[[DataFrame, DataFrame], bool] | None:
+    """The stop test of score rounds; none for a tolerance of 0, which only a round limit ends."""
+    return (lambda a, b: _largest_change(a, b) < tolerance) if tolerance > 0 else None
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, direction: str = "out") -> DataFrame:
     """(1 - d) / n + d * sum of score / out-degree over a node's out-neighbours ("out", as in the
     surveyed engine) or in-neighbours ("in", the textbook); dangling mass is dropped."""
@@ -57,7 +64,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
         got = links.join(s.withColumnRenamed("id", "from"), "from").groupBy("id").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         return nodes.join(got, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
 
-    return fixpoint(nodes.select("id", F.lit(1.0 / max(n, 1)).alias("score")), step, lambda a, b: _largest_change(a, b) < tolerance, rounds, "pagerank")
+    return fixpoint(nodes.select("id", F.lit(1.0 / max(n, 1)).alias("score")), step, _within(tolerance), rounds, "pagerank")
 
 
 def _pull(edges: DataFrame, s: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -74,12 +81,12 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, rounds: int = 100
         norm = F.broadcast(x.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm")))
         return x.crossJoin(norm).select("id", F.when(F.col("norm") > 0, F.col("score") / F.col("norm")).otherwise(0.0).alias("score"))
 
-    return fixpoint(nodes.select("id", F.lit(1.0 / max(n, 1) ** 0.5).alias("score")), step, lambda a, b: _largest_change(a, b) < tolerance, rounds, "eigenvector")
+    return fixpoint(nodes.select("id", F.lit(1.0 / max(n, 1) ** 0.5).alias("score")), step, _within(tolerance), rounds, "eigenvector")
 
 
 def katz_centrality(edges: DataFrame, nodes: DataFrame, alpha: float = 0.1, beta: float = 1.0, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """x = alpha A x + beta from 0; in the end divided by the largest."""
-    x = fixpoint(nodes.select("id", F.lit(0.0).alias("score")), lambda s, _: _pull(edges, s, nodes).select("id", (alpha * F.col("score") + beta).alias("score")), lambda a, b: _largest_change(a, b) < tolerance, rounds, "katz")
+    x = fixpoint(nodes.select("id", F.lit(0.0).alias("score")), lambda s, _: _pull(edges, s, nodes).select("id", (alpha * F.col("score") + beta).alias("score")), _within(tolerance), rounds, "katz")
     return x.crossJoin(F.broadcast(x.agg(F.max("score").alias("top")))).select("id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("score"))
 
 
@@ -93,9 +100,9 @@ def distances(edges: DataFrame, sources: DataFrame, limit: int = 1_000) -> DataF
         reached = frontier.join(step_edges, frontier["id"] == step_edges["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
         frontier = materialise(reached.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(d).cast("long").alias("hops"), "paths"), f"bfs_{d}")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+    raise RuntimeError(f"there are paths of {limit} hops or more")
 
 
 def closeness_centrality(edges: DataFrame, nodes: DataFrame, harmonic: bool = False) -> DataFrame:
@@ -156,7 +163,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str | None = No
         changed = F.col("was").isNull() | (F.col("b.distance") < F.col("was"))
         return best.select("source", "id", "b.distance", "b.predecessor", changed.alias("changed"))
 
-    return fixpoint(start, step, lambda a, b: b.where("changed").isEmpty(), limit, "sp").drop("changed")
+    return fixpoint(start, step, lambda a, b: b.where("changed").isEmpty(), limit, "sp", must_settle=True).drop("changed")
 
 
 def path_between(edges: DataFrame, source: int, target: int, avoid: DataFrame | None = None, limit: int = 100) -> DataFrame:
@@ -166,9 +173,11 @@ def path_between(edges: DataFrame, source: int, target: int, avoid: DataFrame |
     e = materialise(e if avoid is None else e.join(avoid.select("src", "dst"), ["src", "dst"], "left_anti"), "path_edges")
     spark = edges.sparkSession
     seen = frontier = materialise(spark.createDataFrame([(source, [source])], "id long, path array<long>"), "path_0")
-    for d in range(1, limit):
+    for d in range(1, limit + 1):
         if source == target or not frontier.where(F.col("id") == target).isEmpty():
             break
+        if d == limit:
+            raise RuntimeError(f"no path of up to {limit - 1} hops, but there may be longer ones")
         step = frontier.join(e, frontier["id"] == e["src"]).select(F.col("dst").cast("long").alias("id"), F.concat("path", F.array(F.col("dst").cast("long"))).alias("path"))
         frontier = materialise(step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), f"path_{d}")
         if frontier.isEmpty():
@@ -220,16 +229,18 @@ def strong_components(pairs: DataFrame, limit: int = 1_000) -> DataFrame:
         def same(x: DataFrame, y: DataFrame) -> bool:
             return x.agg(F.sum(F.xxhash64("id", "label").cast("decimal(20,0)"))).first() == y.agg(F.sum(F.xxhash64("id", "label").cast("decimal(20,0)"))).first()
 
-        colours = fixpoint(ids.withColumn("label", F.col("id")), colour, same, limit, f"scc_colour_{i}")
+        colours = fixpoint(ids.withColumn("label", F.col("id")), colour, same, limit, f"scc_colour_{i}", must_settle=True)
         inside = left.join(colours.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(colours.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").where("la = lb").select("a", "b", F.col("la").alias("label"))
         inside = materialise(inside, f"scc_inside_{i}")
 
         def back(s: DataFrame, _: int, e: DataFrame = inside) -> DataFrame:
             return s.unionByName(e.join(s.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id"), "label")).distinct()
 
-        group = fixpoint(colours.where("id = label"), back, lambda x, y: x.count() == y.count(), limit, f"scc_back_{i}")
+        group = fixpoint(colours.where("id = label"), back, lambda x, y: x.count() == y.count(), limit, f"scc_back_{i}", must_settle=True)
         found = group if found is None else found.unionByName(group)
         left = materialise(left.join(group.select(F.col("id").alias("a")), "a", "left_anti").join(group.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), f"scc_left_{i}")
+    if not left.isEmpty():
+        raise RuntimeError(f"strong components did not settle in {limit} rounds")
     alone = every if found is None else every.join(found.select("id"), "id", "left_anti")
     alone = alone.select("id", F.col("id").alias("label"))
     return alone if found is None else found.select("id", "label").unionByName(alone)
@@ -289,7 +300,7 @@ def louvain(edges: DataFrame, nodes: DataFrame, rounds: int = 20, least_gain: fl
         may = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0
         return s.join(best, "id", "left").select("id", F.when(may & (F.col("b.gain") > least_gain), -F.col("b.t")).otherwise(F.col("label")).alias("label"))
 
-    out = fixpoint(nodes.select("id", F.col("id").cast("long").alias("label")), step, lambda a, b: False, rounds, "louvain")
+    out = fixpoint(nodes.select("id", F.col("id").cast("long").alias("label")), step, None, rounds, "louvain")
     return out.withColumnRenamed("label", "community")
 
 

@@ -105,9 +105,9 @@ def conformance(events: DataFrame, model: DataFrame, starts: DataFrame, ends: Da
     ends(activity).  Every event is checked by the edge that leads to it (the first by the starts), and
     the last by the ends.  precision is used over possible steps: the sum of 1 over the sum of out-degrees."""
     s = events.select("case_id", "activity", F.lag("activity").over(_case()).alias("before"), F.lead("activity").over(_case()).alias("after"))
-    m = F.broadcast(model.select(F.col("a").alias("before"), F.col("b").alias("activity"), F.lit(True).alias("edge")).distinct())
-    st, en = (F.broadcast(d.select("activity", F.lit(True).alias(n)).distinct()) for d, n in ((starts, "is_start"), (ends, "is_end")))
-    degree = F.broadcast(model.groupBy(F.col("a").alias("activity")).agg(F.count_distinct("b").alias("options")))
+    m = model.select(F.col("a").alias("before"), F.col("b").alias("activity"), F.lit(True).alias("edge")).distinct()
+    st, en = (d.select("activity", F.lit(True).alias(n)).distinct() for d, n in ((starts, "is_start"), (ends, "is_end")))
+    degree = model.groupBy(F.col("a").alias("activity")).agg(F.count_distinct("b").alias("options"))
     df = s.join(m, ["before", "activity"], "left").join(st, "activity", "left").join(en, "activity", "left").join(degree, "activity", "left")
     ok = F.when(F.col("before").isNull(), F.col("is_start").isNotNull()).otherwise(F.col("edge").isNotNull())
     bad_end = F.col("after").isNull() & F.col("is_end").isNull()
@@ -119,9 +119,9 @@ def conformance(events: DataFrame, model: DataFrame, starts: DataFrame, ends: Da
 def deviations(events: DataFrame, model: DataFrame, starts: DataFrame, ends: DataFrame, top: int | None = None) -> DataFrame:
     """kind (WrongStart, UnexpectedStep, WrongEnd), activity, n; the ``top`` commonest."""
     s = events.select("case_id", "activity", F.lag("activity").over(_case()).alias("before"), F.lead("activity").over(_case()).alias("after"))
-    first = s.where("before IS NULL").join(F.broadcast(starts.select("activity")), "activity", "left_anti").select(F.lit("WrongStart").alias("kind"), "activity")
-    step = s.where("before IS NOT NULL").join(F.broadcast(model.select(F.col("a").alias("before"), F.col("b").alias("activity"))), ["before", "activity"], "left_anti").select(F.lit("UnexpectedStep").alias("kind"), "activity")
-    last = s.where("after IS NULL").join(F.broadcast(ends.select("activity")), "activity", "left_anti").select(F.lit("WrongEnd").alias("kind"), "activity")
+    first = s.where("before IS NULL").join(starts.select("activity"), "activity", "left_anti").select(F.lit("WrongStart").alias("kind"), "activity")
+    step = s.where("before IS NOT NULL").join(model.select(F.col("a").alias("before"), F.col("b").alias("activity")), ["before", "activity"], "left_anti").select(F.lit("UnexpectedStep").alias("kind"), "activity")
+    last = s.where("after IS NULL").join(ends.select("activity"), "activity", "left_anti").select(F.lit("WrongEnd").alias("kind"), "activity")
     out = first.unionByName(step).unionByName(last).groupBy("kind", "activity").agg(F.count(F.lit(1)).alias("n"))
     return out if top is None else out.orderBy(F.col("n").desc(), "kind", "activity").limit(top)
 
@@ -216,10 +216,10 @@ def missing_events(events: DataFrame, support: float = 0.1, threshold: float = 0
     """case_id, a, missing, b and confidence 0.8 p: steps a to b that are not expected, but a to x and x to b
     are, with p the product of their probabilities' larger share."""
     e = expected_next(events, support)
-    odd = _steps(events).where("b IS NOT NULL").join(F.broadcast(e.select("a", "b")), ["a", "b"], "left_anti").select("case_id", "k", "a", "b")
+    odd = _steps(events).where("b IS NOT NULL").join(e.select("a", "b"), ["a", "b"], "left_anti").select("case_id", "k", "a", "b")
     via = e.select("a", F.col("b").alias("missing"), F.col("probability").alias("p1")).join(e.select(F.col("a").alias("missing"), "b", F.col("probability").alias("p2")), "missing")
     best = via.withColumn("p", F.least("p1", "p2")).groupBy("a", "b").agg(F.max(F.struct("p", "missing")).alias("m"))
-    hit = odd.join(F.broadcast(best), ["a", "b"]).where(F.col("m.p") >= threshold)
+    hit = odd.join(best, ["a", "b"]).where(F.col("m.p") >= threshold)
     return hit.select("case_id", "k", "a", F.col("m.missing").alias("missing"), "b", (0.8 * F.col("m.p")).alias("confidence"))
 
 
@@ -230,7 +230,7 @@ def incomplete_cases(events: DataFrame, support: float = 0.1) -> DataFrame:
     out = None
     for kind, rows in (("start", s.where("k = 1")), ("end", s.where("b IS NULL"))):
         n = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        odd = rows.select("case_id", "a").join(F.broadcast(n), "a").crossJoin(cases).where(F.col("n") < F.greatest(F.floor(F.col("cases") * support), F.lit(1)))
+        odd = rows.select("case_id", "a").join(n, "a").crossJoin(cases).where(F.col("n") < F.greatest(F.floor(F.col("cases") * support), F.lit(1)))
         odd = odd.select("case_id", F.lit(kind).alias("kind"), F.col("a").alias("activity"))
         out = odd if out is None else out.unionByName(odd)
     return out

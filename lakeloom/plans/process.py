@@ -136,7 +136,9 @@ def _(e):
     return op.duplicates(_shaken(e), 6000)
 
 
-@query("process_missing_events", "procint/log-imputation", "process_events")
+@query("process_missing_events", "procint/log-imputation", "process_events", f"""WITH {_S}, n0 AS (SELECT a, b, COUNT(*) AS n FROM s WHERE b IS NOT NULL GROUP BY 1, 2), pr AS (SELECT a, b, n, n / SUM(n) OVER (PARTITION BY a) AS p FROM n0), ex AS (SELECT * FROM pr WHERE n >= GREATEST(floor((SELECT COUNT(DISTINCT case_id) FROM process_events) * 2.6::DOUBLE), 1)),
+via AS (SELECT x.a, y.b, x.b AS missing, LEAST(x.p, y.p) AS p FROM ex x JOIN ex y ON x.b = y.a), best AS (SELECT a, b, MAX((p, missing)) AS m FROM via GROUP BY 1, 2)
+SELECT case_id, k, s.a, m[2] AS missing, s.b, ROUND(0.8 * m[1], 6) AS confidence FROM s JOIN best USING (a, b) WHERE s.b IS NOT NULL AND (s.a, s.b) NOT IN (SELECT (a, b) FROM ex) AND m[1] >= 0.05""")
 def _(e):
     return op.missing_events(e, 2.6, 0.05).select("case_id", "k", "a", "missing", "b", r("confidence", 6))
 
@@ -152,7 +154,11 @@ def _(e):
     return op.repair(_shaken(e), 6000).withColumn("position", F.col("position").cast("long"))
 
 
-@query("process_log_quality", "procint/log-imputation", "process_events")
+@query("process_log_quality", "procint/log-imputation", "process_events", f"""WITH {_SH}, k AS (SELECT row_number() OVER (PARTITION BY case_id ORDER BY id) AS a, row_number() OVER (PARTITION BY case_id ORDER BY ts, id) AS b FROM sh), st AS (SELECT arg_min(activity, (ts, id)) AS f, arg_max(activity, (ts, id)) AS l FROM sh GROUP BY case_id),
+ct AS (SELECT GREATEST(floor(COUNT(*) * 0.1::DOUBLE), 1) AS least FROM st), x AS (SELECT (SELECT COUNT(*) FROM sh) AS events, (SELECT COUNT(*) FROM k WHERE a <> b) AS misordered,
+(SELECT COUNT(DISTINCT y.id) FROM sh x JOIN sh y ON x.case_id = y.case_id AND x.activity = y.activity AND (x.ts < y.ts OR (x.ts = y.ts AND x.id < y.id)) AND x.ts >= y.ts - 6000) AS duplicated,
+(SELECT COUNT(*) FROM (SELECT COUNT(*) OVER (PARTITION BY f) AS n FROM st), ct WHERE n < least) + (SELECT COUNT(*) FROM (SELECT COUNT(*) OVER (PARTITION BY l) AS n FROM st), ct WHERE n < least) AS incomplete)
+SELECT *, ROUND(GREATEST(1 - (misordered + duplicated + incomplete) / events, 0), 6) AS quality FROM x""")
 def _(e):
     return op.log_quality(_shaken(e), 6000).withColumn("quality", r("quality", 6))
 
