@@ -3,7 +3,6 @@ and detection over lines(entry_id, line_number, posting_date, account_code, debi
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -91,21 +90,26 @@ def reconcile(source: DataFrame, target: DataFrame, tolerance: float = 0.01, per
     keys = ["account_code", "currency"]
 
     def group(_: tuple, rows: list[dict]) -> list[tuple]:
-        free, out = [x for x in rows if x["side"] == 1], []
-        for s in (x for x in rows if x["side"] == 0):
-            best = None
-            for j, t in enumerate(free):
-                off = abs(s["amount"] - t["amount"])
-                share = off / abs(s["amount"]) if s["amount"] else 0.0
-                if abs(s["date"] - t["date"]) > days * 86_400 or not (off < 0.001 or off <= tolerance or share <= percent):
-                    continue
-                c = 1.0 if off < 0.001 else 0.9 * (1 - min(share / percent, 1.0))
-                c = min(c + (0.1 if s["reference"] and s["reference"] == t["reference"] else 0.0), 1.0)
-                if best is None or c > best[1]:
-                    best = j, c, "Exact" if off < 0.001 else "Tolerance"
-            if best:
-                t = free.pop(best[0])
-                out.append((s["id"], t["id"], best[1], s["amount"] - t["amount"], best[2]))
+        ours, theirs, out = [x for x in rows if x["side"] == 0], [x for x in rows if x["side"] == 1], []
+        amount, date = (np.array([x[c] for x in theirs], float) for c in ("amount", "date"))
+        by_amount = np.argsort(amount, kind="stable")
+        ranked, free = amount[by_amount], np.ones(len(theirs), bool)
+        for s in ours:
+            reach = max(0.001, tolerance, percent * abs(s["amount"])) * 1.000001
+            near = by_amount[np.searchsorted(ranked, s["amount"] - reach) : np.searchsorted(ranked, s["amount"] + reach, "right")]
+            near = np.sort(near[free[near]])
+            off = np.abs(s["amount"] - amount[near])
+            share = off / abs(s["amount"]) if s["amount"] else np.zeros(len(near))
+            ok = (np.abs(s["date"] - date[near]) <= days * 86_400) & ((off < 0.001) | (off <= tolerance) | (share <= percent))
+            near, off, share = near[ok], off[ok], share[ok]
+            if not len(near):
+                continue
+            same = np.array([bool(s["reference"]) and s["reference"] == theirs[j]["reference"] for j in near.tolist()])
+            sure = np.minimum(np.where(off < 0.001, 1.0, 0.9 * (1 - np.minimum(share / percent, 1.0))) + 0.1 * same, 1.0)
+            best = int(np.argmax(sure))
+            t = theirs[near[best]]
+            free[near[best]] = False
+            out.append((s["id"], t["id"], float(sure[best]), s["amount"] - t["amount"], "Exact" if off[best] < 0.001 else "Tolerance"))
         return out
 
     return ordered_groups(both, keys, ["side", "date", "id"], group, "source_id long, target_id long, confidence double, variance double, match_type string")
@@ -257,42 +261,73 @@ def account_class(code: Column) -> Column:
     )
 
 
-def generate_flows(lines: DataFrame, tolerance: float = 0.01) -> DataFrame:
+def _subset(amounts: list[float], target: float, tolerance: float, most: int = 1_000) -> list[int] | None:
+    """Positions of amounts that add up to the target: one alone, then, of up to twelve, sets in binary
+    counting order, ``most`` of them; of more, what the largest that still fit come to."""
+    for i, v in enumerate(amounts):
+        if abs(v - target) <= tolerance:
+            return [i]
+    if len(amounts) <= 12:
+        sums = np.zeros(1)
+        for v in amounts:  # sums[k] is that of the positions that k has bits at
+            sums = np.concatenate([sums, sums + v])
+        hits = np.flatnonzero(np.abs(sums[1:most] - target) <= tolerance)
+        return [i for i in range(len(amounts)) if hits[0] + 1 >> i & 1] if len(hits) else None
+    picked, left = [], target
+    for i in sorted(range(len(amounts)), key=lambda i: -amounts[i]):
+        if amounts[i] <= left + tolerance:
+            picked.append(i)
+            left -= amounts[i]
+            if abs(left) <= tolerance:
+                return picked
+    return None
+
+
+def generate_flows(lines: DataFrame, tolerance: float = 0.01, b_most: int = 10, c_most: int = 20, aggregate: bool = True, decompose: bool = True) -> DataFrame:
     """entry_id, from_account (credit), to_account (debit), amount, method, confidence.
 
-    One debit and one credit: A, 1.00.  As many of each, ten at most, of which all pair up by amount: B, 0.95.
-    Up to twenty lines: each debit is met by a set of credits of its sum (all sets of up to three of them, the
-    first by line), the rest in proportion: C, 0.85.  Larger entries: by account, in proportion: D, 0.70.
-    Unbalanced entries send the difference through SUSPENSE, confidence 0."""
+    One debit and one credit: A, 1.00.  As many of each, ``b_most`` at most, of which all pair up by amount:
+    B, 0.95.  Up to ``c_most`` lines: each debit is met by a set of credits of its sum, the rest in
+    proportion: C, 0.85.  Larger entries: by account, in proportion: D, 0.70; without ``aggregate`` by
+    entity: E, 0.50 (entity_flows); without either all goes through SUSPENSE.  Unbalanced entries send the
+    difference through SUSPENSE, confidence 0."""
+    by_entity = not aggregate and decompose
 
     def solve(key: tuple, rows: list[dict]) -> list[tuple]:
         debits = [[x["account_code"], x["debit"]] for x in rows if x["debit"] > 0]
         credits = [[x["account_code"], x["credit"]] for x in rows if x["credit"] > 0]
         gap = sum(d for _, d in debits) - sum(c for _, c in credits)
         out = []
+        flow = lambda c, d, v, m, p: out.append((key[0], c, d, v, m, 0.0 if "SUSPENSE" in (c, d) else p))
+        large = len(debits) + len(credits) > c_most and not (len(debits) == len(credits) <= b_most)
+        if large and by_entity:
+            return out
         if abs(gap) > tolerance:
             (credits if gap > 0 else debits).append(["SUSPENSE", abs(gap)])
-        flow = lambda c, d, v, m, p: out.append((key[0], c, d, v, m, 0.0 if "SUSPENSE" in (c, d) else p))
+        if large and not aggregate:
+            for d in debits:
+                flow("SUSPENSE", d[0], d[1], "Unsolvable", 0.0)
+            for c in credits:
+                flow(c[0], "SUSPENSE", c[1], "Unsolvable", 0.0)
+            return out
         if len(debits) == 1 and len(credits) == 1:
             flow(credits[0][0], debits[0][0], min(debits[0][1], credits[0][1]), "A", 1.0)
             return out
-        if len(debits) == len(credits) <= 10:
+        if len(debits) == len(credits) <= b_most:
             a, b = sorted(debits, key=lambda x: x[1]), sorted(credits, key=lambda x: x[1])
             if all(abs(x[1] - y[1]) <= tolerance for x, y in zip(a, b, strict=True)):
                 for d, c in zip(a, b, strict=True):
                     flow(c[0], d[0], d[1], "B", 0.95)
                 return out
-        method, sure = ("C", 0.85) if len(debits) + len(credits) <= 20 else ("D", 0.70)
+        method, sure = ("C", 0.85) if len(debits) + len(credits) <= c_most else ("D", 0.70)
         if method == "C":
             for d in debits:
-                for n in range(1, min(3, len(credits)) + 1):
-                    pick = next((s for s in itertools.combinations(range(len(credits)), n) if abs(sum(credits[i][1] for i in s) - d[1]) <= tolerance), None)
-                    if pick is not None:
-                        for i in pick:
-                            flow(credits[i][0], d[0], credits[i][1], method, sure)
-                        credits = [c for i, c in enumerate(credits) if i not in pick]
-                        d[1] = 0.0
-                        break
+                pick = _subset([c[1] for c in credits], d[1], tolerance)
+                if pick is not None:
+                    for i in pick:
+                        flow(credits[i][0], d[0], credits[i][1], method, sure)
+                    credits = [c for i, c in enumerate(credits) if i not in pick]
+                    d[1] = 0.0
         else:
             merge = lambda side: [[k, sum(v for a, v in side if a == k)] for k in dict.fromkeys(a for a, _ in side)]
             debits, credits = merge(debits), merge(credits)
@@ -305,7 +340,113 @@ def generate_flows(lines: DataFrame, tolerance: float = 0.01) -> DataFrame:
         return out
 
     kind = lines.schema["entry_id"].dataType.simpleString()
-    return ordered_groups(lines.select("entry_id", "line_number", "account_code", "debit", "credit"), ["entry_id"], ["line_number"], solve, f"entry_id {kind}, from_account string, to_account string, amount double, method string, confidence double")
+    flows = ordered_groups(lines.select("entry_id", "line_number", "account_code", "debit", "credit"), ["entry_id"], ["line_number"], solve, f"entry_id {kind}, from_account string, to_account string, amount double, method string, confidence double")
+    if not by_entity:
+        return flows
+    n, m = (F.count(F.when(F.col(c) > 0, 1)) for c in ("debit", "credit"))
+    sizes = lines.groupBy("entry_id").agg(n.alias("n"), m.alias("m")).where((F.col("n") + F.col("m") > c_most) & ~((F.col("n") == F.col("m")) & (F.col("n") <= b_most)))
+    whole = entity_flows(lines.join(sizes.select("entry_id"), "entry_id", "left_semi"))
+    return flows.unionByName(whole.select(*flows.columns))
+
+
+def entity_flows(lines: DataFrame) -> DataFrame:
+    """Method E, entries taken apart by entity: entry_id, from_account, to_account, amount, method E,
+    confidence 0.50 and both entities.  A debit is met by its entity's credits of the entry, or by all of
+    them where its entity has none, in proportion to their amounts."""
+    d = lines.where("debit > 0").select("entry_id", F.col("account_code").alias("to_account"), F.col("debit"), F.col("entity_id").alias("to_entity"))
+    c = lines.where("credit > 0").select("entry_id", F.col("account_code").alias("from_account"), F.col("credit"), F.col("entity_id").alias("from_entity"))
+    own = c.groupBy(F.col("entry_id").alias("own_entry"), F.col("from_entity").alias("own_entity")).agg(F.sum("credit").alias("own_total"))
+    every = c.groupBy("entry_id").agg(F.sum("credit").alias("all_total"))
+    d = d.join(own, (F.col("entry_id") == F.col("own_entry")) & F.col("to_entity").eqNullSafe(F.col("own_entity")), "left").drop("own_entry", "own_entity").join(every, "entry_id")
+    pairs = d.join(c, "entry_id").where(F.col("own_total").isNull() | F.col("from_entity").eqNullSafe(F.col("to_entity")))
+    amount = F.col("debit") * F.col("credit") / F.coalesce("own_total", "all_total")
+    return pairs.select("entry_id", "from_account", "to_account", amount.alias("amount"), F.lit("E").alias("method"), F.lit(0.50).alias("confidence"), "from_entity", "to_entity").where("amount > 0")
+
+
+# --- value added tax
+
+# fixed values: known rates, with where and of what kind they are
+VAT_RATES = [
+    (0.20, "UK", "Standard"), (0.19, "DE", "Standard"), (0.20, "FR", "Standard"), (0.21, "EU", "Standard"), (0.23, "EU", "Standard"), (0.25, "EU", "Standard"), (0.10, "Generic", "Reduced"),
+    (0.07, "DE", "Reduced"), (0.055, "FR", "Reduced"), (0.05, "UK", "Reduced"), (0.10, "AU", "Standard"), (0.05, "CA", "Standard"), (0.13, "CA", "Standard"), (0.15, "CA", "Standard"),
+]
+# fixed values: what marks an account as one of tax
+TAX_MARKS = ("VAT", "TAX", "GST", "HST", "WITHHOLD", "OUTPUT_TAX", "INPUT_TAX")
+# fixed values: what a recognised pattern adds to the confidence of an entry's flows
+PATTERN_BOOST = {
+    "SimpleSale": 0.10, "SaleWithVat": 0.15, "SimplePurchase": 0.10, "PurchaseWithVat": 0.15, "Payment": 0.10, "Receipt": 0.10, "Payroll": 0.12, "Depreciation": 0.15, "Accrual": 0.10,
+    "AccrualReversal": 0.10, "Transfer": 0.08, "Intercompany": 0.05, "CostAllocation": 0.08, "Adjustment": 0.05, "Unknown": 0.00,
+}
+
+
+def is_tax_account(code: Column) -> Column:
+    return F.upper(code).rlike("|".join(TAX_MARKS))
+
+
+def _known_rate(implied: Column, tolerance: float) -> Column:
+    """The first known rate that an implied one is close to, as a struct; null if none is."""
+    out = F.lit(None).cast("struct<rate:double,place:string,kind:string>")
+    for rate, place, kind in reversed(VAT_RATES):
+        known = F.struct(F.lit(rate).alias("rate"), F.lit(place).alias("place"), F.lit(kind).alias("kind"))
+        out = F.when(F.abs(implied - rate) < tolerance, known).otherwise(out)
+    return out
+
+
+def vat_splits(amounts: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """entry_id, net, tax, rate, place, kind of entries of which one amount is another plus tax at a known
+    rate: the largest such gross amount with the largest net one.  amounts(entry_id, amount)."""
+    a = amounts.groupBy("entry_id").agg(F.sort_array(F.collect_list("amount"), asc=False).alias("v"))
+    pair = lambda g, n: F.struct(n.alias("net"), (g - n).alias("tax"), _known_rate((g - n) / F.when(n != 0, n), tolerance).alias("known"))
+    pairs = F.flatten(F.transform("v", lambda g, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda n: pair(g, n))))
+    first = a.select("entry_id", F.get(F.filter(pairs, lambda x: x["known"].isNotNull()), 0).alias("f")).where("f IS NOT NULL")
+    return first.select("entry_id", "f.net", "f.tax", "f.known.rate", "f.known.place", "f.known.kind")
+
+
+def vat_patterns(lines: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """entry_id, is_output, net, tax, rate (a known one, or what the amounts imply), place, kind and
+    tax_accounts of the entries with tax and other accounts.  Tax on the credit side is output tax, and the
+    net amount is then that of the other credits, else that of the other debits."""
+    amount = F.col("debit") + F.col("credit")
+    tax, credit = is_tax_account(F.col("account_code")), F.col("credit") > 0
+    total = lambda hit: F.coalesce(F.sum(F.when(hit, amount)), F.lit(0.0))
+    g = lines.where(amount > 0).groupBy("entry_id").agg(
+        total(tax).alias("tax"), total(~tax & credit).alias("credits"), total(~tax & ~credit).alias("debits"), F.max(tax & credit).alias("is_output"), F.max(tax).alias("taxed"), F.sort_array(F.collect_set(F.when(tax, F.col("account_code")))).alias("tax_accounts")
+    )
+    g = g.where("taxed").withColumn("net", F.when(F.col("is_output"), F.col("credits")).otherwise(F.col("debits"))).where("net > 0")
+    g = g.withColumn("known", _known_rate(F.col("tax") / F.col("net"), tolerance))
+    return g.select("entry_id", "is_output", "net", "tax", F.coalesce("known.rate", F.col("tax") / F.col("net")).alias("rate"), F.coalesce("known.place", F.lit("Generic")).alias("place"), F.coalesce("known.kind", F.lit("Standard")).alias("kind"), "tax_accounts")
+
+
+def transaction_pattern(lines: DataFrame) -> DataFrame:
+    """entry_id, pattern and boost: Intercompany where debits and credits are of different entities; with
+    tax a sale or a purchase; else by the classes of the accounts on both sides."""
+    code = F.col("account_code")
+    cls = lambda side: F.when(F.col(side) > 0, account_class(code))
+    g = lines.groupBy("entry_id").agg(
+        F.collect_set(cls("debit")).alias("d"), F.collect_set(cls("credit")).alias("c"), F.count(F.when(F.col("debit") > 0, 1)).alias("nd"), F.count(F.when(F.col("credit") > 0, 1)).alias("nc"),
+        F.collect_set(F.when(F.col("debit") > 0, F.col("entity_id"))).alias("ed"), F.collect_set(F.when(F.col("credit") > 0, F.col("entity_id"))).alias("ec"), F.count(F.when((F.col("credit") > 0) & (account_class(code) == "Liability"), 1)).alias("liabilities"),
+    )
+    g = g.join(vat_patterns(lines).select("entry_id", "is_output"), "entry_id", "left")
+    d, c = (lambda x: F.array_contains("d", x)), (lambda x: F.array_contains("c", x))
+    apart = (F.size("ed") > 0) & (F.size("ec") > 0) & ((F.size(F.array_union("ed", "ec")) > 1))
+    taxed = F.when(F.col("is_output"), F.when(d("Asset"), "SaleWithVat").otherwise("Unknown")).otherwise(F.when(d("Expense") | d("Asset"), "PurchaseWithVat").otherwise("Unknown"))
+    plain = (
+        F.when(d("Asset") & c("Revenue") & (F.col("nc") == 1), "SimpleSale").when(d("Expense") & (c("Asset") | c("Liability")), "SimplePurchase").when(d("Liability") & c("Asset"), "Payment")
+        .when(d("Asset") & c("Asset") & (F.col("nd") == 1) & (F.col("nc") == 1), "Receipt").when(d("Asset") & c("Asset"), "Transfer").otherwise("Unknown")
+    )
+    pattern = F.when(apart, "Intercompany").when(F.col("is_output").isNotNull(), taxed).otherwise(plain)
+    boost = F.element_at(F.create_map(*[F.lit(x) for k, v in PATTERN_BOOST.items() for x in (k, v)]), pattern)
+    return g.select("entry_id", pattern.alias("pattern"), boost.alias("boost"))
+
+
+def boosted_flows(flows: DataFrame, patterns: DataFrame, vat: DataFrame) -> DataFrame:
+    """Flows with their entry's pattern, a confidence raised by its boost (1 at most), and the tax rate of
+    flows that touch one of its tax accounts."""
+    t = vat.select("entry_id", F.col("rate").alias("vat"), "tax_accounts")
+    j = flows.join(patterns, "entry_id", "left").join(t, "entry_id", "left")
+    taxed = F.coalesce(F.array_contains("tax_accounts", F.col("from_account")) | F.array_contains("tax_accounts", F.col("to_account")), F.lit(False))
+    out = j.withColumn("confidence", F.least(F.col("confidence") + F.coalesce("boost", F.lit(0.0)), F.lit(1.0))).withColumn("vat_rate", F.when(taxed, F.col("vat")))
+    return out.drop("boost", "vat", "tax_accounts")
 
 
 def network_stats(flows: DataFrame) -> DataFrame:
@@ -332,6 +473,21 @@ def account_flows(flows: DataFrame, account: str, direction: str = "both") -> Da
     return flows.where({"in": into, "out": out, "both": into | out}[direction])
 
 
+def dated_flows(flows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Flows with the time (ts) of their entry."""
+    return flows.join(lines.groupBy("entry_id").agg(F.min("posting_date").alias("ts")), "entry_id")
+
+
+def flows_between(dated: DataFrame, start: int, end: int) -> DataFrame:
+    """The flows of a span of time, both ends included."""
+    return dated.where(F.col("ts").between(start, end))
+
+
+def recent_flows(dated: DataFrame, account: str, start: int, end: int, limit: int) -> DataFrame:
+    """The newest flows of an account within a span of time."""
+    return flows_between(account_flows(dated, account), start, end).orderBy(F.col("ts").desc(), "entry_id", "from_account", "to_account", "amount").limit(limit)
+
+
 # --- detection
 
 
@@ -371,7 +527,7 @@ def suspense_accounts(lines: DataFrame, centrality: float = 0.1, turnover: float
 def gaap_violations(lines: DataFrame, types: DataFrame, suspense: float = 10_000.0, expense: float = 5_000.0, circular: float = 1_000.0) -> DataFrame:
     """violation, entry_id (null for circular flows), accounts, amount, severity; of an entry the first pair of
     lines of a kind.  types(account_code, account_type)."""
-    t = F.broadcast(types.select("account_code", "account_type"))
+    t = types.select("account_code", "account_type")
     p = _pairs(lines).join(t.toDF("debit_account", "dt"), "debit_account", "left").join(t.toDF("credit_account", "ct"), "credit_account", "left")
     first = lambda d: d.groupBy("entry_id").agg(F.min_by(F.struct("credit_account", "debit_account", "amount"), F.struct("dl", "cl")).alias("f")).select("entry_id", F.concat_ws(">", "f.credit_account", "f.debit_account").alias("accounts"), "f.amount")
     row = lambda d, name, level: d.select(F.lit(name).alias("violation"), "entry_id", "accounts", "amount", F.lit(level).alias("severity"))

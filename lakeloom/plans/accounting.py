@@ -190,12 +190,12 @@ def _(j):
     return op.network_stats(op.generate_flows(_broken(j).where("account_code <> ''"))).select("method", "n", r("amount", 0), r("weighted_confidence", 6))
 
 
-@query("accounting_entry_patterns", "accounting/network-generation", "journal")
+@query("accounting_entry_patterns", "accounting/network-generation", "journal", "WITH e AS (SELECT entry_id, bool_or(debit > 0 AND account_code[1:1] = '1') AS sale, COUNT(DISTINCT entity_id) > 2 AS apart FROM journal GROUP BY 1) SELECT CASE WHEN apart THEN 'Intercompany' ELSE '' END || CASE WHEN sale THEN 'SimpleSale' ELSE 'Other' END AS pattern, COUNT(*) AS n FROM e GROUP BY 1")
 def _(j):
     return op.entry_pattern(j).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("accounting_account_flows", "accounting/network-generation", "journal")
+@query("accounting_account_flows", "accounting/network-generation", "journal", "SELECT d.account_code AS to_account, ROUND(SUM(d.debit), 2) AS amount FROM journal d JOIN journal c USING (entry_id) WHERE d.debit > 0 AND c.credit > 0 AND c.account_code = '4105' GROUP BY 1")
 def _(j):
     return op.account_flows(op.generate_flows(j), "4105", "out").groupBy("to_account").agg(r(F.sum("amount"), 2, "amount"))
 
@@ -237,3 +237,62 @@ def _(j):
 @query("accounting_gaap_summary", "accounting/gaap-violation", "journal", f"WITH {_GAAP} SELECT COUNT(*) AS violations, ROUND(SUM(amount), 0) AS amount_at_risk, COUNT(*) AS major, GREATEST(100 - 12.0 * COUNT(*), 0) AS score FROM gv")
 def _(j):
     return op.gaap_summary(op.gaap_violations(j, _types(j))).select("violations", r("amount_at_risk", 0), "major", "score")
+
+
+_RATES = "rt(k, rate, place, kind) AS (VALUES " + ", ".join(f"({i}, {x}::DOUBLE, '{p}', '{k}')" for i, (x, p, k) in enumerate(op.VAT_RATES)) + ")"
+
+
+@query("accounting_vat_splits", "accounting/network-generation", "orders", f"""WITH {_RATES}, a AS (SELECT o_orderkey AS entry_id, o_totalprice AS g, o_totalprice / (1 + [0.2, 0.19, 0.055, 0.42][o_orderkey % 4 + 1]) AS n FROM orders),
+h AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY k) AS first FROM a JOIN rt ON ABS((g - n) / n - rate) < 0.001) SELECT entry_id, ROUND(n, 2) AS net, ROUND(g - n, 2) AS tax, rate, place, kind FROM h WHERE first = 1""")
+def _(o):
+    rate = F.element_at(F.array(*[F.lit(x) for x in (0.2, 0.19, 0.055, 0.42)]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    amounts = o.select(F.col("o_orderkey").alias("entry_id"), F.explode(F.array(F.col("o_totalprice"), F.col("o_totalprice") / (1 + rate))).alias("amount"))
+    return op.vat_splits(amounts).select("entry_id", r("net", 2), r("tax", 2), "rate", "place", "kind")
+
+
+def _taxed(o):
+    """Sales and purchases with tax, some of them between entities."""
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    rate = F.element_at(F.array(*[F.lit(x) for x in (0.2, 0.19, 0.08)]), (k % 3 + 1).cast("int"))
+    line = lambda n, sale, buy, amount, sold: F.struct(F.lit(n).alias("line_number"), F.when(k % 2 == 0, sale).otherwise(buy).alias("account_code"), F.when((k % 2 == 0) != F.lit(sold), amount).otherwise(0.0).alias("debit"), F.when((k % 2 == 0) == F.lit(sold), amount).otherwise(0.0).alias("credit"), F.when((k % 5 == 0) & F.lit(n == 2), "B").otherwise("A").alias("entity_id"))
+    lines = F.array(line(1, "1000", "2000", v * (1 + rate), False), line(2, "4000", "5000", v, True), line(3, "OUTPUT_TAX", "INPUT_TAX", v * rate, True))
+    return o.select(k.alias("entry_id"), F.explode(lines).alias("l")).select("entry_id", "l.*")
+
+
+@query("accounting_vat_patterns", "accounting/network-generation", "orders", "SELECT o_orderkey AS entry_id, o_orderkey % 2 = 0 AS is_output, ROUND(o_totalprice, 2) AS net, ROUND(o_totalprice * [0.2, 0.19, 0.08][o_orderkey % 3 + 1], 2) AS tax, ROUND([0.2, 0.19, 0.08][o_orderkey % 3 + 1], 6) AS rate, ['UK', 'DE', 'Generic'][o_orderkey % 3 + 1] AS place, CASE WHEN o_orderkey % 2 = 0 THEN 'OUTPUT_TAX' ELSE 'INPUT_TAX' END AS accounts FROM orders")
+def _(o):
+    return op.vat_patterns(_taxed(o)).select("entry_id", "is_output", r("net", 2), r("tax", 2), r("rate", 6), "place", F.array_join("tax_accounts", ",").alias("accounts"))
+
+
+@query("accounting_transaction_patterns", "accounting/network-generation", "orders", "SELECT o_orderkey AS entry_id, CASE WHEN o_orderkey % 5 = 0 THEN 'Intercompany' WHEN o_orderkey % 2 = 0 THEN 'SaleWithVat' ELSE 'PurchaseWithVat' END AS pattern, CASE WHEN o_orderkey % 5 = 0 THEN 0.05 ELSE 0.15 END AS boost FROM orders")
+def _(o):
+    return op.transaction_pattern(_taxed(o))
+
+
+@query("accounting_entity_flows", "accounting/network-generation", "orders", """WITH l AS (SELECT o_orderkey AS e, o_totalprice AS v, [0.2, 0.19, 0.08][o_orderkey % 3 + 1] AS t, o_orderkey % 2 = 0 AS sale, o_orderkey % 5 = 0 AS apart FROM orders),
+d AS (SELECT e, '1000' AS a, v * (1 + t) AS m, 'A' AS n FROM l WHERE sale UNION ALL SELECT e, '5000', v, CASE WHEN apart THEN 'B' ELSE 'A' END FROM l WHERE NOT sale UNION ALL SELECT e, 'INPUT_TAX', v * t, 'A' FROM l WHERE NOT sale),
+c AS (SELECT e, '2000' AS a, v * (1 + t) AS m, 'A' AS n FROM l WHERE NOT sale UNION ALL SELECT e, '4000', v, CASE WHEN apart THEN 'B' ELSE 'A' END FROM l WHERE sale UNION ALL SELECT e, 'OUTPUT_TAX', v * t, 'A' FROM l WHERE sale),
+p AS (SELECT d.e, c.a AS f, d.a AS t, d.m AS dm, c.m AS cm FROM d JOIN c ON d.e = c.e WHERE d.n = c.n OR NOT EXISTS (SELECT 1 FROM c x WHERE x.e = d.e AND x.n = d.n))
+SELECT e AS entry_id, f AS from_account, t AS to_account, ROUND(dm * cm / SUM(cm) OVER (PARTITION BY e, t), 2) AS amount FROM p""")
+def _(o):
+    return op.entity_flows(_taxed(o)).select("entry_id", "from_account", "to_account", r("amount", 2))
+
+
+_FLOWS = f"{_PAIR}, ts AS (SELECT entry_id, MIN(posting_date) AS ts FROM journal GROUP BY 1), fl AS (SELECT entry_id, ts, ca AS from_account, da AS to_account, debit FROM pr JOIN ts USING (entry_id))"
+
+
+@query("accounting_recent_flows", "accounting/network-generation-ring", "journal", f"WITH {_FLOWS}, k AS (SELECT *, row_number() OVER (ORDER BY ts DESC, entry_id, from_account, to_account, debit) AS k FROM fl WHERE from_account = '4105' AND ts BETWEEN 788918400 AND 852076800) SELECT entry_id, ts, to_account, ROUND(debit, 2) AS amount FROM k WHERE k <= 50")
+def _(j):
+    return op.recent_flows(op.dated_flows(op.generate_flows(j), j), "4105", 788_918_400, 852_076_800, 50).select("entry_id", "ts", "to_account", r("amount", 2))
+
+
+@query("accounting_flows_between", "accounting/network-generation", "journal", f"WITH {_FLOWS} SELECT from_account, COUNT(*) AS n, ROUND(SUM(debit), 1) AS amount FROM fl WHERE ts BETWEEN 788918400 AND 852076800 GROUP BY 1")
+def _(j):
+    f = op.flows_between(op.dated_flows(op.generate_flows(j), j), 788_918_400, 852_076_800)
+    return f.groupBy("from_account").agg(F.count(F.lit(1)).alias("n"), r(F.sum("amount"), 1, "amount"))
+
+
+@query("accounting_boosted_flows", "accounting/network-generation", "journal", f"WITH {_PAIR}, n AS (SELECT entry_id, COUNT(*) AS n FROM d GROUP BY 1) SELECT 'Intercompany' AS pattern, ROUND(CASE WHEN n.n = 1 THEN 1.0 ELSE 0.9 END, 4) AS confidence, COUNT(*) AS n FROM pr JOIN n USING (entry_id) GROUP BY 2")
+def _(j):
+    f = op.boosted_flows(op.generate_flows(j), op.transaction_pattern(j), op.vat_patterns(j))
+    return f.groupBy("pattern", r("confidence")).agg(F.count(F.lit(1)).alias("n"))
