@@ -159,6 +159,37 @@ def match_substring(events: DataFrame, pattern: str, columns: list[str], severit
     return events.where(hit).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("score", F.lit(float(severity)))
 
 
+# fixed values: the signatures that come with the engine
+SIGNATURES = [
+    (1, "Rapid Login Attempts", "CountThreshold", {"event_type": "login_attempt", "least": 5, "window": 60}, 70.0),
+    (2, "Account Takeover Sequence", "EventSequence", {"sequence": ["password_reset", "login", "profile_change"]}, 90.0),
+    (3, "Suspicious Time Window", "TimeWindow", {"types": ["login", "high_value_purchase", "logout"], "window": 300}, 80.0),
+    (4, "Gift Card Fraud Pattern", "Regex", {"pattern": "gift.*card"}, 60.0),
+]
+
+
+def standard_signatures(spark) -> DataFrame:
+    """signature, name, pattern, severity."""
+    return spark.createDataFrame([(i, name, kind, severity) for i, name, kind, _, severity in SIGNATURES], "signature int, name string, pattern string, severity double")
+
+
+def match_signatures(events: DataFrame, signatures: list[tuple] | None = None) -> DataFrame:
+    """signature, user_id, score of users that match a signature, from the best score down within each."""
+    found = None
+    for i, _, kind, spec, severity in SIGNATURES if signatures is None else signatures:
+        if kind == "CountThreshold":
+            hit = match_count(events, spec["event_type"], spec["least"], spec["window"], severity)
+        elif kind == "EventSequence":
+            hit = match_sequence(events, spec["sequence"], severity)
+        elif kind == "TimeWindow":
+            hit = match_time_window(events, spec["types"], spec["window"], severity)
+        else:
+            hit = match_substring(events, spec["pattern"], spec.get("columns", ["event_type"]), severity)
+        hit = hit.select(F.lit(i).alias("signature"), "user_id", "score")
+        found = hit if found is None else found.unionByName(hit)
+    return found
+
+
 # --- causality
 
 
@@ -170,7 +201,7 @@ def causal_edges(events: DataFrame, max_lag: int = 3_600, least: int = 3, streng
     w = W.partitionBy("day").orderBy("ts", "id")
     e = events.select(day.alias("day"), "ts", "id", "event_type").withColumn("next", F.lead(F.struct("event_type", "ts")).over(w))
     heads = e.groupBy("day").agg(F.min(F.struct("ts", "id", "event_type")).alias("h")).select(F.lag("day").over(W.orderBy("day")).alias("day"), F.struct("h.event_type", "h.ts").alias("head"))
-    e = e.join(F.broadcast(heads), "day", "left").withColumn("next", F.coalesce("next", "head"))  # a row for each day
+    e = e.join(heads, "day", "left").withColumn("next", F.coalesce("next", "head"))  # a row for each day
     pairs = e.where("next IS NOT NULL").select(F.col("event_type").alias("source"), F.col("next.event_type").alias("target"), (F.col("next.ts") - F.col("ts")).alias("lag")).where((F.col("lag") <= max_lag) & (F.col("source") != F.col("target")))
     g = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.avg("lag").alias("mean_lag"))
     g = g.withColumn("strength", F.col("n") / F.sum("n").over(W.partitionBy("source")))
@@ -209,7 +240,7 @@ def causal_impact(edges: DataFrame, event_type: str) -> DataFrame:
     level = direct.select(F.col("target").alias("node")).distinct()
     for depth in (1, 2):
         level = level.join(seen, "node", "left_anti")
-        step = e.join(F.broadcast(level), e["source"] == level["node"])
+        step = e.join(level, e["source"] == level["node"])
         out = out.unionByName(step.select("target", F.lit(depth).alias("depth"), (F.col("strength") / (depth + 1)).alias("strength")))
         seen, level = seen.unionByName(level), step.select(F.col("target").alias("node")).distinct()
     return out
@@ -263,7 +294,7 @@ def correlated_types(events: DataFrame, top: int = 5) -> DataFrame:
     n = s.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     p = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("k"))
     total = F.broadcast(events.agg(F.count(F.lit(1)).alias("total")))
-    j = n.join(F.broadcast(p.toDF("a", "ka")), "a").join(F.broadcast(p.toDF("b", "kb")), "b").crossJoin(total)
+    j = n.join(p.toDF("a", "ka"), "a").join(p.toDF("b", "kb"), "b").crossJoin(total)
     return j.select("a", "b", "n", (F.col("n") / F.col("total") / (F.col("ka") / F.col("total") * F.col("kb") / F.col("total"))).alias("lift")).orderBy(F.col("lift").desc(), "a", "b").limit(top)
 
 

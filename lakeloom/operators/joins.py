@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from lakeloom.storage import materialise
 
 
 def range_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], at: str, start: str, width: int) -> DataFrame:
@@ -26,3 +28,13 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, ts: str, columns: li
     w = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_row IS NOT NULL")
     return both.select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in columns])
+
+
+def running_sum(rows: DataFrame, value: Column, order: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to each one by ``order``, which tells rows apart.  Ranges of
+    rows are summed apart and shifted by what stands before them, so no task has all rows."""
+    parts = materialise(rows.withColumn(name, value).repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy("_part").agg(F.sum(name).alias("_sum"))  # a row a partition
+    before = sums.select("_part", (F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")).alias("_before"))
+    own = F.sum(name).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return parts.withColumn(name, own).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")

@@ -130,6 +130,17 @@ def monte_carlo_var(pnl: DataFrame, n: int, confidence: float = 0.95) -> DataFra
     return lowest.agg((-F.max("pnl")).alias("var"), F.when(F.count(F.lit(1)) > 1, -(F.sum("pnl") - F.max("pnl")) / (F.count(F.lit(1)) - 1)).otherwise(-F.max("pnl")).alias("expected_shortfall"))
 
 
+def upsert_positions(positions: DataFrame, updates: DataFrame) -> DataFrame:
+    """Positions with those of ``updates`` put in their place, or added; a value of 0 takes one off the book."""
+    kept = positions.join(updates.select("asset_id"), "asset_id", "left_anti")
+    return kept.unionByName(updates.select(*positions.columns)).where("value <> 0")
+
+
+def recalculated_var(positions: DataFrame, updates: DataFrame, corr: DataFrame, confidence: float = 0.95, days: int = 10, n: int = 10_000) -> DataFrame:
+    """Value at risk and expected shortfall of the book after the updates, by simulation."""
+    return monte_carlo_var(simulate_pnl(upsert_positions(positions, updates), corr, days, n), n, confidence)
+
+
 def correlation_matrix(returns: DataFrame) -> DataFrame:
     """i <= j, rho and n over returns(asset_id, t, value) on common times, 0 for flat assets, within [-1, 1]."""
     a, b = (returns.select(F.col("asset_id").alias(x), "t", F.col("value").alias(f"r{x}")) for x in "ij")

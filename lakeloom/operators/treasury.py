@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lakeloom.functions.normal import option_cdf
 from lakeloom.operators.groupmap import ordered_groups
+from lakeloom.operators.joins import running_sum
 
 # --- cash: flows(id, day, amount, category, certainty)
 
@@ -288,13 +289,45 @@ def lcr_actions(assets: DataFrame, outflows: DataFrame, lcr_row: DataFrame, cost
     need = F.broadcast(lcr_row.select(F.greatest(-F.col("buffer"), F.lit(0.0)).alias("need")))
     a = assets.where(F.col("asset_type").isin("OtherLiquid", "Illiquid")).crossJoin(need).where("need > 0")
     a = a.withColumn("used", F.least("amount", "need")).withColumn("impact", F.col("used") * (1 - F.col("haircut")))
-    a = a.withColumn("before", F.sum("impact").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, 0)) - F.col("impact")).where("before < need")
+    a = running_sum(a, F.col("impact"), "id", "upto").where(F.col("upto") - F.col("impact") < F.col("need"))
     convert = a.select(F.lit("ConvertToHQLA").alias("action"), "id", F.col("used").alias("amount"), "impact", (F.col("used") * cost_rate).alias("cost"))
     cut = outflows.where(F.col("category") == "CommittedFacilities").crossJoin(need).where("need > 0")
     cut = cut.select(F.lit("ReduceCommitment").alias("action"), "id", (F.col("amount") * 0.1).alias("amount"), (F.col("amount") * 0.1 * F.col("runoff")).alias("impact"), (F.col("amount") * 0.1 * commitment_cost).alias("cost"))
     return convert.unionByName(cut)
 
 
+def nsfr_actions(assets: DataFrame, funding: DataFrame, nsfr_row: DataFrame, spread: float = 0.02, sale_haircut: float = 0.10) -> DataFrame:
+    """action, id, amount, impact, cost if stable funding falls short: wholesale deposits of under a year, in
+    order of id, are replaced by term funding (each up to the whole shortfall) until that makes it up, and
+    illiquid assets are sold, each up to the whole shortfall."""
+    need = F.broadcast(nsfr_row.select(F.greatest(-F.col("buffer"), F.lit(0.0)).alias("need")))
+    f = funding.where((F.col("funding_type") == "WholesaleDeposit") & (F.col("days") < 365)).crossJoin(need).where("need > 0")
+    f = f.withColumn("used", F.least("amount", "need")).withColumn("impact", F.col("used") * 0.5)
+    f = running_sum(f, F.col("impact"), "id", "upto").where(F.col("upto") - F.col("impact") < F.col("need"))
+    term = f.select(F.lit("IssueTerm").alias("action"), "id", F.col("used").alias("amount"), "impact", (F.col("used") * spread * (365 - F.col("days")) / 365).alias("cost"))
+    a = assets.where(F.col("asset_type") == "Illiquid").crossJoin(need).where("need > 0").withColumn("used", F.least("amount", "need"))
+    return term.unionByName(a.select(F.lit("SellIlliquid").alias("action"), "id", F.col("used").alias("amount"), F.col("used").alias("impact"), (F.col("used") * sale_haircut).alias("cost")))
+
+
+def lcr_improvement(assets: DataFrame, outflows: DataFrame, inflows: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row: the buffer before and after the actions, and the improvement.  What is converted leaves its
+    asset and is level 1 without a haircut; commitments that are cut leave their outflow."""
+    done = lambda name, key: actions.where(F.col("action") == name).groupBy(F.col("id").alias(key)).agg(F.sum("amount").alias("moved"))
+    gone = assets.join(done("ConvertToHQLA", "_id"), F.col("id") == F.col("_id"), "left")
+    left = gone.withColumn("amount", F.col("amount") - F.coalesce("moved", F.lit(0.0))).select(*assets.columns)
+    made = gone.where("moved > 0").withColumns({"asset_type": F.lit("Level1HQLA"), "amount": F.col("moved"), "haircut": F.lit(0.0)}).select(*assets.columns)
+    cut = outflows.join(done("ReduceCommitment", "_id"), F.col("id") == F.col("_id"), "left").withColumn("amount", F.col("amount") - F.coalesce("moved", F.lit(0.0))).select(*outflows.columns)
+    before, after = lcr(assets, outflows, inflows), lcr(left.unionByName(made), cut, inflows)
+    return before.select(F.col("buffer").alias("before")).crossJoin(F.broadcast(after.select(F.col("buffer").alias("after")))).withColumn("improvement", F.col("after") - F.col("before"))
+
+
+def optimise_liquidity(assets: DataFrame, outflows: DataFrame, inflows: DataFrame, funding: DataFrame) -> DataFrame:
+    """The actions for both ratios: ratio, action, id, amount, impact, cost."""
+    short = lcr_actions(assets, outflows, lcr(assets, outflows, inflows)).withColumn("ratio", F.lit("LCR"))
+    stable = nsfr_actions(assets, funding, nsfr(assets, funding)).withColumn("ratio", F.lit("NSFR"))
+    return short.unionByName(stable)
+
+
 def liquidity_stress(assets: DataFrame, outflows: DataFrame, inflows: DataFrame, extra_haircut: float = 0.05, inflow_factor: float = 0.8, multipliers: dict[str, float] | None = None, default: float = 1.2) -> DataFrame:
     """One row: the liquidity coverage before and after larger run-off, haircuts and smaller inflows, and days
     until cover falls under a half (90 at most looked at)."""

@@ -184,3 +184,20 @@ def _(e):
 @query("behavioral_pairs_of_kinds", "behavioral/event-correlation", "user_events", "SELECT a.id AS a, b.id AS b, ABS(a.ts - b.ts) AS gap FROM user_events a JOIN user_events b ON a.user_id = b.user_id AND a.device_id = b.device_id AND a.id < b.id AND ABS(a.ts - b.ts) <= 3600")
 def _(e):
     return op.pairs_of_kinds(e, ["user", "device"])
+
+
+@query("behavioral_standard_signatures", "behavioral/fraud-signatures", "region", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{k}', {v}::DOUBLE)" for i, n, k, _, v in op.SIGNATURES) + ") t(signature, name, pattern, severity)")
+def _(region):
+    return op.standard_signatures(region.sparkSession)
+
+
+_KINDS = {"view": "login_attempt", "click": "login", "signup": "password_reset", "purchase": "high_value_purchase", "error": "logout"}
+
+
+@query("behavioral_match_signatures", "behavioral/fraud-signatures", "user_events", """WITH c AS (SELECT user_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS n FROM user_events WHERE event_type = 'view'), a AS (SELECT user_id, MAX(n) AS n FROM c GROUP BY 1 HAVING MAX(n) >= 5),
+s AS (SELECT ts, user_id, MIN(CASE WHEN event_type = 'click' THEN ts END) OVER w AS f0, MIN(CASE WHEN event_type = 'purchase' THEN ts END) OVER w AS f1, MIN(CASE WHEN event_type = 'error' THEN ts END) OVER w AS f2 FROM user_events WHERE event_type IN ('click', 'purchase', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND 300 FOLLOWING)),
+m AS (SELECT user_id, MAX(80 * (0.5 + 0.5 * (1 - (GREATEST(f0, f1, f2) - ts) / 300))) AS score FROM s WHERE f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL GROUP BY 1)
+SELECT 1 AS signature, user_id, ROUND(LEAST(70 * n / 5, 100.0), 4) AS score FROM a UNION ALL SELECT 3, user_id, ROUND(score, 4) FROM m""")
+def _(e):
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), F.col("event_type")), F.col("event_type"))
+    return op.match_signatures(e.withColumn("event_type", kind)).select("signature", "user_id", r("score", 4))

@@ -128,3 +128,9 @@ def _(p):
 @query("risk_standard_scenarios", "risk/stress-testing", "region", f"WITH {_SC} SELECT * FROM sc")
 def _(region):
     return op.standard_scenarios(region.sparkSession)
+
+
+@query("risk_recalculated_var", "risk/monte-carlo-var", "positions")
+def _(p):
+    updates = p.where("asset_id LIKE 'Brand#1%'").withColumn("value", F.col("value") * 2)
+    return op.recalculated_var(p, updates, _corr(p)).select(r("var", 2), r("expected_shortfall", 2))
