@@ -8,6 +8,7 @@ from lakeloom.functions.names import jaro_winkler
 from lakeloom.operators.graph import strong_components
 from lakeloom.operators.groupmap import ordered_groups
 from lakeloom.operators.joins import range_join
+from lakeloom.storage import materialise
 
 
 def circular_flow(tx: DataFrame, min_amount: float = 0.0) -> DataFrame:
@@ -27,6 +28,19 @@ def circular_ratio(tx: DataFrame, min_amount: float = 0.0) -> DataFrame:
     return inside.crossJoin(F.broadcast(total)).withColumn("ratio", F.when(F.col("total") > 0, F.col("circular") / F.col("total")).otherwise(0.0))
 
 
+def entity_circularity(tx: DataFrame) -> DataFrame:
+    """entity_id, ratio, groups, amount: what an account pays within its strongly connected group, also as
+    a share of all it pays; groups is 1 for accounts in a group of over one, else 0."""
+    scc = strong_components(tx.select(F.col("source_id").alias("a"), F.col("dest_id").alias("b")))
+    size = scc.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    scc = scc.join(size, "label").select("id", "label", "size")
+    inside = tx.join(scc.toDF("source_id", "la", "size"), "source_id").join(scc.select(F.col("id").alias("dest_id"), F.col("label").alias("lb")), "dest_id")
+    own = (F.col("la") == F.col("lb")) & (F.col("size") > 1)
+    g = inside.groupBy("source_id").agg(F.sum("amount").alias("out"), F.coalesce(F.sum(F.when(own, F.col("amount"))), F.lit(0.0)).alias("amount"))
+    j = scc.join(g, scc["id"] == g["source_id"], "left")
+    return j.select(F.col("id").alias("entity_id"), F.coalesce(F.try_divide("amount", "out"), F.lit(0.0)).alias("ratio"), F.when(F.col("size") > 1, 1).otherwise(0).alias("groups"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
+
+
 def reciprocal_pairs(tx: DataFrame, min_amount: float = 0.0, start: int | None = None, end: int | None = None) -> DataFrame:
     """a <= b, forward, backward and reciprocal = 2 min of pairs that pay one another, by one
     aggregation over unordered pairs.  An account that pays itself is paired with itself."""
@@ -207,20 +221,33 @@ def screen_pep(names: DataFrame, peps: DataFrame, least: float = 0.7, top: int =
 def resolve_entities(queries: DataFrame, candidates: DataFrame, least: float = 0.7, top: int = 10) -> DataFrame:
     """query_id, entity_id, score of entities(id, name, aliases, birth_date, country): name 0.6, date
     0.25 (half of it where no date agrees or is known) and country 0.15.  Every query is held against
-    every candidate: candidates are dealt over many tasks, and the queries go to each of them."""
-    q, c = _names(queries, "id", "query"), _names(candidates, "id", "entity")
+    every candidate: candidates are dealt over many tasks, and the queries go to each of them.
+
+    Names are compared only where they can matter.  Date and country are cheap, so the pairs that are best
+    by them, ``top`` of a query at least, are scored first; of the others those can still come in that
+    would reach the query's ``top``-th score with an equal name, and the rest cannot."""
     n = _tasks(queries)
-    c = c.withColumn("part", F.pmod(F.xxhash64("entity_id", "entity_name"), F.lit(n)))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    best = q.join(c.hint("shuffle_hash"), "part").withColumn("s", jaro_winkler("query_name", "entity_name")).groupBy("query_id", "entity_id").agg(F.max("s").alias("name_score"))
-    a = queries.select(F.col("id").alias("query_id"), F.col("birth_date").alias("qd"), F.col("country").alias("qc"))
-    b = candidates.select(F.col("id").alias("entity_id"), F.col("birth_date").alias("ed"), F.col("country").alias("ec"))
-    df = best.where("query_id <> entity_id").join(a, "query_id").join(b, "entity_id")
+    a = queries.select(F.col("id").alias("query_id"), F.col("birth_date").alias("qd"), F.col("country").alias("qc")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    b = candidates.select(F.col("id").alias("entity_id"), F.col("birth_date").alias("ed"), F.col("country").alias("ec")).withColumn("part", F.pmod(F.xxhash64("entity_id"), F.lit(n)))
     date = F.coalesce(date_similarity(F.col("qd"), F.col("ed")), F.lit(0.0))
-    score = F.col("name_score") * 0.6 + F.when(date > 0, date * 0.25).otherwise(0.125) + F.when(F.col("qc") == F.col("ec"), 0.15).otherwise(0.0)
-    df = df.withColumn("score", score).where(F.col("score") >= least)
+    rest = F.when(date > 0, date * 0.25).otherwise(0.125) + F.when(F.col("qc") == F.col("ec"), 0.15).otherwise(0.0)
+    pairs = a.join(b.hint("shuffle_hash"), "part").where("query_id <> entity_id").select("query_id", "entity_id", rest.alias("rest")).where(F.col("rest") + 0.6 >= least - 1e-9)
+    falling = W.partitionBy("query_id").orderBy(F.col("rest").desc())
+    steps = pairs.groupBy("query_id", "rest").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(falling))
+    floor = materialise(steps.where(F.col("upto") >= top).groupBy("query_id").agg(F.max("rest").alias("floor")), "floors")
+    q, c = _names(queries, "id", "query"), _names(candidates, "id", "entity")
+
+    def scored(some: DataFrame) -> DataFrame:
+        named = some.join(q, "query_id").join(c, "entity_id").withColumn("s", jaro_winkler("query_name", "entity_name"))
+        best = named.groupBy("query_id", "entity_id", "rest").agg(F.max("s").alias("name_score"))
+        return best.withColumn("score", F.col("name_score") * 0.6 + F.col("rest")).where(F.col("score") >= least)
+
+    first = materialise(scored(pairs.join(floor, "query_id", "left").where(F.col("rest") >= F.coalesce("floor", F.lit(0.0))).drop("floor")), "first_scores")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "entity_id"))
-    return df.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "entity_id", "name_score", "score", "rank")
+    bar = first.withColumn("rank", rank).where(F.col("rank") == top).select("query_id", F.col("score").alias("bar"))
+    more = pairs.join(floor, "query_id").join(bar, "query_id", "left").where((F.col("rest") < F.col("floor")) & (F.col("rest") + 0.6 >= F.coalesce("bar", F.lit(least)) - 1e-9))
+    every = first.unionByName(scored(more.drop("floor", "bar")))
+    return every.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "entity_id", "name_score", "score", "rank")
 
 
 #: id, type, threshold, window in seconds, severity

@@ -130,3 +130,11 @@ def _(t):
 @query("compliance_default_rules", "compliance/transaction-monitoring", "region", "SELECT * FROM (VALUES (1, 'SingleAmount', 10000.0::DOUBLE, 0, 'High'), (2, 'AggregateAmount', 10000.0, 86400, 'Medium'), (3, 'TransactionCount', 50.0, 86400, 'Medium'), (4, 'Velocity', 5000.0, 3600, 'High')) t(rule_id, rule_type, threshold, window_seconds, severity)")
 def _(region):
     return region.sparkSession.createDataFrame(list(op.DEFAULT_RULES), "rule_id int, rule_type string, threshold double, window_seconds int, severity string")
+
+
+@query("compliance_entity_circularity", "compliance/circular-flow", "links", """WITH RECURSIVE t AS (SELECT src, dst, CAST(src * 7 + dst AS DOUBLE) AS amount FROM links WHERE src < dst OR (src + dst) % 5 < 2), reach(a, b) AS (SELECT src, dst FROM t UNION SELECT reach.a, t.dst FROM reach JOIN t ON reach.b = t.src),
+ids AS (SELECT src AS id FROM t UNION SELECT dst FROM t), same AS (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a), g AS (SELECT t.src AS id, SUM(amount) AS o, COALESCE(SUM(amount) FILTER (WHERE same.a IS NOT NULL), 0) AS c FROM t LEFT JOIN same ON same.a = t.src AND same.b = t.dst GROUP BY 1)
+SELECT ids.id AS entity_id, ROUND(CASE WHEN o > 0 THEN c / o ELSE 0 END, 6) AS ratio, CASE WHEN EXISTS (SELECT 1 FROM same WHERE same.a = ids.id AND same.b <> ids.id) THEN 1 ELSE 0 END AS groups, ROUND(COALESCE(c, 0), 2) AS amount FROM ids LEFT JOIN g USING (id)""")
+def _(e):
+    t = e.where("src < dst OR (src + dst) % 5 < 2").select(F.col("src").alias("source_id"), F.col("dst").alias("dest_id"), (F.col("src") * 7 + F.col("dst")).cast("double").alias("amount"))
+    return op.entity_circularity(t).select("entity_id", r("ratio", 6), "groups", r("amount", 2))
