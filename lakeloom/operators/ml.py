@@ -174,7 +174,7 @@ def isolation_forest(points: DataFrame, n_trees: int = 100, size: int = 256, con
     Trees grow on the driver from a bounded sample (size a tree) and score all points where they are."""
     n = points.count()
     need = min(n, n_trees * size)
-    picked = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(need, 20_000)).select("x").collect()
+    picked = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(need).select("x").collect()  # size a tree
     trees = grow_trees(np.array([r["x"] for r in picked], float), n_trees, size, seed)
     scale = average_path(min(size, len(picked))) or 1.0
 
@@ -185,8 +185,26 @@ def isolation_forest(points: DataFrame, n_trees: int = 100, size: int = 256, con
 
     scored = materialise(points.select("id", score("x").alias("score")), "forest_scores")
     k = min(max(int(n * contamination), 1), max(n - 1, 1))
-    cut = scored.orderBy(F.col("score").desc()).limit(k + 1).agg(F.min("score")).first()[0]
-    return scored.withColumn("is_outlier", F.col("score") >= F.lit(cut))
+    return scored.withColumn("is_outlier", F.col("score") >= F.lit(_kth_largest(scored, "score", k + 1, 0.0, 1.0)))
+
+
+def _kth_largest(rows: DataFrame, column: str, k: int, low: float, high: float, bins: int = 1_024) -> float | None:
+    """The k-th largest value, without a sort of all rows: counts by bins of a range that narrows to the bin
+    that has it, until few values are left there."""
+    while True:
+        width = (high - low) / bins
+        inside = rows.where(F.col(column).between(low, high))
+        counts = {b: (n, top) for b, n, top in inside.groupBy(F.least(F.floor((F.col(column) - low) / F.lit(width)), F.lit(bins - 1)).alias("b")).agg(F.count(F.lit(1)), F.max(column)).collect()} if width > 0 else {}
+        if sum(n for n, _ in counts.values()) <= bins or width < 1e-15:
+            values = sorted((r[0] for r in inside.select(column).orderBy(F.col(column).desc()).limit(max(k, 1)).collect()), reverse=True) if width > 0 and counts else []
+            return values[min(k, len(values)) - 1] if values else high if width <= 1e-15 else None
+        for b in sorted(counts, reverse=True):
+            if counts[b][0] >= k:
+                if counts[b][0] > bins and width < 1e-13:
+                    return counts[b][1]
+                low, high = low + b * width, min(high, low + (b + 1) * width)
+                break
+            k -= counts[b][0]
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -259,20 +277,20 @@ def contamination_to_k(c: Column) -> Column:
 
 def hard_vote(predictions: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """sample and label by weighted majority, the smallest label of equals."""
-    p = predictions.withColumn("w", F.lit(1.0)) if weights is None else predictions.join(F.broadcast(weights.select("model", F.col("weight").alias("w"))), "model")
+    p = predictions.withColumn("w", F.lit(1.0)) if weights is None else predictions.join(weights.select("model", F.col("weight").alias("w")), "model")
     v = p.groupBy("sample", "label").agg(F.sum("w").alias("w"))
     return v.groupBy("sample").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b")).select("sample", (-F.col("b.l")).alias("label"), F.col("b.w").alias("votes"))
 
 
 def soft_vote(predictions: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """sample and class of the largest weighted mean probability."""
-    p = predictions.withColumn("w", F.lit(1.0)) if weights is None else predictions.join(F.broadcast(weights.select("model", F.col("weight").alias("w"))), "model")
+    p = predictions.withColumn("w", F.lit(1.0)) if weights is None else predictions.join(weights.select("model", F.col("weight").alias("w")), "model")
     long = p.select("sample", "w", F.posexplode("p").alias("class", "v")).groupBy("sample", "class").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
     return long.groupBy("sample").agg(F.max(F.struct("v", (-F.col("class")).alias("c"))).alias("b")).select("sample", (-F.col("b.c")).alias("class"), F.col("b.v").alias("probability"))
 
 
 def weighted_average(predictions: DataFrame, weights: DataFrame) -> DataFrame:
-    p = predictions.join(F.broadcast(weights), "model")
+    p = predictions.join(weights, "model")
     return p.groupBy("sample").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value"))
 
 
@@ -409,21 +427,25 @@ def tokenize(text: Column, longest: int | None = 512) -> Column:
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
 
 
-_SEED = 0x517CC1B727220A95  # fixed value: the multiplier of a hash's seed
+# fixed values: multiplier of a hash's seed, its step a byte, the steps of its three hashes a dimension
+_SEED, _BYTE, _STEPS = 0x517CC1B727220A95, 31, (31, 37, 41)
+# fixed values: what the three hashes' shares of the vocabulary weigh
+_WEIGHTS = (1.0, 0.5, 0.25)
 
 
 def _token_vector(token: str, dimension: int, vocabulary: int) -> np.ndarray:
-    """Three hashes of a token, moved by 31, 37 and 41 a dimension, as signed shares of the vocabulary."""
+    """Three hashes of a token, moved by a step a dimension, as weighted shares of the vocabulary, the first
+    two with the sign of their parity.  The vectors have to be these, so the formula is fixed."""
     h = []
     for seed in range(3):
         v = seed * _SEED & (1 << 64) - 1
         for byte in token.encode():
-            v = (v * 31 + byte) & (1 << 64) - 1
+            v = (v * _BYTE + byte) & (1 << 64) - 1
         h.append(v)
     i = np.arange(dimension, dtype=np.uint64)
-    a, b, c = ((np.uint64(x) + i * np.uint64(step)) % np.uint64(vocabulary) for x, step in zip(h, (31, 37, 41), strict=True))
+    a, b, c = ((np.uint64(x) + i * np.uint64(step)) % np.uint64(vocabulary) for x, step in zip(h, _STEPS, strict=True))
     sign = lambda x: np.where(x % 2 == 0, 1.0, -1.0)
-    return sign(a) * (a / vocabulary - 0.5) + sign(b) * (b / vocabulary - 0.5) * 0.5 + (c / vocabulary - 0.5) * 0.25
+    return sum(w * s * (x / vocabulary - 0.5) for w, s, x in zip(_WEIGHTS, (sign(a), sign(b), 1.0), (a, b, c), strict=True))
 
 
 def embed(texts: DataFrame, dimension: int = 384, vocabulary: int = 50_000, pooling: str = "mean", longest: int | None = 512) -> DataFrame:
@@ -521,10 +543,26 @@ def secure_aggregate(updates: DataFrame, clip: float = 1.0, least: int = 3, epsi
     return g.withColumn("value", F.col("value") + sigma * F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2))
 
 
+def aggregation_is_sound(updates: DataFrame, result: DataFrame, least: int = 3) -> DataFrame:
+    """One row: participants, features and sound: an aggregate of enough participants has all features of
+    their updates, and one of too few is empty."""
+    n = updates.agg(F.count_distinct("participant").alias("participants"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("dimension"))
+    m = result.agg(F.count_distinct("feature").alias("features"), F.count(F.when(F.col("value").isNull() | F.isnan("value"), 1)).alias("odd"))
+    enough = F.col("participants") >= least
+    return n.crossJoin(F.broadcast(m)).select("participants", "features", F.when(enough, (F.col("features") == F.col("dimension")) & (F.col("odd") == 0)).otherwise(F.col("features") == 0).alias("sound"))
+
+
+def simulate_round(model: DataFrame, updates: DataFrame, clip: float = 1.0, least: int = 3, epsilon: float | None = None) -> DataFrame:
+    """feature, before, value: a global model(feature, value) and what a round of updates, taken as steps
+    away from it, makes of it.  Without enough participants it stays."""
+    step = secure_aggregate(updates, clip, least, epsilon).select("feature", F.col("value").alias("step"))
+    return model.join(step, "feature", "left").select("feature", F.col("value").alias("before"), (F.col("value") + F.coalesce("step", F.lit(0.0))).alias("value"))
+
+
 def masked_updates(updates: DataFrame, seed: int = 7) -> DataFrame:
     """Updates with pairwise masks that cancel in their sum: participant i adds what j > i takes away."""
     p = updates.select("participant", "x")
-    other = F.broadcast(updates.select(F.col("participant").alias("o")))
+    other = updates.select(F.col("participant").alias("o"))
     lo, hi = F.least("participant", "o"), F.greatest("participant", "o")
     mask = lambda i: (F.pmod(F.xxhash64(lo, hi, i, F.lit(seed)), F.lit(1 << 52)) / float(1 << 51) - 1) * F.when(F.col("participant") < F.col("o"), 1).otherwise(-1)
     pairs = p.crossJoin(other).where("participant <> o").select("participant", F.posexplode("x").alias("i", "v"), "o").withColumn("m", mask(F.col("i")))
@@ -544,8 +582,8 @@ def drug_interactions(patients: DataFrame, drugs: DataFrame, known: DataFrame) -
     confidence 1, a predicted one by overlap of targets x (1 - cosine of mechanisms) + 0.3 cosine."""
     rx = patients.select("patient", F.explode(F.array_distinct("drugs")).alias("drug"))
     pairs = rx.toDF("patient", "a").join(rx.toDF("patient", "b"), "patient").where("a < b")
-    d = F.broadcast(drugs)
-    j = pairs.join(d.toDF("a", "ca", "ta", "ma"), "a").join(d.toDF("b", "cb", "tb", "mb"), "b").join(F.broadcast(known.select("a", "b", F.col("severity").alias("known"))), ["a", "b"], "left")
+    d = drugs
+    j = pairs.join(d.toDF("a", "ca", "ta", "ma"), "a").join(d.toDF("b", "cb", "tb", "mb"), "b").join(known.select("a", "b", F.col("severity").alias("known")), ["a", "b"], "left")
     cos = V.cosine_similarity(F.col("ma"), F.col("mb"))
     overlap = _overlap("ta", "tb")
     same = F.size(F.array_intersect("ca", "cb")) > 0
@@ -556,6 +594,32 @@ def drug_interactions(patients: DataFrame, drugs: DataFrame, known: DataFrame) -
     return out.withColumn("severity", F.coalesce("known", level)).select("patient", "a", "b", "severity", "risk", "confidence", "mechanism").where("severity <> 'None'")
 
 
+def drug_triplets(patients: DataFrame, drugs: DataFrame) -> DataFrame:
+    """patient, a < b < c, severity, risk, confidence of the triples of a patient's drugs: 0.4 of their mean
+    cosine of mechanisms and 0.6 of the share of targets that are named more than once."""
+    rx = patients.select("patient", F.explode(F.array_distinct("drugs")).alias("drug")).join(drugs.select("drug", "targets", "mechanism"), "drug")
+    side = lambda n: rx.toDF(n, "patient", f"t{n}", f"m{n}")
+    j = side("a").join(side("b"), "patient").where("a < b").join(side("c"), "patient").where("b < c")
+    cos = lambda x, y: V.cosine_similarity(F.col(f"m{x}"), F.col(f"m{y}"))
+    every = F.concat("ta", "tb", "tc")
+    shared = F.when(F.size(every) > 0, 1 - F.size(F.array_distinct(every)) / F.size(every)).otherwise(0.0)
+    risk = (cos("a", "b") + cos("b", "c") + cos("a", "c")) / 3 * 0.4 + shared * 0.6
+    out = j.withColumn("risk", risk)
+    return out.select("patient", "a", "b", "c", F.when(F.col("risk") > 0.6, "Major").when(F.col("risk") > 0.4, "Moderate").otherwise("Minor").alias("severity"), "risk", (F.col("risk") * 0.7).alias("confidence"))
+
+
+def drug_recommendations(interactions: DataFrame, high_risk: float = 0.7) -> DataFrame:
+    """patient and advice: a row for drugs in combinations of high risk, one for major interactions, and one
+    for patients with more than five interactions."""
+    g = interactions.groupBy("patient").agg(F.count(F.when(F.col("risk") >= high_risk, 1)).alias("high"), F.count(F.when(F.col("severity") == "Major", 1)).alias("major"), F.count(F.lit(1)).alias("n"))
+    text = F.array_compact(F.array(
+        F.when(F.col("high") > 0, F.format_string("%d combinations of high risk: look for other drugs", "high")),
+        F.when(F.col("major") > 0, F.format_string("%d major interactions to look at before prescribing", "major")),
+        F.when(F.col("n") > 5, F.lit("many interactions: go over all drugs")),
+    ))
+    return g.select("patient", F.explode(text).alias("advice"))
+
+
 def polypharmacy_risk(patients: DataFrame, interactions: DataFrame) -> DataFrame:
     """patient and min(1, 0.1 (n - 1) + mean of risk x confidence)."""
     m = interactions.groupBy("patient").agg(F.avg(F.col("risk") * F.col("confidence")).alias("m"))
