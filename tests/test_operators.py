@@ -350,3 +350,201 @@ def test_embedding_queries_read_whole_texts(spark, tmp_path):
         assert (a.v0, a.v63) != (b.v0, b.v63)
     cut = ml.embed(spark.createDataFrame([(1, head), (2, head + " another ending")], "id long, text string"), 64, longest=64).orderBy("id").collect()
     assert cut[0].vector == cut[1].vector
+
+
+def test_moving_averages_are_recovered():
+    rng = np.random.default_rng(1)
+    for theta in ([0.6], [-0.5], [0.5, 0.3], [-0.8, 0.2]):
+        e = rng.standard_normal(6_000)
+        x = e.copy()
+        for j, t in enumerate(theta, 1):
+            x[j:] += t * e[:-j]
+        assert temporal.fit_ma(x, len(theta)) == pytest.approx(theta, abs=0.06)
+    assert (temporal.fit_ma(np.ones(40), 2) == 0).all() and (temporal.fit_ma(np.arange(2.0), 1) == 0).all()
+
+
+def test_garch_is_recovered_and_likelier_than_its_neighbours():
+    rng = np.random.default_rng(1)
+    v, x = 1.0, []
+    for _ in range(6_000):
+        x.append(rng.standard_normal() * v**0.5)
+        v = 0.1 + 0.1 * x[-1] ** 2 + 0.8 * v
+    x = np.array(x)
+    omega, alpha, beta = temporal.fit_garch(x)
+    assert (omega, alpha, beta) == pytest.approx((0.1, 0.1, 0.8), abs=0.06)
+    best, var = temporal._garch_scores(x, x.var(ddof=1), alpha, beta)[0], x.var(ddof=1)
+    assert all(temporal._garch_scores(x, var, alpha + a, beta + b)[0] <= best + 1e-6 for a, b in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)))
+
+
+def test_forecast_goes_on_with_a_trend(spark):
+    rng = np.random.default_rng(2)
+    v = [100 + 2 * t + rng.standard_normal() for t in range(60)]
+    for q in (0, 1):
+        f = [r.forecast for r in temporal.arima_forecast(series(spark, v), 1, 1, q, 5).orderBy("step").collect()]
+        assert len(f) == 5 and all(x > 0.8 * v[-1] for x in f) and f[-1] > f[0]
+
+
+def test_change_points_are_the_best_partition(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.standard_normal(n) + m for n, m in ((12, 0), (9, 6), (14, 1), (10, 9))])
+    penalty, least = 8.0, 3
+    cost = lambda a, b: float(((v[a:b] - v[a:b].mean()) ** 2).sum())
+    best = {0: (-penalty, [])}
+    for e in range(least, len(v) + 1):
+        options = [(best[s][0] + cost(s, e) + penalty, [*best[s][1], s]) for s in best if e - s >= least]
+        if options:
+            best[e] = min(options)
+    got = [r.start for r in temporal.change_points(series(spark, v), "pelt", penalty, least).orderBy("start").collect()]
+    assert got == best[len(v)][1]
+
+
+def _entry(spark, *lines):
+    rows_ = [(1, i, a, float(d), float(c), e) for i, (a, d, c, e) in enumerate(lines, 1)]
+    return spark.createDataFrame(rows_, "entry_id long, line_number long, account_code string, debit double, credit double, entity_id string").withColumn("posting_date", F.lit(1_700_000_000).cast("long"))
+
+
+def test_value_added_tax(spark):
+    split = lambda *v: [tuple(r) for r in accounting.vat_splits(spark.createDataFrame([(1, float(x)) for x in v], "entry_id long, amount double")).collect()]
+    assert split(1000, 1200) == [(1, 1000.0, 200.0, 0.2, "UK", "Standard")] and split(1190, 1000, 3)[0][3:5] == (0.19, "DE") and split(1000, 1421) == []
+    sale = accounting.vat_patterns(_entry(spark, ("1000", 1200, 0, "A"), ("4000", 0, 1000, "A"), ("VAT_PAYABLE", 0, 200, "A"))).first()
+    assert (sale.is_output, sale.net, sale.tax, sale.rate, sale.tax_accounts) == (True, 1000.0, 200.0, 0.2, ["VAT_PAYABLE"])
+    buy = accounting.vat_patterns(_entry(spark, ("5000", 1000, 0, "A"), ("INPUT_TAX", 123, 0, "A"), ("2000", 0, 1123, "A"))).first()
+    assert (buy.is_output, buy.net, buy.place) == (False, 1000.0, "Generic") and buy.rate == pytest.approx(0.123)
+
+
+def test_patterns_between_entities(spark):
+    pattern = lambda *v: accounting.transaction_pattern(_entry(spark, *v)).first().pattern
+    assert pattern(("1000", 5000, 0, "A"), ("4000", 0, 5000, "B")) == "Intercompany"
+    assert pattern(("1000", 500, 0, "A"), ("4000", 0, 500, "A")) == "SimpleSale"
+    assert pattern(("1000", 1200, 0, "A"), ("4000", 0, 1000, "A"), ("VAT", 0, 200, "A")) == "SaleWithVat"
+    assert pattern(("5000", 500, 0, "A"), ("2000", 0, 500, "A")) == "SimplePurchase"
+    assert pattern(("2000", 500, 0, "A"), ("1000", 0, 500, "A")) == "Payment"
+
+
+def test_subsets_of_credits():
+    import itertools
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        v = rng.integers(1, 40, rng.integers(1, 9)).astype(float).tolist()
+        target = float(rng.integers(1, 80))
+        got = accounting._subset(v, target, 0.01)
+        there = any(abs(sum(c) - target) <= 0.01 for n in range(1, len(v) + 1) for c in itertools.combinations(v, n))
+        assert (got is not None) == there and (got is None or abs(sum(v[i] for i in got) - target) <= 0.01)
+    assert accounting._subset([50.0, *[1.0] * 20], 52.0, 0.01) == [0, 1, 2]
+
+
+def test_large_entries_are_taken_apart_by_entity(spark):
+    lines = [(f"1{i:03}", 10, 0, "A") for i in range(12)] + [("4000", 0, 70, "A"), ("4001", 0, 50, "A"), ("5000", 30, 0, "B"), ("2000", 0, 30, "C"), *((f"6{i}", 1, 0, "C") for i in range(8)), ("2001", 0, 8, "C")]
+    e = accounting.generate_flows(_entry(spark, *lines), aggregate=False)
+    f = {(r.from_account, r.to_account): r.amount for r in e.collect()}
+    assert {r.method for r in e.collect()} == {"E"} and {r.confidence for r in e.collect()} == {0.5}
+    assert f["4000", "1000"] == pytest.approx(10 * 70 / 120) and ("2000", "1000") not in f
+    assert f["4000", "5000"] == pytest.approx(30 * 70 / 158) and f["2000", "60"] == pytest.approx(30 / 38)
+    none = accounting.generate_flows(_entry(spark, *lines), aggregate=False, decompose=False).collect()
+    assert all("SUSPENSE" in (r.from_account, r.to_account) and r.confidence == 0 for r in none)
+    assert {r.method for r in accounting.generate_flows(_entry(spark, *lines)).collect()} == {"D"}
+
+
+def test_recent_flows(spark):
+    f = accounting.dated_flows(accounting.generate_flows(_entry(spark, ("1000", 5, 0, "A"), ("4000", 0, 5, "A"))), _entry(spark, ("1000", 5, 0, "A")))
+    assert accounting.recent_flows(f, "1000", 0, 1 << 40, 100).count() == 1 and accounting.recent_flows(f, "1000", 0, 5, 100).count() == 0
+    assert accounting.flows_between(f, 1_700_000_000, 1_700_000_000).count() == 1
+
+
+def test_orders_are_cancelled_and_modified(spark):
+    o = lambda i, side, price, n, ts, action="submit": (i, "S", side, "Limit", price, n, "GTC", ts, i, action)
+    rows_ = [o(1, "Buy", 10, 5, 1), o(2, "Buy", 11, 5, 2), o(2, "Buy", 11, 5, 3, "cancel"), o(3, "Buy", 9, 4, 4), o(3, "Buy", 12, 6, 5, "modify"), o(4, "Sell", 10, 8, 6), o(9, "Buy", 1, 1, 7, "cancel")]
+    orders = spark.createDataFrame(rows_, "id long, symbol string, side string, order_type string, price long, quantity long, tif string, ts long, trader long, action string")
+    assert [tuple(r)[1:6] for r in orderbook.match_orders(orders).collect()] == [(1, 3, 4, 12, 6), (2, 1, 4, 10, 2)]
+    assert {r.id: (r.status, r.remaining) for r in orderbook.order_states(orders).collect()} == {1: ("PartiallyFilled", 3), 2: ("Canceled", 5), 3: ("Filled", 0), 4: ("Filled", 0)}
+
+
+def test_standard_signatures(spark):
+    e = [(i, 1, "login_attempt", 1000 + 5 * i) for i in range(10)] + [(20, 2, "password_reset", 0), (21, 2, "login", 60), (22, 2, "profile_change", 120), (30, 3, "bought gift.*card", 5)]
+    events = spark.createDataFrame(e, "id long, user_id long, event_type string, ts long")
+    got = {(r.signature, r.user_id): r.score for r in behavioral.match_signatures(events).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 3)} and got[2, 2] == 90.0
+    assert behavioral.standard_signatures(spark).count() == 4
+
+
+def test_liquidity_actions_mend_the_buffer(spark):
+    assets = spark.createDataFrame([(1, "Level1HQLA", 10.0, 0.0, 1), (2, "Illiquid", 100.0, 0.1, 90)], "id long, asset_type string, amount double, haircut double, days_to_liquidate long")
+    out = spark.createDataFrame([(1, "CommittedFacilities", 100.0, 0.5, 10)], "id long, category string, amount double, runoff double, days long")
+    inflow = spark.createDataFrame([(0.0, 0.5, 10)], "amount double, rate double, days long")
+    funding = spark.createDataFrame([(1, "WholesaleDeposit", 40.0, 100, False)], "id long, funding_type string, amount double, days long, stable boolean")
+    actions = treasury.optimise_liquidity(assets, out, inflow, funding)
+    got = {(r.ratio, r.action): (r.amount, r.impact, r.cost) for r in actions.collect()}
+    assert got["LCR", "ConvertToHQLA"] == pytest.approx((40.0, 36.0, 0.4)) and got["LCR", "ReduceCommitment"] == pytest.approx((10.0, 5.0, 0.05))
+    assert got["NSFR", "IssueTerm"] == pytest.approx((40.0, 20.0, 40 * 0.02 * 265 / 365)) and got["NSFR", "SellIlliquid"] == pytest.approx((80.0, 80.0, 8.0))
+    better = treasury.lcr_improvement(assets, out, inflow, actions.where("ratio = 'LCR'")).first()
+    assert (better.before, better.after, better.improvement) == pytest.approx((-40.0, 5.0, 45.0))
+
+
+def test_value_at_risk_after_updates(spark):
+    p = spark.createDataFrame([("a", 100.0, 0.0, 0.2), ("b", 50.0, 0.0, 0.3)], "asset_id string, value double, mu double, sigma double")
+    corr = spark.createDataFrame([("a", "b", 0.5)], "i string, j string, rho double")
+    more = spark.createDataFrame([("b", 500.0, 0.0, 0.3), ("c", 10.0, 0.0, 0.1)], p.schema)
+    var = lambda u: risk.recalculated_var(p, u, corr, n=4_000).first()["var"]
+    assert var(more) > 3 * var(more.limit(0))
+    assert {r.asset_id for r in risk.upsert_positions(p, spark.createDataFrame([("a", 0.0, 0.0, 0.2)], p.schema)).collect()} == {"b"}
+
+
+def test_rounds_of_federated_learning(spark):
+    u = spark.createDataFrame([("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 1), ("c", [1.0, 1.0], 2)], "participant string, x array<double>, n long")
+    model = spark.createDataFrame([(0, 10.0), (1, 20.0)], "feature int, value double")
+    step = {r.feature: r.value - r.before for r in ml.simulate_round(model, u, clip=100.0).collect()}
+    assert step == pytest.approx({0: 0.75, 1: 0.75})
+    assert ml.aggregation_is_sound(u, ml.secure_aggregate(u)).first().sound
+    assert not ml.aggregation_is_sound(u, ml.secure_aggregate(u).limit(1)).first().sound
+    assert {r.value - r.before for r in ml.simulate_round(model, u.limit(2)).collect()} == {0.0}
+
+
+def test_circular_share_of_an_entity(spark):
+    tx = spark.createDataFrame([(1, 2, 10.0), (2, 1, 5.0), (2, 3, 15.0), (4, 4, 7.0)], "source_id long, dest_id long, amount double")
+    assert {r.entity_id: (r.ratio, r.groups, r.amount) for r in compliance.entity_circularity(tx).collect()} == {1: (1.0, 1, 10.0), 2: (0.25, 1, 5.0), 3: (0.0, 0, 0.0), 4: (0.0, 0, 0.0)}
+
+
+def test_drug_triplets(spark):
+    drugs = spark.createDataFrame([(1, ["t1"], [1.0, 0.0]), (2, ["t1"], [1.0, 0.0]), (3, ["t2"], [0.0, 1.0])], "drug long, targets array<string>, mechanism array<double>")
+    r = ml.drug_triplets(spark.createDataFrame([(7, [3, 1, 2, 1])], "patient long, drugs array<long>"), drugs).first()
+    assert (r.a, r.b, r.c, r.severity) == (1, 2, 3, "Minor") and r.risk == pytest.approx(1 / 3 * 0.4 + 1 / 3 * 0.6)
+
+
+@pytest.mark.parametrize("k", [1, 7, 50, 300, 2_999])
+def test_kth_largest(spark, k):
+    v = np.concatenate([np.random.default_rng(1).random(2_000), np.full(1_000, 0.5)])
+    assert ml._kth_largest(spark.createDataFrame([(float(x),) for x in v], "s double"), "s", k, 0.0, 1.0, bins=64) == np.sort(v)[::-1][k - 1]
+
+
+def test_rounds_that_do_not_settle_are_errors(spark):
+    from lakeloom.operators import iterate
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        iterate.components(chain, limit=1)
+    e = edges(spark, [(i, i + 1) for i in range(12)], both=True)
+    with pytest.raises(RuntimeError):
+        graph.distances(e, nodes(spark, 1), limit=5).count()
+    with pytest.raises(RuntimeError):
+        graph.path_between(e, 0, 11, limit=5)
+    assert graph.path_between(e, 0, 11).first().hops == 11
+
+
+def test_entities_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    names_ = ["".join(rng.choice(list("abcde"), 6)) for _ in range(60)]
+    people = [(i, names_[i], [names_[(i * 7) % 60]] if i % 3 else None, int(19700101 + i % 4 * 10000 + i % 5 * 100) if i % 11 else None, i % 3) for i in range(60)]
+    df = spark.createDataFrame(people, "id long, name string, aliases array<string>, birth_date long, country long")
+    date = lambda a, b: 0.0 if a is None or b is None else 1.0 if a == b else 0.9 if a // 100 == b // 100 else {0: 0.7, 1: 0.5, 2: 0.5, 3: 0.3, 4: 0.3, 5: 0.3}.get(abs(a // 10000 - b // 10000), 0.0)
+    want = []
+    for q in people[::5]:
+        scores = []
+        for c in people:
+            if c[0] != q[0]:
+                s = max(names.jaro_winkler_score(x, y) for x in [q[1], *(q[2] or [])] for y in [c[1], *(c[2] or [])])
+                d = date(q[3], c[3])
+                scores.append((-(s * 0.6 + (d * 0.25 if d > 0 else 0.125) + (0.15 if q[4] == c[4] else 0)), c[0]))
+        want += [(q[0], c, round(-v, 9)) for v, c in sorted(scores)[:4] if -v >= 0.7]
+    got = [(r.query_id, r.entity_id, round(r.score, 9)) for r in compliance.resolve_entities(df.where("id % 5 = 0"), df, top=4).collect()]
+    assert sorted(got) == sorted(want)
