@@ -19,7 +19,9 @@ def _(e):
     return op.circular_flow(t).select("label", "size", r("amount", 2))
 
 
-@query("compliance_circular_ratio", "compliance/circular-flow", "transactions", "SELECT ROUND(SUM(amount), 0) AS circular, 1 AS groups, ROUND(SUM(amount), 0) AS total, 1.0 AS ratio FROM transactions")
+@query("compliance_circular_ratio", "compliance/circular-flow", "transactions", """WITH RECURSIVE t AS (SELECT DISTINCT source_id AS src, dest_id AS dst FROM transactions), reach(a, b) AS (SELECT src, dst FROM t UNION SELECT reach.a, t.dst FROM reach JOIN t ON reach.b = t.src),
+scc AS (SELECT x.a AS id, MIN(x.b) AS label, COUNT(DISTINCT x.b) AS size FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1), i AS (SELECT COALESCE(SUM(amount), 0) AS circular FROM transactions JOIN scc p ON source_id = p.id JOIN scc q ON dest_id = q.id WHERE p.label = q.label AND p.size > 1)
+SELECT ROUND(circular, 0) AS circular, (SELECT COUNT(DISTINCT label) FROM scc WHERE size > 1) AS groups, ROUND(total, 0) AS total, ROUND(circular / total, 6) AS ratio FROM i, (SELECT SUM(amount) AS total FROM transactions)""")
 def _(t):
     return op.circular_ratio(t).select(r("circular", 0), "groups", r("total", 0), r("ratio", 6))
 

@@ -113,7 +113,7 @@ def _(e):
     return op.predict_next(op.transition_counts(e), v.select(F.col("activity").alias("context")), v, 3).select("context", "next", "rank", r("probability", 8))
 
 
-@query("process_expected_next", "procint/log-imputation", "process_events", f"WITH {_DFG} SELECT a, b, n, ROUND(n / SUM(n) OVER (PARTITION BY a), 8) AS probability FROM d WHERE n >= 15")
+@query("process_expected_next", "procint/log-imputation", "process_events", f"WITH {_DFG} SELECT a, b, n, ROUND(probability, 8) AS probability FROM (SELECT *, n / SUM(n) OVER (PARTITION BY a) AS probability FROM d) WHERE n >= GREATEST(floor((SELECT COUNT(DISTINCT case_id) FROM process_events) * 0.1::DOUBLE), 1)")
 def _(e):
     return op.expected_next(e).select("a", "b", "n", r("probability", 8))
 
@@ -143,7 +143,7 @@ def _(e):
     return op.missing_events(e, 2.6, 0.05).select("case_id", "k", "a", "missing", "b", r("confidence", 6))
 
 
-@query("process_incomplete_cases", "procint/log-imputation", "process_events", f"""WITH {_S}, a AS (SELECT 'start' AS kind, case_id, a AS activity FROM s WHERE k = 1 UNION ALL SELECT 'end', case_id, a FROM s WHERE b IS NULL) SELECT case_id, kind, activity FROM (SELECT *, COUNT(*) OVER (PARTITION BY kind, activity) AS n FROM a) WHERE n < 30""")
+@query("process_incomplete_cases", "procint/log-imputation", "process_events", f"""WITH {_S}, a AS (SELECT 'start' AS kind, case_id, a AS activity FROM s WHERE k = 1 UNION ALL SELECT 'end', case_id, a FROM s WHERE b IS NULL) SELECT case_id, kind, activity FROM (SELECT *, COUNT(*) OVER (PARTITION BY kind, activity) AS n FROM a) WHERE n < GREATEST(floor((SELECT COUNT(DISTINCT case_id) FROM process_events) * 0.2::DOUBLE), 1)""")
 def _(e):
     return op.incomplete_cases(e, 0.2)
 
