@@ -201,11 +201,11 @@ def _(s, c):
 
 @query("treasury_lcr_actions", "treasury/liquidity-opt", "supplier customer", f"""WITH {_LIQ}, b AS (SELECT * FROM a WHERE amount < 60000), {_lcr_sql('b', 'o', 'i', 'q')}, n AS (SELECT GREATEST(net - hqla, 0) AS need FROM qz),
 w AS (SELECT id, haircut, need, LEAST(amount, need) AS used FROM a, n WHERE asset_type IN ('OtherLiquid', 'Illiquid') AND need > 0), v AS (SELECT *, SUM(used * (1 - haircut)) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - used * (1 - haircut) AS before FROM w)
-SELECT 'ConvertToHQLA' AS action, id, ROUND(used, 4) AS amount, ROUND(used * (1 - haircut), 4) AS impact, ROUND(used * 0.01, 6) AS cost FROM v WHERE before < need
-UNION ALL SELECT 'ReduceCommitment', id, ROUND(amount * 0.1, 4), ROUND(amount * 0.1 * runoff, 4), ROUND(amount * 0.1 * 0.005, 6) FROM o, n WHERE category = 'CommittedFacilities' AND need > 0""")
+SELECT 'ConvertToHQLA' AS action, id, ROUND(used, 4) AS amount, ROUND(used * (1 - haircut), 6) AS impact, ROUND(used * 0.01, 6) AS cost FROM v WHERE before < need
+UNION ALL SELECT 'ReduceCommitment', id, ROUND(amount * 0.1, 4), ROUND(amount * 0.1 * runoff, 6), ROUND(amount * 0.1 * 0.005, 6) FROM o, n WHERE category = 'CommittedFacilities' AND need > 0""")
 def _(s, c):
     a, o, i, _ = _books(s, c)
-    return op.lcr_actions(a, o, op.lcr(a.where("amount < 60000"), o, i)).select("action", "id", r("amount", 4), r("impact", 4), r("cost", 6))
+    return op.lcr_actions(a, o, op.lcr(a.where("amount < 60000"), o, i)).select("action", "id", r("amount", 4), r("impact", 6), r("cost", 6))
 
 
 @query("treasury_liquidity_stress", "treasury/liquidity-opt", "supplier customer", f"""WITH {_LIQ}, a2 AS (SELECT id, asset_type, amount, LEAST(haircut + 0.05, 1) AS haircut FROM a), o2 AS (SELECT id, amount, LEAST(runoff * CASE category WHEN 'WholesaleFunding' THEN 1.5 WHEN 'CommittedFacilities' THEN 1.3 ELSE 1.2 END, 1) AS runoff, days FROM o), i2 AS (SELECT amount, rate * 0.8 AS rate, days FROM i),
@@ -219,12 +219,12 @@ def _(s, c):
 x AS (SELECT (SELECT SUM(amount * CASE t WHEN 'Equity' THEN 1 WHEN 'LongTermDebt' THEN CASE WHEN d > 365 THEN 1 WHEN d > 180 THEN 0.5 ELSE 0 END WHEN 'RetailDeposit' THEN CASE WHEN stable THEN 0.95 ELSE 0.9 END WHEN 'WholesaleDeposit' THEN CASE WHEN d > 365 THEN 1 ELSE 0.5 END ELSE 0 END) FROM f)
  - (SELECT SUM(amount * CASE WHEN asset_type IN ('CashReserves', 'Level1HQLA') THEN 0 WHEN asset_type = 'Level2AHQLA' THEN 0.15 WHEN asset_type = 'Level2BHQLA' THEN 0.5 WHEN asset_type = 'OtherLiquid' AND dl <= 30 THEN 0.5 ELSE 1 END) FROM b) AS buffer),
 n AS (SELECT GREATEST(-buffer, 0) AS need FROM x), w AS (SELECT id, d, need, LEAST(amount, need) AS used FROM f, n WHERE t = 'WholesaleDeposit' AND d < 365 AND need > 0), v AS (SELECT *, SUM(used * 0.5) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - used * 0.5 AS before FROM w)
-SELECT 'IssueTerm' AS action, id, ROUND(used, 4) AS amount, ROUND(used * 0.5, 4) AS impact, ROUND(used * 0.02 * (365 - d) / 365, 6) AS cost FROM v WHERE before < need
-UNION ALL SELECT 'SellIlliquid', id, ROUND(LEAST(amount, need), 4), ROUND(LEAST(amount, need), 4), ROUND(LEAST(amount, need) * 0.1, 6) FROM b, n WHERE asset_type = 'Illiquid' AND need > 0""")
+SELECT 'IssueTerm' AS action, id, ROUND(used, 4) AS amount, ROUND(used * 0.5, 6) AS impact, ROUND(used * 0.02 * (365 - d) / 365, 6) AS cost FROM v WHERE before < need
+UNION ALL SELECT 'SellIlliquid', id, ROUND(LEAST(amount, need), 4), ROUND(LEAST(amount, need), 6), ROUND(LEAST(amount, need) * 0.1, 6) FROM b, n WHERE asset_type = 'Illiquid' AND need > 0""")
 def _(s, c):
     a, _, _, f = _books(s, c)
     a = a.withColumn("amount", F.col("amount") * 100)
-    return op.nsfr_actions(a, f, op.nsfr(a, f)).select("action", "id", r("amount", 4), r("impact", 4), r("cost", 6))
+    return op.nsfr_actions(a, f, op.nsfr(a, f)).select("action", "id", r("amount", 4), r("impact", 6), r("cost", 6))
 
 
 @query("treasury_lcr_improvement", "treasury/liquidity-opt", "supplier customer", f"""WITH {_LIQ}, b AS (SELECT id, asset_type, amount / 100 AS amount, haircut FROM a), {_lcr_sql('b', 'o', 'i', 'q')}, n AS (SELECT GREATEST(net - hqla, 0) AS need FROM qz),
@@ -244,10 +244,10 @@ f AS (SELECT c_custkey AS id, {_FT}[c_custkey % 5 + 1] AS t, ABS(c_acctbal) AS a
 x AS (SELECT (SELECT SUM(amount * CASE t WHEN 'Equity' THEN 1 WHEN 'LongTermDebt' THEN CASE WHEN d > 365 THEN 1 WHEN d > 180 THEN 0.5 ELSE 0 END WHEN 'RetailDeposit' THEN CASE WHEN stable THEN 0.95 ELSE 0.9 END WHEN 'WholesaleDeposit' THEN CASE WHEN d > 365 THEN 1 ELSE 0.5 END ELSE 0 END) FROM f)
  - (SELECT SUM(amount * CASE WHEN asset_type IN ('CashReserves', 'Level1HQLA') THEN 0 WHEN asset_type = 'Level2AHQLA' THEN 0.15 WHEN asset_type = 'Level2BHQLA' THEN 0.5 WHEN asset_type = 'OtherLiquid' AND dl <= 30 THEN 0.5 ELSE 1 END) FROM a) AS buffer),
 m AS (SELECT GREATEST(-buffer, 0) AS need FROM x), wf AS (SELECT id, d, need, LEAST(amount, need) AS used FROM f, m WHERE t = 'WholesaleDeposit' AND d < 365 AND need > 0), vf AS (SELECT *, SUM(used * 0.5) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - used * 0.5 AS before FROM wf)
-SELECT 'LCR' AS ratio, 'ConvertToHQLA' AS action, id, ROUND(used, 4) AS amount, ROUND(used * (1 - haircut), 4) AS impact, ROUND(used * 0.01, 6) AS cost FROM v WHERE before < need
-UNION ALL SELECT 'LCR', 'ReduceCommitment', id, ROUND(amount * 0.1, 4), ROUND(amount * 0.1 * runoff, 4), ROUND(amount * 0.1 * 0.005, 6) FROM o, n WHERE category = 'CommittedFacilities' AND need > 0
-UNION ALL SELECT 'NSFR', 'IssueTerm', id, ROUND(used, 4), ROUND(used * 0.5, 4), ROUND(used * 0.02 * (365 - d) / 365, 6) FROM vf WHERE before < need
-UNION ALL SELECT 'NSFR', 'SellIlliquid', id, ROUND(LEAST(amount, need), 4), ROUND(LEAST(amount, need), 4), ROUND(LEAST(amount, need) * 0.1, 6) FROM a, m WHERE asset_type = 'Illiquid' AND need > 0""")
+SELECT 'LCR' AS ratio, 'ConvertToHQLA' AS action, id, ROUND(used, 4) AS amount, ROUND(used * (1 - haircut), 6) AS impact, ROUND(used * 0.01, 6) AS cost FROM v WHERE before < need
+UNION ALL SELECT 'LCR', 'ReduceCommitment', id, ROUND(amount * 0.1, 4), ROUND(amount * 0.1 * runoff, 6), ROUND(amount * 0.1 * 0.005, 6) FROM o, n WHERE category = 'CommittedFacilities' AND need > 0
+UNION ALL SELECT 'NSFR', 'IssueTerm', id, ROUND(used, 4), ROUND(used * 0.5, 6), ROUND(used * 0.02 * (365 - d) / 365, 6) FROM vf WHERE before < need
+UNION ALL SELECT 'NSFR', 'SellIlliquid', id, ROUND(LEAST(amount, need), 4), ROUND(LEAST(amount, need), 6), ROUND(LEAST(amount, need) * 0.1, 6) FROM a, m WHERE asset_type = 'Illiquid' AND need > 0""")
 def _(s, c):
     a, o, i, f = _books(s, c)
-    return op.optimise_liquidity(a, o, i, f).select("ratio", "action", "id", r("amount", 4), r("impact", 4), r("cost", 6))
+    return op.optimise_liquidity(a, o, i, f).select("ratio", "action", "id", r("amount", 4), r("impact", 6), r("cost", 6))
