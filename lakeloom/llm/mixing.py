@@ -92,6 +92,18 @@ def _order(q: Column) -> Column:
     return F.struct(q.alias("q"), F.col("doc_id").alias("id"), F.col("_size").alias("size"))
 
 
+def _words_before(bins: DataFrame) -> DataFrame:
+    """bins(b_src, b_bin, words) with the words of their source's bins before them.  256 bins at a time are
+    summed apart and shifted by what stands before those, so no task has all bins of a source."""
+    bins = bins.withColumn("b_group", F.floor(F.col("b_bin") / 256))
+    groups = bins.groupBy(F.col("b_src").alias("g_src"), F.col("b_group").alias("g_group")).agg(F.sum("words").alias("g_words"))
+    shift = F.sum("g_words").over(W.partitionBy("g_src").orderBy("g_group").rowsBetween(W.unboundedPreceding, 0)) - F.col("g_words")
+    own = F.sum("words").over(W.partitionBy("b_src", "b_group").orderBy("b_bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")
+    groups = groups.select("g_src", "g_group", shift.alias("g_before"))
+    bins = bins.withColumn("before", own).join(groups, F.col("b_src").eqNullSafe(F.col("g_src")) & (F.col("b_group") == F.col("g_group")))
+    return bins.select("b_src", "b_bin", (F.col("before") + F.col("g_before")).alias("before"))
+
+
 def mix_plan(sizes: DataFrame, weights: tuple[int, ...], share: float, max_copies: float, importance: bool = False) -> DataFrame:
     """One row per source: source_size, target, scale, the rank up to which documents are sampled (cut)
     and one more document (more)."""
@@ -108,8 +120,7 @@ def mix_plan(sizes: DataFrame, weights: tuple[int, ...], share: float, max_copie
     odds = F.col("q") * F.greatest(F.col("mean_p") / (1 - F.col("mean_p")), F.lit(1e-12))
     ranked = ranked.withColumn("bin", F.floor(odds / (1 + odds) * BINS).cast("int")).select("doc_id", "source", "_size", "rest", "q", "bin")
     bins = ranked.groupBy(F.col("source").alias("b_src"), F.col("bin").alias("b_bin")).agg(F.sum("_size").alias("words"))
-    upto = W.partitionBy("b_src").orderBy("b_bin").rowsBetween(W.unboundedPreceding, 0)
-    bins = bins.withColumn("before", F.sum("words").over(upto) - F.col("words")).drop("words")
+    bins = _words_before(bins)
     ranked = ranked.join(bins, F.col("source").eqNullSafe(F.col("b_src")) & (F.col("bin") == F.col("b_bin"))).drop("b_src", "b_bin")
     within = W.partitionBy("source", "bin").orderBy("q", "doc_id", "_size").rowsBetween(W.unboundedPreceding, 0)
     inside = F.col("before") + F.sum("_size").over(within) <= F.col("rest")
