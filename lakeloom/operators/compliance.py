@@ -126,10 +126,9 @@ def reversal_summary(reversals: DataFrame, tx: DataFrame) -> DataFrame:
     return one.select("reversals", "volume", "ratio", "repeat_offenders", score.alias("risk_score"))
 
 
-def split_risk(total: float, n: int, near: int, uniform: bool, threshold: float) -> str:
+def split_risk(total: float, n: int, near: int, threshold: float) -> str:
     """Within five percent of the threshold: Critical with three amounts near it, else High; three near
     it otherwise: High; five or more that exceed it: Elevated."""
-    del uniform  # does not change the level
     if 0.95 * threshold <= total <= 1.05 * threshold:
         return "Critical" if near >= 3 else "High"
     if near >= 3:
@@ -153,7 +152,7 @@ def flow_splits(tx: DataFrame, threshold: float = 10_000.0, window: int = 86_400
             run = rows[i:end]
             if len(run) >= least and total >= 0.8 * threshold:
                 near = sum(x["amount"] > 0.7 * threshold for x in run)
-                risk = split_risk(total, len(run), near, False, threshold)
+                risk = split_risk(total, len(run), near, threshold)
                 if risk != "Normal":
                     found.append((rank[risk], -round(total, 6), i, risk, [x["id"] for x in run], run[-1]["ts"] - first["ts"]))
             total -= first["amount"]
