@@ -31,7 +31,7 @@ def _pair(user: str, assistant: str, system: str | None = None) -> str:
 
 def _listed(field: str, role: str, text: str) -> tuple[tuple[str, ...], str]:
     speaker = f"CASE m.{role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE m.{role} END" if role == "from" else f"m.{role}"
-    return (f"{field}", f"{field}[].{role}", f"{field}[].{text}"), f"transform(r.{field}, m -> named_struct('role', {speaker}, 'text', m.{text}))"
+    return (f"{field}", f"{field}[].{role}", f"{field}[].{text}"), f"transform(filter(r.{field}, m -> m IS NOT NULL), m -> named_struct('role', {speaker}, 'text', m.{text}))"
 
 
 LAYOUTS = (
@@ -54,7 +54,7 @@ _VALUES = T.StructType([T.StructField(x, T.ArrayType(T.StructType([T.StructField
 RECORD = T.StructType([*_VALUES.fields, T.StructField("paths", T.ArrayType(T.StringType()))])
 _SPEAKER = "CASE m.from WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE m.from END"
 #: Lists whose messages differ in their fields: whichever are there.
-MIXED = tuple(Layout(f"{field}, mixed", (field,), f"transform(r.{field}, m -> named_struct('role', coalesce(m.role, {_SPEAKER}), 'text', coalesce(m.content, m.text, m.value)))") for field in _LISTS)
+MIXED = tuple(Layout(f"{field}, mixed", (field,), f"transform(filter(r.{field}, m -> m IS NOT NULL), m -> named_struct('role', coalesce(m.role, {_SPEAKER}), 'text', coalesce(m.content, m.text, m.value)))") for field in _LISTS)
 
 
 def _below(field: str):
@@ -92,15 +92,16 @@ def canonical_turns(records: DataFrame, record: str = "r") -> DataFrame:
 
     The fingerprint of the record's schema selects the layout.  A record that no fingerprint fits, as it
     has further known fields, gets the layout with most paths that are all there, lists first; one whose
-    messages differ in their fields takes from each what it has.  Null roles and texts become empty
-    strings; an unknown layout is null and gives null turns.  fingerprint, layout and turns replace
+    messages differ in their fields takes from each what it has.  Null messages are no turns;
+    null roles and texts become empty strings; an unknown layout is null and gives null turns.  fingerprint, layout and turns replace
     columns of these names.
     """
     named = records.withColumn("fingerprint", fingerprint(F.col(record)))
     paths = F.col(f"{record}.paths")
     expr = lambda x: F.expr(x.turns.replace("r.", f"{record}.")).cast(TURNS)
     several = lambda x: F.size(F.array_intersect(paths, F.array(*[F.lit(f"{x}[].{y}") for y in _ITEM])))
-    cases = [(F.col("fingerprint") == x.fingerprint, x) for x in LAYOUTS]
+    bare = F.coalesce(F.size(F.filter(F.col(f"{record}.messages"), lambda m: m.isNotNull())), F.lit(0)) <= 0  # else its messages have no known field
+    cases = [((F.col("fingerprint") == x.fingerprint) & (bare if x.name == "empty messages" else F.lit(True)), x) for x in LAYOUTS]
     cases += [((several(x.paths[0]) > 0) & F.array_contains(paths, x.paths[0]), x) for x in MIXED]
     flat = sorted((x for x in LAYOUTS if x.paths[0] not in _LISTS), key=lambda x: -len(x.paths))
     cases += [(F.size(F.array_except(F.array(*[F.lit(p) for p in x.paths]), paths)) == 0, x) for x in flat]
