@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -548,3 +549,15 @@ def test_entities_are_those_of_all_pairs(spark):
         want += [(q[0], c, round(-v, 9)) for v, c in sorted(scores)[:4] if -v >= 0.7]
     got = [(r.query_id, r.entity_id, round(r.score, 9)) for r in compliance.resolve_entities(df.where("id % 5 = 0"), df, top=4).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_soft_votes_of_classes_with_equal_terms(spark):
+    # 0.3 + 0.2 + 0.1 < 0.1 + 0.2 + 0.3 in floating point
+    p = [(i, m, [0.0, x, y]) for i in range(20) for m, (x, y) in enumerate(((0.3, 0.1), (0.2, 0.2), (0.1, 0.3)))]
+    a, b = (spark.createDataFrame(rows, "sample int, model int, p array<double>").coalesce(1) for rows in (p, p[::-1]))
+    for rows in (a, b):
+        got = ml.soft_vote(rows).collect()
+        assert len(got) == 20 and {r["class"] for r in got} == {1} and {r.probability for r in got} == {0.6000000000000001 / 3}
+    # a model counts for the classes that it has
+    short = spark.createDataFrame([(1, 0, [0.2, 0.8]), (1, 1, [0.9])], "sample int, model int, p array<double>")
+    assert [tuple(r) for r in ml.soft_vote(short).collect()] == [(1, 1, 0.8)]
