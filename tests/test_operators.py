@@ -561,3 +561,32 @@ def test_soft_votes_of_classes_with_equal_terms(spark):
     # a model counts for the classes that it has
     short = spark.createDataFrame([(1, 0, [0.2, 0.8]), (1, 1, [0.9])], "sample int, model int, p array<double>")
     assert [tuple(r) for r in ml.soft_vote(short).collect()] == [(1, 1, 0.8)]
+
+
+def test_all_pairs_are_those_of_the_level_by_level_search(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a) * 3, int(b) * 3) for a, b in rng.integers(0, 90, (200, 2)) if a != b] + [(600, 603), (603, 606), (0, 900)]
+    e, n = edges(spark, pairs), spark.range(100).select((F.col("id") * 3).alias("id"))  # not all ends are nodes
+    old = {(r.source, r.id): (r.hops, r.paths) for r in graph.distances(e, n).collect()}
+    assert old == {(r.source, r.id): (r.hops, r.paths) for r in graph.all_distances(e, n).collect()}
+    counts = {}
+    for (s, _), (h, _p) in old.items():
+        counts[s, h] = counts.get((s, h), 0) + 1
+    reached = graph.reached_by_hops(e, n)
+    assert counts == {(r.source, r.hops): r.n for r in reached.collect()}
+    # no plan has a shuffle of pairs: a row a source and level is all that leaves a task
+    assert "Join" not in reached._jdf.queryExecution().toString()
+    share = {}
+    for (s, v), (h, k) in old.items():
+        for (v2, t), (h2, k2) in old.items():
+            if v2 == v and h and h2 and (s, t) in old and old[s, t][0] == h + h2:
+                share[v] = share.get(v, 0.0) + k * k2 / old[s, t][1]
+    got = {r.id: r.score for r in graph.betweenness_centrality(e, n, normalized=False).collect()}
+    assert len(got) == 100 and all(got[v] == pytest.approx(share.get(v, 0.0)) for v in got)
+
+
+def test_sources_that_do_not_fit_at_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_SOURCE_BYTES", 1)
+    ring = edges(spark, [(i, (i + 1) % 200) for i in range(200)])
+    assert {tuple(r)[1:] for r in graph.reached_by_hops(ring, nodes(spark, 200)).collect()} == {(h, 1) for h in range(200)}
+    assert {r.score for r in graph.betweenness_centrality(ring, nodes(spark, 200), normalized=False).collect()} == {199 * 198 / 2}
