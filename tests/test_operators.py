@@ -590,3 +590,24 @@ def test_sources_that_do_not_fit_at_once(spark, monkeypatch):
     ring = edges(spark, [(i, (i + 1) % 200) for i in range(200)])
     assert {tuple(r)[1:] for r in graph.reached_by_hops(ring, nodes(spark, 200)).collect()} == {(h, 1) for h in range(200)}
     assert {r.score for r in graph.betweenness_centrality(ring, nodes(spark, 200), normalized=False).collect()} == {199 * 198 / 2}
+
+
+def test_order_states_go_out_as_orders_end():
+    o = lambda i, side, price, q, trader=1, action="submit": {"id": i, "symbol": "x", "side": side, "order_type": "Limit", "price": price, "quantity": q, "tif": "GTC", "ts": i, "trader": trader, "action": action}
+    seen = []
+
+    def rows():
+        for x in (o(1, "Buy", 10, 5), o(2, "Sell", 10, 5, 2), o(3, "Buy", 9, 4), o(1, "Buy", 8, 7), o(3, "Buy", 9, 4, action="cancel")):
+            seen.append(x["id"])
+            yield x
+
+    states = orderbook._states(("x",), rows())
+    assert next(states)[1:4] == (1, "Filled", 0) and len(seen) == 2
+    assert [s[1:4] for s in states] == [(2, "Filled", 0), (3, "Canceled", 4), (1, "New", 7)]
+    assert [t[1:] for t in orderbook._trades(("x",), rows())] == [(1, 1, 2, 10, 5, 2)]
+
+
+def test_the_path_of_one_point_is_that_of_many():
+    x = np.random.default_rng(1).random((300, 3))
+    for tree in ml.grow_trees(x, 5, 64, 1):
+        assert [ml.path_length(tree, p.tolist()) for p in x] == ml.path_lengths(tree, x).tolist()
