@@ -176,7 +176,7 @@ def _(s):
 @query("accounting_point_anomalies", "accounting/temporal-correlation", "customer_series", """WITH z AS (SELECT series_id, t, (value - AVG(value) OVER (PARTITION BY series_id)) / STDDEV_SAMP(value) OVER (PARTITION BY series_id) AS z FROM customer_series), c AS (SELECT a.series_id AS a, b.series_id AS b, corr(a.value, b.value) AS r FROM customer_series a JOIN customer_series b ON a.t = b.t AND a.series_id <> b.series_id GROUP BY 1, 2 HAVING ABS(r) >= 0.08),
 e AS (SELECT a AS series_id, t, AVG(r * z) AS expected FROM c JOIN z ON z.series_id = b GROUP BY 1, 2) SELECT series_id, t, ROUND(z - expected, 5) AS z FROM z JOIN e USING (series_id, t) WHERE ABS(z - expected) > 2""")
 def _(s):
-    return op.point_anomalies(s, op.account_correlations(s), 0.08).select("series_id", "t", r("z", 5))
+    return op.point_anomalies(s, 0.08).select("series_id", "t", r("z", 5))
 
 
 @query("accounting_generate_flows", "accounting/network-generation", "journal", "SELECT entry_id, MAX(account_code) FILTER (WHERE credit > 0) AS from_account, COUNT(*) FILTER (WHERE debit > 0) AS n, ROUND(SUM(debit), 2) AS amount FROM journal GROUP BY 1")

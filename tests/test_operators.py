@@ -611,3 +611,43 @@ def test_the_path_of_one_point_is_that_of_many():
     x = np.random.default_rng(1).random((300, 3))
     for tree in ml.grow_trees(x, 5, 64, 1):
         assert [ml.path_length(tree, p.tolist()) for p in x] == ml.path_lengths(tree, x).tolist()
+
+
+def _made_series(spark):
+    rng = np.random.default_rng(5)
+    common = rng.normal(size=80)
+    rows = [(f"s{i}", t, float(1e6 + 50 * (common[t] * (i % 3) + rng.normal()))) for i in range(30) for t in range(80) if rng.random() < 0.8]
+    rows += [("flat", t, 7.0) for t in range(80)] + [("few", t, float(t * t)) for t in range(9)]
+    return spark.createDataFrame(rows, "series_id string, t long, value double")
+
+
+def test_correlations_by_blocks_are_those_of_a_join(spark):
+    s = _made_series(spark)
+    x, y = (s.select(F.col("series_id").alias(n), "t", F.col("value").alias(f"v{n}")) for n in "ab")
+    joined = x.join(y, "t").where("a < b AND a <> 'flat' AND b <> 'flat'").groupBy("a", "b").agg(F.corr("va", "vb").alias("r"), F.count(F.lit(1)).alias("n")).where("n >= 10 AND r IS NOT NULL")
+    want = {(r.a, r.b): (r.r, r.n) for r in joined.collect()}
+    made = accounting._block_pairs
+    for block in (256, 7):
+        accounting._block_pairs = lambda *a, block=block, **k: made(*a, block=block, **k)
+        try:
+            got = accounting.account_correlations(s)
+            rows = {(r.a, r.b): (r.r, r.n) for r in got.collect()}
+            odd = {(r.series_id, r.t): r.z for r in accounting.point_anomalies(s, 0.2).collect()}
+        finally:
+            accounting._block_pairs = made
+        assert rows.keys() == want.keys() and all(rows[k] == (pytest.approx(want[k][0], abs=1e-9), want[k][1]) for k in want)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().toString()  # none on time, whose groups are pairs
+        p = s.toPandas().pivot(index="t", columns="series_id", values="value").drop(columns="flat")
+        z = (p - p.mean()) / p.std()
+        expected = {a: pd.DataFrame({b: z[b] * want[min(a, b), max(a, b)][0] for b in z if b != a and (min(a, b), max(a, b)) in want and abs(want[min(a, b), max(a, b)][0]) >= 0.2}).mean(axis=1) for a in z}
+        brute = {(a, t): z[a][t] - v for a, e in expected.items() for t, v in e.items() if abs(z[a][t] - v) > 2}
+        assert odd.keys() == brute.keys() and all(odd[k] == pytest.approx(brute[k]) for k in brute)
+
+
+def test_p_values_of_many_pairs():
+    t, df = np.array([0.0, 1.0, 2.5, 12.0, 1.0, 3.0]), np.array([8.0, 8.0, 8.0, 8.0, 98.0, 150.0])
+    assert accounting.t_p_value(t, df) == pytest.approx([1.0, 0.346594, 0.036938, 2.1e-6, 0.319771, 0.0027], abs=1e-5)
+    assert len(accounting.t_p_value(np.array([]), np.array([]))) == 0
+    began = time.perf_counter()
+    accounting.t_p_value(np.linspace(0, 5, 200_000), np.full(200_000, 40.0))
+    assert time.perf_counter() - began < 30  # one call of the fraction a pair took minutes
