@@ -31,3 +31,15 @@ def test_every_domain_is_registered():
 
 def test_catalog_can_be_searched(spark):
     assert registry.search(spark, "pagerank").count() >= 2
+
+
+def test_tasks_grow_with_the_tables(spark, tmp_path):
+    number = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    for i in range(3):
+        (tmp_path / f"{('orders', 'lineitem', 'part')[i]}.parquet").mkdir()
+        (tmp_path / f"{('orders', 'lineitem', 'part')[i]}.parquet" / "x").write_bytes(b"x" * (30 << 20))
+    registry.deal_by_size(spark, str(tmp_path), ["transactions", "part"])
+    assert int(spark.conf.get(number)) == 23  # 90 MB by 4
+    assert [int(spark.conf.get(k).rstrip("b")) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")] == [registry.PIECE] * 2
+    registry.ENTRIES["core_matmul"].run(spark, f"{DATA}/sf0.001")
+    assert int(spark.conf.get(number)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
