@@ -651,3 +651,13 @@ def test_p_values_of_many_pairs():
     began = time.perf_counter()
     accounting.t_p_value(np.linspace(0, 5, 200_000), np.full(200_000, 40.0))
     assert time.perf_counter() - began < 30  # one call of the fraction a pair took minutes
+
+
+def test_masks_of_many_participants_cancel(spark):
+    u = spark.range(700).select(F.col("id").alias("participant"), F.array(F.col("id") * 0.5, F.lit(1.0)).alias("x"), F.lit(1).alias("n"))
+    m = ml.masked_updates(u)
+    assert "Cartesian" not in m._jdf.queryExecution().toString() and "NestedLoop" not in m._jdf.queryExecution().toString()
+    rows = m.collect()
+    assert len(rows) == 700 and [sum(r.x[i] for r in rows) for i in range(2)] == pytest.approx([0.5 * 700 * 699 / 2, 700.0])
+    assert np.std([r.x[1] for r in rows]) > 5  # of 699 masks in [-1, 1)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, ml.masked_updates(u.repartition(5)).collect()))
