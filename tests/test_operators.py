@@ -661,3 +661,15 @@ def test_masks_of_many_participants_cancel(spark):
     assert len(rows) == 700 and [sum(r.x[i] for r in rows) for i in range(2)] == pytest.approx([0.5 * 700 * 699 / 2, 700.0])
     assert np.std([r.x[1] for r in rows]) > 5  # of 699 masks in [-1, 1)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, ml.masked_updates(u.repartition(5)).collect()))
+
+
+def test_folds_over_nodes_with_few_and_many_neighbours():
+    rng = np.random.default_rng(4)
+    e = np.unique(np.concatenate([rng.integers(0, 40, (60, 2)), np.stack([np.full(40, 3), np.arange(40)], 1), np.stack([np.arange(40), np.full(40, 5)], 1)]), axis=0).astype(np.int32)
+    g, x = graph._Adjacency(np.arange(50), e[:, 0], e[:, 1]), rng.random((50, 3))
+    into, out = (np.stack([x[e[e[:, k] == i, 1 - k]].sum(axis=0) for i in range(50)]) for k in (1, 0))
+    assert np.allclose(g.pull(x), into) and np.allclose(g.push(x), out)
+    bits = rng.integers(0, 1 << 62, (50, 2)).astype(np.uint64)
+    assert all((g.pull(bits, np.bitwise_or)[i] == np.bitwise_or.reduce(bits[e[e[:, 1] == i, 0]], axis=0)).all() for i in range(50))
+    assert len(g._pull[1]) == 8 and len(g._pull[2])  # short and long runs
+    assert not graph._Adjacency(np.arange(2), e[:0, 0], e[:0, 1]).pull(np.ones((2, 1))).any()
