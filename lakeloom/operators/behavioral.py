@@ -3,6 +3,11 @@ correlation, over events(id, user_id, event_type, ts, session_id, device_id, loc
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lakeloom.operators.iterate import components
@@ -303,30 +308,129 @@ def correlated_types(events: DataFrame, top: int = 5) -> DataFrame:
 WEIGHTS = {"temporal": 0.20, "user": 0.30, "session": 0.25, "device": 0.15, "location": 0.10}
 
 
+_KEYS = {"user": "user_id", "session": "session_id", "device": "device_id", "location": "location"}
+
+
+def _key_sets(window: int, least: float) -> list[tuple[tuple[bool, ...], int]]:
+    """Sets of keys, as a flag for each of ``_KEYS``, that reach the score if two events share them, with the
+    longest gap at which they may."""
+    out = []
+    for flags in itertools.product((False, True), repeat=len(_KEYS)):
+        missing = least * sum(WEIGHTS.values()) - sum(WEIGHTS[k] for k, f in zip(_KEYS, flags, strict=True) if f)
+        if missing <= WEIGHTS["temporal"] + 1e-9:
+            out.append((flags, min(window, math.ceil(window * (1 - missing / WEIGHTS["temporal"])) + 1)))
+    return out
+
+
+def _best_partners(left: dict[str, np.ndarray], right: dict[str, np.ndarray], window: int, least: float, top: int) -> dict[str, np.ndarray]:
+    """The ``top`` best partners of each left event.  Of the events that share a set of keys nearer ones score
+    higher, so the ``top`` nearest of each set, which are slices of its events in order of time, have them all;
+    a pair is taken from the set of all that it shares."""
+    first = min(int(left["ts"].min(initial=0)), int(right["ts"].min(initial=0)))
+    t, last = right["ts"] - first, int(right["ts"].max(initial=0)) - first
+    span = last + int(left["ts"].max(initial=0)) - first + window + 2
+    tables = []
+    for flags, limit in _key_sets(window, least):
+        both = [np.concatenate([right[k], left[k]]) for k, f in zip(_KEYS, flags, strict=True) if f]
+        known = np.all([c >= 0 for c in both], axis=0) if both else np.ones(len(t) + len(left["ts"]), bool)
+        group = np.zeros(len(known), np.int64)
+        for c in both:
+            group = np.unique(group * (c.max(initial=0) + 2) + c + 1, return_inverse=True)[1].reshape(-1)
+        g, of = group[: len(t)], np.flatnonzero(known[: len(t)])
+        ahead = of[np.lexsort((right["id"][of], g[of] * span + t[of]))]
+        back = of[np.lexsort((right["id"][of], g[of] * span + last - t[of]))]
+        tables.append((np.array(flags), limit, group[len(t) :], known[len(t) :], ahead, g[ahead] * span + t[ahead], back, g[back] * span + last - t[back]))
+    found = []
+    for start in range(0, len(left["ts"]), 4_096):
+        rows = np.arange(start, min(start + 4_096, len(left["ts"])))
+        pairs = []
+        for flags, limit, group, known, ahead, at, back, at_back in tables:
+            q = rows[known[rows]]
+            k = group[q] * span + left["ts"][q] - first
+            k_back = group[q] * span + last - (left["ts"][q] - first)
+            lo, hi = np.searchsorted(at, k), np.searchsorted(at, k, "right")
+            lo_back = np.searchsorted(at_back, k_back, "right")
+            slices = ((ahead, lo, np.minimum(hi - lo, top + 1)), (ahead, hi, np.minimum(np.searchsorted(at, k + limit, "right") - hi, top)), (back, lo_back, np.minimum(np.searchsorted(at_back, k_back + limit, "right") - lo_back, top)))
+            for order, begin, n in slices:
+                p = np.repeat(q, n)
+                o = order[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                exact = left["id"][p] != right["id"][o]
+                for name, f in zip(_KEYS, flags, strict=True):
+                    exact &= ((left[name][p] == right[name][o]) & (left[name][p] >= 0)) == f
+                pairs.append((p[exact], o[exact], np.full(exact.sum(), len(pairs) // 3)))
+        p, o, which = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        gap = left["ts"][p] - right["ts"][o]
+        near = 1 - np.abs(gap) / window
+        shared = np.array([x[0] for x in tables]).reshape(-1, len(_KEYS))[which]
+        score = near * WEIGHTS["temporal"]
+        for i, name in enumerate(_KEYS):
+            score = score + np.where(shared[:, i], WEIGHTS[name], 0.0)
+        score = score / sum(WEIGHTS.values())
+        keep = (score >= least) & (np.abs(gap) <= window)
+        p, o, gap, near, shared, score = (x[keep] for x in (p, o, gap, near, shared, score))
+        order = np.lexsort((right["id"][o], -score, p))
+        order = order[np.arange(len(order)) - np.searchsorted(p[order], p[order]) < top]
+        p, o, gap, near, shared, score = (x[order] for x in (p, o, gap, near, shared, score))
+        kind = np.select([shared[:, 0], shared[:, 1], near > 0.5, shared[:, 2], shared[:, 3]], ["User", "Session", "Temporal", "Device", "Location"], "Temporal")
+        found.append({"id": left["id"][p], "other": right["id"][o], "score": score, "kind": kind, "gap": gap})
+    return {c: np.concatenate([x[c] for x in found]) for c in found[0]} if found else {}
+
+
 def correlate(events: DataFrame, window: int = 3_600, least: float = 0.3, top: int = 50, queries: DataFrame | None = None) -> DataFrame:
     """id, other, score, kind, gap of event pairs within ``window`` seconds that share a user, session, device
-    or place (what a score of 0.3 needs), the ``top`` best of each event.  Time is cut into buckets, so the
-    join is on the bucket and near events only; ``queries`` restricts the left side."""
-    cut = lambda d: d.withColumn("bucket", F.floor(F.col("ts") / window))
-    a = cut(events if queries is None else queries).withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    b = cut(events)
-    b = b.select(*[F.col(c).alias(f"o_{c}") for c in ("id", "user_id", "ts", "session_id", "device_id", "location")], "bucket")
-    j = a.join(b, "bucket").where((F.col("id") != F.col("o_id")) & (F.abs(F.col("ts") - F.col("o_ts")) <= window))
-    near = 1 - F.abs(F.col("ts") - F.col("o_ts")) / window
-    parts = {"user": F.col("user_id") == F.col("o_user_id"), "session": F.col("session_id") == F.col("o_session_id"), "device": F.col("device_id") == F.col("o_device_id"), "location": F.col("location") == F.col("o_location")}
-    score = near * WEIGHTS["temporal"]
-    for k, same in parts.items():
-        score = score + F.when(same, WEIGHTS[k]).otherwise(0.0)
-    kind = F.when(parts["user"], "User").when(parts["session"], "Session").when(near > 0.5, "Temporal").when(parts["device"], "Device").when(parts["location"], "Location").otherwise("Temporal")
-    s = j.select("id", F.col("o_id").alias("other"), (score / sum(WEIGHTS.values())).alias("score"), kind.alias("kind"), (F.col("ts") - F.col("o_ts")).alias("gap")).where(F.col("score") >= least)
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("score").desc(), "other"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
+    or place (what a score of 0.3 needs), the ``top`` best of each event.  Time is cut into buckets; a task has
+    the events of one and those within the window around it, and looks up the best partners of each, so pairs
+    beyond these are never listed.  ``queries`` restricts the left side."""
+    names = {"id": "long", "ts": "long"} | dict.fromkeys(_KEYS.values())
+    cast = lambda d: d.select(*[F.col(c).cast(kind) if kind else F.col(c) for c, kind in names.items()]).where("id IS NOT NULL AND ts IS NOT NULL")
+    own = F.floor(F.col("ts") / window)
+    right = cast(events).withColumn("bucket", F.explode(F.array(own - 1, own, own + 1)))
+    sides = right.withColumn("side", F.when(F.col("bucket") == own, 2).otherwise(1)) if queries is None else right.withColumn("side", F.lit(1)).unionByName(cast(queries).withColumn("bucket", own).withColumn("side", F.lit(0)))
+    schema = "id long, other long, score double, kind string, gap long"
+    kinds = {"id": pa.int64(), "other": pa.int64(), "score": pa.float64(), "kind": pa.string(), "gap": pa.int64()}
+
+    def bucket(rows: pa.Table) -> pa.Table:
+        side = rows["side"].to_numpy()
+        columns = {c: rows[c].to_numpy().astype(np.int64) for c in ("id", "ts")} | {k: rows[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) for k, c in _KEYS.items()}
+        left, right = ({k: v[at] for k, v in columns.items()} for at in (side != 1, side != 0))
+        best = _best_partners(left, right, window, least, top)
+        return pa.table({c: pa.array(best[c] if best else [], kind) for c, kind in kinds.items()})
+
+    n = max(4 * events.sparkSession.sparkContext.defaultParallelism, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sides.repartition(n, "bucket").groupBy("bucket").applyInArrow(bucket, schema)
+
+
+def _clusters(links: DataFrame) -> DataFrame:
+    return components(links).groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
 
 
 def correlation_clusters(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """label and size of the connected groups of strongly correlated events."""
-    strong = pairs.where(F.col("score") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b"))
-    return components(strong).groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return _clusters(pairs.where(F.col("score") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b")))
+
+
+def event_clusters(events: DataFrame, window: int = 3_600, threshold: float = 0.7) -> DataFrame:
+    """correlation_clusters of all pairs within ``window``, without listing them: of events that share a set of
+    keys, those between two that are near enough are nearer still, so each is linked to the one before only."""
+    e = events.select("id", "ts", *_KEYS.values()).where("id IS NOT NULL AND ts IS NOT NULL")
+    links = None
+    for flags, limit in _key_sets(window, threshold):
+        on = [c for c, f in zip(_KEYS.values(), flags, strict=True) if f]
+        known = e.dropna(subset=on) if on else e
+        before = F.lag(F.struct(*e.columns)).over(W.partitionBy(*(on or [F.floor(F.col("ts") / window)])).orderBy("ts", "id"))
+        if not on:  # the order of all events is cut by buckets; the first of one follows the last of the bucket before
+            cut = known.withColumn("bucket", F.floor(F.col("ts") / window))
+            ends = cut.groupBy((F.col("bucket") + 1).alias("bucket")).agg(F.max_by(F.struct(*e.columns), F.struct("ts", "id")).alias("end"))
+            step = cut.join(ends, "bucket", "left").select(*e.columns, F.coalesce(before, F.col("end")).alias("o"))
+        else:
+            step = known.select(*e.columns, before.alias("o"))
+        near = 1 - F.abs(F.col("ts") - F.col("o.ts")) / window
+        score = near * WEIGHTS["temporal"]
+        for k, c in _KEYS.items():
+            score = score + F.when(F.col(c) == F.col(f"o.{c}"), WEIGHTS[k]).otherwise(0.0)
+        link = step.where((F.col("ts") - F.col("o.ts") <= limit) & (score / sum(WEIGHTS.values()) >= threshold)).select(F.col("id").alias("a"), F.col("o.id").alias("b"))
+        links = link if links is None else links.unionByName(link)
+    return _clusters(links if links is not None else e.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
 
 
 def regular_pairs(events: DataFrame, least: int = 3, variation: float = 0.5) -> DataFrame:

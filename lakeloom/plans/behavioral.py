@@ -173,7 +173,7 @@ def _(e):
 
 @query("behavioral_correlation_clusters", "behavioral/event-correlation", "user_events", f"""WITH RECURSIVE {_CORR}, g AS (SELECT id, other FROM c WHERE score >= 0.7), reach(a, b) AS (SELECT id, id FROM g UNION SELECT a, other FROM reach JOIN g ON b = id), l AS (SELECT a, MIN(b) AS label FROM reach GROUP BY 1) SELECT label, COUNT(*) AS size FROM l GROUP BY 1 HAVING COUNT(*) > 1""")
 def _(e):
-    return op.correlation_clusters(op.correlate(e, 1800, 0.4))
+    return op.event_clusters(e, 1800, 0.7)
 
 
 @query("behavioral_regular_pairs", "behavioral/event-correlation", "user_events", "WITH s AS (SELECT event_type AS a, LEAD(event_type) OVER w AS b, LEAD(ts) OVER w - ts AS gap FROM user_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)), g AS (SELECT a, b, COUNT(*) AS n, AVG(gap) AS m, STDDEV_POP(gap) AS sd FROM s WHERE b IS NOT NULL GROUP BY 1, 2) SELECT a, b, n, ROUND(1 - sd / m, 6) AS score FROM g WHERE n >= 3 AND sd / m < 1")

@@ -673,3 +673,75 @@ def test_folds_over_nodes_with_few_and_many_neighbours():
     assert all((g.pull(bits, np.bitwise_or)[i] == np.bitwise_or.reduce(bits[e[e[:, 1] == i, 0]], axis=0)).all() for i in range(50))
     assert len(g._pull[1]) == 8 and len(g._pull[2])  # short and long runs
     assert not graph._Adjacency(np.arange(2), e[:0, 0], e[:0, 1]).pull(np.ones((2, 1))).any()
+
+
+def _slow_history(rows, i, window):
+    return [x for x in rows if x[0] == rows[i][0] and rows[i][4] - window <= x[4] < rows[i][4]]
+
+
+def test_bank_patterns_against_plain_python_and_a_busy_account(spark):
+    rng = np.random.default_rng(5)
+    tx = [(i, int(a), int(b), float(v), int(t)) for i, (a, b, v, t) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 9, 300), rng.integers(60, 110, 300), rng.integers(0, 120, 300), strict=True))]
+    rows = banking.account_rows(spark.createDataFrame([(*x, "US") for x in tx], "id long, source_id long, dest_id long, amount double, ts long, location string"))
+    plain = [(a, b, i, v, t, True) for i, a, b, v, t in tx] + [(b, a, i, v, t, False) for i, a, b, v, t in tx]
+    split, layer, circle = {}, {}, set()
+    for k, (a, b, i, v, t, out) in enumerate(plain):
+        if out:
+            before = _slow_history(plain, k, 15)
+            near = [x[3] for x in before if x[5] and 80 <= x[3] < 100] + [v] * (80 <= v < 100)
+            if len(near) >= 3:
+                split[i] = 80.0 if sum(near) > 100 else 60.0
+            n = len({x[1] for x in before} | {a, b})
+            if n >= 6:
+                layer[i] = min(n * 10.0, 90.0)
+            sent = [x for x in before if x[5]] + [(a, b, i, v, t, True)]
+            if any(x[1] == y[1] for x in sent for y in before if not y[5]):
+                circle.add(i)
+    assert {r.id: r.score for r in banking.rapid_split(rows, 15, 100.0).collect()} == split
+    assert {r.id: r.score for r in banking.layering(rows, 15).collect()} == layer
+    assert {r.id for r in banking.circular_flow(rows, 15).collect()} == circle
+    busy = spark.range(120_000).select("id", F.lit(0).cast("long").alias("source_id"), (F.col("id") % 5000 + 1).alias("dest_id"), F.lit(90.0).alias("amount"), F.col("id").alias("ts"), F.lit("US").alias("location"))
+    start = time.time()
+    rows = banking.account_rows(busy)
+    assert banking.rapid_split(rows, 50_000, 100.0).count() == 119_998
+    assert banking.layering(rows, 50_000).count() == 119_996
+    assert banking.circular_flow(rows, 50_000).count() == 0
+    assert time.time() - start < 60
+
+
+def test_event_correlation_against_plain_python_and_copies(spark):
+    rng = np.random.default_rng(3)
+    ev = [(i, int(u), int(t), int(s), f"d{d}" if d else None, f"l{p}") for i, (u, t, s, d, p) in enumerate(zip(rng.integers(0, 12, 250), rng.integers(0, 2_000, 250), rng.integers(0, 9, 250), rng.integers(0, 3, 250), rng.integers(0, 3, 250), strict=True))]
+    df = spark.createDataFrame(ev, "id long, user_id long, ts long, session_id long, device_id string, location string")
+    weights = list(behavioral.WEIGHTS.values())
+
+    def pairs(least):
+        for a in ev:
+            for b in ev:
+                gap = a[2] - b[2]
+                if a[0] != b[0] and abs(gap) <= 400:
+                    score = (1 - abs(gap) / 400) * weights[0]
+                    for k, w in zip((1, 3, 4, 5), weights[1:], strict=True):
+                        score += w if a[k] is not None and a[k] == b[k] else 0.0
+                    if score / sum(weights) >= least:
+                        yield a[0], -score / sum(weights), b[0], gap
+
+    for least, queries in ((0.4, None), (0.1, df.where("id % 3 = 0"))):
+        want, n = [], {}
+        for a, s, b, gap in sorted(pairs(least)):
+            n[a] = n.get(a, 0) + 1
+            if n[a] <= 4 and (queries is None or a % 3 == 0):
+                want.append((a, b, round(-s, 12), gap))
+        got = [(r.id, r.other, round(r.score, 12), r.gap) for r in behavioral.correlate(df, 400, least, 4, queries).collect()]
+        assert sorted(got) == sorted(want)
+    for least in (0.7, 0.15):
+        label = {x[0]: x[0] for x in ev}
+        links = [(a, b) for a, _, b, _ in pairs(least)]
+        for _ in range(60):
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        sizes = {x: list(label.values()).count(x) for x in set(label.values())}
+        assert {r.label: r.size for r in behavioral.event_clusters(df, 400, least).collect()} == {k: v for k, v in sizes.items() if v > 1}
+    # 70 copies at one time would crowd out an event that links two groups
+    copies = spark.range(141).select("id", F.lit(1).alias("user_id"), F.when(F.col("id") < 70, 0).when(F.col("id") < 140, 600).otherwise(300).cast("long").alias("ts"), F.lit(1).alias("session_id"), F.lit("d").alias("device_id"), F.lit("l").alias("location"))
+    assert [r.size for r in behavioral.event_clusters(copies, 400, 0.8).collect()] == [141]
