@@ -745,3 +745,34 @@ def test_event_correlation_against_plain_python_and_copies(spark):
     # 70 copies at one time would crowd out an event that links two groups
     copies = spark.range(141).select("id", F.lit(1).alias("user_id"), F.when(F.col("id") < 70, 0).when(F.col("id") < 140, 600).otherwise(300).cast("long").alias("ts"), F.lit(1).alias("session_id"), F.lit("d").alias("device_id"), F.lit("l").alias("location"))
     assert [r.size for r in behavioral.event_clusters(copies, 400, 0.8).collect()] == [141]
+
+
+def test_neighbours_and_clusters_by_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 40, (160, 3)) / 4, np.zeros((40, 3))])
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    near = (d <= 1.0) & ~np.eye(200, dtype=bool)
+    assert sorted(map(tuple, ml.neighbour_pairs(p, 1.0).collect())) == [(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True)]
+    core = near.sum(1) + 1 >= 3
+    label = np.arange(200)
+    for _ in range(200):
+        for i in np.flatnonzero(core):
+            label[i] = min(label[i], label[near[i] & core].min(initial=200))
+    want = {i: int(label[i]) if core[i] else int(label[near[i] & core].min(initial=200)) for i in range(200)}
+    assert {r.id: r.cluster for r in ml.dbscan(p, 1.0, 3).collect()} == {i: -1 if c == 200 else c for i, c in want.items()}
+    for metric in ("euclidean", "cosine", "manhattan", "chebyshev"):
+        far = ml._distances(x, x, metric)
+        np.fill_diagonal(far, np.inf)
+        want = sorted((i, r + 1, int(j)) for i in range(200) for r, j in enumerate(np.lexsort((np.arange(200), far[i].round(12)))[:4]))
+        got = ml.knn(p, 4, metric, block=64).select("id", "rank", "other", "distance").collect()
+        assert np.allclose(sorted((r.id, r.rank, r.distance) for r in got), sorted((i, r, far[i, j]) for i, r, j in want))
+        assert metric == "cosine" or sorted((r.id, r.rank, r.other) for r in got) == want
+    # blocks are compared by a product of matrices, and a cell of many points is counted without a list of pairs
+    v = rng.normal(size=(12_000, 64))
+    start = time.time()
+    n = ml._Nearest(np.arange(2_000), v[:2_000], 5, "euclidean", False)
+    for i in range(0, 12_000, 2_000):
+        n.add(np.arange(i, i + 2_000), v[i : i + 2_000])
+    assert time.time() - start < 10 and len(n.d) == 10_000
+    assert ml.dbscan(spark.range(6_000).select("id", F.array(F.lit(1.0), F.col("id") / 6_000).alias("x")), 2.0, 3).groupBy("cluster").count().collect()[0]["count"] == 6_000
