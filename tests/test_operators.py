@@ -776,3 +776,34 @@ def test_neighbours_and_clusters_by_blocks(spark):
         n.add(np.arange(i, i + 2_000), v[i : i + 2_000])
     assert time.time() - start < 10 and len(n.d) == 10_000
     assert ml.dbscan(spark.range(6_000).select("id", F.array(F.lit(1.0), F.col("id") / 6_000).alias("x")), 2.0, 3).groupBy("cluster").count().collect()[0]["count"] == 6_000
+
+
+def test_screening_by_tables_of_names(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n, most: ["".join(rng.choice(list("abcé "), int(rng.integers(0, most)))) for _ in range(n)]
+    plain = some(150, 12) + some(5, 90) + ["", "abc"]
+    table = names.NameTable(plain)
+    for name in [*some(60, 12), *some(5, 90), "", "abc"]:
+        want = np.array([names.jaro_winkler_score(name, x) for x in plain])
+        assert table.scores(name).tolist() == want.tolist()
+        got = table.scores(name, 0.8)
+        assert np.array_equal(got[want >= 0.8], want[want >= 0.8])
+    asked, listed = some(40, 9), [(i, x, y) for i, (x, y) in enumerate(zip(some(300, 9), some(300, 9), strict=True))]
+    q = spark.createDataFrame(list(enumerate(asked)), "id long, name string")
+    w = spark.createDataFrame([(i, x, [y]) for i, x, y in listed], "id long, name string, aliases array<string>")
+    score = names.jaro_winkler_score
+    want = []
+    for i, name in enumerate(asked):
+        best = sorted((-max((s := score(name, x)), (t := score(name, y))), e, max(z for z, v in ((x, s), (y, t)) if v == max(s, t))) for e, x, y in listed)
+        want += [(i, e, -s, z) for s, e, z in best[:5] if -s >= 0.7]
+    assert sorted((r.query_id, r.entry_id, r.score, r.matched_name) for r in compliance.screen(q, w, top=5).collect()) == sorted(want)
+    p = w.select("id", "name", (F.col("id") % 3).alias("level"))
+    want = []
+    for i, name in enumerate(asked):
+        want += [(i, e, k, -s) for s, k, e in sorted((-score(name, x), e % 3, e) for e, x, _ in listed)[:5] if -s >= 0.7]
+    assert sorted((r.query_id, r.entry_id, r.level, r.score) for r in compliance.screen_pep(q, p, top=5).collect()) == sorted(want)
+    big = names.NameTable([f"customer#{i:09d}" for i in range(4_096)])
+    start = time.time()
+    for i in range(100):
+        big.scores(f"customer#{i * 7:09d}", 0.9)
+    assert time.time() - start < 10
