@@ -447,6 +447,27 @@ def test_large_entries_are_taken_apart_by_entity(spark):
     assert {r.method for r in accounting.generate_flows(_entry(spark, *lines)).collect()} == {"D"}
 
 
+def test_squares_without_ways_of_three_edges(spark):
+    import collections
+
+    rng = np.random.default_rng(3)
+    pairs = {(int(a), int(b)) for a, b in zip(rng.integers(0, 14, 70), rng.integers(0, 14, 70) ** 2 // 14, strict=True) if a != b}
+    pairs |= {(20, i) for i in range(14)} | {(i, 21) for i in range(14)} | {(20, 21), (21, 22), (22, 23)}  # a node of many edges
+    out = collections.defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    want = collections.Counter()
+    for u, v in pairs:
+        for w in out[v] - {u}:
+            for x in out[w] - {u, v}:
+                if x in out[u]:
+                    want.update((u, v, w, x))
+    e = edges(spark, sorted(pairs))
+    assert {r.id: r.n for r in graph._squares(e).groupBy("id").agg(F.sum("n").alias("n")).collect()} == dict(want)
+    got = {r.id: r.c4 for r in graph.cycle_counts(edges(spark, [*sorted(pairs), *sorted(pairs)[:5], (3, 3)]), nodes(spark, 24)).collect()}
+    assert got == {i: want[i] // 4 for i in range(24)}
+
+
 def test_recent_flows(spark):
     f = accounting.dated_flows(accounting.generate_flows(_entry(spark, ("1000", 5, 0, "A"), ("4000", 0, 5, "A"))), _entry(spark, ("1000", 5, 0, "A")))
     assert accounting.recent_flows(f, "1000", 0, 1 << 40, 100).count() == 1 and accounting.recent_flows(f, "1000", 0, 5, 100).count() == 0
