@@ -447,6 +447,28 @@ def test_large_entries_are_taken_apart_by_entity(spark):
     assert {r.method for r in accounting.generate_flows(_entry(spark, *lines)).collect()} == {"D"}
 
 
+def test_people_with_dates_and_countries_in_common(spark, capsys):
+    rng = np.random.default_rng(6)
+    some = lambda of: None if rng.random() < 0.2 else of[int(rng.integers(len(of)))]
+    people = [(i, some(["Ann Lee", "Anne Leigh", "Bo", "", "x" * 70]), [some(["A. Lee", "Bo Li"])] if i % 3 else None, some([19800101, 19800131, 19820101]), some(["US", "CN"])) for i in range(60)]
+    df = spark.createDataFrame(people, "id long, name string, aliases array<string>, birth_date long, country string")
+    got = compliance.resolve_entities(df.where("id % 4 = 0"), df, top=5)
+    got.explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out  # pairs are scored in blocks, not one row each
+
+    def rest(a, b):
+        x, y = a[3], b[3]
+        day = 0.0 if x is None or y is None else 1.0 if x == y else 0.9 if x // 100 == y // 100 else 0.5
+        return (day * 0.25 or 0.125) + (0.15 if a[4] is not None and a[4] == b[4] else 0.0)
+
+    known = lambda p: {(x or "").lower() for x in (p[1], *(p[2] or []))}
+    want = []
+    for a in people[::4]:
+        scores = [(max(names.jaro_winkler_score(x, y) for x in known(a) for y in known(b)) * 0.6 + rest(a, b), -b[0]) for b in people if b[0] != a[0]]
+        want += [(a[0], -minus, round(s, 9)) for s, minus in sorted(x for x in scores if x[0] >= 0.7)[-5:]]
+    assert sorted((r.query_id, r.entity_id, round(r.score, 9)) for r in got.collect()) == sorted(want)
+
+
 def test_squares_without_ways_of_three_edges(spark):
     import collections
 
